@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, quality, sentencepiece_codec, sharding
+from . import licenses, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, sharding
 from .common import documents
 
 _CODE_POINT_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +39,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_source_mix": op10_source_mix,
@@ -67,7 +72,7 @@ _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 OP3_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 win AS (SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS g
         FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w WHERE len(words) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
@@ -77,7 +82,7 @@ m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, ''))
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(lines) AS n_lines,
              length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper_chars,
              length(text) - length(translate(text, '!', '')) AS excl,
-             len(list_filter(words, x -> lower(trim(x, '.,;:!?')) IN ({_STOPS}))) AS stops
+             len(list_filter(words, lambda x: lower(trim(x, '.,;:!?')) IN ({_STOPS}))) AS stops
       FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -88,6 +93,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CODE_POINT_LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r(node, reach) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.node = w.doc_id
+"""
+
 OP6_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
@@ -104,7 +122,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM s),
 o AS (SELECT *, sum(cap) OVER q - cap AS cap_before, sum(weight) OVER () - sum(weight) OVER q + weight AS weight_left, sum(source_size) OVER () AS total
       FROM w WINDOW q AS (ORDER BY cap::DOUBLE / weight, r ROWS UNBOUNDED PRECEDING)),
-lv AS (SELECT min((total - cap_before)::DOUBLE / weight_left) FILTER ((total - cap_before)::DOUBLE / weight_left * weight < cap) AS level FROM o),
+lv AS (SELECT min_by((total - cap_before)::DOUBLE / weight_left, (cap::DOUBLE / weight, r)) FILTER ((total - cap_before)::DOUBLE / weight_left * weight < cap) AS level FROM o),
 t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(level, 1e300) * weight) AS target FROM w, lv),
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17/' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
@@ -114,4 +132,4 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_source_mix": OP10_SQL}
