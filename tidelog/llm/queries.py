@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, sharding
+from . import licenses, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup
 from .common import documents
 
 _CODE_POINT_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +48,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(documents(spark, sf_dir)).drop("spans")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.with_sizes(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "_text_hash")
     return sharding.shard(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_number", "place")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_source_mix": op10_source_mix,
 }
@@ -116,6 +121,19 @@ SELECT doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped,
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM w WHERE len(words) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM late),
+e AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM w),
+k AS (SELECT e.doc_id, count(gone.p) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN e.word END, ' ' ORDER BY e.p) AS kept
+      FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
@@ -132,4 +150,4 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}
