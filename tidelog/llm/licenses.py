@@ -52,7 +52,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate({c: c + 32 for c in range(65, 91)})
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes know A-Z only
 
 
 def words(text: str) -> list[str]:

@@ -29,18 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .licenses import lower_ascii
 
-STRIP = " \t\n\x0b\x0c\r"
 SEGMENT = 1 << 16  # bits
 
 
-def line_key(line: str) -> str:
-    return lower_ascii(line.strip(STRIP))
+def line_keys(text: str | None, least: int) -> list[bytes | None]:
+    """The digest of each line's key, None for keys of fewer than ``least`` code points.
+    Bytes lower and strip ASCII only, which is what keys ask for."""
+    keys = [x.strip() for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    if least <= 1:
+        return [_digest(k) if k or least < 1 else None for k in keys]
+    return [_digest(k) if len(k.decode("utf-8", "surrogatepass")) >= least else None for k in keys]
 
 
-def digest(key: str) -> bytes:
-    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+_digest = xxhash.xxh3_128_digest
 
 
 def _pairs(keys: set[bytes] | list[bytes]) -> np.ndarray:
@@ -67,14 +69,17 @@ class _Filter:
         np.bitwise_or.at(self.array, p >> np.uint64(3), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
 
 
-def _doc_keys(text: str | None, least: int) -> list[str]:
-    return [k for k in map(line_key, (text or "").split("\n")) if len(k) >= least]
+def _doc_keys(text: str | None, least: int) -> set[bytes]:
+    keys = set(line_keys(text, least))
+    keys.discard(None)
+    return keys
 
 
-def twice_filter(docs: DataFrame, text_col: str, least: int, max_bits: int) -> tuple[bytes, int, int]:
+def twice_filter(docs: DataFrame, text_col: str, least: int, max_bits: int, bytes_per_line: int = 64) -> tuple[bytes, int, int]:
     """(bits of the merged twice-filter, compressed; number of bits; hashes for each key)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 1
+    # A guess at the lines from the bytes: only the filter's size depends on it.
+    lines = (docs.agg((F.sum(F.octet_length(text)) / bytes_per_line).cast("long")).first()[0] or 0) + 1
     bits = min(max_bits, max(SEGMENT, 1 << (10 * int(lines) - 1).bit_length()))
     hashes = max(1, min(4, round(0.7 * bits / lines)))
 
@@ -84,7 +89,7 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, max_bits: int) -> t
             seen: set[bytes] = set()
             again: set[bytes] = set()
             for value in batch.column(0):
-                keys = {digest(k) for k in _doc_keys(value.as_py(), least)}
+                keys = _doc_keys(value.as_py(), least)
                 again |= seen & keys
                 seen |= keys
             if seen:
@@ -135,9 +140,9 @@ def repeated_keys(docs: DataFrame, min_docs: int = 10, least: int = 1, id_col: s
             first: dict[bytes, tuple] = {}
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own: dict[bytes, int] = {}
-                for line, key in enumerate(map(line_key, (text.as_py() or "").split("\n"))):
-                    if len(key) >= least:
-                        own.setdefault(digest(key), line)
+                for line, key in enumerate(line_keys(text.as_py(), least)):
+                    if key is not None:
+                        own.setdefault(key, line)
                 if not own:
                     continue
                 keys = list(own)
@@ -174,7 +179,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, keep_first:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k, text in enumerate(batch.column(2)):
-                    keys = list({digest(x) for x in _doc_keys(text.as_py(), least)})
+                    keys = list(_doc_keys(text.as_py(), least))
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(keys), pa.int64()), pa.array([batch.column(1)[k].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], names=["_id", "_hash", "digest"])
 
         lines = marked.select("_lid", "_lhash", F.col(f"`{text_col}`")).mapInArrow(own, "_id long, _hash long, digest binary").distinct()
@@ -202,9 +207,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, keep_first:
                 lines = (text or "").split("\n")
                 out = []
                 doc_id, text_hash = batch.column(at_id)[k].as_py(), batch.column(width + 1)[k].as_py()
-                for line_no, line in enumerate(lines):
-                    key = line_key(line)
-                    first = repeated.get(digest(key)) if len(key) >= least else None
+                for line_no, (line, key) in enumerate(zip(lines, line_keys(text, least), strict=True)):
+                    first = repeated.get(key)
                     if first is None or keep_first and first == (doc_id is None, doc_id or 0, text_hash, line_no):
                         out.append(line)
                 texts.append(None if text is None else "\n".join(out))
