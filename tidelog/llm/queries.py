@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup
+from . import embedding_dedup, html_render, licenses, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup
 from .common import documents
 
 _CODE_POINT_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
@@ -43,11 +43,20 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_render.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(documents(spark, sf_dir)).drop("spans")
 
@@ -66,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html_text": op7_html_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_source_mix": op10_source_mix,
@@ -111,6 +122,17 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.co
 FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.node = w.doc_id
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+r(node, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, p.b FROM r JOIN p ON r.reach = p.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id JOIN c ON c.node = v.vec_id
+"""
+
 OP6_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
@@ -150,4 +172,4 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}
