@@ -111,5 +111,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     """``docs`` with its measures, base_failed, failed_rules and kept."""
     holds, failed = compile_rules(rules)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    df = measured(docs, text_col).withColumn("base_failed", base_failed)
+    df = measured(docs, text_col)
+    # A generator of one row: a later filter on the verdict stays above it, and isn't
+    # pushed down through the staged projections, where each use would repeat them all.
+    df = df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).withColumn("base_failed", base_failed)
     return df.withColumns({"failed_rules": failed, "kept": ~F.col("base_failed") & holds})

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -290,21 +291,25 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     return rows.withColumn(text_col, text(F.col(f"`{ids_col}`")))
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode its ids again, and return digests of both: the id,
-    n_tokens, ids_sha256 and decoded_sha256.  One narrow pass: neither text nor ids move."""
+    n_tokens, ids_sha256 and decoded_sha256, and with ``with_ids`` the ids themselves.
+    One narrow pass: nothing moves between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, lists = [], [], [], []
             for value in batch.column(1):
                 joined = c.encode_joined(value.as_py())
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode_joined(joined).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    lists.append(np.fromstring(joined, dtype=np.int32, sep=","))
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
