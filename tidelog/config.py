@@ -1,0 +1,30 @@
+"""Thresholds and word tables; every operator takes them as parameters with these defaults."""
+
+from __future__ import annotations
+
+# Limits and weights that results depend on.
+COMMON_SHARE, RARE_SHARE = 0.25, 0.05  # document shares: dropped above, rare up to
+SENTENCE_TERMS = 4  # from so many terms on a query is a sentence
+KEEP = 24  # records a query keeps
+RUN_GAP_S, SPAN_CAP_S, GLANCE_S = 900, 300, 60
+CHUNK_CHARS, CHUNK_STRIDE, CHUNK_MOST, CHUNK_LEAST = 220, 180, 10, 8
+LINK_COSINE, SEARCH_COSINE, CLUSTER_COSINE = 0.70, 0.50, 0.62
+RRF_LEXICAL, RRF_VECTOR = 20, 60
+FIELD_WEIGHTS = {"title": 3.0, "meta": 1.2, "text": 1.0}
+MENU_RUN, LINE_REPEAT, LINE_DOCS, LINE_MOST = 5, 4, 3, 90
+KEPT_SHARE = 0.35
+ENTITY_DOCS = (2, 30)
+SHARED_MOST = 60  # larger same-page groups say nothing
+
+STOP_WORDS = (
+    "a an and are as at be been but by did do does for from had has have how i in is it its me my of on or our "
+    "so that the their them then there these they this to was we were what when where which who why will with you your"
+).split()
+SITES = {
+    "github.com": "GitHub", "gitlab.com": "GitLab", "stackoverflow.com": "Stack Overflow", "wikipedia.org": "Wikipedia",
+    "youtube.com": "YouTube", "reddit.com": "Reddit", "medium.com": "Medium", "nytimes.com": "New York Times",
+    "bbc.co.uk": "BBC", "mail.google.com": "Gmail", "docs.google.com": "Google Docs",
+}
+SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
+BROWSERS = r"(?i)chrome|chromium|safari|firefox|edge|opera|brave|vivaldi"
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref|ref_src|spm|si|igshid)$"
