@@ -273,7 +273,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("key", F.col("app").alias("speaker"), (us(F.col("at")) / 1e6).alias("start"), (us(F.lead("at").over(w)) / 1e6).alias("end")).where(F.col("end").isNotNull())
 
 
-@query(_SEG + """, c AS (SELECT key, start // 600 AS slot, (start // 600) * 600 AS lo, (start // 600) * 600 + 600 AS hi FROM seg GROUP BY ALL),
+@query(_SEG + """, c AS (SELECT key, floor(start / 600) AS slot, floor(start / 600) * 600 AS lo, floor(start / 600) * 600 + 600 AS hi FROM seg GROUP BY ALL),
 o AS (SELECT c.key, c.slot, speaker, sum(least(hi, stop) - greatest(lo, start)) AS secs FROM c JOIN seg ON c.key = seg.key AND start < hi AND stop > lo GROUP BY ALL)
 SELECT key, slot::BIGINT AS slot, speaker, round(secs, 2) AS secs FROM o WHERE round(secs, 6) >= 0.2 QUALIFY row_number() OVER (PARTITION BY key, slot ORDER BY round(secs, 6) DESC, speaker) = 1""")
 def speaker_overlap(spark: SparkSession, d: str) -> DataFrame:

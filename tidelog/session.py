@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Stateful processors need a store with column families; it also keeps large state off the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def session(app: str = "tidelog", **conf: str) -> SparkSession:
     """UTC, adaptive execution with skew handling; any setting can be overridden.  The master
     and the sizes of executors and shuffles belong to the cluster, so none are set here."""
     builder = SparkSession.builder.appName(app)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

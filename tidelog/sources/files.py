@@ -101,7 +101,7 @@ MAIL = "path string, n int, subject string, sender string, date string, message_
 
 def read_mbox(spark: SparkSession, path: str, pattern: str = "*.mbox") -> DataFrame:
     """One row a message.  A box is one text; very large boxes should be split before."""
-    boxes = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    boxes = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,7 +116,7 @@ def read_mbox(spark: SparkSession, path: str, pattern: str = "*.mbox") -> DataFr
 
 def read_folder(spark: SparkSession, path: str, pattern: str = "*.{md,txt,html,csv}") -> DataFrame:
     """path, title, text of all text files below a folder; export ids at names' ends are cut."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), r"\+", "%2B"))
     title = F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,8}$", ""), r"\s+[0-9a-f]{32}$", ""))
     return rows.select(F.col("_metadata.file_path").alias("path"), title.alias("title"), F.col("value").alias("text"))

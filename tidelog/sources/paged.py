@@ -18,11 +18,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 class Page(InputPartition):
     def __init__(self, number: int):
-        super().__init__(number)
         self.number = number
 
 
-class PagedReader(DataSourceReader, DataSourceStreamReader):
+class Pages:
+    """The service's pages; shared by both readers."""
+
     def __init__(self, options: dict):
         self.folder = options["path"]
 
@@ -33,26 +34,44 @@ class PagedReader(DataSourceReader, DataSourceStreamReader):
         with open(name, encoding="utf-8") as f:
             return json.load(f)
 
-    def _count(self) -> int:
+    def count(self) -> int:
         n = 0
         while self.fetch(n) is not None:
             n += 1
         return n
 
-    def partitions(self, start: dict | None = None, end: dict | None = None):
-        low, high = (start["page"], end["page"]) if start is not None else (0, self._count())
-        return [Page(k) for k in range(low, high)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        page = self.fetch(partition.number)
+    def rows(self, number: int) -> Iterator[tuple]:
+        page = self.fetch(number)
         for item in page["items"] if page else ():
             yield item.get("id"), item.get("title"), item.get("text"), item.get("updated_at")
 
+
+class PagedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.pages = Pages(options)
+
+    def partitions(self) -> list[Page]:
+        return [Page(k) for k in range(self.pages.count())]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        return self.pages.rows(partition.number)
+
+
+class PagedStream(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.pages = Pages(options)
+
     def initialOffset(self) -> dict:
         return {"page": 0}
 
     def latestOffset(self) -> dict:
-        return {"page": self._count()}
+        return {"page": self.pages.count()}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return [Page(k) for k in range(start["page"], end["page"])]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        return self.pages.rows(partition.number)
 
     def commit(self, end: dict) -> None:
         pass
@@ -70,7 +89,7 @@ class PagedSource(DataSource):
         return PagedReader(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return PagedReader(self.options)
+        return PagedStream(self.options)
 
 
 def read_paged(spark: SparkSession, folder: str) -> DataFrame:
