@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, urls
-from ..operators import days, entries, filters, graph, hygiene, search, sessions, vectors
+from ..operators import days, entries, filters, graph, hygiene, media, search, sessions, vectors
 from ..session import table
 from . import retrieval
 
@@ -518,3 +518,47 @@ r(node, root) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r
 def page_components(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_suppkey").cast("long").alias("a"), (F.col("l_orderkey") + 1000000).cast("long").alias("b")).distinct()
     return graph.components(x)
+
+
+# --- pages, chats, leagues ----------------------------------------------------------------
+
+
+@query(r"""SELECT page_id AS id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|img|source|video|audio)\b[^>]*?(?:href|src)\s*=\s*["'']([^"'']+)["'']', 1)) AS u FROM pages) GROUP BY 1""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return media.page_links(table(spark, d, "pages")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH b AS (SELECT page_id AS id, unnest(l) AS h, unnest(generate_series(0, len(l) - 1)) AS block FROM (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', '', 'g'), '(?i)<(?:article|section|div|main|nav|footer|header|aside)\b[^>]*>') AS l FROM pages)),
+c AS (SELECT id, block, length(trim(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS chars, least(40, len(regexp_extract_all(h, '(?i)<p\b'))) AS p,
+ length(trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(h, '(?is)<a\b[^>]*>(.*?)</a>', 1), ' '), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS l FROM b)
+SELECT id, block::INT AS block, chars, round(chars * (1 + p / 40) * (1 - least(1.0, l / chars)), 3)::DOUBLE AS score FROM c WHERE chars > 0""")
+def article_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return media.article_blocks(table(spark, d, "pages")).select("id", "block", "chars", "score")
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)
+SELECT c.conv_id, substring(any_value(u.text), 1, 60) AS title, count(*) AS n_turns, least(3, count(*))::INT AS kept FROM conversations c LEFT JOIN u ON u.conv_id = c.conv_id GROUP BY c.conv_id""")
+def chats(spark: SparkSession, d: str) -> DataFrame:
+    return media.chats(table(spark, d, "conversations"), keep=3).select("conv_id", "title", "n_turns", F.size(F.filter("turns", lambda x: x.isNotNull())).alias("kept"))
+
+
+@query()
+def hour_groups(spark: SparkSession, d: str) -> DataFrame:
+    ev = _events(spark, d)
+    return media.hour_groups(ev.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), F.hour("at").alias("hour")).agg(F.count(F.lit(1)).alias("n")), "day", 50)
+
+
+@query("""WITH s AS (SELECT l_suppkey AS name, l_suppkey % 7 AS family, l_returnflag AS bench, avg(l_quantity) AS score FROM lineitem GROUP BY ALL), w AS (SELECT bench, ascii(bench) - 64 AS weight FROM (SELECT DISTINCT l_returnflag AS bench FROM lineitem)),
+m AS (SELECT name, family, round(sum(score * weight) / sum(weight), 6) AS mean FROM s JOIN w ON s.bench = w.bench GROUP BY name, family)
+SELECT name, family, round(mean, 4) AS mean, row_number() OVER (PARTITION BY family ORDER BY mean DESC, name) = 1 AS best_of_family FROM m""")
+def score_league(spark: SparkSession, d: str) -> DataFrame:
+    item = table(spark, d, "lineitem")
+    scores = item.groupBy(F.col("l_suppkey").alias("name"), (F.col("l_suppkey") % 7).alias("family"), F.col("l_returnflag").alias("bench")).agg(F.avg("l_quantity").alias("score"))
+    return media.league(scores, item.select(F.col("l_returnflag").alias("bench")).distinct().withColumn("weight", F.ascii("bench") - 64)).withColumn("mean", F.round("mean", 4))
+
+
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events QUALIFY r <= 5), l AS (SELECT user_id, list_sort(list(value)) AS m FROM r GROUP BY user_id)
+SELECT user_id, round(m[len(m) // 2 + 1], 6) AS median, m[len(m) // 2 + 1] > 50 AS slow FROM l WHERE len(m) >= 3""")
+def recent_median(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return media.recent_median(ev, "user_id", "at", "value", limit_ms=50).withColumn("median", F.round("median", 6))
