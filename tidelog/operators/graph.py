@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..config import ENTITY_DOCS, SHARED_MOST
 from ..functions.text import text_of
 
+# The formats of entities that aren't names.
 KINDS = {
     "postcode": r"(?<![A-Za-z0-9])[A-Z]{1,2}\d[A-Z0-9]? ?\d[A-Z]{2}(?![A-Za-z0-9])",
     "date": r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)",
