@@ -4,8 +4,10 @@
 2. A bounded sample (``sample`` nodes, those with the least digests) fits the coarse
    centroids and the codebooks of the residuals' subspaces; every node is then indexed:
    its list, its code in each subspace, and two bounds of its quantisation error.
-3. Each node probes every list whose centroid scores at most ``margin`` under its best one.
-   In a list, the asymmetric distance of a query to an entry is the centroid's part plus
+3. Each node probes every list that a neighbour at the threshold could call its own, were
+   it ``reach`` standard deviations of random noise away towards that list's centroid: that
+   is, whose centroid c scores at most reach * |link| / sqrt(dimensions) * |c - best| under
+   the best one, with |link| = sqrt(2 - 2 * threshold).  In a list, the asymmetric distance of a query to an entry is the centroid's part plus
    one table look-up for each subspace; an entry passes if its look-up sum reaches what the
    stored bounds prove to be the least for a link, so the codes lose nothing.
 4. What passes is reranked by the exact cosine in double precision.
@@ -16,9 +18,9 @@ and a spanning forest of its links, never the pairs themselves.  A link that bot
 find is counted at each end once, as a unit knows from the probes whether the other end
 finds it too.
 
-A link is missed only if neither end probes the other's list.  For noise in a random
-direction in 64 dimensions that takes more than four standard deviations at cosine 0.95;
-the tests measure recall against brute force.  With ``per_list`` or fewer nodes there is
+A link is missed only if neither end probes the other's list, which takes more than
+``reach`` standard deviations even for links at the threshold itself; sqrt(dimensions) would
+exclude it.  The tests measure recall against brute force.  With ``per_list`` or fewer nodes there is
 one list, and the search is exhaustive.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
@@ -88,31 +90,36 @@ class Index:
     cuts: tuple[tuple[int, int], ...]
     books: tuple[np.ndarray, ...]
     threshold: float
-    margin: float
+    reach: float
 
     @staticmethod
-    def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int, threshold: float, margin: float, seed: int) -> Index:
+    def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int, threshold: float, reach: float, seed: int) -> Index:
         x = units(sample)
         centroids = k_means(x, lists, 6, seed, unit=True)
         rest = x - centroids[(x @ centroids.T).argmax(axis=1)]
         edges = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
         cuts = tuple((int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True))
         books = tuple(k_means(rest[: 64 * codes, a:b], codes, 6, seed + 1 + k) for k, (a, b) in enumerate(cuts))
-        return Index(centroids, cuts, books, threshold, margin)
+        return Index(centroids, cuts, books, threshold, reach)
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """List, probes, codes, and the least look-up sum that a link can have."""
-        scores = x @ self.centroids.T
-        home = scores.argmax(axis=1)
-        near = scores >= scores.max(axis=1, keepdims=True) - self.margin
-        probes = [np.flatnonzero(row).astype(np.int32) for row in near]
+        link = np.sqrt(max(0.0, 2 - 2 * self.threshold))
+        away = min(self.reach, np.sqrt(x.shape[1])) * link / np.sqrt(x.shape[1])
+        home, probes = np.empty(len(x), np.int64), []
+        for k in range(0, len(x), 1024):
+            scores = x[k : k + 1024] @ self.centroids.T
+            best = scores.argmax(axis=1)
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * (self.centroids[best] @ self.centroids.T)))
+            near = scores.max(axis=1, keepdims=True) - scores <= away * apart + 1e-9
+            home[k : k + 1024] = best
+            probes += [np.flatnonzero(row).astype(np.int32) for row in near]
         rest = x - self.centroids[home]
         codes = np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.books, strict=True)], axis=1)
         back = self.centroids[home] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
         # For a link q: q.back >= threshold - |x - back|, and q.back >= x.back - |q - x| |back|.
         error = np.sqrt(((x - back) ** 2).sum(axis=1))
-        reach = np.sqrt(max(0.0, 2 - 2 * self.threshold)) * np.sqrt((back * back).sum(axis=1))
-        least = np.maximum(self.threshold - error, (x * back).sum(axis=1) - reach) - 1e-4
+        least = np.maximum(self.threshold - error, (x * back).sum(axis=1) - link * np.sqrt((back * back).sum(axis=1))) - 1e-4
         return home, probes, codes.astype(np.uint8 if max(map(len, self.books)) <= 256 else np.uint16), least
 
     def candidates(self, q: np.ndarray, home: int, codes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +166,12 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _links(nodes: DataFrame, dim: int, n: int, threshold: float, per_list: int, max_lists: int, subspaces: int, codes: int, margin: float, block: int, seed: int) -> DataFrame:
+def _links(nodes: DataFrame, dim: int, n: int, threshold: float, per_list: int, max_lists: int, subspaces: int, codes: int, reach: float, block: int, seed: int) -> DataFrame:
     """node, n_links, other: counts (other null) and forest edges (n_links null)."""
     lists = max(1, min(max_lists, n // per_list))
     sample = max(64 * codes, 16 * lists)
     chosen = nodes.orderBy("node").limit(sample).select("vector").toPandas()["vector"]
-    index = Index.fit(np.array(chosen.tolist(), dtype=np.float64), lists, subspaces, codes, threshold, margin, seed)
+    index = Index.fit(np.array(chosen.tolist(), dtype=np.float64), lists, subspaces, codes, threshold, reach, seed)
     shipped = nodes.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +235,7 @@ def _links(nodes: DataFrame, dim: int, n: int, threshold: float, per_list: int,
 
 def near_duplicates(
     rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
-    per_list: int = 300, max_lists: int = 4096, subspaces: int = 8, codes: int = 256, margin: float = 0.25, block: int = 1500, seed: int = 5,
+    per_list: int = 300, max_lists: int = 4096, subspaces: int = 8, codes: int = 256, reach: float = 3.0, block: int = 1500, seed: int = 5,
 ) -> DataFrame:
     """For each vector: the id, n_links, component_id and kept.
 
@@ -250,7 +257,7 @@ def near_duplicates(
     nodes = saved(good.groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least")))
     found = None
     for r in nodes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():
-        part = _links(nodes.where(F.size("vector") == r["dim"]), r["dim"], r["n"], threshold, per_list, max_lists, subspaces, codes, margin, block, seed)
+        part = _links(nodes.where(F.size("vector") == r["dim"]), r["dim"], r["n"], threshold, per_list, max_lists, subspaces, codes, reach, block, seed)
         found = part if found is None else found.unionByName(part)
     alone = base.where(~F.col("_ok")).select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     if found is None:
