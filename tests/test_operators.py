@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,50 @@ def test_vectors(spark):
     assert hops == {1: 0, 2: 1, 3: 2}
 
 
+def test_lsh_shape_keeps_its_bound():
+    for n in (0, 100, 10**4, 10**5, 10**6, 10**7, 10**9):
+        for floor in (0.5, 0.7, 0.95):
+            bits, tables = vectors.lsh_shape(n, floor)
+            p = 1 - math.acos(floor) / math.pi
+            assert (1 - p**bits) ** tables <= 0.1, (n, floor)
+
+
+@pytest.mark.parametrize(("n", "hot"), [(300, 4000), (300, 20), (1500, 200)])
+def test_link_components(spark, n, hot):
+    rng = np.random.default_rng(n)
+    base = rng.standard_normal((n // 5, 16))
+    data = [[float(y) for y in base[k % len(base)] + rng.standard_normal(16) * 0.45] for k in range(n)]
+    data += [data[0]] * 7 + [[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [0.0] * 16, None, [float("nan")] * 16]  # copies, another dimension, no direction
+    want = brute_links(data, 0.7)
+    v = spark.createDataFrame(list(enumerate(data)), "id long, v array<double>").repartition(3)
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vectors.link_components(v, 0.7, per_bucket=n // 8, hot=hot).collect()}
+    assert set(got) == set(range(len(data)))
+    assert all(got[k][0] <= want[k][0] for k in got)
+    assert sum(x[0] for x in got.values()) >= 0.985 * sum(x[0] for x in want)
+    assert sum(got[k][1] == want[k][1] for k in got) >= 0.97 * len(data)
+    assert got[n + 7][0] == got[n + 8][0] == 1 and got[n + 8][1] == n + 7
+    assert [got[k] for k in range(n + 9, n + 12)] == [(0, k) for k in range(n + 9, n + 12)]
+
+
+def brute_links(data, floor):
+    good = [k for k, x in enumerate(data) if x is not None and any(x) and x == x and not np.isnan(x).any()]
+    counts, root = [0] * len(data), list(range(len(data)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    unit = {k: np.array(data[k]) / np.linalg.norm(data[k]) for k in good}
+    for a, b in itertools.combinations(good, 2):
+        if len(data[a]) == len(data[b]) and round(float(unit[a] @ unit[b]), 6) >= floor:
+            counts[a] += 1
+            counts[b] += 1
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return [(counts[k], find(k)) for k in range(len(data))]
+
+
 def test_redaction(spark):
     text = "mail a.b@example.org, card 4111 1111 1111 1111 or 4111 1111 1111 1112, password: hunter22x, https://u:secretpw@host/x"
     e = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "id long, text string")

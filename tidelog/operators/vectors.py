@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CLUSTER_COSINE, LINK_COSINE, SEARCH_COSINE
+from .graph import components
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,11 +49,15 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return out.select(key, "n", unit(F.col("mean")).alias("centroid"))
 
 
-def lsh_shape(n: int, cosine_floor: float = LINK_COSINE, miss: float = 0.1) -> tuple[int, int]:
-    """(bits, tables) so that a pair at the floor shares a bucket with probability 1 - miss."""
-    bits = min(20, max(3, round(math.log2(max(n, 1) / 24)))) if n > 0 else 3
+def lsh_shape(n: int, cosine_floor: float = LINK_COSINE, miss: float = 0.1, per_bucket: int = 24, most: int = 64) -> tuple[int, int]:
+    """(bits, tables) so that a pair at the floor shares a bucket with probability 1 - miss, at
+    every n: where that takes over ``most`` tables, bits are fewer and buckets larger."""
+    bits = min(20, max(3, round(math.log2(max(n, 1) / per_bucket)))) if n > 0 else 3
     p = 1 - math.acos(cosine_floor) / math.pi
-    return bits, min(64, max(4, math.ceil(math.log(miss) / math.log(1 - p**bits))))
+    need = lambda k: max(4, math.ceil(math.log(miss) / math.log(1 - p**k)))
+    while bits > 1 and need(bits) > most:
+        bits -= 1
+    return bits, need(bits)
 
 
 def hyperplanes(dim: int, bits: int, tables: int, seed: int = 11) -> np.ndarray:
@@ -88,6 +95,93 @@ def pairs_above(rows: DataFrame, bucketed: DataFrame, floor: float = LINK_COSINE
     return joined.select("a", F.col("z").alias("b"), F.round(cosine(F.col("va"), F.col("vz")), 6).alias("score")).where(F.col("score") >= floor)
 
 
+def _unit_links(rows: pd.DataFrame, t: int, bits: int, tables: int, floor: float, step: int = 1024) -> pd.DataFrame:
+    """Links of one bucket, or of two of its cells: (node, n, other), counts of the pairs that share
+    no earlier table's bucket (other null), and edges that join what is linked (n null)."""
+    x = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    signs = np.unpackbits(np.stack([np.frombuffer(s, np.uint8) for s in rows["sig"]]), axis=1, count=tables * bits)
+    earlier = signs.reshape(len(x), tables, bits)[:, :t] @ (1 << np.arange(bits))
+    cell, copies, names = rows["cell"].to_numpy(), rows["copies"].to_numpy(), rows["node"].to_numpy()
+    left = np.flatnonzero(cell == cell.min())
+    right = np.flatnonzero(cell == cell.max())
+    within = cell.min() == cell.max()
+    n, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    for s in range(0, len(left), step):
+        a = left[s : s + step]
+        i, j = np.nonzero(x[a] @ x[right].T >= floor - 5e-7)  # as scores are rounded to 6 places
+        i, j = a[i], right[j]
+        if within:
+            i, j = i[j > i], j[j > i]
+        for k in range(0, len(i), 1 << 17):
+            p, q = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+            new = ~(earlier[p] == earlier[q]).any(axis=1)
+            p, q = p[new], q[new]
+            np.add.at(n, p, copies[q])
+            np.add.at(n, q, copies[p])
+            while (apart := root[p] != root[q]).any():
+                p, q = p[apart], q[apart]
+                np.minimum.at(root, np.maximum(root[p], root[q]), np.minimum(root[p], root[q]))
+                while (root != root[root]).any():
+                    root = root[root]
+    some, tied = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(x)))
+    return pd.DataFrame({"node": np.concatenate([names[some], names[tied]]), "n": pd.array([*n[some], *[None] * len(tied)], "Int64"), "other": np.concatenate([np.full(len(some), None, object), names[root[tied]].astype(object)])})
+
+
+def link_components(rows: DataFrame, floor: float = LINK_COSINE, miss: float = 0.01, per_bucket: int = 2048, hot: int = 4000, seed: int = 11) -> DataFrame:
+    """(id, n_links, component_id) of each row (id, v), ids being unique: links are pairs that reach
+    the floor, of any dimension; a component is named by its least id.  Equal vectors are one
+    node, and pairs are counted inside of tasks, never emitted.  A link at the floor is missed
+    with probability ``miss`` at most, a closer one more seldom.  Vectors without a direction
+    (null, empty, all zero, or with a part that is null or not finite) have no links."""
+    v = F.col("v")
+    ok = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    nodes = rows.where(ok).groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    kind, parts = rows.schema["id"].dataType.simpleString(), []
+    for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each dimension
+        bits, tables = lsh_shape(r["n"], floor, miss, per_bucket)
+        parts.append(_links(nodes.where(F.size("v") == r["dim"]), r["dim"], bits, tables, floor, hot, seed, kind))
+    alone = rows.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    if not parts:
+        return alone
+    found = reduce(DataFrame.unionByName, parts)
+    if base := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        path = f"{base.rstrip('/')}/links-{uuid.uuid4().hex}"
+        found.write.parquet(path)
+        found = rows.sparkSession.read.parquet(path)
+    else:
+        found = found.persist()  # no shared folder is set: tests and single machines
+    counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    facts = nodes.join(counts, "node", "left").join(roots, "node", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    return rows.where(ok).select("id", "v").join(facts, "v").select("id", "n_links", "component_id").unionByName(alone)
+
+
+def _links(nodes: DataFrame, dim: int, bits: int, tables: int, floor: float, hot: int, seed: int, kind: str) -> DataFrame:
+    planes, weights = hyperplanes(dim, bits, tables, seed), 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("b array<int>, sig binary")
+    def signs(vs: pd.Series) -> pd.DataFrame:
+        x = np.stack(vs.to_numpy()).astype(np.float64) if len(vs) else np.zeros((0, dim))
+        over = ((x / np.abs(x).max(axis=1, keepdims=True)) @ planes.T) > 0
+        return pd.DataFrame({"b": list((over.reshape(len(x), tables, bits) @ weights).astype(np.int32)), "sig": [s.tobytes() for s in np.packbits(over, axis=1)]})
+
+    signed = nodes.withColumn("s", signs("v"))
+    # A row for each ``hot`` rows of the buckets at most.
+    large = signed.select(F.posexplode("s.b").alias("t", "b")).groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("t", "b", F.ceil(F.col("n") / hot).cast("int").alias("cells"))
+    placed = signed.select("node", "copies", "v", "s.sig", F.posexplode("s.b").alias("t", "b")).join(F.broadcast(large), ["t", "b"], "left")
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
+    units = placed.select("t", "b", F.least("cell", "o").alias("c1"), F.greatest("cell", "o").alias("c2"), "cell", "node", "copies", "v", "sig")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["c1"].iloc[0] != rows["c2"].iloc[0] and rows["cell"].nunique() == 1:
+            return pd.DataFrame({"node": [], "n": [], "other": []})  # the other cell is empty
+        return _unit_links(rows, int(rows["t"].iloc[0]), bits, tables, floor)
+
+    return units.groupBy("t", "b", "c1", "c2").applyInPandas(meet, f"node {kind}, n long, other {kind}")
+
+
 def neighbourhood(edges: DataFrame, start: Sequence, hops: int = 2) -> DataFrame:
     """Nodes within ``hops`` of the starting ids, with their distance; one join a hop."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

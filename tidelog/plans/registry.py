@@ -420,9 +420,7 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    bits, tables = vectors.lsh_shape(v.count())
-    return vectors.pairs_above(v.select("id", "v"), vectors.buckets(v, 64, bits, tables))
+    return vectors.link_components(_vectors(spark, d).select("id", "v"))
 
 
 @query()
