@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions import text
 from tidelog.operators import entries, filters, graph, hygiene, search, sessions, vectors
 from tidelog.operators.filters import Filter
 from tidelog.plans.retrieval import Index, search_entries
@@ -83,6 +84,20 @@ def test_search_tiers(spark):
     assert search.query_terms("Where is the Pie 会议室") == ["pie", "会议", "议室"]
 
 
+def test_whole_texts_count(spark):
+    long = "".join(chr(97 + k % 26) + str(k) + " " for k in range(6000)) + "zebra🦓 end"
+    e = spark.createDataFrame([(1, long), (2, "zebra"), (3, "other")], "id long, text string")
+    cut = [r["chunk"] for r in e.where("id = 1").select(F.inline(text.chunks(F.col("text")))).orderBy("seq").collect()]
+    last = -(-(len(long) - 220) // 180)
+    assert cut == [long[180 * k : 180 * k + 220] for k in range(last + 1)]
+    assert [len(r["c"]) for r in e.orderBy("id").select(text.chunks(F.col("text"), most=10).alias("c")).collect()] == [10, 0, 0]
+    for c in ("title", "path", "url", "type"):
+        e = e.withColumn(c, F.lit(""))
+    e = e.withColumn("created_at", F.to_timestamp(F.lit("2024-01-01")))
+    assert {r["id"] for r in search.recall_scores(e, ["zebra"], "2024-03-01").collect()} == {1, 2}
+    assert {r["id"] for r in search.recall_scores(e, ["zebra"], "2024-03-01", chars=20_000).collect()} == {2}
+
+
 def test_blend_and_fusion(spark):
     assert search.blend([1, 2, 3], [9, 1], [5], keep=4) == [9, 1, 2, 3]
     rng = random.Random(3)

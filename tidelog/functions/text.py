@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CHUNK_CHARS, CHUNK_LEAST, CHUNK_MOST, CHUNK_STRIDE
+from ..config import CHUNK_CHARS, CHUNK_LEAST, CHUNK_STRIDE
 
 LETTER = r"\p{L}"
 HAN = r"[\p{IsHan}]"
@@ -100,12 +100,15 @@ def window_around(c: Column, needles: Sequence[str], width: int) -> Column:
     return F.substring(t, F.when((start > 1) & (space > 0), start + space).otherwise(start), F.lit(width))
 
 
-def chunks(c: Column, chars: int = CHUNK_CHARS, stride: int = CHUNK_STRIDE, most: int = CHUNK_MOST, least: int = CHUNK_LEAST) -> Column:
-    """Overlapping pieces of a text: array of (seq, chunk), at most ``most``, none shorter than
-    ``least``; a text that fits is one piece."""
+def chunks(c: Column, chars: int = CHUNK_CHARS, stride: int = CHUNK_STRIDE, most: int | None = None, least: int = CHUNK_LEAST) -> Column:
+    """Overlapping pieces of a text: array of (seq, chunk), at most ``most`` where that is given,
+    none shorter than ``least``; a text that fits is one piece."""
     t = squeeze(c)
-    last = F.least(F.lit(most - 1), F.greatest(F.lit(0), F.ceil((F.length(t) - chars) / stride))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("seq"), F.substring(t, i * stride + 1, F.lit(chars)).alias("chunk")))
+    n = F.greatest(F.lit(0), F.ceil((F.length(t) - chars) / stride)).cast("int") + 1
+    n = n if most is None else F.least(F.lit(most), n)
+    # One pass over the text: a match is a stride long and looks ahead for its whole piece.
+    found = F.slice(F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{1,{chars}}})).{{1,{stride}}}"), F.lit(1)), F.lit(1), n)
+    cut = F.transform(found, lambda x, i: F.struct(i.alias("seq"), x.alias("chunk")))
     return F.filter(cut, lambda x: F.length(x["chunk"]) >= least)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import CHUNK_MOST
 from ..functions import classify, text, urls
 from ..operators import days, entries, filters, graph, hygiene, media, search, sessions, vectors
 from ..session import table
@@ -171,6 +172,15 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT id, t, unnest(generate_series(0, least(9, greatest(0, ceil((length(t) - 220) / 180)::INT)))) AS seq FROM t)
 SELECT id, seq::INT AS seq, substring(t, seq * 180 + 1, 220) AS chunk FROM c WHERE length(substring(t, seq * 180 + 1, 220)) >= 8""")
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's report: at most 10 pieces of a text, as its SQL has it."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.inline(text.chunks(F.col("text"), most=CHUNK_MOST)))
+
+
+@query(r"""WITH t AS (SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 220) / 180)::INT))) AS seq FROM t)
+SELECT id, seq::INT AS seq, substring(t, seq * 180 + 1, 220) AS chunk FROM c WHERE length(substring(t, seq * 180 + 1, 220)) >= 8""")
+def text_chunks_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of whole texts."""
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.inline(text.chunks(F.col("text"))))
 
 
@@ -337,17 +347,24 @@ def search_bm25(spark: SparkSession, d: str) -> DataFrame:
 _OCC = "(length({h}) - length(replace({h}, '{t}', ''))) // {n}"
 
 
-def _recall_sql() -> str:
+def _recall_sql(body: str) -> str:
     hit = " + ".join(f"CASE WHEN {_OCC.format(h=h, t='{t}', n='{n}')} > 0 THEN {w} * (1 + ln(least(20, {_OCC.format(h=h, t='{t}', n='{n}')}))) ELSE 0 END" for h, w in (("ti", 3.0), ("me", 1.2), ("tx", 1.0)))
     rows = " UNION ALL ".join(f"SELECT id, created_at, '{t}' AS w, {hit.replace('{t}', t).replace('{n}', str(len(t)))} AS h FROM b" for t in TERMS)
-    return E + f""", b AS (SELECT id, created_at, lower(title) AS ti, lower(concat_ws(' ', path, url, type)) AS me, lower(substring(coalesce(text, ''), 1, 20000)) AS tx FROM e), r AS ({rows}),
+    return E + f""", b AS (SELECT id, created_at, lower(title) AS ti, lower(concat_ws(' ', path, url, type)) AS me, lower({body}) AS tx FROM e), r AS ({rows}),
 i AS (SELECT w, ln(((SELECT count(*) FROM b) + 1) / (count(*) FILTER (h > 0) + 1)) + 0.25 AS idf FROM r GROUP BY w)
 SELECT id, round(round(sum(h * idf) * (0.35 + 0.65 * count(*) FILTER (h > 0) / 3) * (1 + 0.08 * exp(-greatest(0, (epoch(TIMESTAMP '2024-03-01') - epoch(any_value(created_at))) / 86400) / 21)), 6), 4) AS score, count(*) FILTER (h > 0) AS matched
 FROM r JOIN i USING (w) GROUP BY id HAVING count(*) FILTER (h > 0) > 0"""
 
 
-@query(_recall_sql())
+@query(_recall_sql("substring(coalesce(text, ''), 1, 20000)"))
 def recall_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's report: the first 20,000 characters of a text, as its SQL has it."""
+    return search.recall_scores(_entries(spark, d), TERMS, "2024-03-01", chars=20_000).select("id", F.round("score", 4).alias("score"), "matched")
+
+
+@query(_recall_sql("coalesce(text, '')"))
+def recall_scored_all(spark: SparkSession, d: str) -> DataFrame:
+    """Scores over whole texts."""
     return search.recall_scores(_entries(spark, d), TERMS, "2024-03-01").select("id", F.round("score", 4).alias("score"), "matched")
 
 
