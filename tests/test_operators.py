@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import text
 from tidelog.operators import entries, filters, graph, hygiene, search, sessions, vectors
 from tidelog.operators.filters import Filter
+from tidelog.plans import registry
 from tidelog.plans.retrieval import Index, search_entries
 
 SF = "/root/testdata/sf0.001"
@@ -212,6 +213,25 @@ def test_components_and_graph(spark):
     assert [(r["whole"], r["part"]) for r in a.collect()] == [("north river bridge", "river")]
 
 
+def test_components_of_all_lines(spark):
+    rows = [(r["s"], r["o"]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_suppkey AS s", "l_orderkey AS o").collect()]
+    root = {}
+
+    def find(k):
+        root.setdefault(k, k)
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for s, o in rows:
+        low, high = sorted((find(2 * s), find(2 * o + 1)))
+        root[high] = low
+    got = {r["node"]: r["root"] for r in registry.page_components_all(spark, SF).collect()}
+    assert got == {k: find(k) for k in list(root)}
+    assert len(got) == len({s for s, _ in rows}) + len({o for _, o in rows})
+
+
 def test_upsert_and_copies(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "k long, v string")

@@ -396,21 +396,41 @@ _LEGS = """legs AS (SELECT 'lexical' AS leg, row_number() OVER (ORDER BY n_chars
 UNION ALL SELECT 'vector', row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, doc_id FROM documents WHERE doc_id % 2 = 0 QUALIFY rank < 96)"""
 
 
+_LEGS_ALL = """legs AS (SELECT 'lexical' AS leg, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank, doc_id AS id FROM documents QUALIFY rank < 96
+UNION ALL SELECT 'vector', row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) - 1 AS rank, doc_id FROM documents QUALIFY rank < 96)"""
+
+
 def _legs(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     return search.ranked(t, "lexical", F.col("n_chars").desc(), F.col("id")).unionByName(search.ranked(t.where("id % 2 = 0"), "vector", F.col("n_chars"), F.col("id")))
 
 
+def _legs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Both legs over all documents: the lengthy ones first, ties by either end of the ids."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return search.ranked(t, "lexical", F.col("n_chars").desc(), F.col("id")).unionByName(search.ranked(t, "vector", F.col("n_chars").desc(), F.col("id").desc()))
+
+
 @query(f"WITH {_LEGS} SELECT id, round(sum(1 / (CASE leg WHEN 'lexical' THEN 20 ELSE 60 END + rank + 1)), 9) AS score, min(rank) FILTER (leg = 'lexical')::INT AS lead FROM legs GROUP BY id")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return search.rrf(_legs(spark, d), required="lexical")
 
 
+@query(f"WITH {_LEGS_ALL} SELECT id, round(sum(1 / (CASE leg WHEN 'lexical' THEN 20 ELSE 60 END + rank + 1)), 9) AS score, min(rank) FILTER (leg = 'lexical')::INT AS lead FROM legs GROUP BY id")
+def rrf_fuse_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.rrf(_legs_all(spark, d), required="lexical")
+
+
 @query(f"WITH {_LEGS} SELECT id, min(rank)::INT AS round, arg_min(leg, (rank, leg)) AS leg FROM legs GROUP BY id ORDER BY 2, 3, 1 LIMIT 24")
 def lane_interleave(spark: SparkSession, d: str) -> DataFrame:
     return search.interleave(_legs(spark, d))
 
 
+@query(f"WITH {_LEGS_ALL} SELECT id, min(rank)::INT AS round, arg_min(leg, (rank, leg)) AS leg FROM legs GROUP BY id ORDER BY 2, 3, 1 LIMIT 24")
+def lane_interleave_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.interleave(_legs_all(spark, d))
+
+
 @query(f"""WITH {_LEGS}, p AS (SELECT rank, id, substring(text, 1, CASE WHEN rank < 3 THEN 2 ELSE 1 END * 0 + least(2500, greatest(200, floor(20000 * CASE WHEN rank < 3 THEN 2 ELSE 1 END / (96 + 3)))::INT)::INT) AS piece FROM legs JOIN documents ON doc_id = id WHERE leg = 'lexical'),
 u AS (SELECT rank, id, length(piece) AS n, sum(length(piece)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM p) SELECT rank::INT AS rank, id, n, used FROM u WHERE used <= 20000""")
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -531,10 +551,19 @@ def entity_aliases(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE x AS (SELECT ps AS a, pc AS b FROM (SELECT DISTINCT l_suppkey AS ps, 1000000 + l_orderkey AS pc FROM lineitem WHERE l_orderkey % 400 = 0)), b AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
 r(node, root) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.root = b.a) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def page_components(spark: SparkSession, d: str) -> DataFrame:
+    """A slice of the orders, which its recursive SQL can follow; page_components_all has the whole table."""
     x = table(spark, d, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_suppkey").cast("long").alias("a"), (F.col("l_orderkey") + 1000000).cast("long").alias("b")).distinct()
     return graph.components(x)
 
 
+@query()
+def page_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """Components over all of lineitem.  Suppliers are even nodes (twice their key) and orders odd
+    ones, so keys of any size never meet."""
+    x = table(spark, d, "lineitem").select((F.col("l_suppkey").cast("long") * 2).alias("a"), (F.col("l_orderkey").cast("long") * 2 + 1).alias("b")).distinct()
+    return graph.components(x)
+
+
 # --- pages, chats, leagues ----------------------------------------------------------------
 
 
