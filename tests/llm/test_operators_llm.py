@@ -354,3 +354,32 @@ def test_rendering_keeps_all_words(parts):
     source = "".join(parts)
     want = re.sub("<[^>]*>", "", source)
     assert re.sub(r"\s|- |\||-", "", html_render.render(source)) == re.sub(r"\s", "", want)
+
+
+@pytest.mark.parametrize(("css", "body", "want"), [
+    ("@media print { .nav {display:none} }", "<p class=nav>a", "a"),
+    ("@media (max-width: 600px) { .nav {display:none} }", "<p class=nav>a", "a"),
+    ("@media screen { .nav {display:none} }", "<p class=nav>a<p>b", "b"),
+    ("@media print { .nav {display:none} } .x {display:none}", "<p class=nav>a<p class=x>b", "a"),
+    (".tab{display:none} .tab.active{display:block}", "<div class='tab active'>a</div><div class=tab>b</div>", "a"),
+    (".tab{display:none} .on .tab{display:block}", "<div class=on><div class=tab>a</div></div><div class=tab>b</div>", "a"),
+    (".tab{display:none} .on > .tab{display:block}", "<div class=on><div class=tab>a</div></div>", "a"),
+    (".tab{display:none} .tab:nth-child(1){display:block}", "<div class=tab>a</div>", "a"),
+    (".tab{display:none} .tab:hover{display:block}", "<div class=tab>a</div><p>b", "b"),
+    ("#a{display:block} .tab{display:none}", "<div id=a class=tab>a</div>", "a"),
+    (".tab{display:block} div{display:none}", "<div class=tab>a</div><div>b</div>", "a"),
+    (".b{display:none} .a{display:block}", "<p class='a b'>a", "a"),
+    (".a{display:block} .b{display:none}", "<p class='a b'>a<p>b", "b"),
+    ("p{display:none !important} .a{display:block}", "<p class=a style='display:block'>a</p>b", "b"),
+    (".x{content:'}'; display:none} .y:not(.z){display:none}", "<p class=x>a<p class=y>b", "b"),
+    ("@supports (display: grid) { .x {display:none} } @font-face {src:url(a)} @import 'x'; .y{display:none}", "<p class=x>a<p class=y>b", "a"),
+    (".p { display:none; .q & {display:block} }", "<p class=p>a", "a"),
+    (".x{display:flex}", "<p hidden class=x>a<p hidden>b", "a"),
+    (".x{display:none", "<p class=x>a<p>b", "b"),
+])
+def test_rendering_styles(css, body, want):
+    assert html_render.render(f"<style>{css}</style>{body}") == want
+
+
+def test_rendering_print_sheets():
+    assert html_render.render("<style media=print>p{display:none}</style><style media='(width > 9em)'>p{display:none}</style><p>a") == "a"

@@ -10,7 +10,7 @@ so on); the renderer walks the tree with a stack of line buffers:
   - elements that a browser doesn't show are left out: head, script, style, template and
     the like, the hidden attribute, display:none, visibility:hidden (which a descendant may
     undo), closed details and dialog, hidden inputs; styles count inline and from style
-    elements, for selectors of one tag, class or id.
+    elements, by the cascade, and an element that a rule which can't be judged may show is shown.
 
 Defined results: null or empty html gives an empty text; repeated rows are rendered each;
 elements nested deeper than 512 count as children of the 512th, nothing is lost; unclosed
@@ -21,6 +21,7 @@ carried along and a column named like a result is replaced.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,8 +58,10 @@ DEPTH, WIDE = 512, 60
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\f\r]+")
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z")
+SHEET_TOKEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.DOTALL)
+SELECTOR_COMMA = re.compile(r",(?![^(]*\))")
+NAME = r"(?:[\w-]|[^\x00-\x7F]|\\.)+"
+PART = re.compile(rf"(?P<space>\s+)|(?P<star>\*)|\.(?P<class>{NAME})|\#(?P<id>{NAME})|\[\s*(?P<has>{NAME})\s*\]|(?P<attribute>\x02)|(?P<element>::[\w-]+\x01?|:(?:before|after|first-line|first-letter)\b)|:(?P<pseudo>[\w-]+)\x01?|(?P<tag>{NAME})")
 
 
 @dataclass
@@ -134,7 +137,8 @@ def parse(source: str) -> tuple[Node, list[str]]:
             inner = source[at : end.start() if end else n]
             at = end.end() if end else n
             if tag == "style":
-                styles.append(inner)
+                if (held := _holds(attributes.get("media", ""))) is not False and attributes.get("type", "text/css").lower() in ("", "text/css"):
+                    styles.append(inner if held else f"@supports (x) {{{inner}")  # a condition that can't be judged
             elif tag == "textarea":
                 stack[-1].children.append(Node(tag, attributes, [html.unescape(inner.removeprefix("\n"))]))
             elif tag == "xmp":
@@ -169,33 +173,157 @@ def parse(source: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def _declarations(style: str) -> dict[str, str]:
-    return {k.strip().lower(): v.strip().lower().removesuffix("!important").strip() for k, colon, v in (x.partition(":") for x in style.split(";")) if colon}
+def _declarations(style: str) -> dict[str, tuple[bool, str]]:
+    """Property -> (important, value), the last one of the more important."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, colon, value in (x.partition(":") for x in style.split(";")):
+        name, value = name.strip().lower(), value.strip().lower()
+        plain = re.sub(r"\s*!\s*important\Z", "", value)
+        important = plain != value
+        if colon and name in ("display", "visibility") and important >= out.get(name, (False, ""))[0]:
+            out[name] = (important, plain)
+    return out
+
+
+def _holds(media: str) -> bool | None:
+    """Whether a media query holds on a screen; None where that depends on more."""
+    answers: list[bool | None] = []
+    for query in media.lower().split(","):
+        m = re.match(r"\s*(not\s+|only\s+)?([a-z-]*)\s*(.*)\Z", query, re.DOTALL)
+        kind, more, turned = m[2], m[3], (m[1] or "").startswith("not")
+        on = kind in ("", "all", "screen")
+        answers.append(None if more and on else on != turned if not more else turned or False)
+        if more and not on and turned:
+            answers[-1] = True  # not (another medium and ...)
+    return True if True in answers else None if None in answers else False
+
+
+def rules(sheet: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(place, selectors, declarations, certain) of a style sheet.  Rules under a condition that
+    doesn't hold are left out; under one that can't be judged, and nested ones, are uncertain."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL).replace("<!--", "").replace("-->", "")
+    open_: list[tuple[int, str | None, bool | None, list[str]]] = []  # place, selectors, condition, declarations
+    start = 0
+    for m in SHEET_TOKEN.finditer(sheet + "}" * (sheet.count("{") + 1)):
+        if m[0] not in "{};":
+            continue
+        piece, start = (sheet[start : m.start()], m.end()) if m.start() <= len(sheet) else ("", m.end())
+        _, selectors, held, declared = open_[-1] if open_ else (0, None, True, [])
+        if m[0] == ";":
+            declared.append(piece)
+        elif m[0] == "{":
+            piece = piece.strip()
+            if piece.startswith("@"):
+                name, _, rest = piece[1:].partition(" ")
+                name, paren, tail = name.partition("(")
+                name, rest = name.lower(), paren + tail + " " + rest
+                now = _holds(rest) if name == "media" else None if name in ("supports", "layer", "container", "scope", "starting-style", "document") else False
+            else:
+                now, selectors = (True, piece) if selectors is None else (None, "&")  # a nested rule may hold for any element
+            open_.append((m.start(), selectors, False if False in (held, now) else None if None in (held, now) else True, []))
+        elif open_:
+            place = open_.pop()[0]
+            if selectors is not None and held is not False:
+                yield place, selectors, ";".join([*declared, piece]), held is True
+
+
+@dataclass
+class Compound:
+    """What one element has to have; ``sure`` where that is all that the selector asks."""
+
+    tag: str = ""
+    classes: set[str] = field(default_factory=set)
+    ids: set[str] = field(default_factory=set)
+    has: set[str] = field(default_factory=set)
+    sure: bool = True
+
+    def fits(self, node: Node, classes: set[str]) -> bool:
+        return self.tag in ("", node.tag) and self.classes <= classes and (not self.ids or self.ids == {node.attributes.get("id")}) and self.has <= node.attributes.keys()
+
+
+def selector(text: str) -> tuple[list[Compound], bool, tuple[float, ...]] | None:
+    """(compounds, whether they can be judged, specificity); None if no element at rest fits."""
+    text = re.sub(r"\[[^\]]*=[^\]]*\]", "\x02", text.strip())
+    weight, sure = [0.0, 0.0, 0.0], not re.search(r"(?<!\\)[>+~|&]", text)  # tbody and the like may be implied, so children aren't judged
+    while (inner := re.sub(r"\([^()]*\)", "\x01", text)) != text:
+        text, weight[0] = inner, math.inf
+    parts = [Compound()]
+    at, text = 0, re.sub(r"\s*[>+~]\s*", " ", text)
+    while at < len(text):
+        m = PART.match(text, at)
+        if m is None:
+            return [Compound(sure=False)], False, (math.inf, 0.0, 0.0)
+        at, kind, now = m.end(), m.lastgroup, parts[-1]
+        value = re.sub(r"\\(.)", r"\1", m[kind])
+        if kind == "space":
+            parts.append(Compound())
+        elif kind == "element" or (kind == "pseudo" and value in ("hover", "active", "focus", "focus-within", "focus-visible")):
+            return None
+        elif kind == "tag":
+            now.tag = value.lower()
+            sure = sure and now.tag not in ("tbody", "colgroup")
+            weight[2] += 1
+        elif kind == "id":
+            now.ids.add(value)
+            weight[0] += 1
+        elif kind == "star":
+            pass
+        else:
+            weight[1] += 1
+            if kind in ("class", "has"):
+                (now.classes if kind == "class" else now.has).add(value if kind == "class" else value.lower())
+            else:
+                sure = now.sure = False
+    return parts, sure, tuple(weight)
 
 
 class Styles:
-    """display and visibility from style elements, for selectors of one tag, class or id."""
+    """display and visibility from style elements and attributes, by importance, specificity and
+    order.  Compound and descendant selectors are judged; what can't be (other combinators,
+    pseudo-classes, conditions) never hides an element, and keeps a weaker rule from it."""
 
     def __init__(self, sheets: list[str]):
-        self.rules: dict[tuple[str, str, str], dict[str, str]] = {}
-        for sheet in sheets:
-            for selectors, declared in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-                own = {k: v for k, v in _declarations(declared).items() if k in ("display", "visibility")}
-                for s in selectors.split(",") if own else ():
-                    if m := SELECTOR.match(s.strip()):
-                        self.rules.setdefault((m[1] or "", m[2] or "", m[3] or ""), {}).update(own)
-
-    def of(self, node: Node) -> dict[str, str]:
-        out: dict[str, str] = {}
+        self.rules: dict[str, list[tuple[list[Compound], bool, tuple, dict[str, tuple[bool, str]]]]] = {}
+        for k, sheet in enumerate(sheets):
+            for place, selectors, declared, certain in rules(sheet):
+                own = _declarations(declared)
+                for text in SELECTOR_COMMA.split(selectors) if own else ():
+                    if found := selector(text):
+                        parts, sure, weight = found
+                        last = parts[-1]
+                        key = "#" + min(last.ids) if last.ids else "." + min(last.classes) if last.classes else last.tag
+                        self.rules.setdefault(key, []).append((parts, sure and certain, (*weight, k, place), own))
+
+    def of(self, node: Node, path: list[Node], hidden: bool = False) -> dict[str, str]:
+        """Of an element under those of ``path``; ``hidden`` where the browser hides it unless told otherwise."""
+        lowest = (False, False, -1.0)
+        best: dict[str, tuple[tuple, str]] = {"display": (lowest, "none")} if hidden else {}
+        shows: dict[str, list[tuple]] = {}
+        own = _declarations(node.attributes["style"]) if "style" in node.attributes else {}
         if self.rules:
-            classes = node.attributes.get("class", "").split()
-            names = [("", ""), *((".", c) for c in classes), *([("#", node.attributes["id"])] if "id" in node.attributes else [])]
-            for kind, name in names:
-                for tag in ("", node.tag):
-                    out |= self.rules.get((tag, kind, name), {})
-        if "style" in node.attributes:
-            out |= {k: v for k, v in _declarations(node.attributes["style"]).items() if k in ("display", "visibility")}
-        return out
+            classes = set(node.attributes.get("class", "").split())
+            keys = ["", node.tag, *("." + c for c in classes), *(["#" + node.attributes["id"]] if "id" in node.attributes else [])]
+            for parts, sure, weight, declared in (r for key in keys for r in self.rules.get(key, ())):
+                if not parts[-1].fits(node, classes) or (sure and not self._under(parts[:-1], path)):
+                    continue
+                for name, (important, value) in declared.items():
+                    rank = (important, False, *weight)
+                    if not sure:
+                        shows.setdefault(name, []).extend([rank] if value not in ("none", "hidden", "collapse") else [])
+                    elif name not in best or rank >= best[name][0]:
+                        best[name] = (rank, value)
+        for name, (important, value) in own.items():
+            if name not in best or (important, True) >= best[name][0][:2]:
+                best[name] = ((important, True), value)
+        return {name: value for name, (rank, value) in best.items() if value not in ("none", "hidden", "collapse") or not any(r >= rank for r in shows.get(name, ()))}
+
+    @staticmethod
+    def _under(parts: list[Compound], path: list[Node]) -> bool:
+        left = len(parts)
+        for node in reversed(path):
+            if left and parts[left - 1].fits(node, set(node.attributes.get("class", "").split())):
+                left -= 1
+        return not left
 
 
 class Lines:
@@ -309,6 +437,7 @@ def render(source: str | None) -> str:
     out = [Lines()]
     tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[tuple[bool, int]] = []  # (numbered, next number)
+    path: list[Node] = []  # the open elements
     # (node, entering, visible, preformatted); an explicit stack, as trees may be deep
     todo: list[tuple[Node | str, bool, bool, bool]] = [(root, True, True, False)]
     while todo:
@@ -327,8 +456,10 @@ def render(source: str | None) -> str:
             continue
         tag, a = node.tag, node.attributes
         if entering:
-            style = styles.of(node)
-            if tag in UNSEEN or "hidden" in a or style.get("display") == "none" or (tag == "dialog" and "open" not in a):
+            if tag in UNSEEN:
+                continue
+            style = styles.of(node, path, "hidden" in a or (tag == "dialog" and "open" not in a))
+            if style.get("display") == "none":
                 continue
             seen = style["visibility"] not in ("hidden", "collapse") if style.get("visibility") not in (None, "inherit") else seen
             if tag == "br":
@@ -354,12 +485,14 @@ def render(source: str | None) -> str:
                     tables[-1].append([])
                 out.append(Lines())
             todo.append((node, False, seen, pre))
+            path.append(node)
             children = node.children
             if tag == "details" and "open" not in a:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             inner = pre or tag in ("pre", "textarea", "listing") or style.get("white-space", "").startswith("pre")
             todo.extend((c, True, seen, inner) for c in reversed(children))
             continue
+        path.pop()
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag == "li":
