@@ -383,3 +383,26 @@ def test_rendering_styles(css, body, want):
 
 def test_rendering_print_sheets():
     assert html_render.render("<style media=print>p{display:none}</style><style media='(width > 9em)'>p{display:none}</style><p>a") == "a"
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p>Area <math><mi>a</mi><mo>=</mo><mi>r</mi><annotation>tex</annotation></math> here", "Area a=r here"),
+    ("<p>x<svg><title>t</title><defs><text>no</text></defs>stray<rect/><text x=1>Jan</text><g><text>Feb<tspan> 1</tspan></text></g></svg>y", "x Jan Feb 1 y"),
+    ("<svg><defs/><path d='M0'/><title/><text>kept</text></svg><p>after", "kept\n\nafter"),
+    ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ("<object data=x><p>no plug-in</p></object>", "no plug-in"),
+    ("<table><tr><td>|<td>b<tr><td>a |<td></table>", "|   | b\na |"),
+    ("<table><tr><td>x<td>a |<tr><td>y<td>|</table>", "x | a |\ny | |"),
+])
+def test_rendering_formulas_charts_and_bars(source, want):
+    assert html_render.render(source) == want
+
+
+@given(st.lists(st.lists(st.text("ab| ", max_size=4), min_size=1, max_size=3), min_size=1, max_size=4))
+def test_rendering_keeps_bars_of_cells(rows):
+    rows = [[c.strip() for c in r] for r in rows]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) for r in rows) + "</table>"
+    text = html_render.render(page)
+    cells = [c for r in rows for c in r]
+    assert sum(c.count("|") for c in cells) <= text.count("|") <= sum(c.count("|") for c in cells) + 2 * len(rows)
+    assert all(" ".join(c.split()) in text for c in cells)

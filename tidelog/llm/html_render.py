@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title datalist iframe noembed noframes object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template title datalist iframe noembed noframes audio video canvas annotation annotation-xml".split())
+#: What an svg draws as text, and what it only defines.
+DRAWN, DEFINED = frozenset("text foreignobject".split()), frozenset("defs desc metadata symbol clippath mask pattern marker".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup li dd dt legend".split()) | {"li", "dd", "dt"}
@@ -132,6 +134,9 @@ def parse(source: str) -> tuple[Node, list[str]]:
             (root if tag == "html" else body).attributes.update(attributes)
             in_head = in_head and tag == "html"
             continue
+        foreign = m[3].rstrip().endswith("/") and any(x.tag in ("svg", "math") for x in stack)  # svg and math elements may end themselves
+        if foreign and tag in RAW:
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(source, at)
             inner = source[at : end.start() if end else n]
@@ -168,7 +173,7 @@ def parse(source: str) -> tuple[Node, list[str]]:
                 stack.append(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
+        if tag not in VOID and not foreign and len(stack) < DEPTH:
             stack.append(node)
     return root, styles
 
@@ -419,7 +424,9 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 covered = ends.get(at, at + 1)
                 span = [width.get(c, 0) for c in order if at <= c < covered]
                 parts.append((lines[k] if k < len(lines) else "").ljust(sum(span) + 3 * (len(span) - 1)))
-            out.append(" | ".join(parts).rstrip(" |") if any(p.strip() for p in parts) else "")
+            while parts and not parts[-1].strip():
+                parts.pop()
+            out.append(" | ".join(parts).rstrip(" "))
     return out
 
 
@@ -438,11 +445,13 @@ def render(source: str | None) -> str:
     tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[tuple[bool, int]] = []  # (numbered, next number)
     path: list[Node] = []  # the open elements
-    # (node, entering, visible, preformatted); an explicit stack, as trees may be deep
-    todo: list[tuple[Node | str, bool, bool, bool]] = [(root, True, True, False)]
+    # (node, entering, visible, preformatted, drawn); an explicit stack, as trees may be deep
+    todo: list[tuple[Node | str, bool, bool, bool, bool]] = [(root, True, True, False, True)]
     while todo:
-        node, entering, seen, pre = todo.pop()
+        node, entering, seen, pre, drawn = todo.pop()
         if isinstance(node, str):
+            if not drawn:
+                continue
             if seen and pre:
                 first, *more = node.replace("\r\n", "\n").split("\n")
                 for k, line in enumerate([first, *more]):
@@ -456,12 +465,17 @@ def render(source: str | None) -> str:
             continue
         tag, a = node.tag, node.attributes
         if entering:
-            if tag in UNSEEN:
+            if tag in UNSEEN or (tag in DEFINED and any(x.tag == "svg" for x in path)):
                 continue
             style = styles.of(node, path, "hidden" in a or (tag == "dialog" and "open" not in a))
             if style.get("display") == "none":
                 continue
             seen = style["visibility"] not in ("hidden", "collapse") if style.get("visibility") not in (None, "inherit") else seen
+            if tag == "svg":
+                drawn = False
+            elif tag in DRAWN and not drawn:
+                drawn = True
+                out[-1].add(" ")
             if tag == "br":
                 out[-1].line_break()
                 continue
@@ -484,15 +498,17 @@ def render(source: str | None) -> str:
                 if not tables[-1]:
                     tables[-1].append([])
                 out.append(Lines())
-            todo.append((node, False, seen, pre))
+            todo.append((node, False, seen, pre, drawn))
             path.append(node)
             children = node.children
             if tag == "details" and "open" not in a:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             inner = pre or tag in ("pre", "textarea", "listing") or style.get("white-space", "").startswith("pre")
-            todo.extend((c, True, seen, inner) for c in reversed(children))
+            todo.extend((c, True, seen, inner, drawn) for c in reversed(children))
             continue
         path.pop()
+        if tag in DRAWN or tag == "svg":
+            out[-1].add(" ")
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag == "li":
