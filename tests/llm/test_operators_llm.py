@@ -4,6 +4,7 @@ empty tables, extra columns with clashing names."""
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -406,3 +407,28 @@ def test_rendering_keeps_bars_of_cells(rows):
     cells = [c for r in rows for c in r]
     assert sum(c.count("|") for c in cells) <= text.count("|") <= sum(c.count("|") for c in cells) + 2 * len(rows)
     assert all(" ".join(c.split()) in text for c in cells)
+
+
+def test_licenses_that_wrap(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for label, notice in licenses.listed(licenses.NOTICES):
+        for width in (30, 72):
+            k = len(rows)
+            rows.append((k, sentence(rng.randrange(1, 30), rng) + "\n" + textwrap.fill(notice, width, initial_indent="# ", subsequent_indent="# ") + "\n" + sentence(5, rng)))
+            want[k] = label
+    rows += [(900, "rights were reserved,\nall of them"), (901, "\n".join(["word " * 9 + w for w in licenses.TEMPLATES["gpl-3"].split()]))]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows), licenses.NOTICES, wrapped=True).collect()}
+    assert all(label in got[k]["labels"].split(",") and got[k]["score"] == 1.0 for k, label in want.items())
+    assert got[900]["labels"] == got[901]["labels"] == ""
+
+
+def test_license_windows_against_brute_force():
+    rng = random.Random(9)
+    index = licenses.TemplateIndex({"t": "a b c d e f g h i j a"}, {}, 0.9)
+    for _ in range(2000):
+        text = [rng.choice("abcdefghij" * 3 + "xy") if rng.random() < 0.3 else "abcdefghij"[k % 10] for k in range(rng.randrange(40))]
+        places = {w: [k for k, x in enumerate(text) if x == w] for w in set(text)}
+        most = max((len(index.sets[0].intersection(text[k : k + 11])) for k in range(len(text))), default=0)
+        found = index.passages(0, places)
+        assert max((c for *_, c in found), default=0.0) == (most / 10 if most >= 9 else 0.0)

@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text with a word; its tokens are its distinct words.  Block B
+A block is a line of the text with a word and, with ``wrapped``, also any window of as many
+words as the template has, wherever lines break; its tokens are its distinct words.  Block B
 meets template T when |B and T| >= threshold * |T|.  Only tokens of templates can match,
 so they alone are put in a global order, rarest first by the number of blocks in the whole
 corpus that hold them (one small row for each template token comes to the driver; the
@@ -8,7 +9,8 @@ templates are a bounded parameter).  Then, with need = ceil(threshold * |T|):
   prefix filter      B holds one of the |T| - need + 1 rarest tokens of T;
   length filter      B has need tokens of templates at least;
   positional filter  at a shared prefix token, what either side still has reaches need.
-What is left is confirmed on the full sets, so no block is missed.
+What is left is confirmed on the full sets, so no block is missed.  Windows are slid only over
+texts that pass the filters as one block, as each window is a part of its text.
 
 Phrases are places where a phrase's words stand consecutively anywhere in the text.
 
@@ -21,8 +23,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +49,28 @@ TEMPLATES = {
     "cc0": "This work has been dedicated to the public domain under CC0 1.0 Universal.",
     "rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
+#: The same with the headers that licences ask for and what opens or marks their full texts.
+NOTICES: dict[str, tuple[str, ...]] = {label: (notice,) for label, notice in TEMPLATES.items()}
+for _label, _notice in (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("rights-reserved", "All rights reserved."),
+):
+    NOTICES[_label] = (*NOTICES.get(_label, ()), _notice)
 MAX_TEMPLATES = 10_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -59,13 +84,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(lower_ascii(text))
 
 
+def listed(templates: Mapping[str, str | Sequence[str]]) -> list[tuple[str, str]]:
+    """(label, notice); a label has one notice or several."""
+    return [(label, n) for label, notices in sorted(templates.items()) for n in ([notices] if isinstance(notices, str) else notices)]
+
+
 class TemplateIndex:
     """Templates under a global token order, with the inverted index of their prefixes."""
 
-    def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float):
-        if len(templates) > MAX_TEMPLATES:
+    def __init__(self, templates: Mapping[str, str | Sequence[str]], counts: Mapping[str, int], threshold: float):
+        notices = listed(templates)
+        if len(notices) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
-        self.labels, self.sets = zip(*((label, frozenset(words(t))) for label, t in sorted(templates.items())), strict=True) if templates else ((), ())
+        self.labels, self.sets, self.lengths = zip(*((label, frozenset(words(t)), len(words(t))) for label, t in notices), strict=True) if notices else ((), (), ())
         tokens = sorted({w for s in self.sets for w in s}, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(tokens)}
         # Integer arithmetic on thousandths, so that the bound is the same everywhere.
@@ -96,9 +127,35 @@ class TemplateIndex:
         return found
 
 
-def token_counts(docs: DataFrame, templates: Mapping[str, str], text_col: str = "text") -> dict[str, int]:
+    def passages(self, t: int, places: Mapping[str, list[int]]) -> list[tuple[int, int, float]]:
+        """(first, last word, best containment) of each run of windows that meet a template."""
+        at = sorted((p, w) for w in self.sets[t] for p in places.get(w, ()))
+        held: Counter[str] = Counter()
+        out: list[tuple[int, int, float]] = []
+        low = best = 0
+        start = end = -1
+        for p, w in at:
+            held[w] += 1
+            while at[low][0] <= p - self.lengths[t]:
+                old = at[low][1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                low += 1
+            if len(held) < self.need[t]:
+                continue
+            if start >= 0 and at[low][0] > end:
+                out.append((start, end, best / len(self.sets[t])))
+                start = -1
+            if start < 0:
+                start, best = at[low][0], 0
+            best, end = max(best, len(held)), p
+        return [*out, (start, end, best / len(self.sets[t]))] if start >= 0 else out
+
+
+def token_counts(docs: DataFrame, templates: Mapping[str, str | Sequence[str]], text_col: str = "text") -> dict[str, int]:
     """Blocks of the whole corpus that hold each template token; one row a token."""
-    vocabulary = frozenset(w for t in templates.values() for w in words(t))
+    vocabulary = frozenset(w for _, t in listed(templates) for w in words(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -112,10 +169,11 @@ def token_counts(docs: DataFrame, templates: Mapping[str, str], text_col: str =
     return {r["token"]: r["n"] for r in parts.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """For each row of ``docs``: the id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (the best containment), and matches: each block that meets a template,
-    as (line number, label, containment)."""
+    as (line number, label, containment).  With ``wrapped``, passages that no single line meets as
+    well are matches too, under their first line's number."""
     index = TemplateIndex(templates, token_counts(docs, templates, text_col), threshold)
     spoken = [(" " + " ".join(words(p)) + " ", label) for p, label in sorted(phrases.items()) if words(p)]
 
@@ -123,12 +181,26 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Map
         for batch in batches:
             out: list[tuple] = []
             for value in batch.column(1):
-                n, places, base, hits = 0, [], set(), []
+                n, places, base, hits, ends = 0, [], set(), [], []
                 for line_no, line in enumerate(lower_ascii(value.as_py() or "").split("\n")):
                     found = WORD.findall(line)
                     if found:
-                        hits += [(line_no, index.labels[t], c) for t, c in sorted(index.matches(set(found)).items())]
+                        hits += [(line_no, t, c) for t, c in sorted(index.matches(set(found)).items())]
                     n += len(found)
+                    ends.append(n)
+                if n and wrapped:
+                    places_of: dict[str, list[int]] = defaultdict(list)
+                    for k, w in enumerate(WORD.findall(lower_ascii(value.as_py()))):
+                        if w in index.rank:
+                            places_of[w].append(k)
+                    on_lines = list(hits)
+                    for t in sorted(index.matches(set(places_of))):
+                        for first, last, c in index.passages(t, places_of):
+                            top, bottom = bisect_right(ends, first), bisect_right(ends, last)
+                            if not any(t == u and top <= k <= bottom and share >= c for k, u, share in on_lines):
+                                hits.append((top, t, c))
+                    hits.sort()
+                hits = [(k, index.labels[t], c) for k, t, c in hits]
                 if n:
                     flat = f" {' '.join(WORD.findall(lower_ascii(value.as_py())))} "
                     for phrase, label in spoken:

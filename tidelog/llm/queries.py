@@ -32,7 +32,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir)).drop("matches")
+    return licenses.scan(documents(spark, sf_dir), licenses.NOTICES, wrapped=True).drop("matches")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
