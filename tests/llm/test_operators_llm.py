@@ -177,8 +177,8 @@ def brute_components(sets, percent):
     return [find(k) for k in range(len(sets))]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_minhash(spark, percent):
+@pytest.mark.parametrize(("percent", "options"), [(80, {}), (85, {"run": 6, "lap": 2, "block": 20, "depths": (2, 4)})])
+def test_minhash(spark, percent, options):
     rng = random.Random(4)
     rows = list(EDGE)
     for g in range(6):  # groups of near copies around the threshold, one of them large
@@ -188,17 +188,42 @@ def test_minhash(spark, percent):
             for _ in range(rng.randrange(5)):
                 w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
             rows.append((5000 + 1000 * g + k, " ".join(w)))
-    got = minhash_dedup.near_duplicates(frame(spark, rows), percent=percent, block=40).collect()
+    page = sentence(70, rng)  # pages of one template: crowded regions without links
+    rows += [(20_000 + k, f"{page} {sentence(24, rng)}") for k in range(120)]
+    got = minhash_dedup.near_duplicates(frame(spark, rows), percent=percent, **options).collect()
     roots = brute_components([shingles(t) for _, t in rows], percent)
     least = {}
     for (i, _), r in zip(rows, roots, strict=True):
         least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
     want = Counter((i, len(shingles(t)), least[r], i == least[r]) for (i, t), r in zip(rows, roots, strict=True))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
-    kept = minhash_dedup.drop_near_duplicates(frame(spark, rows), percent=percent).select("doc_id").collect()
+    kept = minhash_dedup.drop_near_duplicates(frame(spark, rows), percent=percent, **options).select("doc_id").collect()
     assert {r["doc_id"] for r in kept} == {i for i, _, _, k in want if k}
 
 
+def test_minhash_orders_and_runs():
+    order = minhash_dedup.orders(24, 4, 96, 7)
+    assert len(set(order[:, :4].ravel())) == 96 and all(len(set(row)) == 12 for row in order)
+    for percent, depth in ((85, 4), (85, 12), (80, 8)):
+        n = minhash_dedup.trees_for(percent, depth, 1e-6)
+        assert (1 - (percent / 100) ** depth) ** n <= 1e-6 < (1 - (percent / 100) ** depth) ** (n - 1)
+    # A region of any size is cut into runs that overlap; rows in hand stay few; rows are linear.
+    cutter = minhash_dedup.Cutter(64, 16, 3, 0)
+    ids = [k.to_bytes(4, "big") for k in range(20_000)]
+    cutter.feed(b"a" * 10, ids[:1])
+    for k in range(0, len(ids), 1000):
+        cutter.feed(b"b" * 10, ids[k : k + 1000])
+        assert len(cutter.held) <= 80
+    cutter.feed(b"c" * 10, [b"x"])
+    cutter.end()
+    runs = {}
+    for unit, i, tree, region in cutter.out:
+        runs.setdefault(unit, []).append(i)
+    assert len(cutter.out) < 1.5 * len(ids)
+    together = {(a, b) for r in runs.values() for k, a in enumerate(r) for b in r[k + 1 : k + 9]}
+    assert all((ids[k], ids[k + d]) in together for k in range(0, len(ids) - 9, 7) for d in range(1, 9))
+
+
 def brute_links(x, threshold=0.95):
     c = embedding_dedup.units(x) @ embedding_dedup.units(x).T >= threshold
     np.fill_diagonal(c, False)

@@ -1,39 +1,53 @@
 """MinHash near-dedup with an LSH forest over sorted signature orders.
 
-Each distinct shingle set has one signature for each of ``trees`` orders.  Sorted by such
-an order, the sets that share the first ``depth`` values form a region, and neighbours by
-longest common prefix within a region become candidates; the regions of all orders
-together form candidate clusters.  A cluster of more than ``block`` sets is cut deeper,
-by the signature values after the shared prefix, into as many blocks as it needs, and all
-pairs of blocks are compared: depth adapts to the region, and no link in a region is lost.
-Candidates are confirmed on full shingle sets.
-
-At similarity s a link is missed only if the sets share no region: (1 - s^depth)^trees,
-4e-7 at 0.85 and 3e-5 at 0.8 for the defaults.  Copies with equal sets are one node, so
-they are never expanded into pairs.
+Each distinct shingle set has ``pool`` min-hash values.  An order is a sequence of them; sorted
+by it, the sets with the same first values stand together and form a region.
+
+1. Every set has a row in each order; rows are sorted by range, so neither an order nor a
+   region is gathered in one task.
+2. A region of at most ``run`` rows is one run, all of whose pairs are looked at.  In a larger
+   one the longest common prefixes are sought: its rows are cut, in sorted order, into runs
+   that overlap by ``lap``, and the neighbours within a run are looked at.
+3. Pairs whose signatures agree far too rarely (more than 5.5 standard deviations below the
+   threshold) are dropped; a pair belongs to the first order in which its regions agree,
+   so it is confirmed once, on full shingle sets, which travel once for each run that
+   confirms one of their pairs.
+4. Links join sets to components.  Regions that were cut and still hold more than one component
+   go down to the next depth of ``DEPTHS`` with as many more orders as keep the miss bound, and
+   only their sets do: the depth adapts to each region, rows stay linear in the sets.
+5. What is crowded at the last depth as well is compared whole, block by block.
+
+At a similarity s a link shares no region with a probability of (1 - s^depth)^orders; orders
+are as many as make that ``miss`` (1e-6) at the threshold.  Copies with equal sets are one
+node, so they are never expanded into pairs.
 
 Defined results: null, empty and word-free texts have an empty set, which is linked with
 nothing (also not with another empty one): component_id is the row's own id.  Repeated
 rows share a component.  A null id takes part, but is no component's name while a member
-has an id; ties go to the smallest id.  Other columns aren't read; empty tables give empty tables.
+has an id; ties go to the smallest id.  Ids are read as long integers (a string that isn't one
+counts as null, or fails under ANSI mode).  Other columns aren't read; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, mix64, saved, window_hashes
+from .common import WORD, WordHashes, mix64, saved, shuffle_partitions, window_hashes
 from .components import components
 from .licenses import lower_ascii
 
 _HASHES: list[WordHashes] = []
+DEPTHS = (4, 8, 12)
+TAIL = 8  # values behind a region's prefix that its rows are sorted by
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -57,37 +71,183 @@ def signature(s: np.ndarray, factors: np.ndarray, step: int = 4096) -> np.ndarra
     return out
 
 
-def region_keys(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One key for each order: its number with the first ``depth`` values."""
-    key = mix64(np.arange(1, trees + 1, dtype=np.uint64))
-    for d in range(depth):
-        key = mix64(key ^ sig[d * trees : (d + 1) * trees])
-    return key
+def trees_for(percent: int, depth: int, miss: float) -> int:
+    """Orders that let a pair at the threshold share no region with probability ``miss``."""
+    share = min(max(percent, 1), 99) / 100
+    return min(65_535, max(1, math.ceil(math.log(miss) / math.log1p(-(share**depth)))))
 
 
-def signed(docs: DataFrame, words: int, trees: int, depth: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, _hash, set_id (null for the empty set), n_shingles, deeper, regions."""
+def orders(trees: int, depth: int, pool: int, seed: int) -> np.ndarray:
+    """For each order the places of its values in the signature.  The first ``depth`` are no
+    other order's where the pool has that many values."""
+    rng = np.random.default_rng(seed + depth)
+    if trees * depth <= pool:
+        own = np.arange(trees * depth).reshape(trees, depth)
+        rest = [rng.permutation(np.setdiff1d(np.arange(pool), row))[:TAIL] for row in own]
+        return np.concatenate([own, np.array(rest)], axis=1)
+    return np.array([rng.permutation(pool)[: depth + TAIL] for _ in range(trees)])
+
+
+def signed(docs: DataFrame, words: int, pool: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _hash, set_id (null for the empty set), n_shingles, sig (``pool`` 16-bit values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = multipliers(trees * depth + 1, seed)
+        factors = multipliers(pool, seed)
         for batch in batches:
-            ids, sizes, deeper, keys = [], [], [], []
+            ids, sizes, sigs = [], [], []
             for value in batch.column(2):
                 s = shingle_set(value.as_py(), words)
                 sizes.append(len(s))
-                if len(s):
-                    sig = signature(s, factors)
-                    ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    deeper.append(int(sig[-1] >> np.uint64(1)))
-                    keys.append(region_keys(sig, trees, depth).astype(np.int64))
-                else:
-                    ids.append(None)
-                    deeper.append(None)
-                    keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(deeper, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_hash", "set_id", "n_shingles", "deeper", "regions"])
+                ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sigs.append((mix64(signature(s, factors)) >> np.uint64(48)).astype("<u2").tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["_id", "_hash", "set_id", "n_shingles", "sig"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "_id long, _hash long, set_id binary, n_shingles long, sig binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary column of rows of equal length."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def in_orders(sets: DataFrame, order: np.ndarray, depth: int) -> DataFrame:
+    """key, set_id: a row for each set and order.  The key is the order's number, the region (a
+    hash of the first ``depth`` values), and the values that follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u2").reshape(part.num_rows, -1)
+                keys = np.zeros((len(order), part.num_rows, 10 + 2 * TAIL), dtype=np.uint8)
+                for t, places in enumerate(order):
+                    region = np.full(part.num_rows, t + 1, dtype=np.uint64)
+                    for p in places[:depth]:
+                        region = mix64(region * np.uint64(0x9E3779B97F4A7C15) + sig[:, p])
+                    keys[t, :, :2] = np.frombuffer(np.array([t], dtype=">u2").tobytes(), dtype=np.uint8)
+                    keys[t, :, 2:10] = region.astype(">u8").view(np.uint8).reshape(-1, 8)
+                    keys[t, :, 10:] = np.ascontiguousarray(sig[:, places[depth:]], dtype=">u2").view(np.uint8).reshape(-1, 2 * TAIL)
+                again = pa.array(np.tile(np.arange(part.num_rows), len(order)))
+                yield pa.RecordBatch.from_arrays([_fixed(keys.reshape(-1, 10 + 2 * TAIL)), part.column(0).take(again)], names=["key", "set_id"])
+
+    return sets.select("set_id", "sig").mapInArrow(run, "key binary, set_id binary")
+
+
+class Cutter:
+    """Cuts one sorted partition into runs, with a few rows in hand whatever a region's size."""
+
+    def __init__(self, run: int, lap: int, part: int, level: int):
+        self.run, self.lap, self.part, self.level = run, lap, part, level
+        self.region: bytes | None = None
+        self.held: list[bytes] = []  # rows of the region, its last ``lap`` already in a run if ``number``
+        self.number, self.first = 0, True
+        self.out: list[tuple[int, bytes, int, int | None]] = []
+
+    def _emit(self, rows: list[bytes], name: str, crowded: bool) -> None:
+        unit = xxhash.xxh3_64_intdigest(f"{self.level}/{name}".encode()) - (1 << 63)
+        tree = int.from_bytes(self.region[:2], "big")
+        region = int.from_bytes(self.region[2:], "big", signed=True) if crowded else None
+        self.out += [(unit, r, tree, region) for r in rows]
+
+    def feed(self, region: bytes, ids: list[bytes]) -> None:
+        if region != self.region:
+            self.end(False)
+            self.region, self.held, self.number = region, [], 0
+        self.held += ids
+        while len(self.held) > self.run + self.lap:
+            self._emit(self.held[: self.run], f"{self.region.hex()}/{self.part}/{self.number}", True)
+            if self.first and not self.number:
+                self._emit(self.held[: self.lap], f"border {self.part}", True)
+            self.held = self.held[self.run - self.lap :]
+            self.number += 1
+
+    def end(self, last: bool = True) -> None:
+        if self.region is None:
+            return
+        border = self.first or last  # the region may go on in the partition beside
+        if len(self.held) > (self.lap if self.number else 1):
+            self._emit(self.held, f"{self.region.hex()}/{self.part}/{self.number}", bool(self.number) or border)
+        if self.first and not self.number:
+            self._emit(self.held[: self.lap], f"border {self.part}", True)
+        if last:
+            self._emit(self.held[-self.lap :], f"border {self.part + 1}", True)
+        self.first = False
+
+
+def runs_of(tall: DataFrame, n: int, run: int, lap: int, level: int) -> DataFrame:
+    """unit, set_id, tree, region (of cut regions only, else null)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(run, lap, TaskContext.get().partitionId(), level)
+
+        def flush() -> pa.RecordBatch:
+            units, ids, trees, regions = zip(*cutter.out, strict=True) if cutter.out else ((), (), (), ())
+            cutter.out = []
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(ids, pa.binary()), pa.array(trees, pa.int32()), pa.array(regions, pa.int64())], names=["unit", "set_id", "tree", "region"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = batch.column(0), batch.column(1)
+            flat = np.frombuffer(keys.buffers()[2], dtype=np.uint8)[keys.offset * (10 + 2 * TAIL) :][: len(keys) * (10 + 2 * TAIL)].reshape(len(keys), -1)[:, :10]
+            starts = np.concatenate([[0], np.flatnonzero((flat[1:] != flat[:-1]).any(axis=1)) + 1, [len(keys)]])
+            last = len(starts) - 2
+            for k in np.flatnonzero((np.diff(starts) > 1) | (np.arange(last + 1) == 0) | (np.arange(last + 1) == last)):
+                cutter.feed(flat[starts[k]].tobytes(), ids.slice(starts[k], starts[k + 1] - starts[k]).to_pylist())
+            yield flush()
+        cutter.end()
+        yield flush()
+
+    return tall.repartitionByRange(n, "key", "set_id").sortWithinPartitions("key", "set_id").mapInArrow(cut, "unit long, set_id binary, tree int, region long")
+
+
+def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor: float) -> DataFrame:
+    """unit, set_id of the sets with a pair to be confirmed in the unit: signatures that agree in
+    ``floor`` of the values, regions that agree in this order and in none before it."""
+    prefix = order[:, :depth]
+
+    def chosen(ids: list[bytes], sigs: list[bytes], trees: list[int]) -> list[bytes]:
+        both = dict(zip(ids, zip(sigs, trees, strict=True), strict=True))  # a border may repeat rows
+        if len(both) < 2:
+            return []
+        names = list(both)
+        sig = np.frombuffer(b"".join(both[x][0] for x in names), dtype="<u2").reshape(len(names), -1)
+        tree = np.array([both[x][1] for x in names])
+        agree = np.zeros((len(names), len(names)), dtype=np.int32)
+        for i in range(len(names)):
+            agree[i, i + 1 :] = (sig[i] == sig[i + 1 :]).sum(axis=1)
+        i, j = np.nonzero(agree >= floor * sig.shape[1])
+        keep = (tree[i] == tree[j]) & (i < j)
+        i, j = i[keep], j[keep]
+        found: set[int] = set()
+        for k in range(0, len(i), 2000):
+            a, b = i[k : k + 2000], j[k : k + 2000]
+            same = sig[a] == sig[b]
+            shared = np.stack([same[:, p].all(axis=1) for p in prefix[: int(tree[a].max()) + 1]], axis=1)
+            first = shared.argmax(axis=1) == tree[a]
+            found.update(a[first].tolist(), b[first].tolist())
+        return [names[x] for x in sorted(found)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, rows = None, ([], [], [])
+        for batch in batches:
+            out: list[tuple[int, bytes]] = []
+            for u, set_id, tree, sig in batch.itertuples(index=False, name=None):
+                if u != unit:
+                    out += [(unit, x) for x in chosen(*rows)]
+                    unit, rows = u, ([], [], [])
+                for held, value in zip(rows, (bytes(set_id), bytes(sig), tree), strict=True):
+                    held.append(value)
+            yield pd.DataFrame(out, columns=["unit", "set_id"])
+        yield pd.DataFrame([(unit, x) for x in chosen(*rows)], columns=["unit", "set_id"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, "_id long, _hash long, set_id binary, n_shingles long, deeper long, regions array<long>")
+    rows = runs.select("unit", "set_id", "tree").join(sets.select(F.col("set_id").alias("_s"), "sig"), F.col("set_id") == F.col("_s")).select("unit", "set_id", "tree", "sig")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "unit long, set_id binary")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step: int = 8192) -> list[tuple[int, int]]:
@@ -134,28 +294,9 @@ class Forest:
         return a != b
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: int = 20, depth: int = 4, block: int = 100, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: the id, _hash (xxhash64 of the text), n_shingles, component_id (smallest
-    id reachable by links, itself included) and kept (the row bears its component's name)."""
-    facts = saved(signed(docs, words, trees, depth, seed, id_col, text_col))
-    sets = facts.where(F.col("set_id").isNotNull()).groupBy("set_id", "deeper", "regions").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_hash")).alias("first"))
-    sets = saved(sets)
-    tall = sets.select("set_id", F.explode("regions").alias("region"))
-    # The first set of each region with another one; its neighbours hang on it.
-    hubs = tall.groupBy("region").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where(F.col("a") != F.col("z")).select(F.col("region").alias("r"), "a")
-    edges = tall.join(hubs, tall["region"] == hubs["r"]).select("a", F.col("set_id").alias("b"))
-    clusters = saved(components(edges))
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select(F.col("root").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    member = clusters.join(sizes, clusters["root"] == sizes["k"]).select("node", "root", "blocks")
-    member = member.join(sets.select("set_id", "deeper", "first"), F.col("node") == F.col("set_id"))
-    own = F.pmod(F.xxhash64("deeper", "set_id"), F.col("blocks")).cast("int")
-    member = member.select("root", "set_id", "blocks", own.alias("block"), F.col("first._id").alias("_i"), F.col("first._hash").alias("_h"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"), F.col(f"`{text_col}`").alias("_text"))
-    found = texts.join(member, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
-    # Each unordered pair of blocks is compared in one place; a block meets all others.
-    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    spread = found.withColumn("_p", F.explode(places)).select("root", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "block", "set_id", "_text")
-    spread = spread.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j")
+def confirmed(spread: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links a, b of full sets: a spanning forest for each unit of ``spread`` (unit, i, j, block,
+    set_id, _text), whose rows of block i meet those of block j."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(rows: list[tuple]) -> pd.DataFrame:
@@ -176,7 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
         rows: list[tuple] = []
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                row = (bytes(row[0]), *row[1:4], bytes(row[4]), row[5])
+                row = (*row[:4], bytes(row[4]), row[5])
                 if rows and rows[0][:3] != row[:3]:
                     yield pairs(rows)
                     rows = []
@@ -184,22 +325,81 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
         if rows:
             yield pairs(rows)
 
-    links = spread.mapInPandas(confirm, "a binary, b binary")
-    joined = components(links)
+    dealt = spread.select("unit", "i", "j", "block", "set_id", "_text").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return dealt.mapInPandas(confirm, "a binary, b binary")
+
+
+def _with_texts(members: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` (set_id and more) with the text of one document that has the set."""
+    first = sets.select(F.col("set_id").alias("_s"), F.col("first._id").alias("_i"), F.col("first._hash").alias("_h"))
+    named = members.join(first, F.col("set_id") == F.col("_s")).drop("_s")
+    return texts.join(named, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).drop("_i", "_h", "_id", "_hash")
+
+
+def _whole(rest: DataFrame, sets: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Units that compare all pairs of ``rest`` (region, set_id), cut into blocks of about
+    ``block`` sets each of which meets all others of the regions that hang together."""
+    hubs = rest.groupBy("region").agg(F.min("set_id").alias("a"))
+    clusters = components(rest.join(hubs, "region").select("a", F.col("set_id").alias("b")))
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    member = clusters.join(sizes, "root").select(F.xxhash64("root").alias("unit"), F.col("node").alias("set_id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return _with_texts(member, sets, texts).withColumn("_p", F.explode(places)).select("unit", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "block", "set_id", "_text")
+
+
+def _unsettled(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """region, set_id of cut regions that hold more than one component."""
+    root: Column = F.coalesce("root", "set_id")
+    named = crowded.join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", root.alias("root"))
+    split = named.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("region")
+    return crowded.join(split, "region").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6, run: int = 64, lap: int = 16, block: int = 100, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """For each row: the id, _hash (xxhash64 of the text), n_shingles, component_id (smallest
+    id reachable by links, itself included) and kept (the row bears its component's name)."""
+    spark = docs.sparkSession
+    pool = max(96, trees_for(percent, depths[0], miss) * depths[0])
+    facts = saved(signed(docs, words, pool, seed, id_col, text_col))
+    sets = facts.where(F.col("set_id").isNotNull()).groupBy("set_id", "sig").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_hash")).alias("first"))
+    sets, texts = saved(sets), _texts(docs, id_col, text_col)
+    share = percent / 100
+    floor = share - 5.5 * math.sqrt(share * (1 - share) / pool) - 1 / pool
+    links, roots, left = [], None, sets
+    for level, depth in enumerate(depths):
+        n_trees = trees_for(percent, depth, miss)
+        order = orders(n_trees, depth, pool, seed)
+        parts = max(1, min(shuffle_partitions(spark), left.count() * n_trees // 20_000))
+        cut = saved(runs_of(in_orders(left, order, depth), parts, run, lap, level))
+        units = saved(alike(cut, sets, order, depth, floor))
+        zero = F.lit(0)
+        links.append(saved(confirmed(_with_texts(units, sets, texts).withColumns({"i": zero, "j": zero, "block": zero}), words, percent)))
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        roots = saved(components(found))
+        rest = saved(_unsettled(cut.where(F.col("region").isNotNull()).select("region", "set_id"), roots))
+        if rest.isEmpty():
+            break
+        left = sets.join(rest.select(F.col("set_id").alias("_s")).distinct(), F.col("set_id") == F.col("_s"), "left_semi")
+    else:
+        whole = saved(confirmed(_whole(rest, sets, texts, block), words, percent))
+        roots = saved(components(found.unionByName(whole)))
     ids = sets.select(F.col("set_id"), F.col("first._id").alias("least"))
-    named = joined.join(ids, F.col("node") == F.col("set_id")).select("root", "node", "least")
+    named = roots.join(ids, F.col("node") == F.col("set_id")).select("root", "node", "least")
     names = named.groupBy("root").agg(F.min("least").alias("name")).select(F.col("root").alias("k"), "name")
     linked_sets = named.join(names, named["root"] == names["k"]).select(F.col("node").alias("_node"), "name")
     of_set = ids.join(linked_sets, F.col("set_id") == F.col("_node"), "left").select(F.col("set_id").alias("_s"), F.coalesce("name", "least").alias("_name"))
-    rows = facts.join(saved(of_set), F.col("set_id") == F.col("_s"), "left")
+    rows = facts.select("_id", "_hash", "set_id", "n_shingles").join(saved(of_set), F.col("set_id") == F.col("_s"), "left")
     component = F.coalesce("_name", "_id")
     return rows.select(F.col("_id").alias(id_col), "_hash", "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: the first row (by text hash) with the
-    smallest id.  Documents without words all stay."""
-    judged = near_duplicates(docs, **options)
-    kept = judged.where("kept").select(F.col("doc_id").alias("_d_id"), F.col("_hash").alias("_d_hash")).distinct()
-    rows = docs.withColumn("_d_own", F.xxhash64("text"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_d_id")) & (F.col("_d_own") == F.col("_d_hash")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.  Rows that
+    agree in id and text are one document repeated, and all stay; so do documents without words."""
+    judged = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = judged.where("kept").select(F.col(f"`{id_col}`").alias("_d_id"), F.col("_hash").alias("_d_hash")).distinct()
+    rows = docs.withColumn("_d_own", F.xxhash64(F.col(f"`{text_col}`")))
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_d_id")) & (F.col("_d_own") == F.col("_d_hash"))
+    return rows.join(kept, on, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
