@@ -1,6 +1,9 @@
 """Every registered query that has SQL, against DuckDB on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -41,13 +44,19 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).limit(5).count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["place", "id", "title"]
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """A copy without that subpackage, its tests and the pipeline still has all other queries."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in (("llm",), ("llm", "corpus_pipeline.py")):
+        copy = tmp_path / str(len(gone))
+        shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", *gone))
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'pipeline' not in q and set(o) <= set(q); print(len(q))"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+        assert done.stdout.strip() == str(len(QUERIES)), done.stderr

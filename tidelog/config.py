@@ -11,7 +11,7 @@ CHUNK_CHARS, CHUNK_STRIDE, CHUNK_MOST, CHUNK_LEAST = 220, 180, 10, 8
 LINK_COSINE, SEARCH_COSINE, CLUSTER_COSINE = 0.70, 0.50, 0.62
 RRF_LEXICAL, RRF_VECTOR = 20, 60
 FIELD_WEIGHTS = {"title": 3.0, "meta": 1.2, "text": 1.0}
-MENU_RUN, LINE_REPEAT, LINE_DOCS, LINE_MOST = 5, 4, 3, 90
+MENU_RUN, MENU_LINES, LINE_REPEAT, LINE_DOCS, LINE_MOST = 5, 20, 4, 3, 90
 KEPT_SHARE = 0.35
 ENTITY_DOCS = (2, 30)
 SHARED_MOST = 60  # larger same-page groups say nothing

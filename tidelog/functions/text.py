@@ -103,13 +103,16 @@ def window_around(c: Column, needles: Sequence[str], width: int) -> Column:
 def chunks(c: Column, chars: int = CHUNK_CHARS, stride: int = CHUNK_STRIDE, most: int | None = None, least: int = CHUNK_LEAST) -> Column:
     """Overlapping pieces of a text: array of (seq, chunk), at most ``most`` where that is given,
     none shorter than ``least``; a text that fits is one piece."""
-    t = squeeze(c)
-    n = F.greatest(F.lit(0), F.ceil((F.length(t) - chars) / stride)).cast("int") + 1
-    n = n if most is None else F.least(F.lit(most), n)
-    # One pass over the text: a match is a stride long and looks ahead for its whole piece.
-    found = F.slice(F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{1,{chars}}})).{{1,{stride}}}"), F.lit(1)), F.lit(1), n)
-    cut = F.transform(found, lambda x, i: F.struct(i.alias("seq"), x.alias("chunk")))
-    return F.filter(cut, lambda x: F.length(x["chunk"]) >= least)
+    piece = F.lit(rf"(?s)(?=(.{{1,{chars}}})).{{1,{stride}}}")
+
+    def cut(t: Column) -> Column:
+        n = F.greatest(F.lit(0), F.ceil((F.length(t) - chars) / stride)).cast("int") + 1
+        # One pass over the text: a match is a stride long and looks ahead for its whole piece.
+        found = F.slice(F.regexp_extract_all(t, piece, F.lit(1)), F.lit(1), n if most is None else F.least(F.lit(most), n))
+        return F.transform(found, lambda x, i: F.struct(i.alias("seq"), x.alias("chunk")))
+
+    # Bound as a variable, so that the text is squeezed once.
+    return F.filter(F.transform(F.array(squeeze(c)), cut)[0], lambda x: F.length(x["chunk"]) >= least)
 
 
 def chunk_hash(c: Column, model: str, chars: int = CHUNK_CHARS, stride: int = CHUNK_STRIDE) -> Column:
@@ -127,10 +130,13 @@ def line_key(c: Column) -> Column:
 
 
 def menuish(c: Column) -> Column:
-    """A short line that is no sentence: navigation rather than prose."""
+    """A short line that is no sentence and no longer phrase with a comma: navigation rather than
+    prose.  Lines with Han letters are short with up to eight of them, others under five words."""
     t = F.trim(text_of(c))
-    short = (F.size(F.split(t, r"\s+")) < 5) | (F.regexp_count(t, F.lit(HAN)).between(1, 8))
-    return (F.length(t) <= 44) & short & ~t.rlike(r"[.!?。！？;；]$")
+    han = F.regexp_count(t, F.lit(HAN))
+    short = F.when(han > 0, han <= 8).otherwise(F.size(F.split(t, r"\s+")) < 5)
+    phrase = t.rlike("[，,、]") & (F.length(t) > 18)
+    return (F.length(t) <= 44) & short & ~phrase & ~t.rlike(r"[.!?。！？;；]$")
 
 
 def copy_identity(kind: Column, payload: Column) -> Column:
@@ -154,16 +160,21 @@ def iban_ok(c: Column) -> Column:
 
 
 def id18_ok(c: Column) -> Column:
-    """An 18-character identity number: weights 2^(17-i) mod 11, check character 10 written X."""
+    """An 18-character identity number: a birth date from 1900 to 2100 at characters 7 to 14, and
+    a check character by weights 2^(17-i) mod 11, 10 written X."""
     t = F.upper(text_of(c))
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(16)), F.lit(0), lambda acc, i: acc + F.substring(t, i + 1, F.lit(1)).cast("int") * (F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), 17 - i).cast("int") % 11))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(16)), F.lit(0), lambda acc, i: acc + F.substring(t, i + 1, F.lit(1)).cast("int") * (F.pow(F.lit(2), 17 - i).cast("int") % 11))
     want = F.substring(F.lit("10X98765432"), total % 11 + 1, F.lit(1))
-    return F.when(t.rlike(r"^\d{17}[0-9X]$"), F.substring(t, 18, 1) == want).otherwise(False)
+    born = F.try_to_timestamp(F.substring(t, 7, 8), F.lit("yyyyMMdd"))
+    real = born.isNotNull() & F.substring(t, 7, 4).between("1900", "2100")
+    return F.when(t.rlike(r"^\d{17}[0-9X]$"), (F.substring(t, 18, 1) == want) & real).otherwise(False)
 
 
 def card_ok(c: Column) -> Column:
+    """13 to 19 digits (spaces and dashes aside) of an issuer's range, not one digit repeated, with
+    a right check digit."""
     digits = F.regexp_replace(text_of(c), "[ -]", "")
-    return digits.rlike(r"^[3-6]\d{12,18}$") & F.call_function("luhn_check", digits)
+    return digits.rlike(r"^(?!(\d)\1+$)[2-6]\d{12,18}$") & F.call_function("luhn_check", digits)
 
 
 def hamming(a: Column, b: Column) -> Column:

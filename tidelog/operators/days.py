@@ -37,10 +37,13 @@ def stats_lines(stats: DataFrame) -> DataFrame:
     return stats.select("date_key", F.concat_ws("\n", F.concat(F.lit("records: "), "total"), F.concat(F.lit("failed: "), "failed"), F.concat(F.lit("from "), "first_clock", F.lit(" to "), "last_clock")).alias("lines"))
 
 
-def recap(e: DataFrame) -> DataFrame:
-    """Per day and type the count and, in order of time, the titles."""
-    rows = e.groupBy("date_key", "type").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("created_at", "id", "title"))).alias("items"))
-    return rows.select("date_key", "type", "n", F.transform("items", lambda x: x["title"]).alias("titles"))
+def recap(e: DataFrame, most: int = 10_000) -> DataFrame:
+    """Per day and type the count and, in order of time, the titles, in parts of at most ``most``
+    of them, so that no row holds a whole busy day."""
+    w = Window.partitionBy("date_key", "type").orderBy("created_at", "id")
+    rows = e.select("date_key", "type", "created_at", "id", "title", ((F.row_number().over(w) - 1) / most).cast("int").alias("part"))
+    parts = rows.groupBy("date_key", "type", "part").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("created_at", "id", "title"))).alias("items"))
+    return parts.select("date_key", "type", "part", "n", F.transform("items", lambda x: x["title"]).alias("titles"))
 
 
 def uptime_slots(rows: DataFrame, at: str = "ts", minutes: int = 5) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,33 +31,35 @@ class Filter:
     from_where: str | None = None
     q: str | None = None
 
-    def column(self) -> Column:
-        parts: list[Column] = []
+    def parts(self) -> dict[str, Column]:
+        """The conditions by what releases them."""
+        out: dict[str, list[Column]] = {}
+        put = lambda name, c: out.setdefault(name, []).append(c)
         if self.day_from:
-            parts.append(F.col("date_key") >= self.day_from)
+            put("day", F.col("date_key") >= self.day_from)
         if self.day_to:
-            parts.append(F.col("date_key") <= self.day_to)
+            put("day", F.col("date_key") <= self.day_to)
         if self.sources is not None:
-            parts.append(F.col("src").isin(*self.sources))
+            put("source", F.col("src").isin(*self.sources))
         if self.not_sources:
-            parts.append(~F.col("src").isin(*self.not_sources))
+            put("source", ~F.col("src").isin(*self.not_sources))
         if self.pinned is not None:
-            parts.append(F.coalesce("pinned", F.lit(False)) == self.pinned)
+            put("pinned", F.coalesce("pinned", F.lit(False)) == self.pinned)
         if self.ids is not None:
-            parts.append(F.col("id").isin(*self.ids))
+            put("ids", F.col("id").isin(*self.ids))
         if self.bucket:
-            parts.append(F.col("bucket") == self.bucket)
+            put("bucket", F.col("bucket") == self.bucket)
         elif self.hidden:
-            parts.append(~F.col("bucket").isin(*self.hidden))
+            put("bucket", ~F.col("bucket").isin(*self.hidden))
         for name in ("sub", "fmt", "from_where"):
             if value := getattr(self, name):
-                parts.append(F.col(name) == value)
+                put(name, F.col(name) == value)
         if self.q:
-            parts.append(F.contains(F.lower(F.concat_ws("\n", *[text_of(F.col(c)) for c in SEARCHED])), F.lit(self.q.lower())))
-        out = F.lit(True)
-        for p in parts:
-            out = out & p
-        return out
+            put("q", F.contains(F.lower(F.concat_ws("\n", *[text_of(F.col(c)) for c in SEARCHED])), F.lit(self.q.lower())))
+        return {name: reduce(lambda a, b: a & b, columns) for name, columns in out.items()}
+
+    def column(self) -> Column:
+        return reduce(lambda a, b: a & b, self.parts().values(), F.lit(True))
 
 
 def matching(e: DataFrame, f: Filter) -> DataFrame:
@@ -69,23 +72,22 @@ def newest(e: DataFrame, n: int) -> DataFrame:
 
 def facets(e: DataFrame, f: Filter) -> DataFrame:
     """dimension, value, n: each dimension counted under all conditions but its own; choosing
-    a bucket also releases its second level and the hidden ones.  One scan: each row is
-    expanded to the dimensions whose released predicate it meets and summed before the shuffle."""
-    free_bucket = replace(f, bucket=None, sub=None, hidden=())
-    dims: list[tuple[str, Filter, Column]] = [
-        ("total", f, F.lit("")),
-        ("source", replace(f, sources=None, not_sources=None), F.col("src")),
-        ("type", f, F.col("type")),
-        ("origin", replace(f, from_where=None), F.col("from_where")),
-        ("day", replace(f, day_from=None, day_to=None), F.col("date_key")),
-        ("bucket", free_bucket, F.col("bucket")),
-        ("all", free_bucket, F.lit("")),
-        ("pinned", replace(f, pinned=True), F.lit("")),
-    ]
+    a bucket also releases its second level and the hidden ones.  One scan: every condition is
+    tested once, behind a generator of one row, then each row is expanded to the dimensions
+    whose conditions it meets and summed before the shuffle."""
+    parts = f.parts()
+    dims: list[tuple[str, tuple[str, ...], Column]] = [
+        ("total", (), F.lit("")), ("source", ("source",), F.col("src")), ("type", (), F.col("type")), ("origin", ("from_where",), F.col("from_where")),
+        ("day", ("day",), F.col("date_key")), ("bucket", ("bucket", "sub"), F.col("bucket")), ("all", ("bucket", "sub"), F.lit("")), ("pinned", ("pinned",), F.lit("")),
+    ]
     if f.bucket:
-        dims.append(("sub", replace(f, sub=None), F.col("sub")))
-    cells = F.array(*[F.when(g.column(), F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value"))) for name, g, value in dims])
-    return e.select(F.inline(F.array_compact(cells))).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+        dims.append(("sub", ("sub",), F.col("sub")))
+    tested = e.select(F.inline(F.array(F.struct(*[c.cast("string").alias(name) for name, _, c in dims], F.coalesce("pinned", F.lit(False)).alias("_pinned"), *[c.alias(f"_{name}_ok") for name, c in parts.items()]))))
+    cells = []
+    for name, free, _ in dims:
+        ok = reduce(lambda a, b: a & b, [F.col(f"_{p}_ok") for p in parts if p not in free], F.col("_pinned") if name == "pinned" else F.lit(True))
+        cells.append(F.when(ok, F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value"))))
+    return tested.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def facet_values(counts: DataFrame, dimension: str, most: int = 8) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import ENTITY_DOCS, SHARED_MOST
 from ..functions.text import text_of
+from ..session import saved
 
 # The formats of entities that aren't names.
 KINDS = {
@@ -90,29 +89,33 @@ def aliases(terms: DataFrame, long: int = 8, short: int = 4) -> DataFrame:
     return cut.join(terms.select(F.col("key").alias("part")), "part").select("whole", "part").distinct()
 
 
-def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
-    """(node, root): the least node of each connected component of (a, b).  Each round takes
-    the least root among neighbours and then the root's own root, so chains shorten by
-    half; rounds are written to the shared folder, which cuts lineage."""
-    spark = edges.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    both = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    roots = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).select(F.col("a").alias("node"), "root")
+def components(edges: DataFrame, each: int = 50_000) -> DataFrame:
+    """``edges`` (a, b) of any ordered type -> (node, root): the least node of each component, for
+    every node with an edge to another one.  Loops and nulls are ignored.
+
+    Large and small stars in turn; each half step is one aggregate and one join, so neither a
+    node with very many edges nor a large component is ever gathered in one task.  The number of
+    rounds grows with the logarithm of the longest path; each is written to the shared folder,
+    and dealt to as many tasks as give each about ``each`` edges, within what the session sets."""
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def star(rows: DataFrame, n: int, key: str, other: str) -> DataFrame:
+        """``rows`` with m: the least of ``key`` and all its ``other``."""
+        dealt = rows.repartition(n, key)  # for the aggregate and the join alike
+        least = dealt.groupBy(key).agg(F.min(other).alias("m")).select(F.col(key).alias("_k"), F.least(key, "m").alias("m"))
+        return dealt.join(least, dealt[key] == least["_k"]).drop("_k")
+
+    e = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     while True:
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        step = roots.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("c1"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        nxt = step.join(jump, "root").select("node", F.least("root", "up").alias("root"), (F.col("c1") | (F.col("up") < F.col("root"))).alias("changed"))
-        if base:
-            path = f"{base.rstrip('/')}/roots-{uuid.uuid4().hex}"
-            nxt.write.parquet(path)
-            nxt = spark.read.parquet(path)
-        else:
-            nxt = nxt.persist()  # no shared folder is set: tests and single machines
-        if not nxt.where("changed").limit(1).count():
-            return nxt.select("node", "root")
-        roots = nxt.select("node", "root")
+        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if before is not None and (now["n"], now["h"]) == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before, n = (now["n"], now["h"]), max(1, min(most, 8 + now["n"] // each))
+        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        large = saved(star(both, n, "x", "y").where((F.col("y") > F.col("x")) & (F.col("y") != F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        small = star(large, n, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
+        e = saved(small.select("p.*").where(F.col("u") != F.col("v")).distinct())
 
 
 def shared_pages(of: DataFrame, most: int = SHARED_MOST) -> DataFrame:
@@ -123,13 +126,16 @@ def shared_pages(of: DataFrame, most: int = SHARED_MOST) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, label) after synchronous weighted-majority rounds over (a, b, weight); ties go to
-    the least label, so a rerun agrees."""
+    """(node, label) after synchronous weighted-majority rounds over (a, b, weight).  A node votes
+    for its own label as its heaviest edge does, so two sides never swap labels for ever; ties
+    go to the least label, so a rerun agrees."""
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    own = both.groupBy("a").agg(F.max("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")
+    both = both.where("a <> b").unionByName(own)
+    labels = own.select(F.col("a").alias("node"), F.col("a").alias("label"))
     for k in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n"), "label").agg(F.sum("weight").alias("w"))
         labels = votes.groupBy("n").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best")).select(F.col("n").alias("node"), F.col("best.label").alias("label"))
-        if k % 4 == 3 and edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            labels = labels.checkpoint()
+        if k % 4 == 3:
+            labels = saved(labels)
     return labels

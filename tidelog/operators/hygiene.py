@@ -13,20 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import KEPT_SHARE, LINE_DOCS, LINE_MOST, LINE_REPEAT, MENU_RUN
+from ..config import KEPT_SHARE, LINE_DOCS, LINE_MOST, LINE_REPEAT, MENU_LINES, MENU_RUN
 from ..functions.text import card_ok, iban_ok, id18_ok, line_key, menuish, text_of
 
 
 def furniture(e: DataFrame, id_col: str = "id", least: int = LINE_DOCS, most_chars: int = LINE_MOST) -> DataFrame:
-    """line, df: short lines that stand in ``least`` records or more, once counted in each."""
+    """line, df: short lines that stand in ``least`` records or more, once counted in each; digits
+    and punctuation alone are none."""
     keys = F.array_distinct(F.transform(F.split(text_of(F.col("text")), "\n"), line_key))
-    rows = e.select(F.explode(keys).alias("line")).where((F.length("line") >= 2) & (F.length("line") <= most_chars) & F.col("line").rlike(r"\p{L}"))
+    rows = e.select(F.explode(keys).alias("line")).where((F.length("line") >= 2) & (F.length("line") <= most_chars) & ~F.col("line").rlike(r"^[\d\p{P}\s]+$"))
     return rows.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
 
 
 def doc_lines(e: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, line_no, line, key: one row a line, for work on lines at scale."""
-    rows = e.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_of(F.col("text")), "\n")).alias("line_no", "line"))
+    """id, n_lines, line_no, line, key: one row a line, for work on lines at scale."""
+    cut = e.select(F.col(id_col).alias("id"), F.split(text_of(F.col("text")), "\n").alias("_lines"))
+    rows = cut.select("id", F.size("_lines").alias("n_lines"), F.posexplode("_lines").alias("line_no", "line"))
     return rows.withColumn("key", line_key(F.col("line")))
 
 
@@ -50,50 +52,90 @@ def without_menus(lines: DataFrame, run: int = MENU_RUN) -> DataFrame:
     return cut.withColumn("menu", ~F.col("_stop") & (n >= run)).drop("_like", "_stop", "_run")
 
 
-def stripped(e: DataFrame, id_col: str = "id", run: int = MENU_RUN, kept: float = KEPT_SHARE) -> DataFrame:
-    """id, view, text: the text without menus and repeats (full), without repeats only (soft),
-    or as it is (raw): the first that keeps ``kept`` of the characters.  Ids must be unique."""
-    lines = without_menus(without_repeats(doc_lines(e, id_col)), run)
-    joined = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda x: x["line"]), "\n")
-    at = F.struct("line_no", "line")
-    views = lines.groupBy("id").agg(joined(F.collect_list(at)).alias("_soft"), joined(F.collect_list(F.when(~F.col("menu"), at))).alias("_full"))
-    raw = e.select(F.col(id_col).alias("id"), text_of(F.col("text")).alias("_raw")).join(views, "id", "left")
-    enough = lambda v: F.length(F.trim(v)) >= kept * F.length(F.trim("_raw"))
+def stripped(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str = "id", run: int = MENU_RUN, kept: float = KEPT_SHARE, repeat: int = LINE_REPEAT, most_chars: int = LINE_MOST, least_lines: int = MENU_LINES) -> DataFrame:
+    """id, view, text: the text less furniture (the lines of ``furniture_lines``), lines that stand
+    ``repeat`` times in it and later copies, without menus (full) or with them (soft), or as it
+    is (raw): the first that keeps ``kept`` of the characters.  Lines above ``most_chars`` are no
+    repeats, and records under ``least_lines`` lines have no menus.  Ids must be unique; blank
+    lines go from the views, and texts are trimmed."""
+    lines = without_menus(doc_lines(e, id_col), run).where("key <> ''")
+    if furniture_lines is not None:
+        lines = lines.join(furniture_lines.select(F.col("line").alias("key")).distinct(), "key", "left_anti")
+    menu = F.col("menu") & (F.col("n_lines") >= least_lines)
+    # One row for each different line: how often it stands there, and where first, with and
+    # without menus; a line that is repeated very often is summed before the shuffle.
+    each = lines.groupBy("id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "line")).alias("_first"), F.min(F.when(~menu, F.struct("line_no", "line"))).alias("_free"),
+    ).where((F.col("n") < repeat) | (F.length("key") > most_chars))
+    joined = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda x: F.trim(x["line"])), "\n")
+    views = each.groupBy("id").agg(joined(F.collect_list("_first")).alias("_soft"), joined(F.collect_list("_free")).alias("_full"))
+    raw = e.select(F.col(id_col).alias("id"), F.regexp_replace(text_of(F.col("text")), r"^\s+|\s+$", "").alias("_raw")).join(views, "id", "left")
+    enough = lambda v: F.length(text_of(F.col(v))) >= kept * F.length("_raw")
     view = F.when(enough("_full"), "full").when(enough("_soft"), "soft").otherwise("raw")
-    return raw.select("id", view.alias("view"), F.when(view == "full", F.col("_full")).when(view == "soft", F.col("_soft")).otherwise(F.col("_raw")).alias("text"))
+    return raw.select("id", view.alias("view"), F.when(view == "full", text_of(F.col("_full"))).when(view == "soft", text_of(F.col("_soft"))).otherwise(F.col("_raw")).alias("text"))
 
 
 @dataclass(frozen=True)
 class Secret:
-    """``pattern`` holds what is masked in group ``group``; ``valid`` is a check of the match."""
+    """``pattern`` finds what is masked, behind ``lead``, which stays; ``valid`` is a check of it,
+    and with ``free`` it may not be a piece of an address or a path (a "/" before it in its word)."""
 
     kind: str
     pattern: str
-    group: int = 0
+    lead: str = ""
     strict: bool = False
     valid: str | None = None
-
-
-# The formats of keys and numbers, in the order in which they apply.
-SECRETS = (
-    Secret("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
-    Secret("key", r"(?<![A-Za-z0-9])(?:sk|pk|rk)[-_][A-Za-z0-9_-]{20,}"),
-    Secret("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    Secret("key", r"(?<![A-Za-z0-9])gh[a-z]_[A-Za-z0-9]{30,}"),
-    Secret("key", r"(?<![A-Za-z0-9])(?:glpat|xox[a-z])-[A-Za-z0-9_-]{10,}"),
-    Secret("key", r"(?<![A-Za-z0-9])(?:hf|npm)_[A-Za-z0-9]{30,}"),
-    Secret("key", r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}"),
-    Secret("key", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Secret("key", r"(Bearer\s+)([A-Za-z0-9._~+/=-]{16,})", 2),
-    Secret("secret", r"([a-z][a-z0-9+.-]{1,20}://[^\s:@/]{1,64}:)([^\s:@/]{1,120})(?=@)", 2),
-    Secret("secret", r"(?i)((?:[a-z0-9]+[_-])*(?:password|passwd|passphrase|api[ _-]?key|secret|token)(?:[_-][a-z0-9]+)*\s*[:=]\s*[\"']?)([^\s\"']{6,})", 2),
-    Secret("code", r"(?i)((?:verification code|security code|one[ -]?time code|otp)[^\n\d]{0,12})(\d{4,8})(?!\d)", 2),
-    Secret("card", r"(?<![\d./])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d.])|(?<![\d./])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d.])", valid="card"),
-    Secret("id", r"(?<![0-9A-Za-z/])\d{17}[\dXx](?![0-9A-Za-z])", valid="id18"),
-    Secret("iban", r"(?<![A-Za-z0-9/])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", valid="iban"),
-    Secret("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", strict=True),
-    Secret("phone", r"(?<![\d+])(?:\+\d{1,3}[ -]?(?:\d[ -]?){7,13}\d|\(\d{3}\) ?\d{3}-\d{4}|0\d{4}[ -]?\d{6}|1[3-9]\d{9})(?!\d)", strict=True),
-)
+    free: bool = False
+
+    @property
+    def regex(self) -> str:
+        return f"({self.lead}){self.pattern}" if self.lead else FREE + self.pattern if self.free else self.pattern
+
+
+FREE = r"(?=[0-9A-Z])(?<!/\S{0,200})"
+# What stands in place of each kind.
+MASKS = {"pem": "[private key]", "key": "[api key]", "secret": "[secret]", "code": "[code]", "card": "[card number]", "id": "[id number]", "iban": "[iban]", "email": "[email]", "phone": "[phone]"}
+# Published key formats, as (prefix, characters, least number of them).
+KEY_FORMATS = (
+    ("sk-", "[A-Za-z0-9_-]", 20), ("[srp]k_(?:live|test)_", "[A-Za-z0-9]", 16), ("AKIA", "[0-9A-Z]", 16), ("gh[oprsu]_", "[A-Za-z0-9]", 30), ("glpat-", "[A-Za-z0-9_-]", 16),
+    ("xox[abprs]-", "[A-Za-z0-9-]", 10), ("AIza", "[0-9A-Za-z_-]", 35), ("hf_", "[A-Za-z0-9]", 30), ("npm_", "[A-Za-z0-9]", 30),
+)
+TOKEN_PART = "[A-Za-z0-9_-]{8,}"  # of a signed web token, three of them joined by dots
+# The words by which a secret names itself.
+SECRET_NAMES = ("password", "passwd", "passphrase", "secret", "token", "api key", "密码", "口令", "授权码")
+CODE_NAMES = ("verification code", "security code", "one time code", "otp", "验证码", "校验码", "动态码")
+
+
+def _spelled(names: Sequence[str]) -> str:
+    return "|".join(n.replace(" ", r"[\s_-]?") for n in names)
+
+
+def _secrets() -> tuple[Secret, ...]:
+    """The rules in the order in which they apply; a later one leaves masks alone."""
+    fence = lambda end: rf"-----{end} (?:[A-Z]+ )?PRIVATE KEY-----"
+    formats = "|".join(rf"{prefix}{chars}{{{least},}}" for prefix, chars, least in KEY_FORMATS)
+    # A name may go on (aws_secret_access_key); "key" by itself names nothing, some_key does.
+    name = rf"(?:(?:{_spelled(SECRET_NAMES)})(?:[_-][a-z0-9]+)*|[a-z0-9][_-]key)"
+    new = r"(?!\[[a-z ]+\])"
+    return (
+        Secret("pem", rf"{fence('BEGIN')}[\s\S]*?{fence('END')}"),
+        Secret("key", rf"(?<![A-Za-z0-9_])(?:{formats}|eyJ{TOKEN_PART}\.{TOKEN_PART}\.{TOKEN_PART})"),
+        Secret("key", rf"{new}[\w.~+/=-]{{16,}}", lead=r"\bBearer\s+"),
+        Secret("secret", rf"{new}[^\s:@/]+(?=@)", lead=r"\b[a-z][a-z0-9+.-]*://[^\s:@/]+:"),
+        Secret("secret", rf"{new}[^\s&#\"']{{6,}}", lead=rf"(?i)[?&;/][^\s?&;/=]{{0,60}}?{name}="),
+        Secret("secret", rf"{new}[^\s\"']{{6,}}", lead=rf"(?i){name}\s*[:：=]\s*[\"']?"),
+        Secret("code", r"\d{4,8}(?!\d)", lead=rf"(?i)(?:{_spelled(CODE_NAMES)})[^\n\d]{{0,12}}"),
+        Secret("card", r"(?<![\d.])\d{4}([ -])\d{6}\1\d{5}(?![\d.])", valid="card", free=True),
+        Secret("card", r"(?<![\d.])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?![\d.])", valid="card", free=True),
+        Secret("card", r"(?<![\d.])\d{13,19}(?![\d.])", valid="card", free=True),
+        Secret("id", r"(?<![0-9A-Za-z])\d{17}[\dXx](?![0-9A-Za-z])", valid="id18", free=True),
+        Secret("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", valid="iban", free=True),
+        Secret("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", strict=True),
+        Secret("phone", r"(?<![\d+])(?:\+\d{1,3}(?:[ -]?\d){8,14}|\(\d{3}\) ?\d{3}-\d{4}|07\d{3}[ -]?\d{6}|1[3-9]\d{9})(?!\d)", strict=True),
+    )
+
+
+SECRETS = _secrets()
 VALID = {"card": card_ok, "iban": iban_ok, "id18": id18_ok}
 LEVELS = ("off", "secrets", "all")
 
@@ -104,26 +146,26 @@ def _rules(level: str) -> list[Secret]:
     return [] if level == "off" else [s for s in SECRETS if level == "all" or not s.strict]
 
 
-def _mask_each(t: Column, hits: Column, kind: str) -> Column:
-    return F.aggregate(F.array_distinct(hits), t, lambda a, x: F.replace(a, x, F.lit(f"[{kind}]")))
-
-
 def _found(t: Column, s: Secret) -> Column:
-    hits = F.regexp_extract_all(t, F.lit(s.pattern), F.lit(0))
+    hits = F.regexp_extract_all(t, F.lit(s.regex), F.lit(0))
     return F.filter(hits, VALID[s.valid]) if s.valid else hits
 
 
+def _mask(t: Column, hits: Column, s: Secret) -> Column:
+    """All places of the rule, or those whose match is among the valid ones.  A valid match is
+    sought again under the rule's own conditions, so equal digits inside an address stay."""
+    if not s.valid:
+        return F.regexp_replace(t, s.regex, ("$1" if s.lead else "") + MASKS[s.kind])
+    around = (FREE + r"(?<![\d.A-Za-z])\Q", r"\E(?!\.?[\dA-Za-z])")
+    return F.aggregate(F.array_distinct(hits), t, lambda a, x: F.regexp_replace(a, F.concat(F.lit(around[0]), x, F.lit(around[1])), F.lit(MASKS[s.kind])))
+
+
 def masked(text: Column, level: str = "secrets") -> Column:
-    """The text with each secret as [kind]; rules apply in order, so what one has masked no
+    """The text with each secret masked; rules apply in order, so what one has masked no
     later one sees.  Checked numbers are masked one by one, as only valid ones go."""
     out = text_of(text)
     for s in _rules(level):
-        if s.valid:
-            out = _mask_each(out, _found(out, s), s.kind)
-        elif s.group:
-            out = F.regexp_replace(out, s.pattern, f"$1[{s.kind}]")
-        else:
-            out = F.regexp_replace(out, s.pattern, f"[{s.kind}]")
+        out = _mask(out, _found(out, s), s)
     return out
 
 
@@ -134,8 +176,7 @@ def redact(e: DataFrame, level: str = "secrets", text: str = "text") -> DataFram
     for s in _rules(level):
         rest = [F.col(f"`{c}`") for c in out.columns if c != "_hits"]
         found = out.select(F.inline(F.array(F.struct(*rest, "_hits", _found(F.col("masked"), s).alias("_found")))))
-        mask = _mask_each(F.col("masked"), F.col("_found"), s.kind) if s.valid else F.regexp_replace("masked", s.pattern, f"$1[{s.kind}]" if s.group else f"[{s.kind}]")
-        out = found.withColumns({"_hits": F.concat("_hits", F.array_repeat(F.lit(s.kind), F.size("_found"))), "masked": F.when(F.size("_found") > 0, mask).otherwise(F.col("masked"))}).drop("_found")
+        out = found.withColumns({"_hits": F.concat("_hits", F.array_repeat(F.lit(s.kind), F.size("_found"))), "masked": F.when(F.size("_found") > 0, _mask(F.col("masked"), F.col("_found"), s)).otherwise(F.col("masked"))}).drop("_found")
     counts = F.aggregate("_hits", F.create_map().cast("map<string,int>"), lambda m, h: F.map_concat(F.map_filter(m, lambda k, v: k != h), F.create_map(h, F.coalesce(m[h], F.lit(0)) + 1)))
     return out.withColumn("hits", counts).drop("_hits")
 

@@ -46,60 +46,37 @@ def changes(rows: DataFrame, key: str, at: str, watched: str, tie: str, heartbea
     return rows.withColumn("_kept", kept).where("_kept").drop("_kept")
 
 
-def fold(rows: list[tuple], heartbeat_us: int, glance_us: int, as_of_us: int | None = None) -> list[list]:
-    """The sessions (app, title, start, end, n) of one key's rows (key, run, app, title, us), in order.
-    A session lasts a heartbeat beyond its last row, but not into the next one or past ``as_of_us``."""
-    merged: list[list] = []
-    for _, _, app, title, us in rows:
-        last = merged[-1] if merged else None
-        if last and last[0] == app and last[1] == title and us - last[3] <= heartbeat_us:
-            last[3], last[4] = us, last[4] + 1
-        else:
-            merged.append([app, title, us, us, 1])
-    for k, s in enumerate(merged):
-        bounds = [s[3] + heartbeat_us, *([merged[k + 1][2]] if k + 1 < len(merged) else []), *([as_of_us] if as_of_us is not None else [])]
-        s[3] = max(s[3], min(bounds))
-    folded: list[list] = []
-    for s in merged:
-        last = folded[-1] if folded else None
-        near = last is not None and s[2] - last[3] <= heartbeat_us
-        if near and (s[0] == last[0] and s[1] == last[1] or s[0] != last[0] and s[3] - s[2] < glance_us):
-            last[3], last[4] = max(last[3], s[3]), last[4] + s[4]
-        else:
-            folded.append(s)
-    return folded
-
-
 def focus_sessions(rows: DataFrame, key: str, at: str, app: str, title: str, tie: str, heartbeat_s: int = 300, glance_s: int = GLANCE_S, as_of_us: int | None = None) -> DataFrame:
-    """Sessions of one app and title: equal neighbours within the heartbeat merge, a glance at
-    another app under ``glance_s`` folds into the session before it, and so do returns.
-    Folding looks at what it has folded so far, hence one sorted pass per key.  Keys are
-    first cut at gaps over the heartbeat, where nothing can fold, so a group is one stretch of
-    activity, never a key's whole history."""
-    narrow = rows.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(app).alias("app"), F.col(title).alias("title"), F.col(tie).alias("tie"))
-    cut = islands(narrow, "key", "at", "tie", 2 * heartbeat_s).select("key", "run", "app", "title", _us("at").alias("us"), "tie")
-
-    def sessions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        def done() -> list[tuple]:
-            found = fold(held, heartbeat_s * 1_000_000, glance_s * 1_000_000, as_of_us)
-            return [(held[0][0], *s) for s in found]
-
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                if held and held[0][:2] != row[:2]:
-                    out += done()
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(out, columns=["key", "app", "title", "start_us", "end_us", "n"])
-        if held:
-            yield pd.DataFrame(done(), columns=["key", "app", "title", "start_us", "end_us", "n"])
-
-    kinds = dict(narrow.dtypes)
-    dealt = cut.repartition("key", "run").sortWithinPartitions("key", "run", "us", "tie").drop("tie")
-    return dealt.mapInPandas(sessions, f"key {kinds['key']}, app {kinds['app']}, title {kinds['title']}, start_us long, end_us long, n long")
+    """key, app, title, start_us, end_us, n: sessions of one app and title.
+
+    Rows of one app and title with no gap over the heartbeat are a block; it ends a heartbeat
+    after its last row, but not in the next block and not after ``as_of_us``.  Blocks without a
+    pause over the heartbeat are a stretch.  In it a glance (a block of another app than the one
+    in use, under ``glance_s``) belongs to the session around it.  The app in use is that of the
+    last block which is no glance-length one, or of the stretch's first; so whether a block is a
+    glance, and whether one that isn't differs from the one before it, are windows over blocks."""
+    hb = heartbeat_s * 1_000_000
+    w = Window.partitionBy("key").orderBy("us", "tie")
+    r = rows.select(F.col(key).alias("key"), _us(at).alias("us"), F.col(app).alias("app"), F.col(title).alias("title"), F.col(tie).alias("tie"))
+    same = F.lag("app").over(w).eqNullSafe(F.col("app")) & F.lag("title").over(w).eqNullSafe(F.col("title")) & (F.col("us") - F.lag("us").over(w) <= hb)
+    block = F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    b = r.withColumn("block", block).groupBy("key", "block").agg(F.first("app").alias("app"), F.first("title").alias("title"), F.min("us").alias("start"), F.max("us").alias("seen"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("key").orderBy("block")
+    limits = [F.col("seen") + hb, F.lead("start").over(w), *([F.lit(as_of_us)] if as_of_us is not None else [])]
+    b = b.withColumn("end", F.greatest("seen", F.least(*limits)))
+    pause = F.coalesce(F.col("start") - F.lag("end").over(w) > hb, F.lit(True))
+    b = b.withColumns({"first": pause, "stretch": F.sum(pause.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    w = Window.partitionBy("key", "stretch").orderBy("block")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    long_ = F.col("first") | (F.col("end") - F.col("start") >= glance_s * 1_000_000)
+    in_use = F.last(F.when(long_, F.struct("app")), ignorenulls=True).over(before)
+    b = b.withColumn("kept", long_ | in_use["app"].eqNullSafe(F.col("app")))
+    named = F.last(F.when(F.col("kept"), F.struct("app", "title")), ignorenulls=True).over(before)
+    new = F.col("kept") & (F.col("first") | ~named.eqNullSafe(F.struct("app", "title")))
+    b = b.withColumn("session", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min_by(F.struct("app", "title"), "block")
+    out = b.groupBy("key", "stretch", "session").agg(first.alias("_f"), F.min("start").alias("start_us"), F.max("end").alias("end_us"), F.sum("n").alias("n"))
+    return out.select("key", F.col("_f.app").alias("app"), F.col("_f.title").alias("title"), "start_us", "end_us", "n")
 
 
 def within(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, bin_s: int = 3600) -> DataFrame:
@@ -133,13 +110,16 @@ def overlap_speakers(chunks: DataFrame, segments: DataFrame, key: str, chunk: st
     return best.select(key, chunk, F.col("b.speaker").alias("speaker"), (-F.col("b.minus")).alias("secs"))
 
 
-def merge_turns(rows: DataFrame, key: str, order: str, who: str, text: str) -> DataFrame:
-    """Neighbouring rows of one speaker become one turn, their texts joined in order."""
+def merge_turns(rows: DataFrame, key: str, order: str, who: str, text: str, most: int = 10_000) -> DataFrame:
+    """Neighbouring rows of one speaker become one turn, their texts joined in order.  A turn of
+    more than ``most`` rows comes in parts of at most so many, so no row holds more of them."""
     w = Window.partitionBy(key).orderBy(order)
     new = (~F.col(who).eqNullSafe(F.lag(who).over(w)) | F.lag(order).over(w).isNull()).cast("int")
     t = rows.withColumn("_new", new).withColumn("merged", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = t.groupBy(key, "merged", who).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(order, text))).alias("_t"))
-    return out.select(key, "merged", who, "n", F.array_join(F.transform("_t", lambda x: F.coalesce(x[text], F.lit(""))), "\n").alias("text"))
+    part = ((F.row_number().over(Window.partitionBy(key, "merged").orderBy(order)) - 1) / most).cast("int")
+    t = t.withColumn("part", part)
+    out = t.groupBy(key, "merged", "part", who).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(order, text))).alias("_t"))
+    return out.select(key, "merged", "part", who, "n", F.array_join(F.transform("_t", lambda x: F.coalesce(x[text], F.lit(""))), "\n").alias("text"))
 
 
 def speaker_shares(rows: DataFrame, key: str) -> DataFrame:

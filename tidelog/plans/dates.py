@@ -1,13 +1,20 @@
-"""Day ranges named in a question, in English and Chinese, relative to a given day."""
+"""Day ranges named in a question, in English and Chinese, relative to a given day.
+
+A scanner cuts the question into the words of a small lexicon (units, pointers such as "last",
+day names, numbers); neighbouring words then spell a range, and one calendar turns it
+into days.  What says most wins: dates, then named days, calendar weeks and months,
+counted units, and vague words last.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, timedelta
+from typing import NamedTuple
 
 DIGITS = {c: k for k, c in enumerate("零一二三四五六七八九")} | {"两": 2}
+UNIT_DAYS = {"day": 1, "week": 7, "month": 30}
 
 
 @dataclass(frozen=True)
@@ -35,79 +42,130 @@ def chinese_number(s: str) -> int | None:
     return 10 * (DIGITS[tens] if tens else 1) + (DIGITS[ones] if ones else 0)
 
 
-def _month(day: date, back: int = 0) -> tuple[date, date]:
-    first = day.replace(day=1)
-    for _ in range(back):
-        first = (first - timedelta(days=1)).replace(day=1)
-    following = (first + timedelta(days=31)).replace(day=1)
-    return first, following - timedelta(days=1)
-
+class Word(NamedTuple):
+    """A word of the lexicon in the question: its kind, value, and place."""
+
+    kind: str
+    value: object
+    start: int
+    end: int
+
+
+#: kind -> value -> spellings.  "turn" points at a calendar unit, "span" may stand before a count.
+LEXICON: dict[str, dict[object, str]] = {
+    "unit": {"day": "day days 天", "week": "week weeks 周 星期 礼拜", "month": "month months 月 个月"},
+    "named": {0: "today 今天 今日", -1: "yesterday 昨天 昨日", -2: "前天"},
+    "turn": {0: "this 本 这 这个", -1: "last 上 上个"},
+    "span": {"": "past recent 近 过去"},
+    "vague": {7: "recently lately 最近"},
+    "ago": {"": "前"},
+    "few": {"": "几"},
+    "year": {"": "年"},
+    "date": {"": "日 号"},
+    "before": {"": "before"},
+}
+SPELLED = {spelling: (kind, value) for kind, values in LEXICON.items() for value, spellings in values.items() for spelling in spellings.split()}
+COUNTING = {"last", "past", "recent", "最近", "近", "过去", "这"}
+SCAN = re.compile(
+    "(?P<number>[0-9]{1,4}|[零一两二三四五六七八九十]{1,3})|(?P<word>[A-Za-z]+|" + "|".join(sorted((w for w in SPELLED if not w.isascii()), key=len, reverse=True)) + ")"
+)
 
-def _last(n: int, today: date) -> tuple[date, date]:
-    return today - timedelta(days=n - 1), today
 
+def scan(question: str) -> list[Word]:
+    """The lexicon's words in order; each other Latin word is a word of kind "other"."""
+    out: list[Word] = []
+    for m in SCAN.finditer(question):
+        if m["number"]:
+            out.append(Word("number", chinese_number(m[0]), m.start(), m.end()))
+        else:
+            kind, value = SPELLED.get(m[0].lower(), ("other", m[0]))
+            out.append(Word(kind, value, m.start(), m.end()))
+    return out
 
-def _named_day(m: re.Match, today: date) -> tuple[date, date] | None:
-    try:
-        d = date(int(m[1] or today.year), int(m[2]), int(m[3]))
-    except ValueError:
-        return None
-    return d, d
 
+class Calendar:
+    """Days around a given one."""
 
-def _count(m: re.Match, today: date) -> tuple[date, date] | None:
-    n = chinese_number(m["n"])
-    unit = {"d": 1, "w": 7, "m": 30}["m" if re.search("month|月", m["unit"]) else "w" if re.search("week|周|星期|礼拜", m["unit"]) else "d"]
-    return _last(n * unit, today) if n else None
+    def __init__(self, today: date):
+        self.today = today
 
+    def day(self, away: int) -> tuple[date, date]:
+        d = self.today + timedelta(away)
+        return d, d
 
-def _monday(today: date, weeks: int = 0) -> date:
-    return today - timedelta(days=today.weekday() + 7 * weeks)
+    def back(self, days: int) -> tuple[date, date]:
+        return self.today - timedelta(days - 1), self.today
 
+    def unit(self, unit: str, turn: int) -> tuple[date, date]:
+        """This week or month so far, or the whole one before; weeks start on Monday."""
+        first = self.today - timedelta(self.today.weekday()) if unit == "week" else self.today.replace(day=1)
+        if turn == 0:
+            return first, self.today
+        end = first - timedelta(1)
+        return (end - timedelta(6) if unit == "week" else end.replace(day=1)), end
 
-#: In order: a longer expression stands before one that it contains.
-RULES: tuple[tuple[str, Callable[[re.Match, date], tuple[date, date] | None]], ...] = (
-    (r"(?:(\d{4})\s*年)?\s*(\d{1,2})\s*月\s*(\d{1,2})\s*[日号]", _named_day),
-    (r"前天|\bday before yesterday\b", lambda m, t: (t - timedelta(2), t - timedelta(2))),
-    (r"昨[天日]|\byesterday\b", lambda m, t: (t - timedelta(1), t - timedelta(1))),
-    (r"今[天日]|\btoday\b", lambda m, t: (t, t)),
-    (r"上个?(?:周|星期|礼拜)|\blast week\b", lambda m, t: (_monday(t, 1), _monday(t, 1) + timedelta(6))),
-    (r"(?:本|这个?)(?:周|星期|礼拜)|\bthis week\b", lambda m, t: (_monday(t), t)),
-    (r"上个?月|\blast month\b", lambda m, t: _month(t, 1)),
-    (r"(?:本|这个?)月|\bthis month\b", lambda m, t: (t.replace(day=1), t)),
-    (r"(?:最近|近|过去|这)\s*(?P<n>\d+|[零一两二三四五六七八九十]{1,3})\s*(?P<unit>天|周|星期|礼拜|个?月)", _count),
-    (r"\b(?:last|past|recent)\s+(?P<n>\d{1,3})\s+(?P<unit>day|week|month)s?\b", _count),
-    (r"最近|[这前]几天|\brecently\b|\blately\b", lambda m, t: _last(7, t)),
-)
+    def date(self, year: int | None, month: int, day: int) -> tuple[date, date] | None:
+        try:
+            d = date(year or self.today.year, month, day)
+        except ValueError:
+            return None
+        return d, d
+
+
+def spelled(words: list[Word], question: str, calendar: Calendar) -> tuple[int, int, tuple[date, date]] | None:
+    """(weight, words used, range) of what the words from the first on spell, if anything."""
+    near = 1
+    while near < len(words) and not question[words[near - 1].end : words[near].start].strip():
+        near += 1
+    kinds, values = [w.kind for w in words[:near]], [w.value for w in words[:near]]
+    text = question[words[0].start : words[0].end].lower()
+
+    def stands(*wanted: str) -> bool:
+        return kinds[: len(wanted)] == list(wanted)
+
+    for year in (2, 0):
+        if (year == 0 or stands("number", "year")) and kinds[year : year + 4] == ["number", "unit", "number", "date"] and question[words[year + 1].start : words[year + 1].end] == "月" and None not in (values[year], values[year + 2]):
+            found = calendar.date(values[0] if year else None, values[year], values[year + 2])
+            return (0, year + 4, found) if found else None
+    if stands("unit", "before", "named") and values[0] == "day" and values[2] == -1:
+        return 1, 3, calendar.day(-2)
+    if stands("named"):
+        return 2, 1, calendar.day(values[0])
+    if stands("turn", "unit") and values[1] != "day":
+        return 3, 2, calendar.unit(values[1], values[0])
+    if text in COUNTING and kinds[1:3] == ["number", "unit"] and values[1]:
+        return 4, 3, calendar.back(values[1] * UNIT_DAYS[values[2]])
+    if (stands("turn", "few", "unit") or stands("ago", "few", "unit")) and values[2] == "day" and text in ("这", "前"):
+        return 5, 3, calendar.back(7)
+    return (5, 1, calendar.back(values[0])) if stands("vague") else None
 
 
 def parse_range(question: str, today: date) -> DayRange | None:
     """Inclusive; ISO dates come first, several of them span a range.  Weeks start on Monday."""
     iso: list[date] = []
-    words = re.findall(r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)", question)
-    for w in words:
+    given = re.findall(r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)", question)
+    for w in given:
         try:
             iso.append(date.fromisoformat(w))
         except ValueError:
             continue
     if iso:
-        return DayRange(min(iso), max(iso), tuple(dict.fromkeys(words)))
-    for pattern, rule in RULES:
-        if m := re.search(pattern, question, re.IGNORECASE):
-            if found := rule(m, today):
-                return DayRange(*found, (m[0],))
-    return None
+        return DayRange(min(iso), max(iso), tuple(dict.fromkeys(given)))
+    words, best = scan(question), None
+    for k in range(len(words)):
+        if (found := spelled(words[k:], question, Calendar(today))) and (best is None or found[0] < best[0]):
+            best = (found[0], DayRange(*found[2], (question[words[k].start : words[k + found[1] - 1].end],)))
+    return best[1] if best else None
 
 
 def range_word(word: str, today: date) -> tuple[date, date] | None:
     """The words of a filter bar: today, yest, w7, a day, or nothing."""
+    calendar = Calendar(today)
     if not word:
         return None
-    if word == "today":
-        return today, today
-    if word == "yest":
-        return today - timedelta(1), today - timedelta(1)
+    if word in ("today", "yest"):
+        return calendar.day(0 if word == "today" else -1)
     if m := re.fullmatch(r"w(\d+)", word):
-        return _last(int(m[1]), today)
+        return calendar.back(int(m[1]))
     d = date.fromisoformat(word)
     return d, d

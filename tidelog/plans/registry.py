@@ -6,15 +6,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CHUNK_MOST
 from ..functions import classify, text, urls
 from ..operators import days, entries, filters, graph, hygiene, media, search, sessions, vectors
-from ..session import table
+from ..session import saved_dir, table
 from . import retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,7 @@ WITH e0 AS (SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_seconds((doc_id * 7
   ['clipboard', 'bookmark', 'browser', 'notion', 'gmail', '', ''][doc_id % 7 + 1] AS origin, source AS app,
   CASE WHEN doc_id % 5 = 3 THEN concat('https://www.', coalesce(source, 'none'), '.co.uk/p/', doc_id) END AS url,
   CASE WHEN doc_id % 5 = 4 THEN concat('files/', doc_id, '.pdf') END AS path, CASE WHEN doc_id % 5 = 2 THEN 'audio/wav' END AS mime,
-  doc_id % 11 = 0 AS pinned, CASE WHEN doc_id % 97 = 0 THEN 'error' END AS status FROM documents),
+  doc_id % 11 = 0 AS pinned, CASE WHEN doc_id % 97 = 0 THEN 'error' END AS status, lang AS tags FROM documents),
 e1 AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS date_key,
   CASE WHEN origin IN ('clipboard', 'bookmark', 'browser', 'notion', 'gmail') THEN origin WHEN type = 'screenshot' THEN 'screenshot' WHEN type = 'audio' THEN 'voice' ELSE 'other' END AS src,
   lower(regexp_extract(coalesce(path, title), '[^.]\.([A-Za-z0-9]+)$', 1)) AS suffix,
@@ -58,7 +58,8 @@ e2 AS (SELECT *, CASE WHEN mime IS NOT NULL THEN 'audio' WHEN suffix IN ('png','
 e AS (SELECT *, CASE WHEN bucket = 'file' THEN upper(coalesce(nullif(regexp_extract(coalesce(path, ''), '\.([A-Za-z0-9]{1,8})$', 1), ''), fmt)) WHEN bucket = 'saved' THEN fmt ELSE from_where END AS sub FROM e2)
 """
 EVENTS = r"""WITH ev AS (SELECT user_id AS key, ts AS t, event_id AS tie, event_type AS app, json_extract_string(props, '$.k') AS win, value FROM events)"""
-TOK = r"regexp_extract_all(lower(concat_ws(chr(10), title, coalesce(text, ''))), '[\p{L}\p{N}]+')"
+TOK = r"regexp_extract_all(lower(concat_ws(chr(10), title, coalesce(text, ''), tags, app, url, path)), '[\p{L}\p{N}]+')"
+IX = E + ", ix AS (SELECT * FROM e WHERE status IS DISTINCT FROM 'error')"
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +127,8 @@ def day_top_titles(spark: SparkSession, d: str) -> DataFrame:
     return days.top_titles(_entries(spark, d))
 
 
-@query(E + "SELECT date_key, type, count(*) AS n, md5(string_agg(title, '|' ORDER BY created_at, id)) AS titles FROM e GROUP BY ALL")
+@query(E + """, r AS (SELECT *, ((row_number() OVER (PARTITION BY date_key, type ORDER BY created_at, id) - 1) // 10000)::INT AS part FROM e)
+SELECT date_key, type, part, count(*) AS n, md5(string_agg(title, '|' ORDER BY created_at, id)) AS titles FROM r GROUP BY ALL""")
 def day_recap(spark: SparkSession, d: str) -> DataFrame:
     return days.recap(_entries(spark, d)).withColumn("titles", F.md5(F.array_join("titles", "|")))
 
@@ -168,22 +170,22 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length(text.squeeze(t)).alias("squeezed"), text.letters(t).alias("letters"), text.has_words(t).alias("has_words"), text.enough_text(t).alias("enough"))
 
 
-@query(r"""WITH t AS (SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
-c AS (SELECT id, t, unnest(generate_series(0, least(9, greatest(0, ceil((length(t) - 220) / 180)::INT)))) AS seq FROM t)
-SELECT id, seq::INT AS seq, substring(t, seq * 180 + 1, 220) AS chunk FROM c WHERE length(substring(t, seq * 180 + 1, 220)) >= 8""")
-def text_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The reference's report: at most 10 pieces of a text, as its SQL has it."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.inline(text.chunks(F.col("text"), most=CHUNK_MOST)))
+_CHUNKS = r"""WITH t AS (SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 220) / 180)::INT))) AS seq FROM t)
+SELECT id, seq::INT AS seq, substring(t, seq * 180 + 1, 220) AS chunk FROM c WHERE length(substring(t, seq * 180 + 1, 220)) >= 8"""
 
 
-@query(r"""WITH t AS (SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
-c AS (SELECT id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 220) / 180)::INT))) AS seq FROM t)
-SELECT id, seq::INT AS seq, substring(t, seq * 180 + 1, 220) AS chunk FROM c WHERE length(substring(t, seq * 180 + 1, 220)) >= 8""")
-def text_chunks_all(spark: SparkSession, d: str) -> DataFrame:
+@query(_CHUNKS)
+def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of whole texts."""
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.inline(text.chunks(F.col("text"))))
 
 
+@query(_CHUNKS)
+def text_chunks_all(spark: SparkSession, d: str) -> DataFrame:
+    return text_chunks(spark, d)
+
+
 @query(r"""SELECT doc_id AS id, substring(sha1(concat_ws('|', 'mini', '220/180', trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))), 1, 16) AS hash,
  concat('txt:', md5(trim(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g')))) AS copy_id FROM documents""")
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +246,16 @@ def change_detect(spark: SparkSession, d: str) -> DataFrame:
     return sessions.changes(_events(spark, d), "key", "at", "app", "tie").select("key", "tie", "app")
 
 
-@query()
+@query(EVENTS + """, r AS (SELECT key, app, win, epoch_us(t) AS us, tie, CASE WHEN lag(app) OVER w IS NOT DISTINCT FROM app AND lag(win) OVER w IS NOT DISTINCT FROM win AND epoch_us(t) - epoch_us(lag(t) OVER w) <= 300000000 THEN 0 ELSE 1 END AS new
+  FROM ev WINDOW w AS (PARTITION BY key ORDER BY t, tie)),
+b AS (SELECT key, block, any_value(app) AS app, any_value(win) AS win, min(us) AS start, max(us) AS seen, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY us, tie ROWS UNBOUNDED PRECEDING) AS block FROM r) GROUP BY key, block),
+c AS (SELECT *, greatest(seen, least(seen + 300000000, lead(start) OVER (PARTITION BY key ORDER BY block))) AS stop FROM b),
+d AS (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY key ORDER BY block) <= 300000000 THEN false ELSE true END AS head FROM c),
+x AS (SELECT *, sum(head::INT) OVER (PARTITION BY key ORDER BY block ROWS UNBOUNDED PRECEDING) AS stretch, head OR stop - start >= 60000000 AS long FROM d),
+y AS (SELECT *, last_value(CASE WHEN long THEN app END IGNORE NULLS) OVER (PARTITION BY key, stretch ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM x),
+z AS (SELECT *, last_value(CASE WHEN long OR used = app THEN concat(app, chr(1), win) END IGNORE NULLS) OVER (PARTITION BY key, stretch ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS named FROM y),
+s AS (SELECT *, sum(CASE WHEN head OR ((long OR used = app) AND named IS DISTINCT FROM concat(app, chr(1), win)) THEN 1 ELSE 0 END) OVER (PARTITION BY key, stretch ORDER BY block ROWS UNBOUNDED PRECEDING) AS session FROM z)
+SELECT key, arg_min(app, block) AS app, arg_min(win, block) AS title, min(start) AS start_us, max(stop) AS end_us, sum(n)::BIGINT AS n FROM s GROUP BY key, stretch, session""")
 def focus_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.focus_sessions(_events(spark, d), "key", "at", "app", "win", "tie")
 
@@ -266,7 +277,8 @@ def page_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role IS DISTINCT FROM lag(role) OVER w OR lag(turn) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 m AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS merged FROM c)
-SELECT conv_id, merged, role, count(*) AS n, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM m GROUP BY conv_id, merged, role""")
+SELECT conv_id, merged, part, role, count(*) AS n, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text
+FROM (SELECT *, ((row_number() OVER (PARTITION BY conv_id, merged ORDER BY turn) - 1) // 10000)::INT AS part FROM m) GROUP BY conv_id, merged, part, role""")
 def turn_merge(spark: SparkSession, d: str) -> DataFrame:
     return sessions.merge_turns(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
@@ -308,40 +320,64 @@ def speech_segments(spark: SparkSession, d: str) -> DataFrame:
 # --- search -------------------------------------------------------------------------------
 
 
-@query(E + f"SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct({TOK})) AS term FROM e) GROUP BY term")
+_BUILT: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> retrieval.Index:
+    """The folder's index: built and saved once an application, read by every search."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = retrieval.Index(_entries(spark, d)).save(f"{saved_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _BUILT[key]
+
+
+@query(IX + f"SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct({TOK})) AS term FROM ix) GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return search.term_df(search.postings(_entries(spark, d)))
+    return search.term_df(_index(spark, d).post)
 
 
-@query(E + f"SELECT id FROM e WHERE list_has_all({TOK}, ['license', 'the', 'apache'])")
+@query(IX + f"SELECT id FROM ix WHERE list_has_all({TOK}, ['license', 'the', 'apache'])")
 def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    return search.all_terms(search.postings(_entries(spark, d)), TERMS)
+    return search.all_terms(_index(spark, d).post, TERMS)
 
 
-@query(E + f"""SELECT id, (length(j) - length(replace(j, '|apache|license|', ''))) // length('|apache|license|') AS places FROM (SELECT id, concat('|', array_to_string({TOK}, '||'), '|') AS k, replace(concat('|', array_to_string({TOK}, '|'), '|'), '|apache|license|', '|apache|license||') AS j0, concat('|', array_to_string({TOK}, '|'), '|') AS j FROM e) WHERE contains(j, '|apache|license|')""")
+@query(IX + f"""SELECT id, (length(j) - length(replace(j, '|apache|license|', ''))) // length('|apache|license|') AS places FROM (SELECT id, concat('|', array_to_string({TOK}, '|'), '|') AS j FROM ix) WHERE contains(j, '|apache|license|')""")
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.phrase(search.postings(_entries(spark, d)), ("apache", "license"))
+    return search.phrase(_index(spark, d).post, ("apache", "license"))
 
 
-@query(E + f""", p AS (SELECT id, created_at, unnest(list_filter(list_distinct({TOK}), lambda x: x IN ('license', 'apache', 'mit'))) AS term FROM e), f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+@query(IX + f""", p AS (SELECT id, created_at, unnest(list_filter(list_distinct({TOK}), lambda x: x IN ('license', 'apache', 'mit'))) AS term FROM ix), f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 SELECT id, count(*) AS n_terms, min(df) AS rarest, array_to_string(list_sort(list(term)), ',') AS terms FROM p JOIN f USING (term) GROUP BY id, created_at ORDER BY n_terms DESC, rarest, created_at DESC, id DESC LIMIT 500""")
 def search_rare_cohits(spark: SparkSession, d: str) -> DataFrame:
-    e = _entries(spark, d)
-    return search.rare_cohits(search.postings(e), e, RARE, 500).select("id", "n_terms", "rarest", F.array_join("terms", ",").alias("terms"))
+    index = _index(spark, d)
+    return search.rare_cohits(index.post, index.lengths, RARE, 500).select("id", "n_terms", "rarest", F.array_join("terms", ",").alias("terms"))
 
 
-@query(E + f", t AS (SELECT id, list_distinct({TOK}) AS ts FROM e) SELECT id FROM t WHERE list_contains(ts, 'license') AND len(list_filter(ts, lambda x: starts_with(x, 'apac'))) > 0")
+@query(IX + f", t AS (SELECT id, list_distinct({TOK}) AS ts FROM ix) SELECT id FROM t WHERE list_contains(ts, 'license') AND len(list_filter(ts, lambda x: starts_with(x, 'apac'))) > 0")
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
-    post = search.postings(_entries(spark, d))
-    return search.by_prefix(post, search.term_df(post), ["license"], ["apac"])
+    return search.by_prefix(_index(spark, d).post, ["license"], ["apac"])
 
 
-@query(E + f""", t AS (SELECT id, {TOK} AS ts FROM e), n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM t),
+@query(IX + f""", t AS (SELECT id, {TOK} AS ts FROM ix), n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM t),
 p AS (SELECT id, len(ts) AS l, w, len(list_filter(ts, lambda x: x = w)) AS tf FROM t, (SELECT unnest(['license', 'the', 'apache']) AS w)), f AS (SELECT w, count(*) AS df FROM p WHERE tf > 0 GROUP BY w)
 SELECT id, round(round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6), 4) AS score, count(*) AS matched FROM p JOIN f USING (w), n WHERE tf > 0 GROUP BY id""")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    e = _entries(spark, d)
-    return search.bm25(search.postings(e), search.document_lengths(e), TERMS).withColumn("score", F.round("score", 4))
+    index = _index(spark, d)
+    return search.bm25(index.post, index.lengths, TERMS).withColumn("score", F.round("score", 4))
+
+
+_TIERS = f""", t AS (SELECT id, created_at, {TOK} AS ts, concat('|', array_to_string({TOK}, '|'), '|') AS j FROM ix)"""
+
+
+@query(IX + _TIERS + """, n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM t),
+hit AS (SELECT id FROM t WHERE contains(j, '|apache|license|') AND list_contains(ts, 'version')),
+p AS (SELECT t.id, len(ts) AS l, w, len(list_filter(ts, lambda x: x = w)) AS tf, t.id IN (SELECT id FROM hit) AS ok FROM t, (SELECT unnest(['apache', 'license', 'version']) AS w)),
+f AS (SELECT w, count(*) AS df FROM p WHERE tf > 0 AND ok GROUP BY w),
+s AS (SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM p JOIN f USING (w), n WHERE tf > 0 AND ok GROUP BY id)
+SELECT id, 1 AS tier, (row_number() OVER (ORDER BY score DESC, id DESC) - 1)::INT AS rank FROM s ORDER BY score DESC, id DESC LIMIT 96""")
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The tiers of the search; "apache-license" is written as one word, so its parts must adjoin."""
+    return _index(spark, d).search("apache-license version")
 
 
 _OCC = "(length({h}) - length(replace({h}, '{t}', ''))) // {n}"
@@ -356,16 +392,15 @@ SELECT id, round(round(sum(h * idf) * (0.35 + 0.65 * count(*) FILTER (h > 0) / 3
 FROM r JOIN i USING (w) GROUP BY id HAVING count(*) FILTER (h > 0) > 0"""
 
 
-@query(_recall_sql("substring(coalesce(text, ''), 1, 20000)"))
+@query(_recall_sql("coalesce(text, '')"))
 def recall_scored(spark: SparkSession, d: str) -> DataFrame:
-    """The reference's report: the first 20,000 characters of a text, as its SQL has it."""
-    return search.recall_scores(_entries(spark, d), TERMS, "2024-03-01", chars=20_000).select("id", F.round("score", 4).alias("score"), "matched")
+    """Scores over whole texts."""
+    return search.recall_scores(_entries(spark, d), TERMS, "2024-03-01").select("id", F.round("score", 4).alias("score"), "matched")
 
 
 @query(_recall_sql("coalesce(text, '')"))
 def recall_scored_all(spark: SparkSession, d: str) -> DataFrame:
-    """Scores over whole texts."""
-    return search.recall_scores(_entries(spark, d), TERMS, "2024-03-01").select("id", F.round("score", 4).alias("score"), "matched")
+    return recall_scored(spark, d)
 
 
 _SCAN = "(SELECT id, lower(title) AS ti, lower(concat_ws(chr(10), title, coalesce(text, ''))) AS bo FROM e)"
@@ -393,7 +428,7 @@ def search_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LEGS = """legs AS (SELECT 'lexical' AS leg, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank, doc_id AS id FROM documents QUALIFY rank < 96
-UNION ALL SELECT 'vector', row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, doc_id FROM documents WHERE doc_id % 2 = 0 QUALIFY rank < 96)"""
+UNION ALL SELECT 'vector', row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, doc_id FROM documents QUALIFY rank < 96)"""
 
 
 _LEGS_ALL = """legs AS (SELECT 'lexical' AS leg, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank, doc_id AS id FROM documents QUALIFY rank < 96
@@ -402,7 +437,7 @@ UNION ALL SELECT 'vector', row_number() OVER (ORDER BY n_chars DESC, doc_id DESC
 
 def _legs(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return search.ranked(t, "lexical", F.col("n_chars").desc(), F.col("id")).unionByName(search.ranked(t.where("id % 2 = 0"), "vector", F.col("n_chars"), F.col("id")))
+    return search.ranked(t, "lexical", F.col("n_chars").desc(), F.col("id")).unionByName(search.ranked(t, "vector", F.col("n_chars"), F.col("id")))
 
 
 def _legs_all(spark: SparkSession, d: str) -> DataFrame:
@@ -470,7 +505,7 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
 _LINES = r"(SELECT doc_id, unnest(list_distinct(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))))) AS line FROM documents)"
 
 
-@query(rf"SELECT line, count(*) AS df FROM {_LINES} WHERE length(line) BETWEEN 2 AND 90 AND regexp_matches(line, '\p{{L}}') GROUP BY line HAVING count(*) >= 3")
+@query(rf"SELECT line, count(*) AS df FROM {_LINES} WHERE length(line) BETWEEN 2 AND 90 AND NOT regexp_matches(line, '^[\d\p{{P}}\s]+$') GROUP BY line HAVING count(*) >= 3")
 def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
     return hygiene.furniture(table(spark, d, "documents"))
 
@@ -482,17 +517,20 @@ def in_doc_dupes(spark: SparkSession, d: str) -> DataFrame:
     return hygiene.without_repeats(hygiene.doc_lines(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))).select("id", "line_no", "key")
 
 
-@query(r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS no FROM documents),
-k AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key FROM l), r AS (SELECT *, count(*) OVER (PARTITION BY id, key) AS n, min(no) OVER (PARTITION BY id, key) AS f FROM k),
-s AS (SELECT *, trim(line) = '' AS blank, length(trim(line)) <= 44 AND len(regexp_split_to_array(trim(line), '\s+')) < 5 AND NOT regexp_matches(trim(line), '[.!?;]$') AS m FROM r WHERE key = '' OR (n < 4 AND no = f)),
-c AS (SELECT *, sum((NOT blank AND NOT m)::INT) OVER (PARTITION BY id ORDER BY no ROWS UNBOUNDED PRECEDING) AS run FROM s), g AS (SELECT *, (blank OR m) AND sum((NOT blank AND m)::INT) OVER (PARTITION BY id, run) >= 5 AS menu FROM c),
-v AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY no), '') AS soft, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT menu), '') AS whole FROM g GROUP BY id),
-w AS (SELECT doc_id AS id, coalesce(text, '') AS raw, coalesce(soft, '') AS soft, coalesce(whole, '') AS whole FROM documents LEFT JOIN v ON v.id = doc_id),
-x AS (SELECT *, CASE WHEN length(trim(whole)) >= 0.35 * length(trim(raw)) THEN 'full' WHEN length(trim(soft)) >= 0.35 * length(trim(raw)) THEN 'soft' ELSE 'raw' END AS view FROM w)
+@query(rf"""WITH fur AS (SELECT line AS key FROM {_LINES} WHERE length(line) BETWEEN 2 AND 90 AND NOT regexp_matches(line, '^[\d\p{{P}}\s]+$') GROUP BY line HAVING count(*) >= 3),
+l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS no, len(string_split(coalesce(text, ''), chr(10))) AS n_lines FROM documents),
+k AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key, trim(line) AS t FROM l),
+s AS (SELECT *, t = '' AS blank, length(t) <= 44 AND len(regexp_split_to_array(t, '\s+')) < 5 AND NOT regexp_matches(t, '[.!?;]$') AND NOT (regexp_matches(t, '[，,、]') AND length(t) > 18) AS m FROM k),
+c AS (SELECT *, sum((NOT blank AND NOT m)::INT) OVER (PARTITION BY id ORDER BY no ROWS UNBOUNDED PRECEDING) AS run FROM s),
+g AS (SELECT *, n_lines >= 20 AND (blank OR m) AND sum((NOT blank AND m)::INT) OVER (PARTITION BY id, run) >= 5 AS menu FROM c),
+r AS (SELECT id, key, count(*) AS n, min(no) AS at, arg_min(line, no) AS line, min(no) FILTER (NOT menu) AS free_at, arg_min(line, no) FILTER (NOT menu) AS free FROM g WHERE key <> '' AND key NOT IN (SELECT key FROM fur) GROUP BY id, key HAVING count(*) < 4 OR length(key) > 90),
+v AS (SELECT id, string_agg(trim(line), chr(10) ORDER BY at) AS soft, string_agg(trim(free), chr(10) ORDER BY free_at) FILTER (free_at IS NOT NULL) AS whole FROM r GROUP BY id),
+w AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS raw, coalesce(soft, '') AS soft, coalesce(whole, '') AS whole FROM documents LEFT JOIN v ON v.id = doc_id),
+x AS (SELECT *, CASE WHEN length(whole) >= 0.35 * length(raw) THEN 'full' WHEN length(soft) >= 0.35 * length(raw) THEN 'soft' ELSE 'raw' END AS view FROM w)
 SELECT id, view, sha256(CASE view WHEN 'full' THEN whole WHEN 'soft' THEN soft ELSE raw END) AS sha256 FROM x""")
 def stripped_views(spark: SparkSession, d: str) -> DataFrame:
-    rows = hygiene.stripped(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return rows.select("id", "view", F.sha2("text", 256).alias("sha256"))
+    e = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return hygiene.stripped(e, hygiene.furniture(e)).select("id", "view", F.sha2("text", 256).alias("sha256"))
 
 
 @query("SELECT md5(coalesce(text, '')) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -506,11 +544,11 @@ def redact_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.explode("hits").alias("kind", "n"))
 
 
-@query(r"""WITH c AS (SELECT doc_id AS id, (4000000000000000 + doc_id * 104729) AS num FROM documents), g AS (SELECT id, num, unnest(generate_series(0, 15)) AS k FROM c),
+@query(r"""WITH c AS (SELECT doc_id AS id, (CASE WHEN doc_id % 2 = 0 THEN 4000000000000000 ELSE 2221000000000000 END + doc_id * 104729) AS num FROM documents), g AS (SELECT id, num, unnest(generate_series(0, 15)) AS k FROM c),
 x AS (SELECT id, k, (num // power(10, k)::HUGEINT % 10)::INT AS dg FROM g), y AS (SELECT id, sum(CASE WHEN k % 2 = 1 THEN CASE WHEN dg * 2 > 9 THEN dg * 2 - 9 ELSE dg * 2 END ELSE dg END) AS s FROM x GROUP BY id)
 SELECT id, s % 10 = 0 AS ok FROM y""")
 def luhn_cards(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.card_ok((F.lit(4000000000000000) + F.col("doc_id") * 104729).cast("string")).alias("ok"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.card_ok((F.when(F.col("doc_id") % 2 == 0, 4000000000000000).otherwise(2221000000000000) + F.col("doc_id") * 104729).cast("string")).alias("ok"))
 
 
 @query(r"""WITH w AS (SELECT doc_id AS id, concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> ''), ' '), ' ') AS t FROM documents),
@@ -548,22 +586,26 @@ def entity_aliases(spark: SparkSession, d: str) -> DataFrame:
     return graph.aliases(graph.entity_df(_entity_rows(spark, d)))
 
 
-@query("""WITH RECURSIVE x AS (SELECT ps AS a, pc AS b FROM (SELECT DISTINCT l_suppkey AS ps, 1000000 + l_orderkey AS pc FROM lineitem WHERE l_orderkey % 400 = 0)), b AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
-r(node, root) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.root = b.a) SELECT node, min(root) AS root FROM r GROUP BY node""")
-def page_components(spark: SparkSession, d: str) -> DataFrame:
-    """A slice of the orders, which its recursive SQL can follow; page_components_all has the whole table."""
-    x = table(spark, d, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_suppkey").cast("long").alias("a"), (F.col("l_orderkey") + 1000000).cast("long").alias("b")).distinct()
-    return graph.components(x)
+_HOPS = 12  # least roots travel so many edges in the SQL; more than the longest shortest path between suppliers
+_COMPONENTS = """WITH x AS MATERIALIZED (SELECT DISTINCT l_suppkey::BIGINT * 2 AS a, l_orderkey::BIGINT * 2 + 1 AS b FROM lineitem), b AS MATERIALIZED (SELECT a, b FROM x UNION ALL SELECT b, a FROM x),
+r0 AS MATERIALIZED (SELECT a AS node, least(a, min(b)) AS root FROM b GROUP BY a), """ + ", ".join(
+    f"r{k} AS MATERIALIZED (SELECT b.a AS node, least(any_value(o.root), min(n.root)) AS root FROM b JOIN r{k - 1} n ON n.node = b.b JOIN r{k - 1} o ON o.node = b.a GROUP BY b.a)" for k in range(1, _HOPS + 1)
+) + f" SELECT node, root FROM r{_HOPS}"
 
 
-@query()
-def page_components_all(spark: SparkSession, d: str) -> DataFrame:
+@query(_COMPONENTS)
+def page_components(spark: SparkSession, d: str) -> DataFrame:
     """Components over all of lineitem.  Suppliers are even nodes (twice their key) and orders odd
     ones, so keys of any size never meet."""
     x = table(spark, d, "lineitem").select((F.col("l_suppkey").cast("long") * 2).alias("a"), (F.col("l_orderkey").cast("long") * 2 + 1).alias("b")).distinct()
     return graph.components(x)
 
 
+@query(_COMPONENTS)
+def page_components_all(spark: SparkSession, d: str) -> DataFrame:
+    return page_components(spark, d)
+
+
 # --- pages, chats, leagues ----------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,56 +17,86 @@ from .dates import parse_range
 
 
 class Index:
-    """Postings over entries.  ``save`` and ``load`` keep them as a derived table that can be
-    dropped and rebuilt at any time."""
+    """Postings over entries, with a table of the indexed records.  ``save`` and ``load`` keep both
+    as derived tables that can be dropped and rebuilt at any time."""
 
-    def __init__(self, e: DataFrame, post: DataFrame | None = None):
+    def __init__(self, e: DataFrame, post: DataFrame | None = None, lengths: DataFrame | None = None):
         self.e = e
         self.post = search.postings(e) if post is None else post
+        self.lengths = search.document_lengths(e) if lengths is None else lengths
         self._total: int | None = None
 
     def save(self, path: str, buckets: int | None = None) -> Index:
         post = self.post.repartition(buckets, "term") if buckets else self.post.repartition("term")
-        post.sortWithinPartitions("term").write.mode("overwrite").parquet(path)  # row groups hold few terms each, so look-ups skip most
+        post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")  # row groups hold few terms each, so look-ups skip most
+        self.lengths.write.mode("overwrite").parquet(f"{path}/records")
         return Index.load(self.e, path)
 
     @staticmethod
     def load(e: DataFrame, path: str) -> Index:
-        return Index(e, e.sparkSession.read.parquet(path))
+        read = e.sparkSession.read.parquet
+        return Index(e, read(f"{path}/postings"), read(f"{path}/records"))
+
+    def refreshed(self, e: DataFrame, changed: DataFrame) -> Index:
+        """The index of ``e``, of which only the records with the ids of ``changed`` are new, changed
+        or gone: their postings are replaced and no other record is read."""
+        ids = changed.select("id").distinct()
+        now = e.join(ids, "id", "left_semi")
+        post = self.post.join(ids, "id", "left_anti").unionByName(search.postings(now))
+        lengths = search.document_lengths(now)
+        return Index(e, post, self.lengths.join(ids, "id", "left_anti").unionByName(lengths.select(*self.lengths.columns)))
 
     @property
     def total(self) -> int:
         if self._total is None:
-            self._total = self.e.count()
+            self._total = self.lengths.count()
         return self._total
 
     def df(self, terms: Sequence[str]) -> dict[str, int]:
         """Document frequencies of a query's own terms."""
         return {r["term"]: r["df"] for r in search.term_df(search.matched(self.post, terms)).collect()}
 
+    def phrases(self, phrases: Sequence[Sequence[str]]) -> DataFrame:
+        """Ids that hold each phrase, its terms side by side."""
+        single = [p[0] for p in phrases if len(p) == 1]
+        found = [search.all_terms(self.post, single)] if single else []
+        found += [search.phrase(self.post, p).select("id") for p in phrases if len(p) > 1]
+        return reduce(lambda a, b: a.join(b, "id", "left_semi"), found)
+
+    def scored(self, ids: DataFrame, terms: Sequence[str], tier: int, n: int) -> DataFrame:
+        hits = search.matched(self.post, terms).join(ids, "id", "left_semi")
+        hit = search.bm25(hits, self.lengths, terms)
+        return search.ranked(hit, "all", F.col("score").desc(), F.col("id").desc(), n=n).select("id", F.lit(tier).alias("tier"), "rank")
+
     def search(self, q: str, n: int = KEEP * 4) -> DataFrame:
-        """id, tier, rank.  All terms; for a sentence that only leads, and rare co-hits fill the
-        rest; rare co-hits alone; prefixes.  The first tier that finds anything answers, and
-        nothing found is an empty answer."""
+        """id, tier, rank.  Tier 1: all phrases, their terms side by side; 2: all terms of keywords,
+        wherever they stand; 3: rare terms together, which also fill up the answer to a sentence;
+        4: prefixes.  The first tier that finds anything answers, and nothing found is an
+        empty answer."""
+        phrases = search.query_phrases(q)
+        if not phrases:
+            newest = (F.col("created_at").desc(), F.col("id").desc())
+            return search.ranked(self.lengths, "newest", *newest, n=n).select("id", F.lit(0).alias("tier"), "rank")
         terms = search.query_terms(q)
-        if not terms:
-            newest = self.e.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
-            return search.ranked(newest.select("id", "created_at"), "newest", F.col("created_at").desc(), F.col("id").desc(), n=n).select("id", F.lit(0).alias("tier"), "rank")
-        df = self.df(terms)
-        use, rare = search.plan_terms(df, self.total, terms)
+        df = self.df(list(dict.fromkeys([*terms, *(t for p in phrases for t in p)])))
+        least = {p: min(df.get(t, 0) for t in p) for p in phrases}  # a phrase is no more frequent than its rarest term
+        use = [p for p in phrases if least[p] <= search.COMMON_SHARE * self.total] or phrases
+        rare = list(dict.fromkeys(min(p, key=lambda t: (df.get(t, 0), t)) for p in phrases if 0 < least[p] <= search.RARE_SHARE * self.total))
+        loose = list(dict.fromkeys(t for p in use for t in p if len(t) > 1))
         tiers: list[DataFrame] = []
-        if all(df.get(t) for t in use):
-            ids = search.all_terms(self.post, use)
-            lengths = search.document_lengths(self.e.join(ids, "id", "left_semi"))
-            hit = search.bm25(self.post.join(ids, "id", "left_semi"), lengths, use)
-            first = search.ranked(hit, "all", F.col("score").desc(), F.col("id").desc(), n=n).select("id", F.lit(1).alias("tier"), "rank")
-            if not search.sentence(use):
-                if not first.isEmpty():
-                    return first
-            else:
+        is_sentence = search.sentence(phrases)
+        if all(least[p] for p in use):
+            first = self.scored(self.phrases(use), [t for p in use for t in p], 1, n)
+            if is_sentence:
                 tiers.append(first)
+            elif not first.isEmpty():
+                return first
+        if not is_sentence and loose and len(loose) != len(use) and all(df.get(t) for t in loose):
+            second = self.scored(search.all_terms(self.post, loose), loose, 2, n)
+            if not second.isEmpty():
+                return second
         if len(rare) >= 2:
-            co = search.rare_cohits(self.post, self.e, rare, n)
+            co = search.rare_cohits(self.post, self.lengths, rare, n)
             order = (F.col("n_terms").desc(), F.col("rarest"), F.col("created_at").desc(), F.col("id").desc())
             tiers.append(search.ranked(co, "rare", *order, n=n).select("id", F.lit(3).alias("tier"), "rank"))
         if tiers:
@@ -73,12 +104,11 @@ class Index:
             best = out.groupBy("id").agg(F.min(F.struct("tier", "rank")).alias("b")).select("id", "b.tier", "b.rank")
             if not best.isEmpty():
                 return best
-        known = [t for t in use if df.get(t)]
-        unknown = [t for t in use if not df.get(t)]
+        known, unknown = [t for t in loose if df.get(t)], [t for t in loose if not df.get(t)]
         if not unknown:
-            return self.e.select("id", F.lit(4).alias("tier"), F.lit(0).alias("rank")).where(F.lit(False))
-        ids = search.by_prefix(self.post, search.term_df(self.post), known, unknown)
-        return search.ranked(ids.join(self.e.select("id", "created_at"), "id"), "prefix", F.col("created_at").desc(), F.col("id").desc(), n=n).select("id", F.lit(4).alias("tier"), "rank")
+            return self.lengths.select("id", F.lit(4).alias("tier"), F.lit(0).alias("rank")).where(F.lit(False))
+        ids = search.by_prefix(self.post, known, unknown)
+        return search.ranked(ids.join(self.lengths, "id"), "prefix", F.col("created_at").desc(), F.col("id").desc(), n=n).select("id", F.lit(4).alias("tier"), "rank")
 
     def select(self, q: str, today: date, keep: int = KEEP) -> DataFrame:
         """A question's range is read off it first; the rest is searched inside the range, and
@@ -87,7 +117,7 @@ class Index:
         if not found:
             return self.search(q, keep)
         inside = self.e.where(F.col("date_key").between(found.first.isoformat(), found.last.isoformat()))
-        part = Index(inside, self.post.join(inside.select("id"), "id", "left_semi"))
+        part = Index(inside, self.post.join(inside.select("id"), "id", "left_semi"), self.lengths.join(inside.select("id"), "id", "left_semi"))
         hits = part.search(found.rest(q), keep)
         return hits if not hits.isEmpty() else part.search("", keep)
 
@@ -109,12 +139,7 @@ def search_entries(e: DataFrame, q: str, f: Filter | None = None, limit: int = 2
         legs = exact.unionByName(scored)
         if shape := search.shape_of(q):
             legs = legs.unionByName(search.ranked(search.shape_scan(pool, shape, terms), "shape", F.col("score").desc(), "id", n=limit))
-    # At most three lists of ``limit`` rows: blended here, and joined back by id.
-    lists: dict[str, list[int]] = {"found": [], "shape": [], "scan": []}
-    for r in sorted(legs.collect(), key=lambda r: r["rank"]):
-        lists[r["leg"]].append(r["id"])
-    ids = search.blend(lists["found"], lists["shape"], lists["scan"], keep=limit)
-    places = e.sparkSession.createDataFrame(list(enumerate(ids)), f"place int, id {dict(e.dtypes)['id']}")
+    places = search.blend(legs, keep=limit)  # at most ``limit`` rows
     needle = terms[0] if terms else ""
     return pool.join(F.broadcast(places), "id").select("place", "id", "title", snippet(F.col("text"), needle).alias("excerpt")).orderBy("place")
 

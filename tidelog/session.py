@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +24,34 @@ def session(app: str = "tidelog", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.  A local one is made only where none is set
+    and driver and executors are one process; on a cluster a missing setting is an error."""
+    here = spark.conf.get("spark.checkpoint.dir", None)
+    if not here:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        here = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", here)
+    return here.rstrip("/")
+
+
+def saved_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables go."""
+    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and
+    survives the loss of any executor."""
+    path = f"{saved_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(saved_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
