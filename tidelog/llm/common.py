@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import regex
 import xxhash
@@ -12,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import drop_saved, saved, saved_dir, shared_dir  # noqa: F401
+
 #: White space as the contracts define it; a word is a run of anything else.
 WORD = regex.compile("[^\x20\x09-\x0D]+")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,24 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if not here:
-        here = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", here)
-    return here.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and
-    survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

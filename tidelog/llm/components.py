@@ -1,33 +1,7 @@
-"""Connected components of a graph given by its edges, by alternating large and small stars.
-
-Each half step is one aggregate and one join, so neither a node with very many edges nor a
-large component is ever gathered in one task; the number of rounds grows with the
-logarithm of the longest path.
-"""
+"""Connected components, for the operators that group what they link."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import saved
-
+from ..operators.graph import components
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b) of any ordered type -> (node, root): the least node of each
-    component, for every node with an edge to another one.  Loops and nulls are ignored."""
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = saved(e)
-    before = None
-    while True:
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before is not None and (now["n"], now["h"]) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = (now["n"], now["h"])
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m"))
-        large = both.join(least, both["x"] == least["k"]).where((F.col("y") > F.col("x")) & (F.col("y") != F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(least, large["u"] == least["k"])
-        e = saved(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where(F.col("u") != F.col("v")).distinct())
+__all__ = ["components"]

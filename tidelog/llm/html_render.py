@@ -57,7 +57,8 @@ IMPLIED = {
 IN_HEAD = frozenset("base basefont bgsound link meta noframes script style template title noscript".split())
 DEPTH, WIDE = 512, 60
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\f\r]+")
 SHEET_TOKEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.DOTALL)
@@ -73,6 +74,43 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
+class Tags:
+    """Finds a page's tags from left to right, in time that grows with its length: an end that
+    isn't there is looked for once."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.quotes = True  # until a quote in a tag is never closed
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of an end tag, name, what follows it) from ``at`` on; comments and
+        declarations have no name."""
+        s = self.source
+        while (at := s.find("<", at)) >= 0:
+            if s.startswith("<!--", at):
+                end = s.find("-->", at + 4)
+                return at, len(s) if end < 0 else end + 3, "", "", ""
+            if s.startswith(("<!", "<?"), at):
+                end = s.find(">", at)
+                return at, len(s) if end < 0 else end + 1, "", "", ""
+            m = TAG.match(s, at) if at < self.last else None
+            if m and (end := self._end(m.end())) >= 0:
+                return at, end + 1, m[1], m[2], s[m.end() : end]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the tag's ">"; one between quotes isn't it."""
+        here = at
+        while self.quotes and (m := TAG_STOP.search(self.source, here)):
+            if m[0] == ">":
+                return m.start()
+            here = self.source.find(m[0], m.end()) + 1
+            if not here:
+                self.quotes = False
+        return self.source.find(">", at)
+
+
 def parse(source: str) -> tuple[Node, list[str]]:
     """The tree of a page, and the texts of its style elements."""
     root = Node("html")
@@ -97,20 +135,22 @@ def parse(source: str) -> tuple[Node, list[str]]:
                 return None
         return None
 
+    tags = Tags(source)
     while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             if not in_head:
                 text(source[at:])
             break
-        if m.start() > at and not (in_head and not source[at : m.start()].strip()):
+        start, end, slash, name, more = found
+        if start > at and not (in_head and not source[at:start].strip()):
             in_head = False
-            text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            text(source[at:start])
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             if tag == "head":
                 in_head = False
             elif tag == "p" and not any(x.tag == "p" for x in stack):
@@ -126,7 +166,7 @@ def parse(source: str) -> tuple[Node, list[str]]:
                     if stack[k].tag in stop or (tag in CELLS | SECTIONS | {"tr"} and stack[k].tag == "table"):
                         break
             continue
-        attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
+        attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(more)} if more else {}
         if tag == "head":
             in_head = True
             continue
@@ -134,13 +174,13 @@ def parse(source: str) -> tuple[Node, list[str]]:
             (root if tag == "html" else body).attributes.update(attributes)
             in_head = in_head and tag == "html"
             continue
-        foreign = m[3].rstrip().endswith("/") and any(x.tag in ("svg", "math") for x in stack)  # svg and math elements may end themselves
+        foreign = more.rstrip().endswith("/") and any(x.tag in ("svg", "math") for x in stack)  # svg and math elements may end themselves
         if foreign and tag in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(source, at)
-            inner = source[at : end.start() if end else n]
-            at = end.end() if end else n
+            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(source, at)
+            inner = source[at : close.start() if close else n]
+            at = close.end() if close else n
             if tag == "style":
                 if (held := _holds(attributes.get("media", ""))) is not False and attributes.get("type", "text/css").lower() in ("", "text/css"):
                     styles.append(inner if held else f"@supports (x) {{{inner}")  # a condition that can't be judged
