@@ -4,15 +4,18 @@ Pass 1 fills both filters for each task and merges them segment by segment: a bi
 the merged twice-filter if it is in some task's twice-filter or in two once-filters, so no
 repeated key is missed.  Pass 2 sends only keys in the twice-filter through a shuffle,
 already summed for each batch, where 128-bit digests are counted exactly and the first
-occurrence is chosen.  Pass 3 drops the lines: against a broadcast of the repeated keys
-while they are at most ``broadcast_keys`` (a proven bound), else by a join on the document.
+occurrence is chosen.  Pass 3 drops the lines.  The keys found most often are broadcast: those
+in n documents or more, with n such that there can't be more than ``broadcast_keys`` of them.
+The others, if any, meet the documents' suspected lines in a join on the digest, in which
+by that choice no key has more than a ``broadcast_keys``-th of the rows.
 
 A filter has at most ``max_bits`` bits whatever the input; beyond that more keys are
 suspected and shuffled, but the counts stay exact.
 
 Defined results: a null text is one empty line and stays null; the empty key is never
 dropped; repeated rows are separate documents; of a line that repeats within a document
-each copy goes; extra columns are carried along, n_lines and n_dropped are replaced.
+each copy goes; extra columns are carried along, n_lines and n_dropped are replaced, and names
+that start with __line_dedup_ are reserved.  Ids are read as long integers.
 With ``keep_first`` the first of the repeated lines stays: the least (id, nulls last),
 then text hash, then line number.
 """
@@ -126,15 +129,14 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, max_bits: int, byte
     return zlib.compress(array.tobytes(), 1), bits, hashes
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 10, least: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
+def repeated_keys(docs: DataFrame, min_docs: int = 10, least: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, twice: tuple | None = None) -> DataFrame:
     """Keys found in ``min_docs`` documents or more: digest, n_docs, and the first
     occurrence as first = (id is null, id, text hash, line)."""
-    packed, bits, hashes = twice_filter(docs, text_col, least, max_bits)
+    packed, bits, hashes = twice or twice_filter(docs, text_col, least, max_bits)
     shipped = docs.sparkSession.sparkContext.broadcast(packed)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = _Filter(bits, hashes)
-        twice.array = np.frombuffer(zlib.decompress(shipped.value), dtype=np.uint8)
+        twice = _unpacked(shipped.value, bits, hashes)
         for batch in batches:
             n: dict[bytes, int] = {}
             first: dict[bytes, tuple] = {}
@@ -155,61 +157,82 @@ def repeated_keys(docs: DataFrame, min_docs: int = 10, least: int = 1, id_col: s
             at = list(zip(*(first[k] for k in keys), strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([n[k] for k in keys], pa.int64()), *[pa.array(list(c), t) for c, t in zip(at, (pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names=["digest", "n", "_null", "_id", "_hash", "_line"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")), F.col(f"`{text_col}`"))
-    parts = rows.mapInArrow(suspects, "digest binary, n long, _null boolean, _id long, _hash long, _line long")
+    parts = _keyed(docs, id_col, text_col).mapInArrow(suspects, "digest binary, n long, _null boolean, _id long, _hash long, _line long")
     counted = parts.groupBy("digest").agg(F.sum("n").alias("n_docs"), F.min(F.struct("_null", "_id", "_hash", "_line")).alias("first"))
     return counted.where(F.col("n_docs") >= min_docs)
 
 
+def _unpacked(packed: bytes, bits: int, hashes: int) -> _Filter:
+    out = _Filter(bits, hashes)
+    out.array = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    return out
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+
+
+def _light_lists(docs: DataFrame, light: DataFrame, heavy, twice: tuple, least: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _hash, found: the keys of ``light`` that a document holds.  Only lines that the
+    twice-filter suspects and the broadcast doesn't settle are shuffled."""
+    packed, bits, hashes = twice
+    shipped = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice_ = _unpacked(shipped.value, bits, hashes)
+        for batch in batches:
+            rows: list[int] = []
+            found: list[bytes] = []
+            for k, text in enumerate(batch.column(2)):
+                keys = [x for x in _doc_keys(text.as_py(), least) if x not in heavy.value]
+                if keys:
+                    some = [keys[i] for i in np.flatnonzero(twice_.holds(_pairs(keys)))]
+                    rows += [k] * len(some)
+                    found += some
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.binary())], names=["_id", "_hash", "digest"])
+
+    lines = _keyed(docs, id_col, text_col).mapInArrow(own, "_id long, _hash long, digest binary")
+    met = lines.join(light.select("digest", "first.*").withColumnsRenamed({"_id": "_first", "_hash": "_text"}), "digest")
+    return met.groupBy("_id", "_hash").agg(F.collect_set(F.struct("digest", "_null", "_first", "_text", "_line")).alias("found"))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, broadcast_keys: int = 300_000) -> DataFrame:
     """``docs`` without the lines whose key is repeated, with n_lines and n_dropped."""
     spark = docs.sparkSession
-    hot = saved(repeated_keys(docs, min_docs, least, id_col, text_col, max_bits))
+    twice = twice_filter(docs, text_col, least, max_bits)
+    hot = saved(repeated_keys(docs, min_docs, least, id_col, text_col, max_bits, twice))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     kept = docs.select([F.col(f"`{c}`") for c in names])
-    if hot.count() <= broadcast_keys:
-        table = {r["digest"].__bytes__(): tuple(r["first"]) for r in hot.collect()}
-        shipped = spark.sparkContext.broadcast(table)
-        sure = kept.withColumn("_drop", F.lit(None).cast("array<binary>"))
+    size = hot.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("rows")).first()
+    # Fewer than ``broadcast_keys`` keys can stand in ``from_docs`` documents or more each.
+    from_docs = 0 if size["keys"] <= broadcast_keys else size["rows"] // max(1, broadcast_keys) + 1
+    shipped = spark.sparkContext.broadcast({bytes(r["digest"]): tuple(r["first"]) for r in hot.where(F.col("n_docs") >= from_docs).collect()})
+    own_hash = F.xxhash64(F.col(f"`{text_col}`"))
+    if from_docs:
+        lists = _light_lists(docs, hot.where(F.col("n_docs") < from_docs), shipped, twice, least, id_col, text_col).select(F.col("_id").alias("__line_dedup_id"), F.col("_hash").alias("__line_dedup_own"), F.col("found").alias("__line_dedup_found"))
+        on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__line_dedup_id")) & (F.col("__line_dedup_hash") == F.col("__line_dedup_own"))
+        sure = kept.withColumn("__line_dedup_hash", own_hash).join(lists, on, "left").drop("__line_dedup_id", "__line_dedup_own")
     else:
-        # Each document gets the digests of its own lines that are repeated.
-        shipped = None
-        marked = kept.withColumns({"_lid": F.col(f"`{id_col}`").cast("long"), "_lhash": F.xxhash64(F.col(f"`{text_col}`"))})
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, text in enumerate(batch.column(2)):
-                    keys = list(_doc_keys(text.as_py(), least))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(keys), pa.int64()), pa.array([batch.column(1)[k].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], names=["_id", "_hash", "digest"])
-
-        lines = marked.select("_lid", "_lhash", F.col(f"`{text_col}`")).mapInArrow(own, "_id long, _hash long, digest binary").distinct()
-        lists = lines.join(hot, "digest").groupBy("_id", "_hash").agg(F.collect_list(F.struct("digest", "first")).alias("_found"))
-        lists = lists.withColumn("_drop", F.expr("transform(_found, x -> concat(x.digest, encode(to_json(x.first), 'utf-8')))")).drop("_found")
-        on = F.col("_lid").eqNullSafe(F.col("_id")) & (F.col("_lhash") == F.col("_hash"))
-        sure = marked.join(lists, on, "left").select(*[F.col(f"`{c}`") for c in names], "_drop")
-    sure = sure.withColumn("_xhash", F.xxhash64(F.col(f"`{text_col}`")))
+        sure = kept.withColumn("__line_dedup_hash", own_hash)
     at_id, at_text, width = names.index(id_col), names.index(text_col), len(names)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
+        heavy = shipped.value
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
             for k, value in enumerate(batch.column(at_text)):
                 text = value.as_py()
-                if shipped is not None:
-                    repeated = shipped.value
-                else:
-                    repeated = {}
-                    for x in batch.column(width)[k].as_py() or ():
-                        f = json.loads(x[16:])
-                        repeated[x[:16]] = (f["_null"], f["_id"], f["_hash"], f["_line"])
+                listed = batch.column(width + 1)[k].as_py() if from_docs else None
+                light = {x["digest"]: (x["_null"], x["_first"], x["_text"], x["_line"]) for x in listed or ()}
                 lines = (text or "").split("\n")
                 out = []
-                doc_id, text_hash = batch.column(at_id)[k].as_py(), batch.column(width + 1)[k].as_py()
+                doc_id, text_hash = batch.column(at_id)[k].as_py(), batch.column(width)[k].as_py()
+                own = (doc_id is None, int(doc_id or 0), text_hash)
                 for line_no, (line, key) in enumerate(zip(lines, line_keys(text, least), strict=True)):
-                    first = repeated.get(key)
-                    if first is None or keep_first and first == (doc_id is None, doc_id or 0, text_hash, line_no):
+                    first = heavy.get(key) or light.get(key)
+                    if first is None or keep_first and first == (*own, line_no):
                         out.append(line)
                 texts.append(None if text is None else "\n".join(out))
                 n_lines.append(len(lines))
