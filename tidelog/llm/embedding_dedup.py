@@ -3,7 +3,10 @@
 1. Equal vectors are one node with a multiplicity, so copies are never compared.
 2. A bounded sample (``sample`` nodes, those with the least digests) fits the coarse
    centroids and the codebooks of the residuals' subspaces; every node is then indexed:
-   its list, its code in each subspace, and two bounds of its quantisation error.
+   its list, its code in each subspace, and two bounds of its quantisation error.  Lists grow
+   with the table, about ``per_list`` nodes each: where they outnumber the ``max_centroids``
+   centroids that the sample can fit, each centroid's list is cut by a second codebook of
+   residuals, which all centroids share, so a bounded sample gives as many lists as are needed.
 3. Each node probes every list that a neighbour at the threshold could call its own, were
    it ``reach`` standard deviations of random noise away towards that list's centroid: that
    is, whose centroid c scores at most reach * |link| / sqrt(dimensions) * |c - best| under
@@ -84,23 +87,57 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool = False) -
 
 @dataclass(frozen=True)
 class Index:
-    """Coarse centroids (unit length) and one codebook for each subspace."""
+    """Coarse centroids (unit length), a second codebook of their residuals (one zero row where
+    there is none), and one codebook for each subspace.  List c * len(fine) + f is that of
+    centroid c and residual f."""
 
     centroids: np.ndarray
+    fine: np.ndarray
     cuts: tuple[tuple[int, int], ...]
     books: tuple[np.ndarray, ...]
     threshold: float
     reach: float
 
     @staticmethod
-    def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int, threshold: float, reach: float, seed: int) -> Index:
+    def fit(sample: np.ndarray, lists: int, most: int, subspaces: int, codes: int, threshold: float, reach: float, seed: int) -> Index:
         x = units(sample)
-        centroids = k_means(x, lists, 6, seed, unit=True)
+        centroids = k_means(x, min(lists, most), 6, seed, unit=True)
         rest = x - centroids[(x @ centroids.T).argmax(axis=1)]
+        fine = k_means(rest, -(-lists // most), 6, seed + 100) if lists > most else np.zeros((1, x.shape[1]))
+        rest = rest - fine[_nearest(rest, fine)]
         edges = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
         cuts = tuple((int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True))
         books = tuple(k_means(rest[: 64 * codes, a:b], codes, 6, seed + 1 + k) for k, (a, b) in enumerate(cuts))
-        return Index(centroids, cuts, books, threshold, reach)
+        return Index(centroids, fine, cuts, books, threshold, reach)
+
+    @property
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.fine)
+
+    def base(self, home: np.ndarray | int) -> np.ndarray:
+        """What a list's codes are added to."""
+        return self.centroids[home // len(self.fine)] + self.fine[home % len(self.fine)]
+
+    def _places(self, x: np.ndarray, away: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each row's list, and the lists that a neighbour ``away`` from it could be in."""
+        n_fine = len(self.fine)
+        scores = x @ self.centroids.T
+        best = scores.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (self.centroids[best] @ self.centroids.T)))
+        near = scores.max(axis=1, keepdims=True) - scores <= away * apart + 1e-9
+        if n_fine == 1:
+            return best, [np.flatnonzero(row).astype(np.int32) for row in near]
+        home = best * n_fine + _nearest(x - self.centroids[best], self.fine)
+        half = (self.fine * self.fine).sum(axis=1) / 2
+        gaps = np.sqrt(np.maximum(0.0, 2 * half[:, None] + 2 * half[None, :] - 2 * self.fine @ self.fine.T))
+        probes: list[list[np.ndarray]] = [[] for _ in range(len(x))]
+        for c in np.flatnonzero(near.any(axis=0)):
+            rows = np.flatnonzero(near[:, c])
+            fits = (x[rows] - self.centroids[c]) @ self.fine.T - half
+            top = fits.argmax(axis=1)
+            for k, row in zip(*np.nonzero(fits[np.arange(len(rows)), top][:, None] - fits <= away * gaps[top] + 1e-9), strict=True):
+                probes[rows[k]].append(c * n_fine + row)
+        return home, [np.array(p, dtype=np.int32) for p in probes]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """List, probes, codes, and the least look-up sum that a link can have."""
@@ -108,15 +145,12 @@ class Index:
         away = min(self.reach, np.sqrt(x.shape[1])) * link / np.sqrt(x.shape[1])
         home, probes = np.empty(len(x), np.int64), []
         for k in range(0, len(x), 1024):
-            scores = x[k : k + 1024] @ self.centroids.T
-            best = scores.argmax(axis=1)
-            apart = np.sqrt(np.maximum(0.0, 2 - 2 * (self.centroids[best] @ self.centroids.T)))
-            near = scores.max(axis=1, keepdims=True) - scores <= away * apart + 1e-9
-            home[k : k + 1024] = best
-            probes += [np.flatnonzero(row).astype(np.int32) for row in near]
-        rest = x - self.centroids[home]
+            home[k : k + 1024], some = self._places(x[k : k + 1024], away)
+            probes += some
+        base = self.base(home)
+        rest = x - base
         codes = np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.books, strict=True)], axis=1)
-        back = self.centroids[home] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
+        back = base + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
         # For a link q: q.back >= threshold - |x - back|, and q.back >= x.back - |q - x| |back|.
         error = np.sqrt(((x - back) ** 2).sum(axis=1))
         least = np.maximum(self.threshold - error, (x * back).sum(axis=1) - link * np.sqrt((back * back).sum(axis=1))) - 1e-4
@@ -124,7 +158,7 @@ class Index:
 
     def candidates(self, q: np.ndarray, home: int, codes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, entry) whose look-up sum reaches the entry's bound."""
-        total = np.broadcast_to((q @ self.centroids[home])[:, None], (len(q), len(codes))).astype(np.float32)
+        total = np.broadcast_to((q @ self.base(home))[:, None], (len(q), len(codes))).astype(np.float32)
         for k, ((a, b), book) in enumerate(zip(self.cuts, self.books, strict=True)):
             total += (q[:, a:b] @ book.T).astype(np.float32)[:, codes[:, k]]
         return np.nonzero(total >= least[None, :])
@@ -137,7 +171,7 @@ def compare(index: Index, home: int, entries: pd.DataFrame, queries: pd.DataFram
     x = units(np.stack(queries["vector"]))
     codes, least = np.stack(entries["codes"]), entries["least"].to_numpy()
     homes = queries["home"].to_numpy()
-    lists = len(index.centroids)
+    lists = index.lists
     knows = np.unique(np.concatenate([k * lists + p.astype(np.int64) for k, p in enumerate(entries["probes"])]))
     of_query, of_entry = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     m_query, m_entry = queries["copies"].to_numpy(), entries["copies"].to_numpy()
@@ -166,12 +200,12 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _links(nodes: DataFrame, dim: int, n: int, threshold: float, per_list: int, max_lists: int, subspaces: int, codes: int, reach: float, block: int, seed: int) -> DataFrame:
+def _links(nodes: DataFrame, dim: int, n: int, threshold: float, per_list: int, max_centroids: int, subspaces: int, codes: int, reach: float, block: int, seed: int) -> DataFrame:
     """node, n_links, other: counts (other null) and forest edges (n_links null)."""
-    lists = max(1, min(max_lists, n // per_list))
-    sample = max(64 * codes, 16 * lists)
+    lists = max(1, n // per_list)
+    sample = max(64 * codes, 16 * min(lists, max_centroids))
     chosen = nodes.orderBy("node").limit(sample).select("vector").toPandas()["vector"]
-    index = Index.fit(np.array(chosen.tolist(), dtype=np.float64), lists, subspaces, codes, threshold, reach, seed)
+    index = Index.fit(np.array(chosen.tolist(), dtype=np.float64), lists, max_centroids, subspaces, codes, threshold, reach, seed)
     shipped = nodes.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +269,12 @@ def _links(nodes: DataFrame, dim: int, n: int, threshold: float, per_list: int,
 
 def near_duplicates(
     rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
-    per_list: int = 300, max_lists: int = 4096, subspaces: int = 8, codes: int = 256, reach: float = 3.0, block: int = 1500, seed: int = 5,
+    per_list: int = 300, max_centroids: int = 4096, subspaces: int = 8, codes: int = 256, reach: float = 3.0, block: int = 1500, seed: int = 5,
 ) -> DataFrame:
     """For each vector: the id, n_links, component_id and kept.
 
-    ``max_lists`` bounds the index and, with ``codes``, the sample it is fitted on:
-    max(64 * codes, 16 * lists) vectors, at most 65,536 by default."""
+    ``max_centroids`` and ``codes`` bound the sample that the index is fitted on:
+    max(64 * codes, 16 * centroids) vectors, at most 65,536 by default."""
     key, vector = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`")
     base = rows.select(key.alias("_id"), vector.alias("vector"), valid(vector).alias("_ok"))
 
@@ -257,7 +291,7 @@ def near_duplicates(
     nodes = saved(good.groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least")))
     found = None
     for r in nodes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():
-        part = _links(nodes.where(F.size("vector") == r["dim"]), r["dim"], r["n"], threshold, per_list, max_lists, subspaces, codes, reach, block, seed)
+        part = _links(nodes.where(F.size("vector") == r["dim"]), r["dim"], r["n"], threshold, per_list, max_centroids, subspaces, codes, reach, block, seed)
         found = part if found is None else found.unionByName(part)
     alone = base.where(~F.col("_ok")).select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     if found is None:
