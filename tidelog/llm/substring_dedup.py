@@ -5,10 +5,15 @@ with the same anchor, the least hash among the windows' ``gram``-word runs; equa
 have equal anchors, so all places that can match a block meet under its anchor.
 
 1. Each document's anchors are dealt by hash, packed by batch; anchors that occur in one
-   document only are done with.
+   document only are done with.  Of an anchor that ``sure`` documents of a batch or more hold
+   the batch deals one place with the number, as all of them have it repeated for sure.
 2. Blocks of anchors that occur again are dealt with their windows' 80-bit hashes.  A batch
    sends only its own first occurrence of a window; its later ones are settled at once,
-   so a passage that very many documents share sends one row a batch.
+   so a passage that very many documents share sends one row a batch.  The different windows
+   around such a passage may share an anchor in very many documents; windows of an anchor
+   with more than ``hot`` places are dealt by their own hash, so no group of them is unbounded
+   (equal windows still meet).  ``hot`` grows with the input so that such anchors, which are
+   broadcast, are a million at most.
 3. Each block is factored greedily against the first occurrences: a factor goes on while
    the next window is found right behind the last one in the same source.
 4. A document's factors are put together.  As every window is looked up, also those that
@@ -18,7 +23,8 @@ have equal anchors, so all places that can match a block meet under its anchor.
 Defined results: documents are ordered by (id, nulls last), then text hash; rows that
 agree in both are one document repeated, and are treated alike.  A null or empty text, or
 one shorter than a window, loses nothing.  Of very long texts all is parsed, piece by
-piece.  Only the id and the text are read; tables may be empty.
+piece.  Only the id and the text are read; tables may be empty.  Ids are read as long integers.
+The groups in which windows meet are as many as keep each at about ``GROUP_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -32,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, mix64, shuffle_partitions, window_hashes
+from .common import WORD, WordHashes, mix64, saved, shuffle_partitions, window_hashes
 
 _HASHES: list[WordHashes] = []
 DOC_BITS = 40
+GROUP_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 
 
 def _word_hashes(found: list[str]) -> np.ndarray:
@@ -98,9 +105,10 @@ def _windows(h: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray,
     return starts, owner, starts - np.concatenate([[0], ends[:-1]])[owner] if n else starts
 
 
-def repeated_anchors(texts: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """_dk, grams: the anchors of a document that another document, or none but it, has
-    twice or more; _dk is short, so a few documents may get anchors of others too."""
+def repeated_anchors(texts: DataFrame, window: int, gram: int, buckets: int, parts: int, hot: int, sure: int = 32) -> DataFrame:
+    """_dk, gram: the anchors of a document that another document, or none but it, has
+    twice or more; _dk is short, so a few documents may get anchors of others too.  Rows
+    without a _dk are the anchors with more than ``hot`` places."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,24 +129,44 @@ def repeated_anchors(texts: DataFrame, window: int, gram: int, buckets: int) ->
             g, d, bucket = g[order], d[order], bucket[order]
             third = np.concatenate([np.ones(2, bool), (g[2:] != g[:-2]) | (d[2:] != d[:-2])])[: len(g)]
             g, d, bucket = g[third], d[third], bucket[third]  # two of a kind tell enough
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            count = np.diff(np.concatenate([first, [len(g)]]))
+            many = np.repeat(count >= sure, count)
+            n = np.ones(len(g), dtype="<u4")
+            n[first] = np.where(count >= sure, count, 1)
+            kept = ~many
+            kept[first] = True
+            # Documents that have it repeated for sure go to places of their own, below 0.
+            g, n = np.concatenate([g[kept], g[many]]), np.concatenate([n[kept], n[many]])
+            bucket = np.concatenate([bucket[kept], -1 - (d[many] % np.uint64(buckets)).astype(np.int64)])
+            d = np.concatenate([d[kept], d[many]])
+            order = np.argsort(bucket, kind="stable")
+            g, d, n, bucket = g[order], d[order], n[order], bucket[order]
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
             low, high = (d & np.uint64(0xFFFFFFFF)).astype("<u4"), (d >> np.uint64(32)).astype("u1")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *[pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (g, low, high)]], names=["bucket", "g", "low", "high"])
+            packed = [[x[i:j].tobytes() for i, j in spans] for x in (g, low, high)]
+            counts = [n[i:j].tobytes() if (n[i:j] > 1).any() else b"" for i, j in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *[pa.array(x, pa.binary()) for x in (*packed, counts)]], names=["bucket", "g", "low", "high", "n"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         g = np.frombuffer(b"".join(rows["g"]), dtype="<u8")
         d = np.frombuffer(b"".join(rows["low"]), dtype="<u4").astype(np.int64) | np.frombuffer(b"".join(rows["high"]), dtype="u1").astype(np.int64) << 32
+        if rows["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"_dk": pd.array(d, dtype="Int64"), "gram": g.astype(np.int64)})
+        n = np.concatenate([np.frombuffer(c, dtype="<u4") if c else np.ones(len(x) // 8, dtype=np.uint32) for c, x in zip(rows["n"], rows["g"], strict=True)])
         order = np.lexsort((d, g))
-        g, d = g[order], d[order]
-        same = g[1:] == g[:-1]
-        again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        g, d, n = g[order], d[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        places = np.add.reduceat(n, first) if len(g) else n
+        again = np.repeat(places > 1, np.diff(np.concatenate([first, [len(g)]])))
+        often = g[first[places > hot]].astype(np.int64)
         g, d = g[again], d[again]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(g) else np.zeros(0, bool)
-        return pd.DataFrame({"_dk": d[new], "gram": g[new].astype(np.int64)})
+        return pd.DataFrame({"_dk": pd.array([*d[new], *[None] * len(often)], dtype="Int64"), "gram": np.concatenate([g[new].astype(np.int64), often])})
 
-    dealt = texts.select("_dk", "_text").mapInArrow(deal, "bucket long, g binary, low binary, high binary")
-    met = dealt.groupBy("bucket").applyInPandas(meet, "_dk long, gram long")
-    return met.groupBy("_dk").agg(F.collect_list("gram").alias("grams"))
+    dealt = texts.select("_dk", "_text").mapInArrow(deal, "bucket long, g binary, low binary, high binary, n binary")
+    return dealt.repartition(parts, "bucket").groupBy("bucket").applyInPandas(meet, "_dk long, gram long")
 
 
 _WINDOW_TYPE = np.dtype([("hash", "<u8"), ("more", "<u2")])
@@ -182,8 +210,11 @@ def _packed(owner: tuple, factors: np.ndarray) -> tuple[list, list, list, list,
     return dk[first].tolist(), null[first].tolist(), doc[first].tolist(), text[first].tolist(), [factors[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def factored(texts: DataFrame, found: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
+def factored(texts: DataFrame, anchors_: DataFrame, window: int, gram: int, buckets: int, parts: int) -> DataFrame:
     """_dk, list of (null, id, hash, factors) of the documents with repeated windows."""
+    often = np.sort(np.array([r["gram"] for r in anchors_.where("_dk IS NULL").select("gram").collect()], dtype=np.int64).astype(np.uint64))
+    shipped = texts.sparkSession.sparkContext.broadcast(often)
+    found = anchors_.where("_dk IS NOT NULL").groupBy("_dk").agg(F.collect_list("gram").alias("grams"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +247,8 @@ def factored(texts: DataFrame, found: DataFrame, window: int, gram: int, buckets
             own = _packed(owner, out)
             if own[0]:
                 yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in own[0]], pa.int64()), pa.array([None] * len(own[0]), pa.binary()), pa.array([None] * len(own[0]), pa.binary()), *[pa.array(x, t) for x, t in zip(own, _OWN, strict=True)]], names=_NAMES)
-            bucket = (mix64(a[first]) % np.uint64(buckets)).astype(np.int64)
+            dealt_by = np.where(np.isin(a[first], shipped.value), w["hash"][first], a[first])
+            bucket = (mix64(dealt_by) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((at[first], row[first], bucket))
             first, bucket = first[order], bucket[order]
             r, p = row[first], at[first].astype(np.int64)
@@ -247,7 +279,7 @@ def factored(texts: DataFrame, found: DataFrame, window: int, gram: int, buckets
 
     rows = texts.join(found, "_dk").select("_dk", "_id", "_hash", "_text", "grams")
     sent = rows.mapInArrow(blocks, "bucket long, runs binary, windows binary, _dk long, null long, id long, hash long, factors binary")
-    met = sent.groupBy("bucket").applyInPandas(meet, "_dk long, null long, id long, hash long, factors binary")
+    met = sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(meet, "_dk long, null long, id long, hash long, factors binary")
     return met.groupBy("_dk").agg(F.collect_list(F.struct("null", "id", "hash", "factors")).alias("found"))
 
 
@@ -255,15 +287,19 @@ _OWN = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 _NAMES = ["bucket", "runs", "windows", "_dk", "null", "id", "hash", "factors"]
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = 2000) -> DataFrame:
     """For each row: the id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space), spans (start, end, source id, source start) in words, and with ``with_text`` the
     kept text."""
     spark = docs.sparkSession
-    buckets = max(64, 4 * shuffle_partitions(spark))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0))).first()[0]
+    parts = max(shuffle_partitions(spark), size // TASK_BYTES)
+    buckets = max(64, 4 * parts, size // GROUP_BYTES)
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     texts = docs.select(F.pmod(F.xxhash64(key, text), F.lit(1 << DOC_BITS)).alias("_dk"), key.alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    parsed = factored(texts, repeated_anchors(texts, window, gram, buckets), window, gram, buckets)
+    # An anchor's place takes a word or more, so there are size / 2 places at most.
+    found = saved(repeated_anchors(texts, window, gram, buckets, parts, max(hot, size // 2_000_000)))
+    parsed = factored(texts, found, window, gram, buckets, parts)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
