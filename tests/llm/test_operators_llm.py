@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -230,8 +231,24 @@ def brute_links(x, threshold=0.95):
     return c
 
 
-@pytest.mark.parametrize(("per_list", "block"), [(300, 1500), (20, 16)])
-def test_embeddings(spark, per_list, block):
+def test_embedding_lists_outnumber_the_centroids():
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((400, 48))
+    x = embedding_dedup.units(centres[rng.integers(0, 400, 4000)] + rng.standard_normal((4000, 48)) * rng.choice([0.1, 0.2, 0.25], (4000, 1)))
+    index = embedding_dedup.Index.fit(x[:1500], 200, 16, 8, 64, 0.95, 3.0, 5)
+    assert index.lists == 16 * 13
+    home, probes, codes, least = index.assign(x)
+    assert all(h in p for h, p in zip(home[:200].tolist(), probes[:200], strict=True))
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    seen = [set(p.tolist()) for p in probes]
+    found = np.array([home[b] in seen[a] or home[a] in seen[b] for a, b in zip(i, j, strict=True)])
+    assert len(i) > 1000 and found.mean() >= 0.99
+    for a, b in list(zip(i, j, strict=True))[:300]:  # the codes lose no link
+        assert len(index.candidates(x[a : a + 1], int(home[b]), codes[b : b + 1], least[b : b + 1])[0])
+
+
+@pytest.mark.parametrize(("per_list", "block", "centroids"), [(300, 1500, 4096), (20, 16, 4096), (20, 16, 6)])
+def test_embeddings(spark, per_list, block, centroids):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((60, 32))
     x = np.concatenate([centres[rng.integers(0, 60, 500)] + rng.standard_normal((500, 32)) * rng.choice([0.05, 0.15, 0.2], (500, 1)), rng.standard_normal((300, 32)), np.repeat(centres[:1], 80, axis=0)])
@@ -239,7 +256,7 @@ def test_embeddings(spark, per_list, block):
     rows = [(int(k), v.tolist()) for k, v in enumerate(x)]
     bad = [(10_000, None), (10_001, []), (10_002, [0.0] * 32), (10_003, [float("nan")] * 32), (10_004, [None] * 32), (10_005, [float("inf")] + [1.0] * 31), (10_006, [1.0, 2.0]), (10_007, [2.0, 4.0])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, per_list=per_list, block=block).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, per_list=per_list, block=block, max_centroids=centroids).collect()}
     links = brute_links(x)
     n = links.sum(axis=1)
     assert len(got) == len(rows) + len(bad)
@@ -262,7 +279,7 @@ def key(line):
     return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\v\f\r"))
 
 
-@pytest.mark.parametrize(("bits", "broadcast", "first"), [(1 << 28, 300_000, False), (1 << 16, 300_000, True), (1 << 16, 0, False), (1 << 16, 0, True)])
+@pytest.mark.parametrize(("bits", "broadcast", "first"), [(1 << 28, 300_000, False), (1 << 16, 300_000, True), (1 << 16, 0, False), (1 << 16, 2, True)])
 def test_lines(spark, edge, bits, broadcast, first):
     df = edge.withColumn("n_lines", F.lit("clash")).where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_docs=3, max_bits=bits, broadcast_keys=broadcast, keep_first=first).collect()}
@@ -279,28 +296,59 @@ def test_lines(spark, edge, bits, broadcast, first):
         assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["text"]) == (len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)), i
 
 
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_lines_of_null_ids_and_repeated_rows(spark, edge, broadcast):
+    rows = [(r["doc_id"], r["text"], r["h"]) for r in edge.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    n, at = Counter(), {}
+    for i, t, h in rows:
+        lines = [key(x) for x in (t or "").split("\n")]
+        n.update(set(lines) - {""})  # a repeated row is a document of its own
+        for k, x in enumerate(lines):
+            here = (i is None, i or 0, h, k)
+            at[x] = min(at.get(x, here), here)
+    want = Counter()
+    for i, t, h in rows:
+        lines = (t or "").split("\n")
+        kept = [x for k, x in enumerate(lines) if not key(x) or n[key(x)] < 3 or at[key(x)] == (i is None, i or 0, h, k)]
+        want[i, None if t is None else "\n".join(kept)] += 1
+    got = line_dedup.dedup_lines(edge, min_docs=3, broadcast_keys=broadcast, keep_first=True).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == want
+
+
 def brute_spans(rows, n=20):
-    first, gone = {}, {}
-    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
-    for i in sorted(words):
-        w, out = words[i], set()
+    """rows in order, each (key, text) once."""
+    first, out = {}, {}
+    for i, t in rows:
+        w, gone = re.findall(r"[^\x20\x09-\x0D]+", t or ""), set()
         for k in range(len(w) - n + 1):
             g = tuple(w[k : k + n])
             if g in first:
-                out |= set(range(k, k + n))
+                gone |= set(range(k, k + n))
             first.setdefault(g, (i, k))
-        gone[i] = out
-    return {i: (len(w), len(gone[i]), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone[i]).encode()).hexdigest()) for i, w in words.items()}
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    return out
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_substrings(spark, hot):
     rng = random.Random(8)
     passages = [sentence(rng.randrange(15, 60), rng) for _ in range(6)]
     rows = list({i: t for i, t in EDGE if i is not None}.items())
-    rows += [(7000 + k, " ".join([sentence(rng.randrange(30), rng), rng.choice(passages), sentence(rng.randrange(30), rng), rng.choice(passages)])) for k in range(60)]
+    rows += [(7000 + k, " ".join([sentence(rng.randrange(30), rng), rng.choice(passages), sentence(rng.randrange(30), rng), rng.choice(passages)])) for k in range(120)]
     rows += [(8000, "loop de " * 100), (8001, " ".join(["same"] * 300))]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
-    assert got == brute_spans(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(frame(spark, rows), hot=hot).collect()}
+    assert got == brute_spans(sorted(rows))
+
+
+def test_substrings_of_null_ids_and_repeated_rows(spark):
+    texts = [sentence(30) for _ in range(4)]
+    rows = [(None, texts[0]), (3, texts[0] + " " + texts[1]), (3, texts[0] + " " + texts[1]), (3, texts[2] + " " + texts[1]), (None, texts[2]), (None, None), (None, texts[3]), (9, None)]
+    df = frame(spark, rows)
+    hashed = {(r["doc_id"], r["text"], r["h"]) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(hashed, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    want = brute_spans([((i, t), t) for i, t, _ in order])
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(df).collect())
+    assert got == Counter((i, *want[i, t]) for i, t in rows)  # repeated rows are treated alike
 
 
 def test_sharding(spark, edge):
@@ -365,6 +413,14 @@ PAGES = {
 }
 
 
+def test_rendering_takes_linear_time():
+    for piece in ("<a ", '<a href="x ', '<a "', "<", "<a ' <b> ", "<!-", "</", "<p title='>"):
+        began = time.perf_counter()
+        html_render.render(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 20, piece
+    assert html_render.render('<p title="a>b">x</p> 1 < 2 <b>y</b> <i unclosed') == "x\n\n1 < 2 y <i unclosed"
+
+
 def test_rendering(spark):
     for source, want in PAGES.items():
         got = html_render.render(source)

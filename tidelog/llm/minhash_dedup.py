@@ -8,14 +8,15 @@ by it, the sets with the same first values stand together and form a region.
 2. A region of at most ``run`` rows is one run, all of whose pairs are looked at.  In a larger
    one the longest common prefixes are sought: its rows are cut, in sorted order, into runs
    that overlap by ``lap``, and the neighbours within a run are looked at.
-3. Pairs whose signatures agree far too rarely (more than 5.5 standard deviations below the
-   threshold) are dropped; a pair belongs to the first order in which its regions agree,
-   so it is confirmed once, on full shingle sets, which travel once for each run that
-   confirms one of their pairs.
-4. Links join sets to components.  Regions that were cut and still hold more than one component
-   go down to the next depth of ``DEPTHS`` with as many more orders as keep the miss bound, and
-   only their sets do: the depth adapts to each region, rows stay linear in the sets.
-5. What is crowded at the last depth as well is compared whole, block by block.
+3. To look at a pair is to compare signatures; those that agree far too rarely (more than 5.5
+   standard deviations below the threshold) are dropped.  A pair belongs to the first order in
+   which its regions agree, so it is confirmed once, on full shingle sets, which travel
+   once for each run that confirms one of their pairs.
+4. Links join sets to components.  A region that was cut may hold more than one component; if
+   all but ``strays`` of its sets are in one, each of these few is looked at with all others.
+5. Other such regions go down to the next depth of ``DEPTHS`` with as many more orders as keep
+   the miss bound, and only their sets do: the depth adapts to each region, rows stay linear.
+6. What is crowded at the last depth as well is compared whole, block by block.
 
 At a similarity s a link shares no region with a probability of (1 - s^depth)^orders; orders
 are as many as make that ``miss`` (1e-6) at the threshold.  Copies with equal sets are one
@@ -206,6 +207,15 @@ def runs_of(tall: DataFrame, n: int, run: int, lap: int, level: int) -> DataFram
     return tall.repartitionByRange(n, "key", "set_id").sortWithinPartitions("key", "set_id").mapInArrow(cut, "unit long, set_id binary, tree int, region long")
 
 
+def tasks(rows: DataFrame, each: int = 20_000) -> int:
+    """So many tasks that each gets about ``each`` of the (saved) rows, within what the session sets."""
+    return max(1, min(shuffle_partitions(rows.sparkSession), 8 + rows.count() // each))
+
+
+def _signed_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return rows.join(sets.select(F.col("set_id").alias("_s"), "sig"), F.col("set_id") == F.col("_s")).drop("_s")
+
+
 def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor: float) -> DataFrame:
     """unit, set_id of the sets with a pair to be confirmed in the unit: signatures that agree in
     ``floor`` of the values, regions that agree in this order and in none before it."""
@@ -246,8 +256,8 @@ def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor
             yield pd.DataFrame(out, columns=["unit", "set_id"])
         yield pd.DataFrame([(unit, x) for x in chosen(*rows)], columns=["unit", "set_id"])
 
-    rows = runs.select("unit", "set_id", "tree").join(sets.select(F.col("set_id").alias("_s"), "sig"), F.col("set_id") == F.col("_s")).select("unit", "set_id", "tree", "sig")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "unit long, set_id binary")
+    rows = _signed_rows(runs.select("unit", "set_id", "tree"), sets).select("unit", "set_id", "tree", "sig")
+    return rows.repartition(tasks(runs), "unit").sortWithinPartitions("unit").mapInPandas(run, "unit long, set_id binary")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step: int = 8192) -> list[tuple[int, int]]:
@@ -294,9 +304,9 @@ class Forest:
         return a != b
 
 
-def confirmed(spread: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(spread: DataFrame, words: int, percent: int, n: int) -> DataFrame:
     """Links a, b of full sets: a spanning forest for each unit of ``spread`` (unit, i, j, block,
-    set_id, _text), whose rows of block i meet those of block j."""
+    set_id, _text), whose rows of block i meet those of block j, in ``n`` tasks."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(rows: list[tuple]) -> pd.DataFrame:
@@ -325,66 +335,127 @@ def confirmed(spread: DataFrame, words: int, percent: int) -> DataFrame:
         if rows:
             yield pairs(rows)
 
-    dealt = spread.select("unit", "i", "j", "block", "set_id", "_text").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    dealt = spread.select("unit", "i", "j", "block", "set_id", "_text").repartition(n, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     return dealt.mapInPandas(confirm, "a binary, b binary")
 
 
-def _with_texts(members: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """``members`` (set_id and more) with the text of one document that has the set."""
+def _texts_of(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """_s, _text of the sets of ``members``: the text of one document that has the set."""
     first = sets.select(F.col("set_id").alias("_s"), F.col("first._id").alias("_i"), F.col("first._hash").alias("_h"))
-    named = members.join(first, F.col("set_id") == F.col("_s")).drop("_s")
-    return texts.join(named, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).drop("_i", "_h", "_id", "_hash")
+    named = members.select("set_id").distinct().join(first, F.col("set_id") == F.col("_s")).drop("set_id")
+    found = docs.join(named, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_s", "_text")
+    return saved(found.dropDuplicates(["_s"]))  # repeated rows
+
+
+def _with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    return members.join(texts, F.col("set_id") == F.col("_s")).drop("_s")
+
+
+def _in_one(units: DataFrame) -> DataFrame:
+    """Units (unit, set_id) that aren't cut into blocks."""
+    return units.withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(0)})
 
 
-def _whole(rest: DataFrame, sets: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """Units that compare all pairs of ``rest`` (region, set_id), cut into blocks of about
-    ``block`` sets each of which meets all others of the regions that hang together."""
+def _whole(rest: DataFrame, block: int) -> DataFrame:
+    """unit, i, j, block, set_id: units that compare all pairs of ``rest`` (region, set_id), cut into
+    blocks of about ``block`` sets each of which meets all others of the regions that hang together."""
     hubs = rest.groupBy("region").agg(F.min("set_id").alias("a"))
     clusters = components(rest.join(hubs, "region").select("a", F.col("set_id").alias("b")))
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     member = clusters.join(sizes, "root").select(F.xxhash64("root").alias("unit"), F.col("node").alias("set_id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    return _with_texts(member, sets, texts).withColumn("_p", F.explode(places)).select("unit", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "block", "set_id", "_text")
+    return member.withColumn("_p", F.explode(places)).select("unit", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "block", "set_id")
 
 
 def _unsettled(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """region, set_id of cut regions that hold more than one component."""
-    root: Column = F.coalesce("root", "set_id")
-    named = crowded.join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", root.alias("root"))
-    split = named.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("region")
-    return crowded.join(split, "region").distinct()
+    """region, set_id, root, stray, n, n_strays of cut regions that hold more than one component:
+    strays are the sets outside the largest one."""
+    rows = crowded.distinct().join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", F.coalesce("root", "set_id").alias("root"))
+    parts = rows.groupBy("region", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("k"))
+    regions = parts.groupBy("region").agg(F.max_by("most", F.struct("k", "most")).alias("most"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_strays")).where("n_strays > 0")
+    return rows.join(regions, "region").select("region", "set_id", "root", (F.col("root") != F.col("most")).alias("stray"), "n", "n_strays")
+
+
+def stray_pairs(few: DataFrame, sets: DataFrame, floor: float, block: int = 2000) -> DataFrame:
+    """a, b: each stray of a region with the sets of other components whose signatures are alike.
+    Strays meet the region's rows in blocks, so a region of any size is dealt to many tasks."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    rows = few.select("region", "set_id", "root", "stray", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def met() -> pd.DataFrame:
+            sig = np.frombuffer(b"".join(r[5] for r in held), dtype="<u2").reshape(len(held), -1)
+            out = []
+            for k in (k for k, r in enumerate(held) if r[4]):
+                for other in np.flatnonzero((sig == sig[k]).sum(axis=1) >= floor * sig.shape[1]):
+                    if held[other][3] != held[k][3]:
+                        out.append((held[k][2], held[other][2]))
+            return pd.DataFrame(out, columns=["a", "b"])
+
+        for batch in batches:
+            for region, part, set_id, root, stray, sig in batch.itertuples(index=False, name=None):
+                if held and held[0][:2] != (region, part):
+                    yield met()
+                    held = []
+                held.append((region, part, bytes(set_id), bytes(root), stray, bytes(sig)))
+        if held:
+            yield met()
+
+    dealt = _signed_rows(rows, sets).select("region", "block", "set_id", "root", "stray", "sig")
+    return dealt.repartition(tasks(few), "region", "block").sortWithinPartitions("region", "block").mapInPandas(pairs, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6, run: int = 64, lap: int = 16, block: int = 100, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def _stray_units(pairs: DataFrame, most: int = 250) -> DataFrame:
+    """unit, set_id: each stray with at most about ``most`` of its partners."""
+    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "_a")
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most))
+    unit = pairs.join(n, F.col("a") == F.col("_a")).select(F.xxhash64("a", part).alias("unit"), "a", "b")
+    return unit.select("unit", F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6, run: int = 256, lap: int = 32, strays: int = 64, block: int = 100, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """For each row: the id, _hash (xxhash64 of the text), n_shingles, component_id (smallest
     id reachable by links, itself included) and kept (the row bears its component's name)."""
     spark = docs.sparkSession
     pool = max(96, trees_for(percent, depths[0], miss) * depths[0])
     facts = saved(signed(docs, words, pool, seed, id_col, text_col))
     sets = facts.where(F.col("set_id").isNotNull()).groupBy("set_id", "sig").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_hash")).alias("first"))
-    sets, texts = saved(sets), _texts(docs, id_col, text_col)
+    sets = saved(sets)
     share = percent / 100
     floor = share - 5.5 * math.sqrt(share * (1 - share) / pool) - 1 / pool
-    links, roots, left = [], None, sets
+    texts, roots, left, rest = None, None, sets, None
+
+    def joined(links: DataFrame) -> DataFrame:
+        """Components, with ``links`` added to those there are."""
+        more = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return saved(components(more))
+
     for level, depth in enumerate(depths):
         n_trees = trees_for(percent, depth, miss)
         order = orders(n_trees, depth, pool, seed)
         parts = max(1, min(shuffle_partitions(spark), left.count() * n_trees // 20_000))
         cut = saved(runs_of(in_orders(left, order, depth), parts, run, lap, level))
+        crowded = cut.where(F.col("region").isNotNull()).select("region", "set_id")
         units = saved(alike(cut, sets, order, depth, floor))
-        zero = F.lit(0)
-        links.append(saved(confirmed(_with_texts(units, sets, texts).withColumns({"i": zero, "j": zero, "block": zero}), words, percent)))
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        roots = saved(components(found))
-        rest = saved(_unsettled(cut.where(F.col("region").isNotNull()).select("region", "set_id"), roots))
+        if texts is None:  # whole texts are shuffled here, once
+            texts = _texts_of(units.select("set_id").unionByName(crowded.select("set_id")), sets, _texts(docs, id_col, text_col))
+        roots = joined(saved(confirmed(_with_texts(_in_one(units), texts), words, percent, tasks(units, 2000))))
+        open_ = saved(_unsettled(crowded, roots))
+        pairs = saved(stray_pairs(open_.where(F.col("n_strays") <= strays), sets, floor))
+        if not pairs.isEmpty():
+            more = saved(_stray_units(pairs))
+            links = saved(confirmed(_with_texts(_in_one(more), texts), words, percent, tasks(more, 2000)))
+            roots = joined(links) if not links.isEmpty() else roots
+        rest = open_.where(F.col("n_strays") > strays).select("region", "set_id")
         if rest.isEmpty():
             break
         left = sets.join(rest.select(F.col("set_id").alias("_s")).distinct(), F.col("set_id") == F.col("_s"), "left_semi")
     else:
-        whole = saved(confirmed(_whole(rest, sets, texts, block), words, percent))
-        roots = saved(components(found.unionByName(whole)))
+        whole = saved(_whole(rest, block))
+        roots = joined(confirmed(_with_texts(whole, texts), words, percent, tasks(whole, 2000)))
     ids = sets.select(F.col("set_id"), F.col("first._id").alias("least"))
     named = roots.join(ids, F.col("node") == F.col("set_id")).select("root", "node", "least")
     names = named.groupBy("root").agg(F.min("least").alias("name")).select(F.col("root").alias("k"), "name")
