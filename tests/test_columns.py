@@ -63,3 +63,13 @@ def test_urls(spark):
         assert value(spark, column, t=given) == want, (given, want)
     link = value(spark, urls.parse_deep_link(urls.deep_link("entry", F.col("t"))), t="a b/c")
     assert (link["kind"], link["id"]) == ("entry", "a b/c")
+
+
+def test_entities_and_recognised_text(spark):
+    assert value(spark, urls.decode_entities(F.col("c")), c="a&nbsp;b &lt;&#65;&#x1F600;&#xD800; &amp;lt; &#20013;") == "a b <A😀&#xD800; &lt; 中"
+    page = """<head><title>A &amp; B</title><meta content="It&#39;s short" name="description"></head>"""
+    assert (value(spark, urls.html_title(F.col("c")), c=page), value(spark, urls.html_description(F.col("c")), c=page)) == ("A & B", "It's short")
+    assert value(spark, urls.html_description(F.col("c")), c='<meta property="og:description" content="x">') == "x"
+    assert value(spark, text.clean_text(F.col("c")), c="会 议 室 a b") == "会议室 a b"
+    one, two = F.lit(7).cast("long"), F.lit(4).cast("long")
+    assert value(spark, text.hamming(one, two)) == 2 and value(spark, text.hamming(one, two, F.lit("a"), F.lit("b"))) is None

@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tidelog.operators.entries import SCHEMA
@@ -71,3 +73,34 @@ def test_streams(spark, tmp_path):
     assert run(streams.once_a_day(stream, "user"), "daily").count() == 3
     assert {r["n"] for r in run(streams.slots(stream), "slots").collect()} == {4, 1}
     assert run(streams.sessions(stream, ["user"]), "sess").count() >= 2
+
+
+def test_streams_with_memory(spark, tmp_path):
+    shapes = [("u", 0, "text:1", ["text:1", "image:1"]), ("u", 10, "image:1", []), ("u", 20, "image:1", []), ("u", 30, "text:2", ["image:2"]), ("u", 900, "image:2", []), ("v", 5, "image:1", [])]
+    src = spark.createDataFrame(shapes, "user string, s long, shape string, others array<string>").select("user", F.timestamp_seconds("s").alias("ts"), "shape", "others")
+    src.coalesce(1).write.parquet(str(tmp_path / "shapes"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "shapes"))
+    got = {(r["key"], r["ts"].timestamp(), r["shape"]) for r in run(streams.without_other_shapes(stream, "user", "shape", "others"), "shapes").collect()}
+    assert got == {("u", 0.0, "text:1"), ("u", 20.0, "image:1"), ("u", 30.0, "text:2"), ("u", 900.0, "image:2"), ("v", 5.0, "image:1")}  # a left-over is let go once
+    pictures = [("u", 0, 0b1111, "9x9"), ("u", 10, 0b1101, "9x9"), ("u", 20, 0b1111, "8x8"), ("u", 30, 0b11110000, "9x9"), ("u", 70, 0b1111, "9x9"), ("v", 1, -1, "9x9"), ("v", 2, -2, "9x9")]
+    src = spark.createDataFrame(pictures, "user string, s long, bits long, size string").select("user", F.timestamp_seconds("s").alias("ts"), "bits", "size")
+    src.coalesce(1).write.parquet(str(tmp_path / "pictures"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "pictures"))
+    got = {(r["key"], r["ts"].timestamp()) for r in run(streams.without_same_pictures(stream, "user", "bits", "size"), "pictures").collect()}
+    assert got == {("u", 0.0), ("u", 20.0), ("u", 30.0), ("u", 70.0), ("v", 1.0)}
+    copies = [("text", "a", 0), ("text", "a", 60), ("url", "b", 0), ("url", "b", 7200), ("image", "c", 0)]
+    src = spark.createDataFrame(copies, "kind string, what string, s long").select("kind", "what", F.timestamp_seconds("s").alias("ts"))
+    src.coalesce(1).write.parquet(str(tmp_path / "copies"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "copies"))
+    assert Counter(r["kind"] for r in run(streams.without_copies_by_kind(stream, "kind", "what"), "by_kind").collect()) == {"text": 1, "url": 1, "image": 1}
+    beats = spark.createDataFrame([("a", 0), ("a", 300), ("b", 0), ("b", 5000)], "who string, s long").select("who", F.timestamp_seconds("s").alias("ts"))
+    beats.coalesce(1).write.parquet(str(tmp_path / "beats"))
+    stream = spark.readStream.schema(beats.schema).parquet(str(tmp_path / "beats"))
+    assert {(r["who"], r["since"].timestamp()) for r in run(streams.stale(stream, "who"), "stale").collect()} >= {("a", 300.0), ("b", 0.0)}
+    q = streams.append_to(stream, str(tmp_path / "out"), str(tmp_path / "at"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    seen = []
+    q = streams.maintain(stream, str(tmp_path / "at2"), lambda batch, k: seen.append(batch.count()))
+    q.awaitTermination(120)
+    assert seen == [4]

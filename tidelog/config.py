@@ -28,3 +28,9 @@ SITES = {
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 BROWSERS = r"(?i)chrome|chromium|safari|firefox|edge|opera|brave|vivaldi"
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref|ref_src|spm|si|igshid)$"
+PAGE_KEY_CHARS = 4
+# Names of programs and of their shells, which are no pages.
+SHELLS = (
+    "google chrome", "chrome", "safari", "firefox", "arc", "microsoft edge", "claude", "chatgpt", "wechat", "微信", "terminal", "iterm2", "finder", "new tab",
+    "新标签页", "untitled", "无标题", "google maps", "谷歌地图", "google translate", "gmail", "notion", "youtube", "x", "facebook",
+)

@@ -177,6 +177,12 @@ def card_ok(c: Column) -> Column:
     return digits.rlike(r"^(?!(\d)\1+$)[2-6]\d{12,18}$") & F.call_function("luhn_check", digits)
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Distance of two 64-bit picture fingerprints."""
-    return F.bit_count(a.bitwiseXOR(b))
+def clean_text(c: Column) -> Column:
+    """Recognised text without the gaps that stand between Han letters."""
+    return F.regexp_replace(text_of(c), r"(?<=\p{IsHan})[ \t]+(?=\p{IsHan})", "")
+
+
+def hamming(a: Column, b: Column, size_a: Column | None = None, size_b: Column | None = None) -> Column:
+    """Distance of two 64-bit picture fingerprints; null (no distance) for pictures of other sizes."""
+    apart = F.bit_count(a.bitwiseXOR(b))
+    return apart if size_a is None or size_b is None else F.when(size_a.eqNullSafe(size_b), apart)

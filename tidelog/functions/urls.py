@@ -98,18 +98,47 @@ def safe_name(c: Column, most: int = 80) -> Column:
     return F.coalesce(F.nullif(F.substring(t, 1, most), F.lit("")), F.lit("untitled"))
 
 
+# The entities that pages use by name.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def decode_entities(c: Column) -> Column:
+    """Character references, by number and by the common names, as characters.  "&amp;" comes last,
+    so nothing is decoded twice; a number that is no character stays as it is."""
+    t = text_of(c)
+    numbered = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:\d{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+
+    def character(ref: Column) -> Column:
+        hexed = F.when(ref.rlike("^&#[xX]"), F.regexp_extract(ref, "^&#[xX](.+);$", 1)).otherwise(F.conv(F.regexp_extract(ref, r"^&#(\d+);$", 1), 10, 16))
+        code = F.conv(hexed, 16, 10).cast("long")
+        good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        return F.when(good, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")).otherwise(ref)
+
+    out = F.aggregate(numbered, t, lambda acc, ref: F.replace(acc, ref, character(ref)))
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
 def html_to_text(c: Column, most: int | None = None) -> Column:
     """A quick text view of a page: scripts and comments out, blocks to lines, the common
     entities decoded."""
     t = F.regexp_replace(text_of(c), r"(?is)<(script|style|head|template)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/section|/article|/ul|/ol|/table)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = decode_entities(F.regexp_replace(t, r"(?s)<[^>]*>", " "))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))), lambda x: x != "")
     out = F.array_join(lines, "\n")
     return F.substring(out, 1, most) if most else out
 
 
 def html_title(c: Column) -> Column:
-    return F.trim(F.regexp_extract(text_of(c), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(decode_entities(F.regexp_extract(text_of(c), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+
+
+def html_description(c: Column) -> Column:
+    """What a page says about itself: its description, or what it gives to those who link it."""
+    t = text_of(c)
+    name = r"""(?:name|property)\s*=\s*["'](?:og:)?description["']"""
+    content = r"""content\s*=\s*["']([^"']*)["']"""
+    first, second = F.regexp_extract(t, rf"(?is)<meta\b[^>]*{name}[^>]*{content}", 1), F.regexp_extract(t, rf"(?is)<meta\b[^>]*{content}[^>]*{name}", 1)
+    return F.trim(decode_entities(F.when(first != "", first).otherwise(second)))

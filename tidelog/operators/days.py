@@ -26,6 +26,14 @@ def day_counts(e: DataFrame, dimension: str) -> DataFrame:
     return e.groupBy("date_key", F.col(dimension).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def breakdown(e: DataFrame, dimensions: tuple[str, ...] = ("type", "src", "app", "status"), slots: DataFrame | None = None) -> DataFrame:
+    """date_key, dimension, value, n: a day's records by each dimension and by hour, in one pass; with
+    ``slots`` (day, minutes) also the minutes that the recorder ran."""
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in dimensions], F.struct(F.lit("hour").alias("dimension"), F.hour("created_at").cast("string").alias("value")))
+    out = e.select("date_key", F.inline(cells)).groupBy("date_key", "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    return out if slots is None else out.unionByName(slots.select(F.col("day").alias("date_key"), F.lit("minutes").alias("dimension"), F.lit("").alias("value"), F.col("minutes").cast("long").alias("n")))
+
+
 def top_titles(e: DataFrame, most: int = 3) -> DataFrame:
     """Per day and app the first few distinct titles, in order of time."""
     seen = e.where(text_of(F.col("title")) != "").groupBy("date_key", "app", "title").agg(F.min(F.struct("created_at", "id")).alias("at"))

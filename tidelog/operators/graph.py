@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,32 +92,62 @@ def aliases(terms: DataFrame, long: int = 8, short: int = 4) -> DataFrame:
     return cut.join(terms.select(F.col("key").alias("part")), "part").select("whole", "part").distinct()
 
 
-def components(edges: DataFrame, each: int = 50_000) -> DataFrame:
+def contracted(edges: DataFrame, chunk: int = 200_000) -> DataFrame:
+    """``edges`` (u, v) as stars: of every ``chunk`` edges that lie together, each node with the least
+    one it hangs together with.  A narrow pass that leaves components as they are and paths short."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+        n = 0
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def stars() -> pd.DataFrame:
+            return pd.DataFrame([(x, r) for x in up if (r := find(x)) != x], columns=["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch["u"], batch["v"], strict=True):
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+            n += len(batch)
+            if n >= chunk:
+                yield stars()
+                up, n = {}, 0
+        yield stars()
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.select("u", "v").mapInPandas(run, f"u {kind}, v {kind}")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of any ordered type -> (node, root): the least node of each component, for
     every node with an edge to another one.  Loops and nulls are ignored.
 
-    Large and small stars in turn; each half step is one aggregate and one join, so neither a
-    node with very many edges nor a large component is ever gathered in one task.  The number of
-    rounds grows with the logarithm of the longest path; each is written to the shared folder,
-    and dealt to as many tasks as give each about ``each`` edges, within what the session sets."""
-    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    Edges that lie together are contracted first, then large and small stars follow in turn; each
+    half step is one aggregate and one join, so neither a node with very many edges nor a large
+    component is ever gathered in one task.  The number of rounds grows with the logarithm of
+    the longest path; each is written to the shared folder."""
 
-    def star(rows: DataFrame, n: int, key: str, other: str) -> DataFrame:
+    def star(rows: DataFrame, key: str, other: str) -> DataFrame:
         """``rows`` with m: the least of ``key`` and all its ``other``."""
-        dealt = rows.repartition(n, key)  # for the aggregate and the join alike
-        least = dealt.groupBy(key).agg(F.min(other).alias("m")).select(F.col(key).alias("_k"), F.least(key, "m").alias("m"))
-        return dealt.join(least, dealt[key] == least["_k"]).drop("_k")
+        least = rows.groupBy(key).agg(F.min(other).alias("m")).select(F.col(key).alias("_k"), F.least(key, "m").alias("m"))
+        return rows.join(least, rows[key] == least["_k"]).drop("_k")
 
-    e = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    e = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    e = saved(contracted(e).distinct())
     while True:
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before is not None and (now["n"], now["h"]) == before:
+        # Stars already, if each node hangs on one root and no root hangs on another.
+        heads = e.select(F.col("v").alias("u"), F.lit(1).alias("head")).distinct().unionByName(e.select("u", F.lit(0).alias("head")))
+        bad = heads.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if bad.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before, n = (now["n"], now["h"]), max(1, min(most, 8 + now["n"] // each))
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        large = saved(star(both, n, "x", "y").where((F.col("y") > F.col("x")) & (F.col("y") != F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
-        small = star(large, n, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
+        large = star(both, "x", "y").where((F.col("y") > F.col("x")) & (F.col("y") != F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        small = star(large, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
         e = saved(small.select("p.*").where(F.col("u") != F.col("v")).distinct())
 
 

@@ -82,6 +82,35 @@ def league(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return mean.withColumn("best_of_family", F.row_number().over(Window.partitionBy("family").orderBy(F.col("mean").desc(), "name")) == 1)
 
 
+def among(scores: DataFrame, models: DataFrame, key: str = "name") -> DataFrame:
+    """Scores of the models that are in a list."""
+    return scores.join(models.select(key).distinct(), key, "left_semi")
+
+
+def tiers(models: DataFrame, budget_gb: float, per_tier: int = 3) -> DataFrame:
+    """tier (0 small to 2 large), rank, name, family: the best ``per_tier`` of each third by the memory
+    that models (name, family, need_gb, score) need, one of a family, of those that fit."""
+    fits = models.where(F.col("need_gb") <= budget_gb)
+    sizes = fits.select("need_gb").distinct().withColumn("tier", F.ntile(3).over(Window.orderBy("need_gb")) - 1)  # a row for each size there is
+    best = fits.join(sizes, "need_gb").withColumn("_f", F.row_number().over(Window.partitionBy("tier", "family").orderBy(F.col("score").desc(), "name"))).where("_f = 1")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy(F.col("score").desc(), "name")))
+    return ranked.where(F.col("rank") <= per_tier).select("tier", "rank", "name", "family")
+
+
+def on_display(windows: DataFrame, x: float, y: float, w: float, h: float) -> DataFrame:
+    """Windows (x, y, w, h) that a display shows, cut to it and in its own coordinates."""
+    left, top = F.greatest(F.col("x"), F.lit(x)), F.greatest(F.col("y"), F.lit(y))
+    right, low = F.least(F.col("x") + F.col("w"), F.lit(x + w)), F.least(F.col("y") + F.col("h"), F.lit(y + h))
+    return windows.where((right > left) & (low > top)).withColumns({"x": left - x, "y": top - y, "w": right - left, "h": low - top})
+
+
+def box_at(boxes: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """Each point (key, px, py) with the smallest box (key, box, x, y, w, h) of its picture that holds it."""
+    inside = (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))
+    met = points.join(boxes, key).where(inside)
+    return met.groupBy(key, "px", "py").agg(F.min_by("box", F.struct(F.col("w") * F.col("h"), F.col("box"))).alias("box"))
+
+
 def newest_alike(models: DataFrame) -> DataFrame:
     """Per alias (vendor, context, price) the newest concrete model by its version's numbers."""
     version = F.transform(F.regexp_extract_all("name", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, urls
-from ..operators import days, entries, filters, graph, hygiene, media, search, sessions, vectors
+from ..operators import days, entries, filters, graph, hygiene, media, pages, search, sessions, vectors
 from ..session import saved_dir, table
-from . import retrieval
+from . import retrieval, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,7 +215,7 @@ def media_classify(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style\s*>|<script\b.*?</script\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'),
  '(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/section|/article|/ul|/ol|/table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t, html FROM pages),
 x AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM t)
-SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title,
  array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(y, '[ \t\r\f]+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS text FROM x""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", urls.html_title(F.col("html")).alias("title"), urls.html_to_text(F.col("html")).alias("text"))
@@ -523,8 +523,8 @@ k AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key, trim(
 s AS (SELECT *, t = '' AS blank, length(t) <= 44 AND len(regexp_split_to_array(t, '\s+')) < 5 AND NOT regexp_matches(t, '[.!?;]$') AND NOT (regexp_matches(t, '[，,、]') AND length(t) > 18) AS m FROM k),
 c AS (SELECT *, sum((NOT blank AND NOT m)::INT) OVER (PARTITION BY id ORDER BY no ROWS UNBOUNDED PRECEDING) AS run FROM s),
 g AS (SELECT *, n_lines >= 20 AND (blank OR m) AND sum((NOT blank AND m)::INT) OVER (PARTITION BY id, run) >= 5 AS menu FROM c),
-r AS (SELECT id, key, count(*) AS n, min(no) AS at, arg_min(line, no) AS line, min(no) FILTER (NOT menu) AS free_at, arg_min(line, no) FILTER (NOT menu) AS free FROM g WHERE key <> '' AND key NOT IN (SELECT key FROM fur) GROUP BY id, key HAVING count(*) < 4 OR length(key) > 90),
-v AS (SELECT id, string_agg(trim(line), chr(10) ORDER BY at) AS soft, string_agg(trim(free), chr(10) ORDER BY free_at) FILTER (free_at IS NOT NULL) AS whole FROM r GROUP BY id),
+r AS (SELECT id, key, count(*) AS n, min(no) AS line_at, arg_min(line, no) AS line, min(no) FILTER (NOT menu) AS free_at, arg_min(line, no) FILTER (NOT menu) AS free FROM g WHERE key <> '' AND key NOT IN (SELECT key FROM fur) GROUP BY id, key HAVING count(*) < 4 OR length(key) > 90),
+v AS (SELECT id, string_agg(trim(line), chr(10) ORDER BY line_at) AS soft, string_agg(trim(free), chr(10) ORDER BY free_at) FILTER (free_at IS NOT NULL) AS whole FROM r GROUP BY id),
 w AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS raw, coalesce(soft, '') AS soft, coalesce(whole, '') AS whole FROM documents LEFT JOIN v ON v.id = doc_id),
 x AS (SELECT *, CASE WHEN length(whole) >= 0.35 * length(raw) THEN 'full' WHEN length(soft) >= 0.35 * length(raw) THEN 'soft' ELSE 'raw' END AS view FROM w)
 SELECT id, view, sha256(CASE view WHEN 'full' THEN whole WHEN 'soft' THEN soft ELSE raw END) AS sha256 FROM x""")
@@ -581,9 +581,13 @@ def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurring(graph.entity_index(_entity_rows(spark, d)))
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT p_name AS key FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part UNION SELECT DISTINCT lower(p_type) FROM part)
+SELECT w.key AS whole, p.key AS part FROM t w JOIN t p ON w.key <> p.key AND length(w.key) >= 8 AND length(p.key) >= 4 AND contains(concat(' ', w.key, ' '), concat(' ', p.key, ' '))""")
 def entity_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return graph.aliases(graph.entity_df(_entity_rows(spark, d)))
+    """Compound names of parts and the names in them."""
+    part = table(spark, d, "part")
+    keys = part.select(F.col("p_name").alias("key")).unionByName(part.select(F.explode(F.split("p_name", " ")).alias("key"))).unionByName(part.select(F.lower("p_type").alias("key"))).distinct()
+    return graph.aliases(keys)
 
 
 _HOPS = 12  # least roots travel so many edges in the SQL; more than the longest shortest path between suppliers
@@ -648,3 +652,98 @@ SELECT user_id, round(m[len(m) // 2 + 1], 6) AS median, m[len(m) // 2 + 1] > 50
 def recent_median(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
     return media.recent_median(ev, "user_id", "at", "value", limit_ms=50).withColumn("median", F.round("median", 6))
+
+
+# --- pages as sources, a day's digest, names, lists ---------------------------------------
+
+_DECODED = """replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')"""
+_PLAIN = r"""p AS (SELECT page_id AS id, TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919) % 5184000) AS seen_at, url, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS norm,
+  regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw FROM pages),
+k AS (SELECT *, trim(regexp_replace(trim(""" + _DECODED.format("raw") + r"""), '\s+', ' ', 'g')) AS squeezed, trim(""" + _DECODED.format("raw") + ") AS title FROM p)"
+
+
+def _plain_pages(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id")
+    return table(spark, d, "pages").select(i.alias("id"), F.timestamp_seconds(F.lit(1704067200) + (i * 7919) % 5184000).alias("at"), "url", urls.html_title(F.col("html")).alias("title"), F.lit("").alias("text"))
+
+
+@query(f"""WITH {_PLAIN} SELECT id, norm AS url_key, CASE WHEN length(squeezed) < 4 OR lower(squeezed) IN ('untitled', 'new tab', 'notion', 'gmail', 'youtube', 'facebook') THEN '' ELSE squeezed END AS title_key FROM k""")
+def page_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _plain_pages(spark, d).select("id", urls.norm_url(F.col("url")).alias("url_key"), pages.title_key(F.col("title")).alias("title_key"))
+
+
+@query()
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by all their names: those with one address or one title are the same."""
+    rows = _plain_pages(spark, d).select("id", pages.page_keys(F.col("url"), F.col("title")).alias("keys"))
+    return pages.page_nodes(rows, rows.where("id % 10 = 0"))
+
+
+@query(f"""WITH {_PLAIN}, s AS (SELECT seen_at, url, title, (SELECT sum(CASE WHEN contains(lower(title), w) THEN 2 WHEN contains(lower(concat_ws(chr(10), title, url, '')), w) THEN 1 ELSE 0 END) FROM (SELECT unnest(['the', 'in', 'example']) AS w))::INT AS score FROM k)
+SELECT seen_at AS "at", url, title, score FROM s WHERE score > 0 ORDER BY score DESC, seen_at DESC, url LIMIT 60""")
+def find_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.find_pages(_plain_pages(spark, d), ("the", "in", "Example "))
+
+
+@query(E + """, x AS (SELECT date_key, unnest([{'d': 'type', 'v': type}, {'d': 'src', 'v': src}, {'d': 'app', 'v': coalesce(app, '')}, {'d': 'status', 'v': coalesce(status, '')}, {'d': 'hour', 'v': hour(created_at)::VARCHAR}]) AS c FROM e)
+SELECT date_key, c.d AS dimension, c.v AS value, count(*) AS n FROM x GROUP BY ALL""")
+def day_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return days.breakdown(_entries(spark, d))
+
+
+@query(E + r""", n AS (SELECT date_key, count(*) AS n FROM e GROUP BY date_key),
+l AS (SELECT date_key, created_at, id, concat('- [', strftime(created_at, '%Y-%m-%d %H:%M'), '] (', type, ') ', coalesce(nullif(title, ''), path, ''), CASE WHEN coalesce(app, '') <> '' THEN concat(' | from ', app, CASE WHEN coalesce(url, '') <> '' THEN concat(' <', url, '>') ELSE '' END) ELSE '' END,
+  CASE WHEN x <> '' THEN concat(' | ', x) ELSE '' END) AS line FROM (SELECT e.*, substring(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, greatest(150, least(600, 6000 // n))::INT) AS x FROM e JOIN n USING (date_key))),
+u AS (SELECT *, sum(length(line)) OVER w AS used, row_number() OVER w AS place FROM l WINDOW w AS (PARTITION BY date_key ORDER BY created_at, id ROWS UNBOUNDED PRECEDING))
+SELECT date_key, place::INT AS place, id, line FROM u WHERE used <= 6000 UNION ALL SELECT date_key, min(place)::INT, NULL, '- [... more items omitted]' FROM u WHERE used > 6000 GROUP BY date_key""")
+def day_digest(spark: SparkSession, d: str) -> DataFrame:
+    return workspace.digest(_entries(spark, d), 6000)
+
+
+@query(E + f""", {_LEGS}, b AS (SELECT id, bool_and(leg = 'vector') AS near FROM legs GROUP BY id) SELECT b.id, near FROM b JOIN e USING (id)""")
+def exact_and_near(spark: SparkSession, d: str) -> DataFrame:
+    legs = _legs(spark, d)
+    return workspace.exact_and_near(legs.where("leg = 'lexical'"), legs.where("leg = 'vector'"), _entries(spark, d))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS id, concat('part ', l_partkey) AS key, CASE l_partkey % 3 WHEN 0 THEN 'date' ELSE 'name' END AS kind FROM lineitem GROUP BY ALL), f AS (SELECT key, count(*) AS df FROM n GROUP BY key),
+o AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS lane FROM orders QUALIFY lane < 12),
+r AS (SELECT n.key, df, lane, row_number() OVER (PARTITION BY n.id ORDER BY CASE kind WHEN 'name' THEN 1 ELSE 0 END, df, n.key) - 1 AS turn FROM n JOIN f USING (key) JOIN o ON o.id = n.id),
+g AS (SELECT key, min(turn * 1000 + lane) FILTER (turn < 3) AS first, round(count(*) / log2(2 + min(df)), 9) AS w FROM r GROUP BY key)
+SELECT (row_number() OVER (ORDER BY first IS NULL, first, w DESC, key) - 1)::INT AS place, key FROM g""")
+def names_in_turn(spark: SparkSession, d: str) -> DataFrame:
+    """The names (parts) of the twelve largest orders, in turns."""
+    names = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("part "), "l_partkey").alias("key"), F.when(F.col("l_partkey") % 3 == 0, "date").otherwise("name").alias("kind")).distinct()
+    df = names.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    first = search.ranked(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), "order", F.col("o_totalprice").desc(), F.col("id"), n=12)
+    return workspace.names_in_turn(names.join(df, "key"), first)
+
+
+@query("""WITH m AS (SELECT p_partkey AS name, p_brand AS family, p_size::DOUBLE AS need, p_retailprice AS score FROM part WHERE p_size <= 40), s AS (SELECT need, ntile(3) OVER (ORDER BY need) - 1 AS tier FROM (SELECT DISTINCT need FROM m)),
+b AS (SELECT *, row_number() OVER (PARTITION BY tier, family ORDER BY score DESC, name) AS f FROM m JOIN s USING (need)), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY score DESC, name) AS rank FROM b WHERE f = 1)
+SELECT tier::INT AS tier, rank::INT AS rank, name, family FROM r WHERE rank <= 3""")
+def model_tiers(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("family"), F.col("p_size").cast("double").alias("need_gb"), F.col("p_retailprice").alias("score"))
+    return media.tiers(m, 40)
+
+
+@query(E + "SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT date_key) AS days, sum(strlen(coalesce(text, '')))::BIGINT AS text_bytes FROM e")
+def table_stats(spark: SparkSession, d: str) -> DataFrame:
+    return workspace.table_stats(_entries(spark, d))
+
+
+@query()
+def answer(spark: SparkSession, d: str) -> DataFrame:
+    """A question's records and pages seen in passing, with what two turns used before."""
+    from datetime import date
+
+    return retrieval.answer(_index(spark, d), ["where is the apache license", "license version"], date(2024, 3, 1), turns=[[3, 5], [7]], asked_before=["an earlier question"], trail=_plain_pages(spark, d))
+
+
+@query()
+def near_related(spark: SparkSession, d: str) -> DataFrame:
+    """What a question's first hits lead to, by their own words and by their pages."""
+    from datetime import date
+
+    rows = _plain_pages(spark, d).select("id", pages.page_keys(F.col("url"), F.col("title")).alias("keys"))
+    return retrieval.near_related(_index(spark, d), "apache license", date(2024, 3, 1), pages.page_nodes(rows, rows))

@@ -8,10 +8,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import KEEP
 from ..functions.text import snippet
-from ..operators import search, vectors
+from ..operators import hygiene, pages, search, vectors
 from ..operators.filters import Filter, clamp, matching
 from .dates import parse_range
 
@@ -176,3 +177,61 @@ def ask(index: Index, questions: Sequence[str], today: date, planner: Callable[[
     for leg in legs[1:]:
         out = out.unionByName(leg)
     return search.interleave(out, keep)
+
+
+def planned(queries: Sequence[str], banned: Sequence[str] = (), most: int = 8, chars: int = 40) -> list[str]:
+    """A planner's queries that are worth asking: short, different, and not of banned words only."""
+    bad = {b.lower() for b in banned}
+    short = [q for x in queries if (q := " ".join(x.split())) and len(q) <= chars]
+    return [q for q in dict.fromkeys(short) if not all(w.lower() in bad for w in q.split())][:most]
+
+
+def carried_over(turns: Sequence[Sequence[int]], each: int = 3, most: int = 4) -> list[int]:
+    """Records that the last two turns used: ``each`` of a turn, the later turn first, ``most`` in all."""
+    return list(dict.fromkeys(i for turn in list(turns)[-2:][::-1] for i in list(turn)[:each]))[:most]
+
+
+def near_related(index: Index, q: str, today: date, nodes: DataFrame | None = None, chunks: DataFrame | None = None, query: Sequence[float] | None = None, exclude: Sequence[int] = (), limit: int = 12) -> DataFrame:
+    """id, how, rank: what a question is close to.  Its nearest vectors where there are some, else what
+    its first hits' own words find; and then what stands on the same pages as they."""
+    if chunks is not None and query is not None:
+        seeds = search.ranked(near(index.e, chunks, query, exclude, limit), "near", F.col("score").desc(), F.col("id"), n=limit)
+    else:
+        hits = index.select(q, today, limit)
+        words = [r["term"] for r in feedback_terms(index.post, hits, index.total).collect()]  # three at most
+        own = search.query_terms(q)
+        found = search.rare_cohits(index.post, index.lengths, [w for w in words if w not in own], 4 * limit).join(hits.select("id"), "id", "left_anti")
+        seeds = search.ranked(found.where(~F.col("id").isin(*exclude)) if exclude else found, "feedback", F.col("n_terms").desc(), "rarest", F.col("id").desc(), n=limit)
+    out = seeds.select("id", F.col("leg").alias("how"), "rank")
+    if nodes is None:
+        return out.limit(limit)
+    hop = pages.same_page(nodes, seeds).join(seeds.select("id", "rank"), "id").groupBy(F.col("other").alias("id")).agg(F.min("rank").alias("rank"))
+    hop = hop.join(out.select("id"), "id", "left_anti").select("id", F.lit("page").alias("how"), "rank")
+    both = (out.unionByName(hop.where(~F.col("id").isin(*exclude))) if exclude else out.unionByName(hop)).orderBy("rank", F.col("how") == "page", "id")
+    return both.limit(limit)
+
+
+def answer(index: Index, questions: Sequence[str], today: date, planner: Callable[[str], Sequence[str]] | None = None, turns: Sequence[Sequence[int]] = (), asked_before: Sequence[str] = (), trail: DataFrame | None = None, keep: int = KEEP, reserved: int = 3) -> DataFrame:
+    """place, kind, ref: the records (by id) and pages seen in passing (by address) that a question
+    gets.  Lanes of the question and of what a planner adds are taken in turn, then blended
+    with the question's shape and words over all records; records that only repeat an earlier
+    question go, and ``reserved`` places are the best pages'."""
+    main = questions[0]
+    lanes = ask(index, [*questions, *planned(planner(main))] if planner else questions, today, None, carried_over(turns), keep)
+    pool = search.indexed(index.e)
+    if asked_before:
+        pool = pool.where(hygiene.not_echo(pool, asked_before))
+    terms = search.query_terms(main)
+    order = (F.col("round"), F.col("leg"), F.col("id"))
+    legs = search.ranked(lanes.select("id", "round", F.col("leg").alias("_leg")).withColumnRenamed("_leg", "leg").join(pool.select("id"), "id", "left_semi"), "found", *order, n=keep)
+    if terms:
+        legs = legs.unionByName(search.ranked(search.scan_words(pool, terms), "scan", F.col("score").desc(), F.col("id"), n=keep))
+    if shape := search.shape_of(main):
+        legs = legs.unionByName(search.ranked(search.shape_scan(pool, shape, terms), "shape", F.col("score").desc(), F.col("id"), n=keep))
+    seen = None
+    if trail is not None and terms:
+        found = pages.find_pages(trail, terms, reserved)
+        seen = found.select((F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("at").desc(), "url")) - 1).alias("place"), F.lit("page").alias("kind"), F.col("url").alias("ref"))  # ``reserved`` rows
+    taken = seen.count() if seen is not None else 0
+    records = search.blend(legs, keep - taken).select("place", F.lit("record").alias("kind"), F.col("id").cast("string").alias("ref"))
+    return records if seen is None else records.unionByName(seen.withColumn("place", F.col("place") + (keep - taken)))

@@ -7,14 +7,16 @@ import email.header
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.urls import html_to_text
+from ..functions.text import note_title
+from ..functions.titles import auto_title, is_placeholder
+from ..functions.urls import canonical_url, host, html_to_text, is_url, site, with_scheme
 from ..operators.entries import SCHEMA, missing
 
 TRAIL = T.StructType([T.StructField(n, T.StringType()) for n in ("at", "kind", "app", "window", "url", "text")])
@@ -36,6 +38,91 @@ def write_entries(e: DataFrame, path: str, partition: str = "date_key") -> None:
     e.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """``rows`` in the entry schema: what is missing is null, a day follows from the time, nothing is
+    pinned, and lists are empty."""
+    have = set(rows.columns)
+    out = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
+    at = F.coalesce("created_at", F.current_timestamp())
+    return out.withColumns({"created_at": at, "date_key": F.coalesce("date_key", F.date_format(at, "yyyy-MM-dd")), "pinned": F.coalesce("pinned", F.lit(False)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
+
+
+def append_entries(rows: DataFrame, path: str, partition: str = "date_key") -> None:
+    with_defaults(rows).write.mode("append").partitionBy(partition).parquet(path)
+
+
+def notes(texts: DataFrame) -> DataFrame:
+    """Typed texts (id, created_at, text) as records, titled by their first line."""
+    return with_defaults(texts.withColumns({"type": F.lit("note"), "title": note_title(F.col("text"))}))
+
+
+def links(rows: DataFrame, origin: str = "") -> DataFrame:
+    """Addresses (id, created_at, url, title) as records, without what only tracks; an address that has
+    no title is titled by its site."""
+    url = canonical_url(with_scheme(F.col("url")))
+    return with_defaults(rows.withColumn("url", url).withColumns({"type": F.lit("url"), "origin": F.lit(origin), "title": F.coalesce(F.nullif(F.trim("title"), F.lit("")), host(F.col("url")))}))
+
+
+def bookmarks(rows: DataFrame) -> DataFrame:
+    return links(rows, "bookmark").withColumn("pinned", F.lit(True))
+
+
+def recordings(rows: DataFrame) -> DataFrame:
+    """Sound files (id, created_at, path, text) as records."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]+$", "")
+    return with_defaults(rows.withColumns({"type": F.lit("audio"), "mime": F.coalesce(F.col("mime") if "mime" in rows.columns else F.lit(None), F.lit("audio/wav")), "title": name}))
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """Copied texts (id, created_at, text) as records: an address alone is a link, the rest notes."""
+    is_link = is_url(F.col("text"))
+    return with_defaults(rows.withColumns({"type": F.when(is_link, "url").otherwise("note"), "url": F.when(is_link, with_scheme(F.col("text"))), "origin": F.lit("clipboard"), "title": note_title(F.col("text"))}))
+
+
+def enriched(e: DataFrame) -> DataFrame:
+    """``e`` with what each type's records need: titles that say something for all, addresses in one
+    form for links, and a status for those that hold nothing to read."""
+    title = auto_title(F.col("title"), F.col("text"), app=F.col("app"), tags=F.col("tags"))
+    return e.withColumns({
+        "title": F.when((F.col("type") == "url") & is_placeholder(F.col("title")), F.coalesce(F.nullif(site(F.col("url")), F.lit("")), title)).otherwise(title),
+        "url": F.when(F.col("type") == "url", canonical_url(F.col("url"))).otherwise(F.col("url")),
+        "status": F.when(F.col("type").isin("pdf", "audio") & (F.trim(F.coalesce("text", F.lit(""))) == ""), "error").otherwise(F.col("status")),
+    })
+
+
+def read_recaps(spark: SparkSession, folder: str) -> DataFrame:
+    """day, text of a folder of one file a day (yyyy-MM-dd.md)."""
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    day = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})\.md$", 1)
+    return rows.select(day.alias("day"), F.col("value").alias("text")).where("day <> ''")
+
+
+def write_sidecar(lines: DataFrame, path: str) -> None:
+    """Recognised lines (id, date_key, lines) beside their records, a day's at a time."""
+    write_entries(lines.select("id", "date_key", "lines"), path)
+
+
+def with_sidecar(e: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """``e`` with its lines, null where there are none."""
+    return e.join(sidecar.select("id", "lines"), "id", "left")
+
+
+def sniff(name: Column, members: Column, texts: Sequence[str] = (".md", ".txt", ".html", ".csv"), least: int = 3) -> Column:
+    """What a dropped file is: an export (an archive with ``least`` texts or more), a mail box, a
+    text, or just a file.  ``members`` are an archive's names, else null."""
+    low = F.lower(name)
+    inside = F.size(F.filter(members, lambda m: F.lower(m).rlike("(" + "|".join(re.escape(t) for t in texts) + ")$")))
+    return F.when(F.endswith(low, F.lit(".zip")) & (F.coalesce(inside, F.lit(0)) >= least), "export").when(F.endswith(low, F.lit(".mbox")), "mail").when(low.rlike("(" + "|".join(re.escape(t) for t in texts) + ")$"), "text").otherwise("file")
+
+
+def read_dropped(spark: SparkSession, path: str) -> DataFrame:
+    """path, title, text of all that can be read below a folder: texts, archives' members, mails."""
+    texts = read_folder(spark, path).select("path", "title", "text")
+    inside = read_zips(spark, path).select(F.concat_ws("!", "path", "member").alias("path"), F.col("member").alias("title"), "text")
+    mails = read_mbox(spark, path).select(F.concat_ws("!", "path", F.col("n").cast("string")).alias("path"), F.col("subject").alias("title"), F.col("body").alias("text"))
+    return texts.unionByName(inside).unionByName(mails)
+
+
 def delete_entries(spark: SparkSession, path: str, ids: DataFrame, staging: str, partition: str = "date_key") -> None:
     """Rewrites the partitions that hold one of ``ids``; a partition left empty is dropped by
     the next full write.  The new rows are staged first, as a plan can't overwrite what it reads."""

@@ -41,13 +41,13 @@ def sessions(rows: DataFrame, keys: list[str], at: str = "ts", gap: str = "5 min
 
 class OnChange(StatefulProcessor):
     """Lets an event through if its value differs from the key's last one, or comes a heartbeat
-    after it; remembers one value and time for each key."""
+    after it; remembers one value and time for each key, for as long as a day without one."""
 
-    def __init__(self, heartbeat_s: int):
-        self.heartbeat_s = heartbeat_s
+    def __init__(self, heartbeat_s: int, ttl_ms: int = 86_400_000):
+        self.heartbeat_s, self.ttl_ms = heartbeat_s, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value string, at double")
+        self.last = handle.getValueState("last", "value string, at double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ts")
@@ -67,7 +67,7 @@ class OnChange(StatefulProcessor):
 
 def on_change(rows: DataFrame, key: str, value: str, at: str = "ts", heartbeat_s: int = 300) -> DataFrame:
     flat = rows.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("ts"), F.col(value).cast("string").alias("value"))
-    return flat.groupBy("key").transformWithStateInPandas(OnChange(heartbeat_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, value string", "Append", "None")
+    return flat.groupBy("key").transformWithStateInPandas(OnChange(heartbeat_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, value string", "Append", "ProcessingTime")
 
 
 class OnSpeech(StatefulProcessor):
@@ -95,3 +95,105 @@ class OnSpeech(StatefulProcessor):
 def on_speech(rows: DataFrame, key: str, block: str, speech: str, start: int = 2, stop: int = 10, least: int = 6, most: int = 1172, pre_roll: int = 2) -> DataFrame:
     flat = rows.select(F.col(key).alias("key"), F.col(block).alias("block"), F.col(speech).alias("speech"))
     return flat.groupBy("key").transformWithStateInPandas(OnSpeech(start, stop, least, most, pre_roll), f"key {dict(flat.dtypes)['key']}, first long, last long, voiced long", "Append", "None")
+
+
+#: How long a copy of each kind is the same copy; pictures are compared by likeness.
+COPY_WINDOWS = {"text": "2 minutes", "image": "2 minutes", "url": "1 day"}
+
+
+def without_copies_by_kind(rows: DataFrame, kind: str, identity: str, at: str = "ts", windows: dict[str, str] | None = None) -> DataFrame:
+    """Each kind of copied thing less what was copied already within the kind's window."""
+    parts = [without_copies(rows.where(F.col(kind) == k), identity, at, w) for k, w in (windows or COPY_WINDOWS).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+class OtherShapes(StatefulProcessor):
+    """Lets a copied thing through unless it is another shape of one that was taken before.  A take
+    comes with its other shapes; each of them is let go once, within ``keep_s``."""
+
+    def __init__(self, keep_s: int):
+        self.keep_s = keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getMapState("left", "shape string", "at double", ttlDurationMs=self.keep_s * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out = []
+            for r in batch.sort_values("ts").itertuples(index=False):
+                now = r.ts.timestamp()
+                if self.left.containsKey((r.shape,)):
+                    at = self.left.getValue((r.shape,))[0]
+                    self.left.removeKey((r.shape,))
+                    if now - at <= self.keep_s:
+                        continue
+                for other in r.others if r.others is not None else ():
+                    if other != r.shape:
+                        self.left.updateValue((other,), (now,))
+                out.append((key[0], r.ts, r.shape))
+            yield pd.DataFrame(out, columns=["key", "ts", "shape"])
+
+    def close(self) -> None:
+        pass
+
+
+def without_other_shapes(rows: DataFrame, key: str, shape: str, others: str, at: str = "ts", keep_s: int = 300) -> DataFrame:
+    flat = rows.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("ts"), F.col(shape).alias("shape"), F.col(others).alias("others"))
+    return flat.groupBy("key").transformWithStateInPandas(OtherShapes(keep_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, shape string", "Append", "ProcessingTime")
+
+
+class RecentPictures(StatefulProcessor):
+    """Lets a picture through unless one like it (fingerprints at most ``near`` bits apart, of the
+    same size) came within ``keep_s``; remembers the last ``most`` of a key."""
+
+    def __init__(self, keep_s: int, near: int, most: int):
+        self.keep_s, self.near, self.most = keep_s, near, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getListState("seen", "bits long, size string, at double", ttlDurationMs=self.keep_s * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = [tuple(x) for x in self.seen.get()] if self.seen.exists() else []
+        for batch in rows:
+            out = []
+            for r in batch.sort_values("ts").itertuples(index=False):
+                now = r.ts.timestamp()
+                seen = [x for x in seen if now - x[2] < self.keep_s]
+                if not any(x[1] == r.size and ((x[0] ^ int(r.bits)) & (2**64 - 1)).bit_count() <= self.near for x in seen):
+                    out.append((key[0], r.ts, int(r.bits)))
+                    seen = [*seen, (int(r.bits), r.size, now)][-self.most :]
+            yield pd.DataFrame(out, columns=["key", "ts", "bits"])
+        if seen:
+            self.seen.put(seen)
+        else:
+            self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def without_same_pictures(rows: DataFrame, key: str, bits: str, size: str, at: str = "ts", keep_s: int = 60, near: int = 2, most: int = 12) -> DataFrame:
+    flat = rows.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("ts"), F.col(bits).cast("long").alias("bits"), F.col(size).cast("string").alias("size"))
+    return flat.groupBy("key").transformWithStateInPandas(RecentPictures(keep_s, near, most), f"key {dict(flat.dtypes)['key']}, ts timestamp, bits long", "Append", "ProcessingTime")
+
+
+def stale(rows: DataFrame, key: str, at: str = "ts", after: str = "11 minutes") -> DataFrame:
+    """key, since: keys that gave no sign of life for ``after``; known once the stream's own time has
+    passed that far, by a session that closed."""
+    w = stamped(rows, at, "0 seconds").groupBy(key, F.session_window(at, after)).agg(F.max(at).alias("since"))
+    return w.select(key, "since")
+
+
+def append_to(rows: DataFrame, path: str, checkpoint: str, partition: str | None = None, **trigger):
+    """A stream as an appending sink of Parquet files; a restart goes on where it stopped, once each."""
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.partitionBy(partition) if partition else writer).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def maintain(rows: DataFrame, checkpoint: str, step, **trigger):
+    """Runs ``step(batch, number)`` over what came in, a bounded piece at a time (set by the source's
+    maxFilesPerTrigger), so that derived tables follow the records."""
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
