@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -181,32 +182,38 @@ def scan(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] = TEMPLAT
         for batch in batches:
             out: list[tuple] = []
             for value in batch.column(1):
-                n, places, base, hits, ends = 0, [], set(), [], []
+                places, base, hits, ends, all_words = [], set(), [], [], []
                 for line_no, line in enumerate(lower_ascii(value.as_py() or "").split("\n")):
                     found = WORD.findall(line)
                     if found:
                         hits += [(line_no, t, c) for t, c in sorted(index.matches(set(found)).items())]
-                    n += len(found)
-                    ends.append(n)
+                    all_words += found
+                    ends.append(len(all_words))
+                n = len(all_words)
                 if n and wrapped:
                     places_of: dict[str, list[int]] = defaultdict(list)
-                    for k, w in enumerate(WORD.findall(lower_ascii(value.as_py()))):
+                    for k, w in enumerate(all_words):
                         if w in index.rank:
                             places_of[w].append(k)
-                    on_lines = list(hits)
+                    on_lines: dict[int, list[tuple[int, float]]] = defaultdict(list)
+                    for line_no, t, c in hits:
+                        on_lines[t].append((line_no, c))
                     for t in sorted(index.matches(set(places_of))):
                         for first, last, c in index.passages(t, places_of):
                             top, bottom = bisect_right(ends, first), bisect_right(ends, last)
-                            if not any(t == u and top <= k <= bottom and share >= c for k, u, share in on_lines):
+                            lines = on_lines[t][bisect_left(on_lines[t], (top, 0.0)) : bisect_left(on_lines[t], (bottom + 1, 0.0))]
+                            if not any(share >= c for _, share in lines):
                                 hits.append((top, t, c))
                     hits.sort()
                 hits = [(k, index.labels[t], c) for k, t, c in hits]
                 if n:
-                    flat = f" {' '.join(WORD.findall(lower_ascii(value.as_py())))} "
+                    flat, starts = f" {' '.join(all_words)} ", None
                     for phrase, label in spoken:
                         at = flat.find(phrase)
                         while at >= 0:
-                            places.append(flat.count(" ", 0, at))
+                            # The space before each word, in order, so that a place is found by bisection.
+                            starts = starts or list(accumulate((len(w) + 1 for w in all_words), initial=0))
+                            places.append(bisect_left(starts, at))
                             base.add(label)
                             at = flat.find(phrase, at + 1)
                 labels = base | {label for _, label, _ in hits}
