@@ -490,6 +490,15 @@ def test_rendering_keeps_bars_of_cells(rows):
     assert all(" ".join(c.split()) in text for c in cells)
 
 
+def test_licenses_in_long_texts(spark):
+    """Very many places and notices in one text take time in proportion."""
+    text = "cc by nc under the mit license\n" * 60_000
+    began = time.perf_counter()
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), licenses.NOTICES, wrapped=True).first()
+    assert (got["n_base"], got["first_word"], got["last_word"], got["n_words"]) == (120_000, 0, 7 * 60_000 - 4, 7 * 60_000)
+    assert time.perf_counter() - began < 60
+
+
 def test_licenses_that_wrap(spark):
     rng = random.Random(8)
     rows, want = [], {}

@@ -12,11 +12,10 @@ by it, the sets with the same first values stand together and form a region.
    standard deviations below the threshold) are dropped.  A pair belongs to the first order in
    which its regions agree, so it is confirmed once, on full shingle sets, which travel
    once for each run that confirms one of their pairs.
-4. Links join sets to components.  A region that was cut may hold more than one component; if
-   all but ``strays`` of its sets are in one, each of these few is looked at with all others.
-5. Other such regions go down to the next depth of ``DEPTHS`` with as many more orders as keep
-   the miss bound, and only their sets do: the depth adapts to each region, rows stay linear.
-6. What is crowded at the last depth as well is compared whole, block by block.
+4. Links join sets to components.  A region that was cut and still holds more than one
+   component goes down to the next depth of ``DEPTHS`` with as many more orders as keep the
+   miss bound, and only its sets do: the depth adapts to each region, rows stay linear.
+5. What is crowded at the last depth as well is compared whole, block by block.
 
 At a similarity s a link shares no region with a probability of (1 - s^depth)^orders; orders
 are as many as make that ``miss`` (1e-6) at the threshold.  Copies with equal sets are one
@@ -228,20 +227,14 @@ def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor
         names = list(both)
         sig = np.frombuffer(b"".join(both[x][0] for x in names), dtype="<u2").reshape(len(names), -1)
         tree = np.array([both[x][1] for x in names])
-        agree = np.zeros((len(names), len(names)), dtype=np.int32)
+        near = np.zeros((len(names), len(names)), dtype=bool)
         for i in range(len(names)):
-            agree[i, i + 1 :] = (sig[i] == sig[i + 1 :]).sum(axis=1)
-        i, j = np.nonzero(agree >= floor * sig.shape[1])
-        keep = (tree[i] == tree[j]) & (i < j)
-        i, j = i[keep], j[keep]
-        found: set[int] = set()
-        for k in range(0, len(i), 2000):
-            a, b = i[k : k + 2000], j[k : k + 2000]
-            same = sig[a] == sig[b]
-            shared = np.stack([same[:, p].all(axis=1) for p in prefix[: int(tree[a].max()) + 1]], axis=1)
-            first = shared.argmax(axis=1) == tree[a]
-            found.update(a[first].tolist(), b[first].tolist())
-        return [names[x] for x in sorted(found)]
+            near[i, i + 1 :] = (sig[i] == sig[i + 1 :]).sum(axis=1) >= floor * sig.shape[1]
+        near &= tree[:, None] == tree[None, :]
+        for t in range(int(tree.max()) if near.any() else 0):  # pairs that meet in an order before theirs
+            _, key = np.unique(sig[:, prefix[t]], axis=0, return_inverse=True)
+            near &= ~((key.ravel()[:, None] == key.ravel()[None, :]) & (tree > t)[:, None])
+        return [names[x] for x in np.flatnonzero(near.any(axis=0) | near.any(axis=1))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, rows = None, ([], [], [])
@@ -261,8 +254,8 @@ def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step: int = 8192) -> list[tuple[int, int]]:
-    """Pairs (i, j) of full sets with 100 * intersection >= percent * union; with b None,
-    pairs i < j within a.  Exact, by products of 0/1 matrices over the shared shingles."""
+    """Pairs (i, j) of full sets with 100 * intersection >= percent * union; with b None, pairs within
+    a that join all that such pairs join.  Exact, by products of 0/1 matrices over shared shingles."""
     both = a if b is None else a + b
     n = np.array([len(s) for s in both], dtype=np.float64)
     flat = np.concatenate(both)
@@ -282,10 +275,25 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step:
         common += m @ m.T
     ok = 100 * common >= percent * (n[:, None] + n[None, :] - common)
     if b is None:
-        return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True)]
+        return _search(ok)
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(ok[: len(a), len(a) :]), strict=True)]
 
 
+def _search(ok: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what a symmetric matrix links."""
+    new, out = np.ones(len(ok), dtype=bool), []
+    for start in range(len(ok)):
+        todo = [start] if new[start] else []
+        new[start] = False
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(ok[x] & new)
+            new[found] = False
+            out += [(x, int(y)) for y in found]
+            todo += found.tolist()
+    return out
+
+
 class Forest:
     """Union-find over a block's positions."""
 
@@ -368,64 +376,15 @@ def _whole(rest: DataFrame, block: int) -> DataFrame:
 
 
 def _unsettled(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """region, set_id, root, stray, n, n_strays of cut regions that hold more than one component:
-    strays are the sets outside the largest one."""
-    rows = crowded.distinct().join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", F.coalesce("root", "set_id").alias("root"))
-    parts = rows.groupBy("region", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("k"))
-    regions = parts.groupBy("region").agg(F.max_by("most", F.struct("k", "most")).alias("most"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_strays")).where("n_strays > 0")
-    return rows.join(regions, "region").select("region", "set_id", "root", (F.col("root") != F.col("most")).alias("stray"), "n", "n_strays")
-
-
-def stray_pairs(few: DataFrame, sets: DataFrame, floor: float, block: int = 2000) -> DataFrame:
-    """a, b: each stray of a region with the sets of other components whose signatures are alike.
-    Strays meet the region's rows in blocks, so a region of any size is dealt to many tasks."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    rows = few.select("region", "set_id", "root", "stray", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        def met() -> pd.DataFrame:
-            sig = np.frombuffer(b"".join(r[5] for r in held), dtype="<u2").reshape(len(held), -1)
-            out = []
-            for k in (k for k, r in enumerate(held) if r[4]):
-                for other in np.flatnonzero((sig == sig[k]).sum(axis=1) >= floor * sig.shape[1]):
-                    if held[other][3] != held[k][3]:
-                        out.append((held[k][2], held[other][2]))
-            return pd.DataFrame(out, columns=["a", "b"])
-
-        for batch in batches:
-            for region, part, set_id, root, stray, sig in batch.itertuples(index=False, name=None):
-                if held and held[0][:2] != (region, part):
-                    yield met()
-                    held = []
-                held.append((region, part, bytes(set_id), bytes(root), stray, bytes(sig)))
-        if held:
-            yield met()
-
-    dealt = _signed_rows(rows, sets).select("region", "block", "set_id", "root", "stray", "sig")
-    return dealt.repartition(tasks(few), "region", "block").sortWithinPartitions("region", "block").mapInPandas(pairs, "a binary, b binary").distinct()
+    """region, set_id of cut regions that hold more than one component."""
+    named = crowded.distinct().join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", F.coalesce("root", "set_id").alias("root"))
+    split = named.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("region")
+    return named.join(split, "region").select("region", "set_id")
 
 
-def _stray_units(pairs: DataFrame, most: int = 250) -> DataFrame:
-    """unit, set_id: each stray with at most about ``most`` of its partners."""
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "_a")
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most))
-    unit = pairs.join(n, F.col("a") == F.col("_a")).select(F.xxhash64("a", part).alias("unit"), "a", "b")
-    return unit.select("unit", F.explode(F.array("a", "b")).alias("set_id")).distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6, run: int = 256, lap: int = 32, strays: int = 64, block: int = 100, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """For each row: the id, _hash (xxhash64 of the text), n_shingles, component_id (smallest
-    id reachable by links, itself included) and kept (the row bears its component's name)."""
+def _linked_sets(docs: DataFrame, sets: DataFrame, percent: int, words: int, miss: float, pool: int, run: int, lap: int, block: int, seed: int, id_col: str, text_col: str, depths: tuple[int, ...]) -> DataFrame:
+    """node, root: the components of all sets that are linked, level by level."""
     spark = docs.sparkSession
-    pool = max(96, trees_for(percent, depths[0], miss) * depths[0])
-    facts = saved(signed(docs, words, pool, seed, id_col, text_col))
-    sets = facts.where(F.col("set_id").isNotNull()).groupBy("set_id", "sig").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_hash")).alias("first"))
-    sets = saved(sets)
-    share = percent / 100
-    floor = share - 5.5 * math.sqrt(share * (1 - share) / pool) - 1 / pool
     texts, roots, left, rest = None, None, sets, None
 
     def joined(links: DataFrame) -> DataFrame:
@@ -433,6 +392,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
         more = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         return saved(components(more))
 
+    share = percent / 100
+    floor = share - 5.5 * math.sqrt(share * (1 - share) / pool) - 1 / pool
     for level, depth in enumerate(depths):
         n_trees = trees_for(percent, depth, miss)
         order = orders(n_trees, depth, pool, seed)
@@ -442,20 +403,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
         units = saved(alike(cut, sets, order, depth, floor))
         if texts is None:  # whole texts are shuffled here, once
             texts = _texts_of(units.select("set_id").unionByName(crowded.select("set_id")), sets, _texts(docs, id_col, text_col))
-        roots = joined(saved(confirmed(_with_texts(_in_one(units), texts), words, percent, tasks(units, 2000))))
-        open_ = saved(_unsettled(crowded, roots))
-        pairs = saved(stray_pairs(open_.where(F.col("n_strays") <= strays), sets, floor))
-        if not pairs.isEmpty():
-            more = saved(_stray_units(pairs))
-            links = saved(confirmed(_with_texts(_in_one(more), texts), words, percent, tasks(more, 2000)))
-            roots = joined(links) if not links.isEmpty() else roots
-        rest = open_.where(F.col("n_strays") > strays).select("region", "set_id")
+        roots = joined(confirmed(_with_texts(_in_one(units), texts), words, percent, tasks(units, 2000)))
+        if crowded.isEmpty():
+            return roots
+        rest = saved(_unsettled(crowded, roots))
         if rest.isEmpty():
-            break
+            return roots
         left = sets.join(rest.select(F.col("set_id").alias("_s")).distinct(), F.col("set_id") == F.col("_s"), "left_semi")
-    else:
-        whole = saved(_whole(rest, block))
-        roots = joined(confirmed(_with_texts(whole, texts), words, percent, tasks(whole, 2000)))
+    whole = saved(_whole(rest, block))
+    return joined(confirmed(_with_texts(whole, texts), words, percent, tasks(whole, 2000)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6, run: int = 2048, lap: int = 64, block: int = 100, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """For each row: the id, _hash (xxhash64 of the text), n_shingles, component_id (smallest
+    id reachable by links, itself included) and kept (the row bears its component's name)."""
+    spark = docs.sparkSession
+    pool = max(96, trees_for(percent, depths[0], miss) * depths[0])
+    facts = saved(signed(docs, words, pool, seed, id_col, text_col))
+    sets = facts.where(F.col("set_id").isNotNull()).groupBy("set_id", "sig").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_hash")).alias("first"))
+    sets = saved(sets)
+    roots = _linked_sets(docs, sets, percent, words, miss, pool, run, lap, block, seed, id_col, text_col, depths)
     ids = sets.select(F.col("set_id"), F.col("first._id").alias("least"))
     named = roots.join(ids, F.col("node") == F.col("set_id")).select("root", "node", "least")
     names = named.groupBy("root").agg(F.min("least").alias("name")).select(F.col("root").alias("k"), "name")
