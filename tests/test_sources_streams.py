@@ -1,8 +1,8 @@
 import json
 import zipfile
-
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators.entries import SCHEMA
@@ -56,6 +56,15 @@ def test_paged(spark, tmp_path):
     assert {r["id"]: r["title"] for r in paged.latest_by_remote(rows).collect()}["a"] == "t2"
 
 
+@pytest.fixture(autouse=True)
+def few_state_stores(spark):
+    """A state store for each shuffle partition is opened and closed by every stream."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def run(df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -89,7 +98,7 @@ def test_streams_with_memory(spark, tmp_path):
     got = {(r["key"], r["ts"].timestamp()) for r in run(streams.without_same_pictures(stream, "user", "bits", "size"), "pictures").collect()}
     assert got == {("u", 0.0), ("u", 20.0), ("u", 30.0), ("u", 70.0), ("v", 1.0)}
     copies = [("text", "a", 0), ("text", "a", 60), ("url", "b", 0), ("url", "b", 7200), ("image", "c", 0)]
-    src = spark.createDataFrame(copies, "kind string, what string, s long").select("kind", "what", F.timestamp_seconds("s").alias("ts"))
+    src = spark.createDataFrame(copies, "kind string, what string, s long").select("kind", "what", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"))  # a time of 0 is late by any watermark
     src.coalesce(1).write.parquet(str(tmp_path / "copies"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "copies"))
     assert Counter(r["kind"] for r in run(streams.without_copies_by_kind(stream, "kind", "what"), "by_kind").collect()) == {"text": 1, "url": 1, "image": 1}

@@ -1,6 +1,8 @@
 """Streams of events: once-a-day pages, copies, slots, sessions, changes, speech segments.
 
 Times must be timestamps: ``stamped`` casts those without a zone, which watermarks refuse.
+Stateful processors take ``expire_s``: what a key left behind is then dropped after so long, by
+the clock.  Give it to streams that run on; a stream that ends when all is read would never end.
 """
 
 from __future__ import annotations
@@ -39,12 +41,20 @@ def sessions(rows: DataFrame, keys: list[str], at: str = "ts", gap: str = "5 min
     return w.select(*keys, F.col("session_window.start").alias("start"), "last", "n")
 
 
+def _ttl(expire_s: int | None) -> int | None:
+    return None if expire_s is None else expire_s * 1000
+
+
+def _mode(expire_s: int | None) -> str:
+    return "None" if expire_s is None else "ProcessingTime"
+
+
 class OnChange(StatefulProcessor):
     """Lets an event through if its value differs from the key's last one, or comes a heartbeat
-    after it; remembers one value and time for each key, for as long as a day without one."""
+    after it; remembers one value and time for each key."""
 
-    def __init__(self, heartbeat_s: int, ttl_ms: int = 86_400_000):
-        self.heartbeat_s, self.ttl_ms = heartbeat_s, ttl_ms
+    def __init__(self, heartbeat_s: int, expire_s: int | None = None):
+        self.heartbeat_s, self.ttl_ms = heartbeat_s, _ttl(expire_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value string, at double", ttlDurationMs=self.ttl_ms)
@@ -65,9 +75,9 @@ class OnChange(StatefulProcessor):
         pass
 
 
-def on_change(rows: DataFrame, key: str, value: str, at: str = "ts", heartbeat_s: int = 300) -> DataFrame:
+def on_change(rows: DataFrame, key: str, value: str, at: str = "ts", heartbeat_s: int = 300, expire_s: int | None = None) -> DataFrame:
     flat = rows.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("ts"), F.col(value).cast("string").alias("value"))
-    return flat.groupBy("key").transformWithStateInPandas(OnChange(heartbeat_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, value string", "Append", "ProcessingTime")
+    return flat.groupBy("key").transformWithStateInPandas(OnChange(heartbeat_s, expire_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, value string", "Append", _mode(expire_s))
 
 
 class OnSpeech(StatefulProcessor):
@@ -114,11 +124,11 @@ class OtherShapes(StatefulProcessor):
     """Lets a copied thing through unless it is another shape of one that was taken before.  A take
     comes with its other shapes; each of them is let go once, within ``keep_s``."""
 
-    def __init__(self, keep_s: int):
-        self.keep_s = keep_s
+    def __init__(self, keep_s: int, expire_s: int | None = None):
+        self.keep_s, self.ttl_ms = keep_s, _ttl(expire_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.left = handle.getMapState("left", "shape string", "at double", ttlDurationMs=self.keep_s * 1000)
+        self.left = handle.getMapState("left", "shape string", "at double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
@@ -140,20 +150,20 @@ class OtherShapes(StatefulProcessor):
         pass
 
 
-def without_other_shapes(rows: DataFrame, key: str, shape: str, others: str, at: str = "ts", keep_s: int = 300) -> DataFrame:
+def without_other_shapes(rows: DataFrame, key: str, shape: str, others: str, at: str = "ts", keep_s: int = 300, expire_s: int | None = None) -> DataFrame:
     flat = rows.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("ts"), F.col(shape).alias("shape"), F.col(others).alias("others"))
-    return flat.groupBy("key").transformWithStateInPandas(OtherShapes(keep_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, shape string", "Append", "ProcessingTime")
+    return flat.groupBy("key").transformWithStateInPandas(OtherShapes(keep_s, expire_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, shape string", "Append", _mode(expire_s))
 
 
 class RecentPictures(StatefulProcessor):
     """Lets a picture through unless one like it (fingerprints at most ``near`` bits apart, of the
     same size) came within ``keep_s``; remembers the last ``most`` of a key."""
 
-    def __init__(self, keep_s: int, near: int, most: int):
-        self.keep_s, self.near, self.most = keep_s, near, most
+    def __init__(self, keep_s: int, near: int, most: int, expire_s: int | None = None):
+        self.keep_s, self.near, self.most, self.ttl_ms = keep_s, near, most, _ttl(expire_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "bits long, size string, at double", ttlDurationMs=self.keep_s * 1000)
+        self.seen = handle.getListState("seen", "bits long, size string, at double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen = [tuple(x) for x in self.seen.get()] if self.seen.exists() else []
@@ -175,9 +185,9 @@ class RecentPictures(StatefulProcessor):
         pass
 
 
-def without_same_pictures(rows: DataFrame, key: str, bits: str, size: str, at: str = "ts", keep_s: int = 60, near: int = 2, most: int = 12) -> DataFrame:
+def without_same_pictures(rows: DataFrame, key: str, bits: str, size: str, at: str = "ts", keep_s: int = 60, near: int = 2, most: int = 12, expire_s: int | None = None) -> DataFrame:
     flat = rows.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("ts"), F.col(bits).cast("long").alias("bits"), F.col(size).cast("string").alias("size"))
-    return flat.groupBy("key").transformWithStateInPandas(RecentPictures(keep_s, near, most), f"key {dict(flat.dtypes)['key']}, ts timestamp, bits long", "Append", "ProcessingTime")
+    return flat.groupBy("key").transformWithStateInPandas(RecentPictures(keep_s, near, most, expire_s), f"key {dict(flat.dtypes)['key']}, ts timestamp, bits long", "Append", _mode(expire_s))
 
 
 def stale(rows: DataFrame, key: str, at: str = "ts", after: str = "11 minutes") -> DataFrame:
