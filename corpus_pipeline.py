@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec
-from tidelog.llm.common import documents, shared_dir
+from tidelog.llm.common import documents, saved_dir
 from tidelog.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again before the next one."""
-    rows, folder = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    rows, folder = documents(spark, sf_dir), f"{saved_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, rows, sf_dir)
         out.write.parquet(f"{folder}/{k}")
