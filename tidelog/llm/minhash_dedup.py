@@ -231,7 +231,12 @@ def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor
         for i in range(len(names)):
             near[i, i + 1 :] = (sig[i] == sig[i + 1 :]).sum(axis=1) >= floor * sig.shape[1]
         near &= tree[:, None] == tree[None, :]
-        for t in range(int(tree.max()) if near.any() else 0):  # pairs that meet in an order before theirs
+        i, j = np.nonzero(near)
+        if len(i) <= 5000:  # pair by pair, as most runs are short
+            shared = (sig[i] == sig[j])[:, prefix[: int(tree.max()) + 1]].all(axis=2)
+            first = shared.argmax(axis=1) == tree[i]
+            return [names[x] for x in np.unique(np.concatenate([i[first], j[first]]))]
+        for t in range(int(tree.max())):  # pairs that meet in an order before theirs
             _, key = np.unique(sig[:, prefix[t]], axis=0, return_inverse=True)
             near &= ~((key.ravel()[:, None] == key.ravel()[None, :]) & (tree > t)[:, None])
         return [names[x] for x in np.flatnonzero(near.any(axis=0) | near.any(axis=1))]
