@@ -231,8 +231,8 @@ def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor
         for i in range(len(names)):
             near[i, i + 1 :] = (sig[i] == sig[i + 1 :]).sum(axis=1) >= floor * sig.shape[1]
         near &= tree[:, None] == tree[None, :]
-        i, j = np.nonzero(near)
-        if len(i) <= 5000:  # pair by pair, as most runs are short
+        if near.sum() <= 5000:  # pair by pair, as most runs are short
+            i, j = np.nonzero(near)
             shared = (sig[i] == sig[j])[:, prefix[: int(tree.max()) + 1]].all(axis=2)
             first = shared.argmax(axis=1) == tree[i]
             return [names[x] for x in np.unique(np.concatenate([i[first], j[first]]))]
@@ -258,7 +258,7 @@ def alike(runs: DataFrame, sets: DataFrame, order: np.ndarray, depth: int, floor
     return rows.repartition(tasks(runs), "unit").sortWithinPartitions("unit").mapInPandas(run, "unit long, set_id binary")
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step: int = 8192) -> list[tuple[int, int]]:
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step: int = 2048) -> list[tuple[int, int]]:
     """Pairs (i, j) of full sets with 100 * intersection >= percent * union; with b None, pairs within
     a that join all that such pairs join.  Exact, by products of 0/1 matrices over shared shingles."""
     both = a if b is None else a + b
@@ -272,13 +272,16 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, step:
     owner, at = owner[use], column[at[use]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    common = np.zeros((len(both), len(both)), dtype=np.float64)
+    common = np.zeros((len(both), len(both)), dtype=np.float32)  # exact below 2^24 shingles a text
     for k in range(0, int(shared.sum()), step):
         lo, hi = np.searchsorted(at, (k, k + step))
         m = np.zeros((len(both), min(step, int(shared.sum()) - k)), dtype=np.float32)
         m[owner[lo:hi], at[lo:hi] - k] = 1
         common += m @ m.T
-    ok = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    ok = np.empty(common.shape, dtype=bool)
+    for k in range(0, len(both), 256):  # a few rows at a time, as they are wide
+        part = common[k : k + 256].astype(np.float64)
+        ok[k : k + 256] = 100 * part >= percent * (n[k : k + 256, None] + n[None, :] - part)
     if b is None:
         return _search(ok)
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(ok[: len(a), len(a) :]), strict=True)]
