@@ -143,16 +143,17 @@ class Cutter:
 
     def __init__(self, run: int, lap: int, part: int, level: int):
         self.run, self.lap, self.part, self.level = run, lap, part, level
+        self.border = max(lap, run // 2)  # rows that meet those of the partition beside
         self.region: bytes | None = None
         self.held: list[bytes] = []  # rows of the region, its last ``lap`` already in a run if ``number``
         self.number, self.first = 0, True
-        self.out: list[tuple[int, bytes, int, int | None]] = []
+        self.out: list[tuple[int, bytes, int, int | None, bool]] = []
 
-    def _emit(self, rows: list[bytes], name: str, crowded: bool) -> None:
+    def _emit(self, rows: list[bytes], name: str, known: bool, over: bool) -> None:
         unit = xxhash.xxh3_64_intdigest(f"{self.level}/{name}".encode()) - (1 << 63)
         tree = int.from_bytes(self.region[:2], "big")
-        region = int.from_bytes(self.region[2:], "big", signed=True) if crowded else None
-        self.out += [(unit, r, tree, region) for r in rows]
+        region = int.from_bytes(self.region[2:], "big", signed=True) if known else None
+        self.out += [(unit, r, tree, region, over) for r in rows]
 
     def feed(self, region: bytes, ids: list[bytes]) -> None:
         if region != self.region:
@@ -160,35 +161,37 @@ class Cutter:
             self.region, self.held, self.number = region, [], 0
         self.held += ids
         while len(self.held) > self.run + self.lap:
-            self._emit(self.held[: self.run], f"{self.region.hex()}/{self.part}/{self.number}", True)
+            self._emit(self.held[: self.run], f"{self.region.hex()}/{self.part}/{self.number}", True, True)
             if self.first and not self.number:
-                self._emit(self.held[: self.lap], f"border {self.part}", True)
+                self._emit(self.held[: self.border], f"border {self.part}", True, True)
             self.held = self.held[self.run - self.lap :]
             self.number += 1
 
     def end(self, last: bool = True) -> None:
         if self.region is None:
             return
-        border = self.first or last  # the region may go on in the partition beside
+        # A region may go on in the partition beside; the border holds all of it if either side is short.
+        over = bool(self.number) or ((self.first or last) and len(self.held) > self.border)
         if len(self.held) > (self.lap if self.number else 1):
-            self._emit(self.held, f"{self.region.hex()}/{self.part}/{self.number}", bool(self.number) or border)
+            self._emit(self.held, f"{self.region.hex()}/{self.part}/{self.number}", over, over)
         if self.first and not self.number:
-            self._emit(self.held[: self.lap], f"border {self.part}", True)
+            self._emit(self.held[: self.border], f"border {self.part}", True, over)
         if last:
-            self._emit(self.held[-self.lap :], f"border {self.part + 1}", True)
+            self._emit(self.held[-self.border :], f"border {self.part + 1}", True, over)
         self.first = False
 
 
 def runs_of(tall: DataFrame, n: int, run: int, lap: int, level: int) -> DataFrame:
-    """unit, set_id, tree, region (of cut regions only, else null)."""
+    """unit, set_id, tree, region (of regions that were cut or lie at a border, else null), over
+    (whether a region was cut here)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(run, lap, TaskContext.get().partitionId(), level)
 
         def flush() -> pa.RecordBatch:
-            units, ids, trees, regions = zip(*cutter.out, strict=True) if cutter.out else ((), (), (), ())
+            units, ids, trees, regions, over = zip(*cutter.out, strict=True) if cutter.out else ((), (), (), (), ())
             cutter.out = []
-            return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(ids, pa.binary()), pa.array(trees, pa.int32()), pa.array(regions, pa.int64())], names=["unit", "set_id", "tree", "region"])
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(ids, pa.binary()), pa.array(trees, pa.int32()), pa.array(regions, pa.int64()), pa.array(over, pa.bool_())], names=["unit", "set_id", "tree", "region", "over"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -203,7 +206,7 @@ def runs_of(tall: DataFrame, n: int, run: int, lap: int, level: int) -> DataFram
         cutter.end()
         yield flush()
 
-    return tall.repartitionByRange(n, "key", "set_id").sortWithinPartitions("key", "set_id").mapInArrow(cut, "unit long, set_id binary, tree int, region long")
+    return tall.repartitionByRange(n, "key", "set_id").sortWithinPartitions("key", "set_id").mapInArrow(cut, "unit long, set_id binary, tree int, region long, over boolean")
 
 
 def tasks(rows: DataFrame, each: int = 20_000) -> int:
@@ -384,10 +387,10 @@ def _whole(rest: DataFrame, block: int) -> DataFrame:
 
 
 def _unsettled(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """region, set_id of cut regions that hold more than one component."""
-    named = crowded.distinct().join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", F.coalesce("root", "set_id").alias("root"))
-    split = named.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("region")
-    return named.join(split, "region").select("region", "set_id")
+    """region, set_id of regions (region, set_id, over) that were cut and hold more than one component."""
+    named = crowded.join(roots.withColumnRenamed("node", "_n"), F.col("set_id") == F.col("_n"), "left").select("region", "set_id", "over", F.coalesce("root", "set_id").alias("root"))
+    split = named.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("over").alias("cut")).where("least <> most AND cut").select("region")
+    return named.join(split, "region").select("region", "set_id").distinct()
 
 
 def _linked_sets(docs: DataFrame, sets: DataFrame, percent: int, words: int, miss: float, pool: int, run: int, lap: int, block: int, seed: int, id_col: str, text_col: str, depths: tuple[int, ...]) -> DataFrame:
@@ -407,12 +410,12 @@ def _linked_sets(docs: DataFrame, sets: DataFrame, percent: int, words: int, mis
         order = orders(n_trees, depth, pool, seed)
         parts = max(1, min(shuffle_partitions(spark), left.count() * n_trees // 20_000))
         cut = saved(runs_of(in_orders(left, order, depth), parts, run, lap, level))
-        crowded = cut.where(F.col("region").isNotNull()).select("region", "set_id")
+        crowded = cut.where(F.col("region").isNotNull()).select("region", "set_id", "over")
         units = saved(alike(cut, sets, order, depth, floor))
         if texts is None:  # whole texts are shuffled here, once
             texts = _texts_of(units.select("set_id").unionByName(crowded.select("set_id")), sets, _texts(docs, id_col, text_col))
         roots = joined(confirmed(_with_texts(_in_one(units), texts), words, percent, tasks(units, 2000)))
-        if crowded.isEmpty():
+        if crowded.where("over").isEmpty():
             return roots
         rest = saved(_unsettled(crowded, roots))
         if rest.isEmpty():
