@@ -25,7 +25,7 @@ def column(spark, f, values, kind="string"):
 def test_titles(spark):
     assert column(spark, titles.is_placeholder, ["Screenshot 10:32", "截图 9:05", "", None, "Screenshot of it", "Note 1"]) == [True, True, True, True, False, False]
     assert column(spark, titles.meaty, ["A it", "：文//：: 88", "23:00 6条", "File Edit View", "我在测试语音识别", "Parking at nine", "ab", "## // real !!"]) == [False, False, False, False, True, True, False, False]
-    assert column(spark, titles.strip_lead, ["● 日 ← → Briffy page", "(1) Facebook", "9月12日 walk", "***"]) == ["Briffy page", "Facebook", "9月12日 walk", "***"]
+    assert column(spark, titles.strip_lead, ["● 日 ← → Harbour page", "(1) Facebook", "9月12日 walk", "***"]) == ["Harbour page", "Facebook", "9月12日 walk", "***"]
     long = "The quick brown fox jumps over the lazy dog, and then it sleeps for a very long time"
     assert column(spark, titles.clip_title, [long, "short one", "x" * 70]) == ["The quick brown fox jumps over the lazy dog, and then it…", "short one", "x" * 60 + "…"]
     rows = [("Screenshot 10:32", "first line of text\nmore", "Inbox of the day", "Mail", ["walk", "river"]), ("Screenshot 10:32", "88\nfirst line of text", "Mail", "Mail", None), ("mine", "x", "Window", "App", None), ("", "88", None, None, ["walk", "river", "ultra", "more"])]
