@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,29 +33,45 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
+class _Room:
+    """A limit in bytes that several caches share; when it is reached, all turn over."""
+
+    def __init__(self, limit: int):
+        self.limit, self.used = limit, 0
+        self.caches: list[_Cache] = []
+
+    def take(self, key, value) -> None:
+        self.used += 120 + sys.getsizeof(value) + (sys.getsizeof(key) if type(key) is str else 64)
+        if self.used > self.limit:
+            self.used = 0
+            for cache in self.caches:
+                cache.old = dict(cache)
+                cache.clear()
+
+
 class _Cache(dict):
     """Two generations: what was not used since the last turn-over is forgotten."""
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, room: _Room):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.room, self.old = make, room, {}
+        room.caches.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if type(key) is not str or len(key) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
+            self.room.take(key, value)
             self[key] = value
         return value
 
 
 class PieceCodec:
-    """Encoder and decoder for one model file; made once per Python worker."""
+    """Encoder and decoder for one model file; made once per Python worker.  Its caches hold at
+    most twice ``cache_bytes`` together."""
 
-    def __init__(self, model_path: str, chunk_cache: int = 250_000, pair_cache: int = 250_000):
+    def __init__(self, model_path: str, cache_bytes: int = 40 << 20):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(model_path, "rb") as f:
             proto.ParseFromString(f.read())
@@ -98,10 +115,11 @@ class PieceCodec:
         self.is_byte = {str(i) for i, k in enumerate(kinds) if k == BYTE}
         self.is_control = {str(i) for i, k in enumerate(kinds) if k == CONTROL}
         self.is_normal_mark = {str(i) for i, k in enumerate(kinds) if k == NORMAL and self.pieces[i].startswith(MARK)}
-        self._fits = _Cache(self._compatible, pair_cache)
+        room = _Room(cache_bytes)
+        self._fits = _Cache(self._compatible, room)
         self.id_text = {p: str(i) for p, i in self.ids.items()}
-        self._chunks = _Cache(self._encode_chunk, chunk_cache)
-        self._words = _Cache(self._encode_word, chunk_cache)
+        self._chunks = _Cache(self._encode_chunk, room)
+        self._words = _Cache(self._encode_word, room)
 
     def _merge(self, text: str) -> list[str]:
         """Merge characters by score, best first, leftmost first among equals."""
@@ -298,7 +316,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
+        for batch in (whole.slice(k, 250) for whole in batches for k in range(0, whole.num_rows, 250)):
             n, ids_sha, text_sha, lists = [], [], [], []
             for value in batch.column(1):
                 joined = c.encode_joined(value.as_py())
