@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, html_render, licenses, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup
+from . import bpe_codec, embedding_dedup, html_render, licenses, line_dedup, minhash_dedup, mixing, quality, resampling, sentencepiece_codec, sharding, substring_dedup
 from .common import documents
 
 _CODE_POINT_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
@@ -74,6 +74,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_source_mix": op10_source_mix,
     "op11_bpe": op11_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -177,4 +182,27 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL}
+#: The checksum is built from its polynomial: a table of 256 entries, then a fold over each distinct word's bytes.
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CODE_POINT_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_CODE_POINT_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+c0(b, c, k) AS (SELECT b, b::BIGINT, 0 FROM range(256) r(b) UNION ALL
+                SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM c0 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS tab FROM c0 WHERE k = 8),
+dw AS (SELECT doc_id, unnest(words) AS word FROM d), ew AS (SELECT unnest(words) AS word FROM e),
+v AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM ew)),
+h AS (SELECT word, xor(list_reduce(list_transform(range(length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INT, 2))::BIGINT),
+                                   lambda acc, x: xor(acc // 256, tab[(xor(acc, x) % 256)::INT + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM v, tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM ew JOIN h USING (word) GROUP BY bucket),
+g AS (SELECT r.bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM ew) + 10000))))::BIGINT AS gain
+      FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN w ON w.doc_id = d.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank
+FROM x LEFT JOIN r USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL, "op12_importance_resampling": OP12_SQL}
