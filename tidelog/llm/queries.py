@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, html_render, licenses, line_dedup, minhash_dedup, mixing, quality, resampling, sentencepiece_codec, sharding, substring_dedup
+from . import bpe_codec, embedding_dedup, html_render, licenses, line_dedup, minhash_dedup, mixing, quality, ranked_search, resampling, sentencepiece_codec, sharding, substring_dedup
 from .common import documents
 
 _CODE_POINT_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +78,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_bpe": op11_bpe,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -205,4 +210,16 @@ SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count
 FROM x LEFT JOIN r USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL, "op12_importance_resampling": OP12_SQL}
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CODE_POINT_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_CODE_POINT_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS all_terms FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term),
+s AS (SELECT q.item_id, p.doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // all_terms))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY q.item_id, p.doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_source_mix": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_ranked_search": OP13_SQL}
