@@ -24,10 +24,11 @@ def column(spark, f, values, kind="string"):
 
 def test_titles(spark):
     assert column(spark, titles.is_placeholder, ["Screenshot 10:32", "截图 9:05", "", None, "Screenshot of it", "Note 1"]) == [True, True, True, True, False, False]
-    assert column(spark, titles.meaty, ["A it", "：文//：: 88", "23:00 6条", "File Edit View", "我在测试语音识别", "Parking at nine", "ab", "## // real !!"]) == [False, False, False, False, True, True, False, False]
-    assert column(spark, titles.strip_lead, ["● 日 ← → Harbour page", "(1) Facebook", "9月12日 walk", "***"]) == ["Harbour page", "Facebook", "9月12日 walk", "***"]
-    long = "The quick brown fox jumps over the lazy dog, and then it sleeps for a very long time"
-    assert column(spark, titles.clip_title, [long, "short one", "x" * 70]) == ["The quick brown fox jumps over the lazy dog, and then it…", "short one", "x" * 60 + "…"]
+    assert column(spark, titles.meaty, ["I am", "；木##；: 41", "07:15 3个", "07:15 low tide", "Go History Harbour", "潮水表已更新", "Tide table for May", "ok", "** // quay !!", "Edit the log"]) == [False, False, False, True, False, True, True, False, False, True]
+    assert column(spark, titles.strip_lead, ["◆ 月 ↑ » Quay notes", "(12) Tide mail", "3月4日 sailing", "~~~", "» (2) x “Low water”", None]) == ["Quay notes", "Tide mail", "3月4日 sailing", "~~~", "Low water”", ""]
+    long = ["Boats that lie dry at low water must be moored fore and aft in the harbour", "Boats lie dry at low water near the old quay stairs, on an hour"]
+    assert column(spark, titles.clip_title, [*long, "short one", "x" * 70, "潮" * 12 + "，" + "水" * 9 + " " + "汐" * 9]) == [
+        "Boats that lie dry at low water must be moored fore and aft…", "Boats lie dry at low water near the old quay stairs, on an…", "short one", "x" * 60 + "…", "潮" * 12 + "，" + "水" * 9 + "…"]
     rows = [("Screenshot 10:32", "first line of text\nmore", "Inbox of the day", "Mail", ["walk", "river"]), ("Screenshot 10:32", "88\nfirst line of text", "Mail", "Mail", None), ("mine", "x", "Window", "App", None), ("", "88", None, None, ["walk", "river", "ultra", "more"])]
     e = spark.createDataFrame(rows, "title string, text string, window string, app string, tags array<string>")
     got = [r["t"] for r in e.select(titles.auto_title(F.col("title"), F.col("text"), F.col("window"), F.col("app"), tags=F.col("tags")).alias("t")).collect()]

@@ -95,12 +95,24 @@ class Secret:
 FREE = r"(?=[0-9A-Z])(?<!/\S{0,200})"
 # What stands in place of each kind.
 MASKS = {"pem": "[private key]", "key": "[api key]", "secret": "[secret]", "code": "[code]", "card": "[card number]", "id": "[id number]", "iban": "[iban]", "email": "[email]", "phone": "[phone]"}
-# Published key formats, as (prefix, characters, least number of them).
-KEY_FORMATS = (
-    ("sk-", "[A-Za-z0-9_-]", 20), ("[srp]k_(?:live|test)_", "[A-Za-z0-9]", 16), ("AKIA", "[0-9A-Z]", 16), ("gh[oprsu]_", "[A-Za-z0-9]", 30), ("glpat-", "[A-Za-z0-9_-]", 16),
-    ("xox[abprs]-", "[A-Za-z0-9-]", 10), ("AIza", "[0-9A-Za-z_-]", 35), ("hf_", "[A-Za-z0-9]", 30), ("npm_", "[A-Za-z0-9]", 30),
-)
-TOKEN_PART = "[A-Za-z0-9_-]{8,}"  # of a signed web token, three of them joined by dots
+# Formats of keys as their publishers document them, by publisher.
+KEY_FORMATS = {
+    "Amazon Web Services, access key id": r"AKIA[0-9A-Z]{16}",
+    "GitHub, tokens": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "GitLab, personal access token": r"glpat-[A-Za-z0-9_-]{20,}",
+    "Google Cloud, API key": r"AIza[0-9A-Za-z_-]{35}",
+    "Hugging Face, user access token": r"hf_[A-Za-z0-9]{34,}",
+    "npm, access token": r"npm_[A-Za-z0-9]{36,}",
+    "OpenAI and other model services, secret key": r"sk-[A-Za-z0-9_-]{20,}",
+    "RFC 7519, JSON web token": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "Slack, tokens": r"xox[abeprs]-[A-Za-z0-9-]{10,}",
+    "Stripe, API keys": r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{24,}",
+}
+# How card numbers are grouped in print (ISO/IEC 7812 allows 12 to 19 digits; the issuers' own
+# layouts), and the shape of an IBAN (ISO 13616: country, check digits, up to 30 characters in fours).
+CARD_LAYOUTS = ((4, 6, 5), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 4, 4, 4), (4, 4, 4, 5), (4, 4, 4, 6), (4, 4, 4, 7))
+CARD_DIGITS = (13, 19)
+IBAN_REST = (8, 31)
 # The words by which a secret names itself.
 SECRET_NAMES = ("password", "passwd", "passphrase", "secret", "token", "api key", "密码", "口令", "授权码")
 CODE_NAMES = ("verification code", "security code", "one time code", "otp", "验证码", "校验码", "动态码")
@@ -110,26 +122,37 @@ def _spelled(names: Sequence[str]) -> str:
     return "|".join(n.replace(" ", r"[\s_-]?") for n in names)
 
 
+def _grouped() -> str:
+    """Card numbers in groups, all parted by the same sign; longer last groups are tried first."""
+    layouts = sorted(CARD_LAYOUTS, reverse=True)
+    marked = [rf"\d{{{first}}}(?<s{k}>[ -])" + rf"\k<s{k}>".join(rf"\d{{{n}}}" for n in rest) for k, (first, *rest) in enumerate(layouts)]
+    return "(?:" + "|".join(marked) + ")"
+
+
+def _iban() -> str:
+    least, most = IBAN_REST[0] // 4, IBAN_REST[1] // 4
+    return rf"\b[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{least},{most}}}(?: ?[A-Z0-9]{{1,3}})?\b"
+
+
 def _secrets() -> tuple[Secret, ...]:
     """The rules in the order in which they apply; a later one leaves masks alone."""
     fence = lambda end: rf"-----{end} (?:[A-Z]+ )?PRIVATE KEY-----"
-    formats = "|".join(rf"{prefix}{chars}{{{least},}}" for prefix, chars, least in KEY_FORMATS)
+    formats = "|".join(KEY_FORMATS.values())
     # A name may go on (aws_secret_access_key); "key" by itself names nothing, some_key does.
     name = rf"(?:(?:{_spelled(SECRET_NAMES)})(?:[_-][a-z0-9]+)*|[a-z0-9][_-]key)"
     new = r"(?!\[[a-z ]+\])"
     return (
         Secret("pem", rf"{fence('BEGIN')}[\s\S]*?{fence('END')}"),
-        Secret("key", rf"(?<![A-Za-z0-9_])(?:{formats}|eyJ{TOKEN_PART}\.{TOKEN_PART}\.{TOKEN_PART})"),
+        Secret("key", rf"(?<![A-Za-z0-9_])(?:{formats})"),
         Secret("key", rf"{new}[\w.~+/=-]{{16,}}", lead=r"\bBearer\s+"),
         Secret("secret", rf"{new}[^\s:@/]+(?=@)", lead=r"\b[a-z][a-z0-9+.-]*://[^\s:@/]+:"),
         Secret("secret", rf"{new}[^\s&#\"']{{6,}}", lead=rf"(?i)[?&;/][^\s?&;/=]{{0,60}}?{name}="),
         Secret("secret", rf"{new}[^\s\"']{{6,}}", lead=rf"(?i){name}\s*[:：=]\s*[\"']?"),
         Secret("code", r"\d{4,8}(?!\d)", lead=rf"(?i)(?:{_spelled(CODE_NAMES)})[^\n\d]{{0,12}}"),
-        Secret("card", r"(?<![\d.])\d{4}([ -])\d{6}\1\d{5}(?![\d.])", valid="card", free=True),
-        Secret("card", r"(?<![\d.])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?![\d.])", valid="card", free=True),
-        Secret("card", r"(?<![\d.])\d{13,19}(?![\d.])", valid="card", free=True),
+        Secret("card", rf"(?<![\d.]){_grouped()}(?![\d.])", valid="card", free=True),
+        Secret("card", rf"(?<![\d.])\d{{{CARD_DIGITS[0]},{CARD_DIGITS[1]}}}(?![\d.])", valid="card", free=True),
         Secret("id", r"(?<![0-9A-Za-z])\d{17}[\dXx](?![0-9A-Za-z])", valid="id18", free=True),
-        Secret("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", valid="iban", free=True),
+        Secret("iban", _iban(), valid="iban", free=True),
         Secret("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", strict=True),
         Secret("phone", r"(?<![\d+])(?:\+\d{1,3}(?:[ -]?\d){8,14}|\(\d{3}\) ?\d{3}-\d{4}|07\d{3}[ -]?\d{6}|1[3-9]\d{9})(?!\d)", strict=True),
     )
