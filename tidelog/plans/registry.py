@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text, urls
 from ..operators import days, entries, filters, graph, hygiene, media, pages, search, sessions, vectors
-from ..session import saved_dir, table
-from . import retrieval, workspace
+from ..session import exists, saved_dir, stamp, table
+from . import index_store, retrieval, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,20 +320,26 @@ def speech_segments(spark: SparkSession, d: str) -> DataFrame:
 # --- search -------------------------------------------------------------------------------
 
 
-_BUILT: dict[tuple[str, str], retrieval.Index] = {}
+_BUILT: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
 def _index(spark: SparkSession, d: str) -> retrieval.Index:
-    """The folder's index: built and saved once an application, read by every search."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
-        _BUILT[key] = retrieval.Index(_entries(spark, d)).save(f"{saved_dir(spark)}/index-{uuid.uuid4().hex}")
-    return _BUILT[key]
+    """The folder's index, saved once an application and read by every search.  It is built anew where its
+    tables are gone or the folder's documents are other files than those it was made from."""
+    key, now = (spark.sparkContext.applicationId, d), stamp(spark, d, "documents")
+    e = _entries(spark, d)
+    made, path = _BUILT.get(key, (None, ""))
+    if made == now and exists(spark, f"{path}/versions"):
+        return retrieval.Index.load(e, path)
+    path = f"{saved_dir(spark)}/index-{uuid.uuid4().hex}"
+    index = retrieval.Index(e).save(path)
+    _BUILT[key] = (now, path)
+    return index
 
 
 @query(IX + f"SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct({TOK})) AS term FROM ix) GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return search.term_df(_index(spark, d).post)
+    return _index(spark, d).term_df()
 
 
 @query(IX + f"SELECT id FROM ix WHERE list_has_all({TOK}, ['license', 'the', 'apache'])")
@@ -360,10 +366,16 @@ def search_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(IX + f""", t AS (SELECT id, {TOK} AS ts FROM ix), n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM t),
 p AS (SELECT id, len(ts) AS l, w, len(list_filter(ts, lambda x: x = w)) AS tf FROM t, (SELECT unnest(['license', 'the', 'apache']) AS w)), f AS (SELECT w, count(*) AS df FROM p WHERE tf > 0 GROUP BY w)
-SELECT id, round(round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6), 4) AS score, count(*) AS matched FROM p JOIN f USING (w), n WHERE tf > 0 GROUP BY id""")
+SELECT id, sum(floor(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) * 1e6 + 0.5)::BIGINT)::BIGINT / 1e6 AS score, count(*) AS matched FROM p JOIN f USING (w), n WHERE tf > 0 GROUP BY id""")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return search.bm25(index.post, index.lengths, TERMS).withColumn("score", F.round("score", 4))
+    return search.bm25(index.post, index.lengths, TERMS)
+
+
+@query(ORACLES["search_bm25"].replace(", count(*) AS matched", "") + " ORDER BY score DESC, id DESC LIMIT 96")
+def index_best(spark: SparkSession, d: str) -> DataFrame:
+    """The 96 best of the same scores, by bounds of whole levels of postings."""
+    return index_store.best(_index(spark, d).store, TERMS, 96)[0]
 
 
 _TIERS = f""", t AS (SELECT id, created_at, {TOK} AS ts, concat('|', array_to_string({TOK}, '|'), '|') AS j FROM ix)"""
@@ -373,7 +385,7 @@ _TIERS = f""", t AS (SELECT id, created_at, {TOK} AS ts, concat('|', array_to_st
 hit AS (SELECT id FROM t WHERE contains(j, '|apache|license|') AND list_contains(ts, 'version')),
 p AS (SELECT t.id, len(ts) AS l, w, len(list_filter(ts, lambda x: x = w)) AS tf, t.id IN (SELECT id FROM hit) AS ok FROM t, (SELECT unnest(['apache', 'license', 'version']) AS w)),
 f AS (SELECT w, count(*) AS df FROM p WHERE tf > 0 AND ok GROUP BY w),
-s AS (SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM p JOIN f USING (w), n WHERE tf > 0 AND ok GROUP BY id)
+s AS (SELECT id, sum(floor(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) * 1e6 + 0.5)::BIGINT) AS score FROM p JOIN f USING (w), n WHERE tf > 0 AND ok GROUP BY id)
 SELECT id, 1 AS tier, (row_number() OVER (ORDER BY score DESC, id DESC) - 1)::INT AS rank FROM s ORDER BY score DESC, id DESC LIMIT 96""")
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """The tiers of the search; "apache-license" is written as one word, so its parts must adjoin."""

@@ -14,48 +14,60 @@ from ..config import KEEP
 from ..functions.text import snippet
 from ..operators import hygiene, pages, search, vectors
 from ..operators.filters import Filter, clamp, matching
+from . import index_store
 from .dates import parse_range
 
 
 class Index:
-    """Postings over entries, with a table of the indexed records.  ``save`` and ``load`` keep both
-    as derived tables that can be dropped and rebuilt at any time."""
+    """Postings over entries, with a table of the indexed records.  ``save`` writes them as the tables of
+    ``index_store``, which can be dropped and rebuilt at any time; ``load`` opens them, and ``current`` opens
+    them anew where a step has finished since."""
 
-    def __init__(self, e: DataFrame, post: DataFrame | None = None, lengths: DataFrame | None = None):
-        self.e = e
+    def __init__(self, e: DataFrame, post: DataFrame | None = None, lengths: DataFrame | None = None, store: index_store.Store | None = None):
+        self.e, self.store = e, store
         self.post = search.postings(e) if post is None else post
         self.lengths = search.document_lengths(e) if lengths is None else lengths
         self._total: int | None = None
 
-    def save(self, path: str, buckets: int | None = None) -> Index:
-        post = self.post.repartition(buckets, "term") if buckets else self.post.repartition("term")
-        post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")  # row groups hold few terms each, so look-ups skip most
-        self.lengths.write.mode("overwrite").parquet(f"{path}/records")
-        return Index.load(self.e, path)
+    def save(self, path: str, cells: int | None = None) -> Index:
+        return Index._of(self.e, index_store.build(self.e, path, cells))
 
     @staticmethod
     def load(e: DataFrame, path: str) -> Index:
-        read = e.sparkSession.read.parquet
-        return Index(e, read(f"{path}/postings"), read(f"{path}/records"))
+        return Index._of(e, index_store.open_store(e.sparkSession, path))
+
+    @staticmethod
+    def _of(e: DataFrame, store: index_store.Store) -> Index:
+        return Index(e, store.postings, store.records.drop("cell"), store)
+
+    def current(self) -> Index:
+        return self if self.store is None or self.store.newest() else Index.load(self.e, self.store.path)
 
     def refreshed(self, e: DataFrame, changed: DataFrame) -> Index:
         """The index of ``e``, of which only the records with the ids of ``changed`` are new, changed
-        or gone: their postings are replaced and no other record is read."""
+        or gone: their postings are replaced and no other record is read.  Nothing is written; a saved
+        index is kept by ``index_store.follow``."""
         ids = changed.select("id").distinct()
         now = e.join(ids, "id", "left_semi")
-        post = self.post.join(ids, "id", "left_anti").unionByName(search.postings(now))
+        new = search.postings(now)
+        post = self.post.join(ids, "id", "left_anti").select(*new.columns).unionByName(new)
         lengths = search.document_lengths(now)
         return Index(e, post, self.lengths.join(ids, "id", "left_anti").unionByName(lengths.select(*self.lengths.columns)))
 
     @property
     def total(self) -> int:
         if self._total is None:
-            self._total = self.lengths.count()
+            self._total = self.lengths.count() if self.store is None else self.store.totals()[0]
         return self._total
 
+    def term_df(self) -> DataFrame:
+        """term, df of the whole vocabulary."""
+        return search.term_df(self.post) if self.store is None else self.store.df()
+
     def df(self, terms: Sequence[str]) -> dict[str, int]:
         """Document frequencies of a query's own terms."""
-        return {r["term"]: r["df"] for r in search.term_df(search.matched(self.post, terms)).collect()}
+        found = search.term_df(search.matched(self.post, terms)) if self.store is None else self.store.df(terms)
+        return {r["term"]: r["df"] for r in found.collect()}
 
     def phrases(self, phrases: Sequence[Sequence[str]]) -> DataFrame:
         """Ids that hold each phrase, its terms side by side."""

@@ -51,7 +51,28 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    """The path and the file system it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, store = _file(spark, path)
+    store.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _file(spark, path)
+    return store.exists(at)
+
+
+def stamp(spark: SparkSession, folder: str, name: str) -> tuple:
+    """What tells one state of a table's files from another: their names, lengths and times."""
+    at, store = _file(spark, f"{folder}/{name}.parquet")
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at))
+
+
 def drop_saved(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(saved_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, saved_dir(spark))
