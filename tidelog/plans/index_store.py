@@ -1,12 +1,13 @@
 """The saved index: built in one shuffle, followed by small steps, read for the best k.
 
-Below one folder stand four tables, each partitioned by ``cell``, a hash of the record's id:
+Below one folder stand these tables, the first four partitioned by ``cell``, a hash of the record's id:
 
 postings   term, id, positions, n, n_tokens, level; sorted by term and falling level in each file
 records    id, n_tokens and created_at
 levels     for each term and level: how many postings, their largest n, their least n_tokens
 sums       records and tokens of each cell
 versions   one row for each finished step, written last: what a reader checks
+words      where Han text is cut by a vocabulary, that vocabulary; steps and queries use it, too
 
 A cell holds a bounded number of records, so a word that stands in every record is spread over all cells and
 no task or file holds all its postings.  A step (``follow``) replaces the cells of its records by
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import search
+from ..operators import search, segmentation
 from ..session import delete, exists, saved
 
 CELL_RECORDS, FILES, LEVELS, USUAL_TOKENS = 200_000, 8, 16, 400
@@ -59,6 +60,7 @@ class Store:
     records: DataFrame
     levels: DataFrame
     sums: DataFrame
+    cutter: segmentation.Cutter | None = None
 
     def newest(self) -> bool:
         """Whether no step has finished since these tables were opened."""
@@ -83,20 +85,21 @@ def _steps(spark: SparkSession, path: str, step: str = "") -> tuple[int, bool, i
 
 def open_store(spark: SparkSession, path: str) -> Store:
     n, _, cells = _steps(spark, path)
+    cutter = segmentation.Cutter.of(spark.read.parquet(f"{path}/words")) if exists(spark, f"{path}/words") else None
     records = spark.read.parquet(f"{path}/records-schema")
     kind = records.schema["id"].dataType.simpleString()
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
-    return Store(spark, path, n, cells, read("postings", POSTINGS.format(id=kind)), read("records", f"{fields}, cell int"), read("levels", LEVEL_ROWS), read("sums", SUMS))
+    return Store(spark, path, n, cells, read("postings", POSTINGS.format(id=kind)), read("records", f"{fields}, cell int"), read("levels", LEVEL_ROWS), read("sums", SUMS), cutter)
 
 
 def _cell(cells: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell")
 
 
-def _rows_of(e: DataFrame, cells: int, segment) -> tuple[DataFrame, DataFrame]:
+def _rows_of(e: DataFrame, cells: int, cutter: segmentation.Cutter | None) -> tuple[DataFrame, DataFrame]:
     """The postings and the table of records of ``e``, both with their cells."""
-    words = segment(search.search_text(e)) if segment else None
+    words = cutter.column()(search.search_text(e)) if cutter else None
     post = search.postings(e, words=words).select("*", level_of(F.col("n"), F.col("n_tokens")).alias("level"), _cell(cells))
     kept = ["created_at"] if "created_at" in e.columns else []
     # A record without words has no postings, but is a record.
@@ -133,19 +136,24 @@ def _finish(spark: SparkSession, path: str, step: str, cells: int) -> None:
     spark.createDataFrame([(step, cells)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
-def build(e: DataFrame, path: str, cells: int | None = None, files: int = FILES, segment=None) -> Store:
-    """Writes the index of ``e`` to ``path``, in place of whatever stands there."""
+def build(e: DataFrame, path: str, cells: int | None = None, files: int = FILES, words: DataFrame | None = None) -> Store:
+    """Writes the index of ``e`` to ``path``, in place of whatever stands there.  ``words`` (as
+    ``segmentation.learn`` gives them) cut Han text in place of bigrams."""
     spark = e.sparkSession
     delete(spark, path)
     cells = cells or search.indexed(e).count() // CELL_RECORDS + 1
-    post, records = _rows_of(e, cells, segment)
+    cutter = None
+    if words is not None:
+        words.select("word", "score").write.parquet(f"{path}/words")
+        cutter = segmentation.Cutter.of(spark.read.parquet(f"{path}/words"))
+    post, records = _rows_of(e, cells, cutter)
     records.drop("cell").limit(0).write.parquet(f"{path}/records-schema")
     _write_cells(post, records, path, None, files)
     _finish(spark, path, "build", cells)
     return open_store(spark, path)
 
 
-def follow(path: str, changed: DataFrame, step: str | int, gone: DataFrame | None = None, files: int = FILES, segment=None) -> bool:
+def follow(path: str, changed: DataFrame, step: str | int, gone: DataFrame | None = None, files: int = FILES) -> bool:
     """One step: the records of ``changed`` (one row an id) are new or take the place of their old ones, and
     the ids of ``gone`` leave.  False if this step was finished before.  Fit for foreachBatch,
     whose batch number is the step."""
@@ -159,7 +167,7 @@ def follow(path: str, changed: DataFrame, step: str | int, gone: DataFrame | Non
     touched = sorted(r["cell"] for r in ids.select("cell").distinct().collect())  # numbers of cells
     if touched:
         here = F.col("cell").isin(*touched)
-        post, records = _rows_of(changed, cells, segment)
+        post, records = _rows_of(changed, cells, store.cutter)
         keep = lambda rows: rows.where(here).join(ids.select("id"), "id", "left_anti")
         post = saved(keep(store.postings).unionByName(post.select(*store.postings.columns)))
         records = saved(keep(store.records).unionByName(records.select(*store.records.columns)))

@@ -25,12 +25,13 @@ class Index:
 
     def __init__(self, e: DataFrame, post: DataFrame | None = None, lengths: DataFrame | None = None, store: index_store.Store | None = None):
         self.e, self.store = e, store
+        self.cutter = store.cutter if store is not None else None
         self.post = search.postings(e) if post is None else post
         self.lengths = search.document_lengths(e) if lengths is None else lengths
         self._total: int | None = None
 
-    def save(self, path: str, cells: int | None = None) -> Index:
-        return Index._of(self.e, index_store.build(self.e, path, cells))
+    def save(self, path: str, cells: int | None = None, words: DataFrame | None = None) -> Index:
+        return Index._of(self.e, index_store.build(self.e, path, cells, words=words))
 
     @staticmethod
     def load(e: DataFrame, path: str) -> Index:
@@ -86,11 +87,12 @@ class Index:
         wherever they stand; 3: rare terms together, which also fill up the answer to a sentence;
         4: prefixes.  The first tier that finds anything answers, and nothing found is an
         empty answer."""
-        phrases = search.query_phrases(q)
+        cut = self.cutter.phrases if self.cutter else None
+        phrases = search.query_phrases(q, cut=cut)
         if not phrases:
             newest = (F.col("created_at").desc(), F.col("id").desc())
             return search.ranked(self.lengths, "newest", *newest, n=n).select("id", F.lit(0).alias("tier"), "rank")
-        terms = search.query_terms(q)
+        terms = search.query_terms(q, cut=cut)
         df = self.df(list(dict.fromkeys([*terms, *(t for p in phrases for t in p)])))
         least = {p: min(df.get(t, 0) for t in p) for p in phrases}  # a phrase is no more frequent than its rarest term
         use = [p for p in phrases if least[p] <= search.COMMON_SHARE * self.total] or phrases
@@ -131,6 +133,7 @@ class Index:
             return self.search(q, keep)
         inside = self.e.where(F.col("date_key").between(found.first.isoformat(), found.last.isoformat()))
         part = Index(inside, self.post.join(inside.select("id"), "id", "left_semi"), self.lengths.join(inside.select("id"), "id", "left_semi"))
+        part.cutter = self.cutter
         hits = part.search(found.rest(q), keep)
         return hits if not hits.isEmpty() else part.search("", keep)
 
