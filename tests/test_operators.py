@@ -337,6 +337,8 @@ def test_stripped(spark):
     e = spark.createDataFrame([(1, f"{menu}\n{body}"), (2, menu), (3, None), (4, f"{share}{body}\n  Accept Cookies "), (5, "Home\n\nHome\nand away")], "id long, text string")
     fur = spark.createDataFrame([("accept cookies", 9)], "line string, df long")
     got = {r["id"]: (r["view"], r["text"]) for r in hygiene.stripped(e, fur).collect()}
+    assert got == {r["id"]: (r["view"], r["text"]) for r in hygiene.stripped(e, fur, in_tasks=0).collect()}  # by a join
+    assert {r["id"] for r in hygiene.stripped(e).collect()} == set(got)
     assert got == {1: ("full", body), 2: ("full", menu), 3: ("full", ""), 4: ("full", body), 5: ("full", "Home\nand away")}  # short records have no menus
     learnt = hygiene.furniture(spark.createDataFrame([(k, f"Accept  cookies\n{k}0\n12") for k in range(3)], "id long, text string"))
     assert [tuple(r) for r in learnt.collect()] == [("accept cookies", 3)]

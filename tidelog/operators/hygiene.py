@@ -17,6 +17,10 @@ from ..config import KEPT_SHARE, LINE_DOCS, LINE_MOST, LINE_REPEAT, MENU_LINES,
 from ..functions.text import card_ok, iban_ok, id18_ok, line_key, menuish, text_of
 
 
+#: So many furniture lines go to the tasks as a set (each is under a hundred characters).
+FURNITURE_IN_TASKS = 20_000
+
+
 def furniture(e: DataFrame, id_col: str = "id", least: int = LINE_DOCS, most_chars: int = LINE_MOST) -> DataFrame:
     """line, df: short lines that stand in ``least`` records or more, once counted in each; digits
     and punctuation alone are none."""
@@ -32,13 +36,24 @@ def doc_lines(e: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.withColumn("key", line_key(F.col("line")))
 
 
-def without_repeats(lines: DataFrame, repeat: int = LINE_REPEAT) -> DataFrame:
-    """``lines`` less those whose key stands ``repeat`` times in its record, and later copies.
-    Repeats are counted and the first chosen by an aggregate, so a line that is repeated very
-    often in one record is summed before the shuffle."""
-    counted = lines.where("key <> ''").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
-    rows = lines.join(counted, ["id", "key"], "left")
-    return rows.where((F.col("key") == "") | ((F.col("n") < repeat) & (F.col("line_no") == F.col("first")))).select("id", "line_no", "line", "key")
+def _starts(rows: str, field: str = "key") -> Column:
+    """Where the groups of equal ``field`` begin in a sorted array column."""
+    return F.array_compact(F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)[field] != x[field]), i)))
+
+
+def _size(k: Column, begin: Column, rows: str = "_s", starts: str = "_b") -> Column:
+    """The size of group ``k``, which begins at ``begin``."""
+    return F.coalesce(F.get(starts, k + 1), F.size(rows)) - begin
+
+
+def without_repeats(e: DataFrame, id_col: str = "id", repeat: int = LINE_REPEAT) -> DataFrame:
+    """id, line_no, line, key: the lines of each record less those whose key stands ``repeat`` times in it, and
+    later copies.  All in the record's own row, by sorting its (key, line): nothing is shuffled."""
+    cut = e.select(F.col(id_col).alias("id"), F.explode(F.array(F.split(text_of(F.col("text")), "\n"))).alias("_l"))
+    rows = cut.select("id", F.explode(F.array(F.sort_array(F.transform("_l", lambda x, i: F.struct(line_key(x).alias("key"), i.alias("no"), x.alias("line")))))).alias("_s"))
+    rows = rows.select("id", "_s", F.explode(F.array(_starts("_s"))).alias("_b"))
+    first = F.transform("_b", lambda b, k: F.when(F.get("_s", b)["key"] == "", F.slice("_s", b + 1, _size(k, b))).when(_size(k, b) < repeat, F.array(F.get("_s", b))))
+    return rows.select("id", F.inline(F.flatten(F.array_compact(first)))).select("id", F.col("no").alias("line_no"), "line", "key")
 
 
 def without_menus(lines: DataFrame, run: int = MENU_RUN) -> DataFrame:
@@ -52,12 +67,57 @@ def without_menus(lines: DataFrame, run: int = MENU_RUN) -> DataFrame:
     return cut.withColumn("menu", ~F.col("_stop") & (n >= run)).drop("_like", "_stop", "_run")
 
 
-def stripped(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str = "id", run: int = MENU_RUN, kept: float = KEPT_SHARE, repeat: int = LINE_REPEAT, most_chars: int = LINE_MOST, least_lines: int = MENU_LINES) -> DataFrame:
+def _raw(text: Column) -> Column:
+    return F.regexp_replace(text_of(text), r"^\s+|\s+$", "")
+
+
+def _chosen(kept: float) -> list[Column]:
+    """view, text: the first of _full, _soft and _raw that keeps enough."""
+    enough = lambda v: F.length(text_of(F.col(v))) >= kept * F.length("_raw")
+    view = F.when(enough("_full"), "full").when(enough("_soft"), "soft").otherwise("raw")
+    return [view.alias("view"), F.when(view == "full", text_of(F.col("_full"))).when(view == "soft", text_of(F.col("_soft"))).otherwise(F.col("_raw")).alias("text")]
+
+
+def _menu_marks(lines: str, run: int) -> Column:
+    """For each line M if it belongs to a run of ``run`` or more menu-like lines, else another letter.  A
+    record's lines are spelled as letters (S ends a run, L is menu-like, B is blank), cut at S."""
+    letter = F.transform(lines, lambda x: F.when(F.trim(x) == "", "B").when(menuish(x), "L").otherwise("S"))
+    runs = F.split(F.array_join(letter, ""), "S")
+    told = F.transform(runs, lambda r: F.when(F.length(F.replace(r, F.lit("B"), F.lit(""))) >= run, F.translate(r, "BL", "MM")).otherwise(r))
+    return F.split(F.array_join(told, "S"), "")
+
+
+def stripped(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str = "id", run: int = MENU_RUN, kept: float = KEPT_SHARE, repeat: int = LINE_REPEAT, most_chars: int = LINE_MOST, least_lines: int = MENU_LINES, in_tasks: int = FURNITURE_IN_TASKS) -> DataFrame:
     """id, view, text: the text less furniture (the lines of ``furniture_lines``), lines that stand
     ``repeat`` times in it and later copies, without menus (full) or with them (soft), or as it
     is (raw): the first that keeps ``kept`` of the characters.  Lines above ``most_chars`` are no
     repeats, and records under ``least_lines`` lines have no menus.  Ids must be unique; blank
-    lines go from the views, and texts are trimmed."""
+    lines go from the views, and texts are trimmed.
+
+    All is done in the record's own row.  Furniture goes to the tasks as a set if it is at most ``in_tasks``
+    lines (a size that is looked at first); more of it meets the lines in a join."""
+    known: list[str] = []
+    if furniture_lines is not None:
+        known = [r["line"] for r in furniture_lines.select("line").distinct().limit(in_tasks + 1).collect()]
+        if len(known) > in_tasks:
+            return _stripped_by_lines(e, furniture_lines, id_col, run, kept, repeat, most_chars, least_lines)
+    cut = e.select(F.col(id_col).alias("id"), _raw(F.col("text")).alias("_raw"), F.explode(F.array(F.split(text_of(F.col("text")), "\n"))).alias("_l"))
+    rows = cut.select("id", "_raw", "_l", F.explode(F.array(_menu_marks("_l", run))).alias("_m"))
+    line = F.transform("_l", lambda x, i: F.struct(line_key(x).alias("key"), i.alias("no"), F.trim(x).alias("t"), ((F.get("_m", i) == "M") & (F.size("_l") >= least_lines)).alias("menu")))
+    lines = F.filter(line, lambda x: (x["key"] != "") & ~x["key"].isin(*known)) if known else F.filter(line, lambda x: x["key"] != "")
+    rows = rows.select("id", "_raw", F.explode(F.array(F.sort_array(lines))).alias("_s"))
+    rows = rows.select("id", "_raw", "_s", F.explode(F.array(_starts("_s"))).alias("_b"))
+    groups = F.transform("_b", lambda b, k: F.slice("_s", b + 1, _size(k, b)))
+    rows = rows.select("id", "_raw", F.explode(F.array(F.filter(groups, lambda g: (F.size(g) < repeat) | (F.length(g[0]["key"]) > most_chars)))).alias("_g"))
+    joined = lambda firsts: F.array_join(F.transform(F.sort_array(F.array_compact(firsts)), lambda x: x["t"]), "\n")
+    at = lambda x: F.struct(x["no"].alias("no"), x["t"].alias("t"))
+    soft = joined(F.transform("_g", lambda g: at(g[0])))
+    free = joined(F.transform("_g", lambda g: F.get(F.transform(F.filter(g, lambda x: ~x["menu"]), at), F.lit(0))))
+    return rows.select("id", "_raw", soft.alias("_soft"), free.alias("_full")).select("id", *_chosen(kept))
+
+
+def _stripped_by_lines(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str = "id", run: int = MENU_RUN, kept: float = KEPT_SHARE, repeat: int = LINE_REPEAT, most_chars: int = LINE_MOST, least_lines: int = MENU_LINES) -> DataFrame:
+    """``stripped`` where the furniture is too much to go to every task: lines travel, one row each."""
     lines = without_menus(doc_lines(e, id_col), run).where("key <> ''")
     if furniture_lines is not None:
         lines = lines.join(furniture_lines.select(F.col("line").alias("key")).distinct(), "key", "left_anti")
@@ -69,10 +129,8 @@ def stripped(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str
     ).where((F.col("n") < repeat) | (F.length("key") > most_chars))
     joined = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda x: F.trim(x["line"])), "\n")
     views = each.groupBy("id").agg(joined(F.collect_list("_first")).alias("_soft"), joined(F.collect_list("_free")).alias("_full"))
-    raw = e.select(F.col(id_col).alias("id"), F.regexp_replace(text_of(F.col("text")), r"^\s+|\s+$", "").alias("_raw")).join(views, "id", "left")
-    enough = lambda v: F.length(text_of(F.col(v))) >= kept * F.length("_raw")
-    view = F.when(enough("_full"), "full").when(enough("_soft"), "soft").otherwise("raw")
-    return raw.select("id", view.alias("view"), F.when(view == "full", text_of(F.col("_full"))).when(view == "soft", text_of(F.col("_soft"))).otherwise(F.col("_raw")).alias("text"))
+    raw = e.select(F.col(id_col).alias("id"), _raw(F.col("text")).alias("_raw")).join(views, "id", "left")
+    return raw.select("id", *_chosen(kept))
 
 
 @dataclass(frozen=True)

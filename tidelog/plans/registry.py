@@ -526,7 +526,7 @@ def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT id, no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key FROM l), r AS (SELECT *, count(*) OVER (PARTITION BY id, key) AS n, min(no) OVER (PARTITION BY id, key) AS f FROM k)
 SELECT id, no::INT AS line_no, key FROM r WHERE key = '' OR (n < 4 AND no = f)""")
 def in_doc_dupes(spark: SparkSession, d: str) -> DataFrame:
-    return hygiene.without_repeats(hygiene.doc_lines(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))).select("id", "line_no", "key")
+    return hygiene.without_repeats(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "line_no", "key")
 
 
 @query(rf"""WITH fur AS (SELECT line AS key FROM {_LINES} WHERE length(line) BETWEEN 2 AND 90 AND NOT regexp_matches(line, '^[\d\p{{P}}\s]+$') GROUP BY line HAVING count(*) >= 3),
