@@ -2,61 +2,142 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import ENTITY_DOCS, SHARED_MOST
-from ..functions.text import text_of
-from ..session import saved
+from ..config import ENTITY_DOCS, SHARED_MOST, STOP_WORDS
+from ..session import exists, saved
 
-# The formats of entities that aren't names.
+# The formats of entities that aren't names, and words that name nothing.
 KINDS = {
     "postcode": r"(?<![A-Za-z0-9])[A-Z]{1,2}\d[A-Z0-9]? ?\d[A-Z]{2}(?![A-Za-z0-9])",
     "date": r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)",
     "quantity": r"(?<![\p{L}\d])\d+(?:\.\d+)? ?(?:kg|km|cm|mm|GB|MB|TB|%)(?![\p{L}\d])",
 }
-# A capital inside a sentence, all capitals, or letters with a digit; runs of names join.
-NAME = r"(?<=[\p{Ll},;:] )\p{Lu}[\p{L}\d]{2,}(?: \p{Lu}[\p{L}\d]+)*|(?<![\p{L}\d])\p{Lu}{2,}(?![\p{L}\d])|(?<![\p{L}\d])\p{L}+\d[\p{L}\d]*(?![\p{L}\d])"
-
-
-def entities(text: Column) -> Column:
-    """array of (kind, text), distinct, of one text."""
-    t = text_of(text)
-
-    def found(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
-
-    return F.array_distinct(F.concat(*[found(k, p) for k, p in KINDS.items()], found("name", NAME)))
-
-
-def entity_rows(e: DataFrame, text: str = "text") -> DataFrame:
-    return e.select("id", F.inline(entities(F.col(text)))).withColumn("key", F.lower("text"))
+LABELS = ("语音", "截图", "剪贴板", "剪贴板图片", "图片", "screenshot", "clipboard", "audio", "voice")
+WORD = r"[\p{L}\p{N}]+"
+#: Latin words that are names by how they are written: with a digit; all capitals; a capital inside of a
+#: sentence, or before another capitalised word.  Three letters at least, or two with a digit or capitals.
+_EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_INSIDE = r"(?<=[^\s.!?。！？:：\"“(（\[【][ \t]{0,2})"
+PROPER = (
+    rf"{_EDGE}(?:(?=\p{{N}}*[\p{{L}}&&[^\p{{IsHan}}]])(?=[\p{{L}}&&[^\p{{IsHan}}]]*\p{{N}})[\p{{L}}\p{{N}}&&[^\p{{IsHan}}]]{{2,}}|\p{{Lu}}{{3,}}"
+    rf"|{_INSIDE}\p{{Lu}}[\p{{L}}&&[^\p{{IsHan}}]]{{2,}}|\p{{Lu}}[\p{{L}}&&[^\p{{IsHan}}]]{{2,}}(?=,?[ \t]+\p{{Lu}})){_END}"
+)
+HEADS = ("title", "window", "url")
+
+
+def head(e: DataFrame) -> Column:
+    """What a record is headed by: title, window and address, of the columns it has."""
+    return F.concat_ws(" ", *[F.col(c) for c in HEADS if c in e.columns])
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def _named(words: Column) -> Column:
+    """Those that can name something: two characters, a letter, no filling word or label."""
+    return F.filter(words, lambda w: (F.length(w) >= 2) & w.rlike(r"\p{L}") & ~w.isin(*STOP_WORDS, *LABELS))
+
+
+def _full(e: DataFrame, text: str) -> Column:
+    return F.concat_ws("\n", head(e), F.col(text))
+
+
+def dictionary(e: DataFrame, text: str = "text", reach: int = 60) -> DataFrame:
+    """word, titled, place: what the records themselves say of words.  Titled words stand in some record's head;
+    places stand within ``reach`` characters of a postcode, to either side of it."""
+    titled = e.select(F.explode(F.array_distinct(_named(_words(head(e))))).alias("word"), F.lit(True).alias("titled"), F.lit(False).alias("place"))
+    # Between two postcodes lies one piece; what is near a postcode is an end of a piece beside it.
+    pieces = e.select(F.explode(F.array(F.split(_full(e, text), KINDS["postcode"]))).alias("_p")).where(F.size("_p") > 1)
+    ends = F.transform("_p", lambda p, i: F.concat(F.when(i > 0, F.left(p, F.lit(reach))).otherwise(F.lit("")), F.lit(" "), F.when(i < F.size("_p") - 1, F.right(p, F.lit(reach))).otherwise(F.lit(""))))
+    near = pieces.select(F.explode(F.array_distinct(_named(_words(F.array_join(ends, " "))))).alias("word"), F.lit(False).alias("titled"), F.lit(True).alias("place"))
+    return titled.unionByName(near).groupBy("word").agg(F.max("titled").alias("titled"), F.max("place").alias("place"))
+
+
+def candidates(e: DataFrame, text: str = "text", han: Callable[[Column], Column] | None = None) -> Column:
+    """array of (kind, key, gated) of one record: its postcodes, dates and quantities, and outside of these its
+    proper Latin words and, where ``han`` cuts them, Han words; those of two characters that are not
+    in the record's own head are gated: some record's head must have them."""
+    full = _full(e, text)
+    as_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x).alias("key"), F.lit(False).alias("gated"))
+    known = [F.transform(F.regexp_extract_all(full, F.lit(p), F.lit(0)), as_kind(k)) for k, p in KINDS.items()]
+    rest = F.regexp_replace(full, "|".join(KINDS.values()), " ")
+    proper = F.transform(_named(F.transform(F.regexp_extract_all(rest, F.lit(PROPER), F.lit(0)), F.lower)), as_kind("name"))
+    found = [*known, proper]
+    if han is not None:
+        words = F.filter(_named(han(rest)), lambda w: w.rlike(r"^\p{IsHan}+$"))
+        found.append(F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("key"), ((F.length(w) < 3) & ~F.contains(F.lower(head(e)), w)).alias("gated"))))
+    return F.array_distinct(F.concat(*found))
+
+
+def entity_rows(e: DataFrame, text: str = "text", han: Callable[[Column], Column] | None = None, words: DataFrame | None = None, in_tasks: int = 200_000) -> DataFrame:
+    """id, kind, key, titled: the entities of each record, gated by what all records' heads and
+    postcodes say (``dictionary``): the first pass gathers it, the second one uses it.  Names beside
+    postcodes are places.  The dictionary goes to every task if it has at most ``in_tasks`` words
+    (it is counted first), else both sides are dealt by the word."""
+    words = saved(dictionary(e, text) if words is None else words)
+    few = words.limit(in_tasks + 1).count() <= in_tasks
+    told = words.select(F.col("word").alias("key"), "titled", "place")
+    return _gated(e.select("id", F.inline(candidates(e, text, han))), F.broadcast(told) if few else told)
+
+
+def _gated(rows: DataFrame, told: DataFrame) -> DataFrame:
+    rows = rows.join(told, "key", "left")
+    titled, place = F.coalesce("titled", F.lit(False)), F.coalesce("place", F.lit(False))
+    kind = F.when((F.col("kind") == "name") & place, "place").otherwise(F.col("kind"))
+    return rows.where(~F.col("gated") | titled).select("id", kind.alias("kind"), "key", titled.alias("titled")).distinct()
 
 
 def entity_df(rows: DataFrame, low: int = ENTITY_DOCS[0], high: int = ENTITY_DOCS[1]) -> DataFrame:
-    """key, kind, df of those found in ``low`` to ``high`` records."""
-    return rows.groupBy("key").agg(F.min("kind").alias("kind"), F.countDistinct("id").alias("df")).where(F.col("df").between(low, high))
+    """kind, key, df of those found in ``low`` to ``high`` records."""
+    return rows.groupBy("kind", "key").agg(F.countDistinct("id").alias("df")).where(F.col("df").between(low, high))
 
 
 def entity_index(rows: DataFrame, per_record: int = 20, low: int = ENTITY_DOCS[0], high: int = ENTITY_DOCS[1]) -> DataFrame:
-    """id, key, kind, df, rank: each record's ``per_record`` first by (kind, df, key), less what is
+    """id, kind, key, df, rank: each record's ``per_record`` first (see ``settle``), less what is
     left in one record only."""
-    kept = settle(rows.select("id", "key").distinct().join(entity_df(rows, low, high), "key"), per_record)
-    again = kept.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= low)
-    return kept.join(again.select("key"), "key", "left_semi")
+    kept = settle(rows.join(entity_df(rows, low, high), ["kind", "key"]), per_record)
+    again = kept.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= low)
+    return kept.join(again.select("kind", "key"), ["kind", "key"], "left_semi").select("id", "kind", "key", "df", "rank")
 
 
 def settle(rows: DataFrame, per_record: int) -> DataFrame:
-    """Ranks within each record: names first, then the rarer."""
-    tier = F.when(F.col("kind") == "name", 0).otherwise(1)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(tier, "df", "key")) - 1)
+    """Ranks within each record: what a format or a postcode tells first, then words that some head has,
+    then others; in each the rarer first."""
+    tier = F.when(F.col("kind") != "name", 0).when(F.col("titled"), 1).otherwise(2)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(tier, "df", "key", "kind")) - 1)
     return ranked.where(F.col("rank") < per_record)
 
 
+def fill(e: DataFrame, path: str, rules: int, most: int | None = None, text: str = "text", han: Callable[[Column], Column] | None = None) -> int:
+    """One pass of extraction: the records (``most`` at most, oldest ids first) that have no row at
+    ``path`` under this version of the rules get one (id, rules, found); how many were done.  The
+    gates are applied when the rows are read (``filled``), so heads that come later count for earlier rows."""
+    spark = e.sparkSession
+    todo = e
+    if exists(spark, path):
+        todo = e.join(spark.read.parquet(path).where(F.col("rules") == rules).select("id"), "id", "left_anti")
+    if most is not None:
+        todo = todo.orderBy("id").limit(most)
+    new = saved(todo.select("id", F.lit(rules).alias("rules"), candidates(todo, text, han).alias("found")))
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(path)
+    return n
+
+
+def filled(spark: SparkSession, path: str, rules: int, words: DataFrame) -> DataFrame:
+    """id, kind, key, titled of the extracted records, gated by ``words``, as ``entity_rows`` gives them."""
+    rows = spark.read.parquet(path).where(F.col("rules") == rules).select("id", F.inline("found"))
+    return _gated(rows, words.select(F.col("word").alias("key"), "titled", "place"))
+
+
 def vocab_postings(index: DataFrame, cap: int = 200, keep: int = 20) -> DataFrame:
     """key -> the ids that rank it under ``keep``; of longer lists the ``cap`` least ids."""
     rows = index.where(F.col("rank") < keep)
@@ -64,13 +145,6 @@ def vocab_postings(index: DataFrame, cap: int = 200, keep: int = 20) -> DataFram
     return first.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def places(e: DataFrame, text: str = "text", reach: int = 60) -> DataFrame:
-    """Capitalised words within ``reach`` characters before a postcode."""
-    near = F.regexp_extract_all(text_of(F.col(text)), F.lit(rf"(.{{0,{reach}}}){KINDS['postcode']}"), F.lit(1))
-    words = F.flatten(F.transform(near, lambda x: F.regexp_extract_all(x, F.lit(r"\p{Lu}\p{L}{2,}"), F.lit(0))))
-    return e.select(F.explode(F.array_distinct(words)).alias("place")).distinct()
-
-
 def cooccurring(rows: DataFrame, least: int = 2, share: float = 0.8, per_record: int = 200) -> DataFrame:
     """Pairs of keys in ``least`` records together, and in ``share`` of the rarer one's.
     ``rows`` (id, key) must hold at most ``per_record`` keys a record, as ranked indexes do."""

@@ -580,7 +580,7 @@ def quantity_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entity_rows(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entity_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return graph.entity_rows(_entries(spark, d).select("id", "title", "url", "text"))
 
 
 @query()
