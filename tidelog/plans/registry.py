@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, urls
+from ..operators import articles as article
 from ..operators import days, entries, filters, graph, hygiene, media, pages, search, sessions, vectors
 from ..session import exists, saved_dir, stamp, table
 from . import index_store, retrieval, workspace
@@ -638,6 +639,12 @@ def article_blocks(spark: SparkSession, d: str) -> DataFrame:
     return media.article_blocks(table(spark, d, "pages")).select("id", "block", "chars", "score")
 
 
+@query()
+def articles(spark: SparkSession, d: str) -> DataFrame:
+    """The article and the comments of each page, by its element tree."""
+    return article.article(table(spark, d, "pages"))
+
+
 @query(r"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)
 SELECT c.conv_id, substring(any_value(u.text), 1, 60) AS title, count(*) AS n_turns, least(3, count(*))::INT AS kept FROM conversations c LEFT JOIN u ON u.conv_id = c.conv_id GROUP BY c.conv_id""")
 def chats(spark: SparkSession, d: str) -> DataFrame:
