@@ -52,16 +52,16 @@ class _Room:
 class _Cache(dict):
     """Two generations: what was not used since the last turn-over is forgotten."""
 
-    def __init__(self, make, room: _Room):
+    def __init__(self, make, room: _Room, keep=lambda key: True):
         super().__init__()
-        self.make, self.room, self.old = make, room, {}
+        self.make, self.room, self.keep, self.old = make, room, keep, {}
         room.caches.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if type(key) is not str or len(key) <= 64:
+        if (type(key) is not str or len(key) <= 64) and self.keep(key):
             self.room.take(key, value)
             self[key] = value
         return value
@@ -71,7 +71,7 @@ class PieceCodec:
     """Encoder and decoder for one model file; made once per Python worker.  Its caches hold at
     most twice ``cache_bytes`` together."""
 
-    def __init__(self, model_path: str, cache_bytes: int = 40 << 20):
+    def __init__(self, model_path: str, cache_bytes: int = 64 << 20):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(model_path, "rb") as f:
             proto.ParseFromString(f.read())
@@ -119,7 +119,9 @@ class PieceCodec:
         self._fits = _Cache(self._compatible, room)
         self.id_text = {p: str(i) for p, i in self.ids.items()}
         self._chunks = _Cache(self._encode_chunk, room)
-        self._words = _Cache(self._encode_word, room)
+        # Two characters that stand side by side in no piece are parted by every encoding.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self._words = _Cache(self._encode_word, room, lambda word: len(word) < 2 or word[-2:] in self.joined)
 
     def _merge(self, text: str) -> list[str]:
         """Merge characters by score, best first, leftmost first among equals."""
@@ -188,23 +190,30 @@ class PieceCodec:
         fits, prefix = self._fits, self.prefix
         open_at = bytearray(b"\x01") * (n + 1)
         tokens: list[str] = []
-        pos, nxt = 0, longest[0]
+        pos, nxt, last = 0, longest[0], None
         while pos < n:
-            token, last = nxt, tokens[-1] if tokens else None
-            while token is not None and not (open_at[pos + len(token)] and (last is None or fits[(last, token)])):
+            token = nxt
+            while token is not None:
+                end = pos + len(token)
+                if open_at[end] and (last is None or fits[last, token]):
+                    break
                 token = prefix[token]
             if token is not None:
                 tokens.append(token)
-                pos += len(token)
+                last, pos = token, end
                 nxt = longest[pos] if pos < n else None
             else:
                 open_at[pos] = 0
                 nxt = tokens.pop()
+                last = tokens[-1] if tokens else None
                 pos -= len(nxt)
         return ",".join([self.id_text[t] for t in tokens])
 
     def _encode_word(self, word: str) -> str:
-        """A word that follows a space, or a line feed and the word that follows it."""
+        """A word that follows a space, or a line feed and the word that follows it.  A last sign that no
+        merge can take up (most commas and full stops) is set behind the word without it."""
+        if len(word) > 1 and word[-2:] not in self.joined and (last := self.id_text.get(word[-1])):
+            return f"{self._words[word[:-1]]},{last}"
         if word[:1] == "\n":
             parts = [str(self.byte_ids[10])] if "\n" not in self.chars else []
             rest = word[1:] if parts else word
