@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CLUSTER_COSINE, LINK_COSINE, SEARCH_COSINE
+from ..functions.text import text_of
+from ..functions.titles import is_placeholder
+from ..session import saved
 from .graph import components
 
 
@@ -146,12 +148,7 @@ def link_components(rows: DataFrame, floor: float = LINK_COSINE, miss: float = 0
     if not parts:
         return alone
     found = reduce(DataFrame.unionByName, parts)
-    if base := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        path = f"{base.rstrip('/')}/links-{uuid.uuid4().hex}"
-        found.write.parquet(path)
-        found = rows.sparkSession.read.parquet(path)
-    else:
-        found = found.persist()  # no shared folder is set: tests and single machines
+    found = saved(found)
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     facts = nodes.join(counts, "node", "left").join(roots, "node", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
@@ -224,13 +221,30 @@ def leader_clusters(rows: DataFrame, key: str, order: str, vector: str = "v", id
     return dealt.mapInPandas(run, f"key {kinds['key']}, id {kinds['id']}, leader {kinds['id']}")
 
 
-def name_clusters(members: DataFrame, rows: DataFrame, least: int = 3) -> DataFrame:
-    """leader, n, named_by: clusters of ``least`` members, named by the member nearest their centroid."""
+def name_clusters(members: DataFrame, rows: DataFrame, least: int = 3, share: float = 0.3, words: int = 3) -> DataFrame:
+    """leader, n, named_by, title, words, name of the clusters (id, leader) of ``least`` members.  ``rows``
+    have id, v, title.  The name is the title of the member nearest the centroid whose title says something
+    (ties to the least id), and where no member has one, the cluster's own words: those that stand in the titles of two
+    members and of ``share`` of them, by their share over the logarithm of their frequency in all titles."""
     big = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    m = members.join(big, "leader").join(rows.select("id", "v"), "id")
+    m = members.join(big, "leader").join(rows.select("id", "v", "title"), "id")
     centre = centroids(m, "leader", "v").drop("n")
+    says = ~is_placeholder(F.col("title"))
     near = m.join(centre, "leader").withColumn("_s", F.round(cosine(F.col("v"), F.col("centroid")), 9))
-    return near.groupBy("leader").agg(F.max("n").alias("n"), F.min(F.struct((-F.col("_s")).alias("s"), "id")).alias("b")).select("leader", "n", F.col("b.id").alias("named_by"))
+    best = near.groupBy("leader").agg(
+        F.max("n").alias("n"), F.min(F.struct((-F.col("_s")).alias("s"), "id"))["id"].alias("named_by"),
+        F.min(F.when(says, F.struct((-F.col("_s")).alias("s"), "id", F.substring(F.trim("title"), 1, 40).alias("title"))))["title"].alias("title"),
+    )
+    told = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text_of(t)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.rlike(r"^[\dv]+$")))
+    # One shuffle by the word: in all titles, and in each cluster's.
+    flat = rows.select("id", F.explode(told(F.col("title"))).alias("word")).join(members.select("id", "leader"), "id", "left")
+    counts = flat.groupBy("word", "leader").agg(F.count(F.lit(1)).alias("in"))
+    df = F.sum("in").over(Window.partitionBy("word"))
+    rare = counts.withColumn("df", df).where("leader IS NOT NULL").join(big, "leader")
+    rare = rare.where(F.col("in") >= F.greatest(F.lit(2.0), share * F.col("n"))).withColumn("_w", F.round(F.col("in") / F.col("n") / F.log(1 + F.col("df")), 9))
+    own = rare.groupBy("leader").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("_w")).alias("w"), "word"))), 1, words), lambda x: x["word"]), " · ").alias("words"))
+    out = best.join(own, "leader", "left").withColumns({"title": text_of(F.col("title")), "words": text_of(F.col("words"))})
+    return out.select("leader", "n", "named_by", "title", "words", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("words")).alias("name"))
 
 
 def exact_edges(rows: DataFrame, floor: float, k: int, id_col: str, vector: str) -> DataFrame:

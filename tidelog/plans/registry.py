@@ -513,6 +513,27 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.leader_clusters(_vectors(spark, d), "label", "id")
 
 
+_LABELLED = r"""WITH r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, trim(split_part(coalesce(text, ''), chr(10), 1)) AS title FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+m AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM r WHERE label IS NOT NULL AND v IS NOT NULL),
+x AS (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM m) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY k) AS c FROM x GROUP BY label),
+s AS (SELECT m.*, round(list_cosine_similarity(v, c), 9) AS s FROM m JOIN c USING (label) WHERE n >= 3),
+b AS (SELECT label, any_value(n) AS n, arg_min(id, (-s, id)) AS named_by, arg_min(substring(title, 1, 40), (-s, id)) FILTER (title <> '') AS title FROM s GROUP BY label),
+w AS (SELECT id, label, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '^[\dv]+$')))) AS word FROM r),
+f AS (SELECT word, count(*) AS df FROM w GROUP BY word), i AS (SELECT label, word, count(*) AS k FROM w WHERE label IS NOT NULL GROUP BY ALL),
+g AS (SELECT label, word, round(k / n / ln(1 + df), 9) AS w, row_number() OVER (PARTITION BY label ORDER BY round(k / n / ln(1 + df), 9) DESC, word) AS p FROM i JOIN b USING (label) JOIN f USING (word) WHERE k >= greatest(2.0, 0.3 * n)),
+o AS (SELECT label, string_agg(word, ' · ' ORDER BY p) AS words FROM g WHERE p <= 3 GROUP BY label)
+SELECT label AS leader, n, named_by, coalesce(title, '') AS title, coalesce(words, '') AS words, CASE WHEN coalesce(title, '') <> '' THEN title ELSE coalesce(words, '') END AS name FROM b LEFT JOIN o USING (label)"""
+
+
+@query(_LABELLED)
+def cluster_names(spark: SparkSession, d: str) -> DataFrame:
+    """The labels' clusters, named by the first lines of the documents of their vectors' ids."""
+    v = _vectors(spark, d)
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.first_line(F.col("text")).alias("title"))
+    rows = v.join(titles, "id", "left").select("id", "v", "label", text.text_of(F.col("title")).alias("title"))
+    return vectors.name_clusters(rows.where("label IS NOT NULL AND v IS NOT NULL").select("id", F.col("label").alias("leader")), rows)
+
+
 # --- hygiene ------------------------------------------------------------------------------
 
 _LINES = r"(SELECT doc_id, unnest(list_distinct(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))))) AS line FROM documents)"
