@@ -73,3 +73,14 @@ def test_entities_and_recognised_text(spark):
     assert value(spark, text.clean_text(F.col("c")), c="会 议 室 a b") == "会议室 a b"
     one, two = F.lit(7).cast("long"), F.lit(4).cast("long")
     assert value(spark, text.hamming(one, two)) == 2 and value(spark, text.hamming(one, two, F.lit("a"), F.lit("b"))) is None
+
+
+def test_composed_and_decomposed_are_one(spark):
+    import unicodedata
+
+    texts = ["Caf\u00e9 quay", "Cafe\u0301 quay", "\uac00", "\u1100\u1161", "\u212b", "plain", "", None, "\u0300", "q\u0307\u0323", "\U0001d15e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", "t", text.nfc(F.col("t")).alias("n"), text.copy_identity(F.lit("text"), F.col("t")).alias("i")).collect()
+    for r in rows:
+        assert r["n"] == (None if r["t"] is None else unicodedata.normalize("NFC", r["t"]))
+    same = {r["k"]: r["i"] for r in rows}
+    assert same[0] == same[1] and same[2] == same[3] and same[0] != same[5]

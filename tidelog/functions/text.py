@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import CHUNK_CHARS, CHUNK_LEAST, CHUNK_STRIDE
 
@@ -139,9 +141,21 @@ def menuish(c: Column) -> Column:
     return (F.length(t) <= 44) & short & ~phrase & ~t.rlike(r"[.!?。！？;；]$")
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+def nfc(c: Column) -> Column:
+    """Unicode's composed form.  Texts below U+0300 are composed already and don't leave the JVM (Python sees
+    a null in their place); batches of nothing else cost next to nothing."""
+    return F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
+
+
 def copy_identity(kind: Column, payload: Column) -> Column:
-    """What a copied thing is the same by: its kind and a digest of its normalised text."""
-    norm = F.trim(F.regexp_replace(F.regexp_replace(text_of(payload), "\r\n?", "\n"), r"[ \t]+", " "))
+    """What a copied thing is the same by: its kind and a digest of its normalised text; composed and
+    decomposed spellings are the same."""
+    norm = F.trim(F.regexp_replace(F.regexp_replace(nfc(text_of(payload)), "\r\n?", "\n"), r"[ \t]+", " "))
     prefix = F.when(kind == "image", "pic:").when(kind == "url", "url:").otherwise("txt:")
     return F.concat(prefix, F.md5(norm))
 

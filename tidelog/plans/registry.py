@@ -188,7 +188,7 @@ def text_chunks_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id AS id, substring(sha1(concat_ws('|', 'mini', '220/180', trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))), 1, 16) AS hash,
- concat('txt:', md5(trim(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g')))) AS copy_id FROM documents""")
+ concat('txt:', md5(trim(regexp_replace(replace(nfc_normalize(coalesce(text, '')), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g')))) AS copy_id FROM documents""")
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.chunk_hash(F.col("text"), "mini").alias("hash"), text.copy_identity(F.lit("text"), F.col("text")).alias("copy_id"))
 
@@ -213,11 +213,14 @@ def media_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(i.alias("id"), urls.media_kind(url, None, (i * 37) % 9000).alias("kind"))
 
 
-@query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style\s*>|<script\b.*?</script\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'),
+_PAGE_TEXT = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style\s*>|<script\b.*?</script\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'),
  '(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/section|/article|/ul|/ol|/table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t, html FROM pages),
-x AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM t)
-SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title,
- array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(y, '[ \t\r\f]+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS text FROM x""")
+x AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM t),
+page AS (SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title,
+ array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(y, '[ \t\r\f]+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS text FROM x)"""
+
+
+@query(_PAGE_TEXT + " SELECT * FROM page")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", urls.html_title(F.col("html")).alias("title"), urls.html_to_text(F.col("html")).alias("text"))
 
@@ -704,7 +707,7 @@ k AS (SELECT *, trim(regexp_replace(trim(""" + _DECODED.format("raw") + r"""), '
 
 def _plain_pages(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("page_id")
-    return table(spark, d, "pages").select(i.alias("id"), F.timestamp_seconds(F.lit(1704067200) + (i * 7919) % 5184000).alias("at"), "url", urls.html_title(F.col("html")).alias("title"), F.lit("").alias("text"))
+    return table(spark, d, "pages").select(i.alias("id"), F.timestamp_seconds(F.lit(1704067200) + (i * 7919) % 5184000).alias("at"), "url", urls.html_title(F.col("html")).alias("title"), urls.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH {_PLAIN} SELECT id, norm AS url_key, CASE WHEN length(squeezed) < 4 OR lower(squeezed) IN ('untitled', 'new tab', 'notion', 'gmail', 'youtube', 'facebook') THEN '' ELSE squeezed END AS title_key FROM k""")
@@ -719,7 +722,8 @@ def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_nodes(rows, rows.where("id % 10 = 0"))
 
 
-@query(f"""WITH {_PLAIN}, s AS (SELECT seen_at, url, title, (SELECT sum(CASE WHEN contains(lower(title), w) THEN 2 WHEN contains(lower(concat_ws(chr(10), title, url, '')), w) THEN 1 ELSE 0 END) FROM (SELECT unnest(['the', 'in', 'example']) AS w))::INT AS score FROM k)
+@query(f"""{_PAGE_TEXT}, {_PLAIN}, f AS (SELECT k.*, page.text FROM k JOIN page ON page.page_id = k.id),
+s AS (SELECT seen_at, url, title, (SELECT sum(CASE WHEN contains(lower(title), w) THEN 2 WHEN contains(lower(concat_ws(chr(10), title, url, text)), w) THEN 1 ELSE 0 END) FROM (SELECT unnest(['the', 'in', 'example']) AS w))::INT AS score FROM f)
 SELECT seen_at AS "at", url, title, score FROM s WHERE score > 0 ORDER BY score DESC, seen_at DESC, url LIMIT 60""")
 def find_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.find_pages(_plain_pages(spark, d), ("the", "in", "Example "))
