@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -322,45 +323,72 @@ def selector(text: str) -> tuple[list[Compound], bool, tuple[float, ...]] | None
     return parts, sure, tuple(weight)
 
 
+HIDING = ("none", "hidden", "collapse")
+
+
+def _stronger(kept: dict[str, tuple[tuple, str]], new: dict[str, tuple[tuple, str]]) -> None:
+    """Takes up declarations that rank as high as those there are, or higher."""
+    for name, own in new.items():
+        if name not in kept or own[0] >= kept[name][0]:
+            kept[name] = own
+
+
 class Styles:
     """display and visibility from style elements and attributes, by importance, specificity and
     order.  Compound and descendant selectors are judged; what can't be (other combinators,
     pseudo-classes, conditions) never hides an element, and keeps a weaker rule from it."""
 
     def __init__(self, sheets: list[str]):
-        self.rules: dict[str, list[tuple[list[Compound], bool, tuple, dict[str, tuple[bool, str]]]]] = {}
+        # By what an element must have: selector -> its parts, whether it can be judged, and of each
+        # property the strongest declaration.  Equal selectors are one, however often they are written.
+        self.rules: dict[str, dict[tuple, tuple[list[Compound], bool, dict[str, tuple[tuple, str]]]]] = {}
+        self.fitting: dict[tuple, tuple[dict, dict, list]] = {}
         for k, sheet in enumerate(sheets):
             for place, selectors, declared, certain in rules(sheet):
                 own = _declarations(declared)
                 for text in SELECTOR_COMMA.split(selectors) if own else ():
                     if found := selector(text):
                         parts, sure, weight = found
-                        last = parts[-1]
+                        last, sure = parts[-1], sure and certain
                         key = "#" + min(last.ids) if last.ids else "." + min(last.classes) if last.classes else last.tag
-                        self.rules.setdefault(key, []).append((parts, sure and certain, (*weight, k, place), own))
+                        name = (sure, *((p.tag, frozenset(p.classes), frozenset(p.ids), frozenset(p.has)) for p in parts))
+                        kept = self.rules.setdefault(key, {}).setdefault(name, (parts, sure, {}))[2]
+                        _stronger(kept, {n: ((important, False, *weight, k, place), value) for n, (important, value) in own.items() if sure or value not in HIDING})
+
+    def _of_kind(self, node: Node) -> tuple[dict, dict, list]:
+        """What the rules say of elements with this tag, class, id and these attributes: declarations that hold,
+        ranks of those that may show it, and rules that ask for more above it."""
+        a = node.attributes
+        kind = (node.tag, a.get("class", ""), a.get("id"), frozenset(a))
+        if kind not in self.fitting:
+            classes = set(a.get("class", "").split())
+            keys = ["", node.tag, *("." + c for c in classes), *(["#" + a["id"]] if "id" in a else [])]
+            best: dict[str, tuple[tuple, str]] = {}
+            shows: dict[str, tuple[tuple, str]] = {}
+            above = []
+            for parts, sure, declared in (r for key in keys for r in self.rules.get(key, {}).values()):
+                if parts[-1].fits(node, classes):
+                    if sure and len(parts) > 1:
+                        above.append((parts[:-1], declared))
+                    else:
+                        _stronger(best if sure else shows, declared)
+            self.fitting[kind] = best, shows, above
+        return self.fitting[kind]
 
     def of(self, node: Node, path: list[Node], hidden: bool = False) -> dict[str, str]:
         """Of an element under those of ``path``; ``hidden`` where the browser hides it unless told otherwise."""
-        lowest = (False, False, -1.0)
-        best: dict[str, tuple[tuple, str]] = {"display": (lowest, "none")} if hidden else {}
-        shows: dict[str, list[tuple]] = {}
-        own = _declarations(node.attributes["style"]) if "style" in node.attributes else {}
+        best: dict[str, tuple[tuple, str]] = {"display": ((False, False, -1.0), "none")} if hidden else {}
+        shows: dict[str, tuple[tuple, str]] = {}
         if self.rules:
-            classes = set(node.attributes.get("class", "").split())
-            keys = ["", node.tag, *("." + c for c in classes), *(["#" + node.attributes["id"]] if "id" in node.attributes else [])]
-            for parts, sure, weight, declared in (r for key in keys for r in self.rules.get(key, ())):
-                if not parts[-1].fits(node, classes) or (sure and not self._under(parts[:-1], path)):
-                    continue
-                for name, (important, value) in declared.items():
-                    rank = (important, False, *weight)
-                    if not sure:
-                        shows.setdefault(name, []).extend([rank] if value not in ("none", "hidden", "collapse") else [])
-                    elif name not in best or rank >= best[name][0]:
-                        best[name] = (rank, value)
-        for name, (important, value) in own.items():
+            held, shows, above = self._of_kind(node)
+            _stronger(best, held)
+            for parts, declared in above:
+                if self._under(parts, path):
+                    _stronger(best, declared)
+        for name, (important, value) in _declarations(node.attributes["style"]).items() if "style" in node.attributes else ():
             if name not in best or (important, True) >= best[name][0][:2]:
                 best[name] = ((important, True), value)
-        return {name: value for name, (rank, value) in best.items() if value not in ("none", "hidden", "collapse") or not any(r >= rank for r in shows.get(name, ()))}
+        return {name: value for name, (rank, value) in best.items() if value not in HIDING or name not in shows or shows[name][0] < rank}
 
     @staticmethod
     def _under(parts: list[Compound], path: list[Node]) -> bool:
@@ -431,19 +459,24 @@ class Lines:
 
 
 def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of cells (lines, colspan, rowspan) as lines with padded columns."""
+    """Rows of cells (lines, colspan, rowspan) as lines with padded columns.  A table that would be mostly
+    padding (over 20 characters for each of its text, and 20,000), or whose spans take over 64 steps a cell to
+    place, is written without: its cells' texts side by side.  So the time follows the page's length."""
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[int, int] = {}  # column -> rows it stays covered
-    for row in rows:
+    until: dict[int, int] = {}  # column -> the row from which it is free
+    steps = 4096 + 64 * sum(map(len, rows))
+    for r, row in enumerate(rows):
         at, placed = 0, []
         for lines, across, down in row:
-            while taken.get(at, 0) > 0:
-                at += 1
+            while until.get(at, 0) > r:
+                at, steps = at + 1, steps - 1
             placed.append((at, across, lines))
-            for k in range(at, at + across):
-                taken[k] = down
+            steps -= across
+            if steps < 0:
+                return _unpadded(rows)
+            if down > 1:
+                until.update(dict.fromkeys(range(at, at + across), r + down))
             at += across
-        taken = {k: v - 1 for k, v in taken.items() if v > 1}
         grid.append(placed)
     width: dict[int, int] = {}
     for placed in grid:
@@ -451,25 +484,37 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             if across == 1:
                 width[at] = max(width.get(at, 0), min(WIDE, max(map(len, lines), default=0)))
     order = sorted({at for placed in grid for at, _, lines in placed if any(lines)})
+    before = [0]  # characters of the columns of ``order`` before each, with what parts them
+    for at in order:
+        before.append(before[-1] + width.get(at, 0) + 3)
+    tall = [max((len(lines) for _, _, lines in placed), default=0) for placed in grid]
+    if sum(tall) * before[-1] > 20_000 + 20 * sum(len(x) for row in rows for lines, _, _ in row for x in lines):
+        return _unpadded(rows)
     out: list[str] = []
-    for placed in grid:
-        cells = {at: lines for at, _, lines in placed}
-        ends = {at: at + across for at, across, _ in placed}
-        for k in range(max(map(len, cells.values()), default=0)):
-            parts, covered = [], -1
-            for at in order:
-                if at < covered:
-                    continue
-                lines = cells.get(at, [])
-                covered = ends.get(at, at + 1)
-                span = [width.get(c, 0) for c in order if at <= c < covered]
-                parts.append((lines[k] if k < len(lines) else "").ljust(sum(span) + 3 * (len(span) - 1)))
+    for placed, n in zip(grid, tall, strict=True):
+        cells = {at: (at + across, lines) for at, across, lines in placed}
+        spans = []  # (lines, padded width) of what stands in each place
+        k = 0
+        while k < len(order):
+            end, lines = cells.get(order[k], (order[k] + 1, []))
+            first, k = k, bisect_left(order, end, k + 1)
+            spans.append((lines, before[k] - before[first] - 3))
+        for k in range(n):
+            parts = [(lines[k] if k < len(lines) else "").ljust(size) for lines, size in spans]
             while parts and not parts[-1].strip():
                 parts.pop()
             out.append(" | ".join(parts).rstrip(" "))
     return out
 
 
+def _unpadded(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    out: list[str] = []
+    for row in rows:
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+            out.append(" | ".join(lines[k] for lines, _, _ in row if k < len(lines) and lines[k]))
+    return out
+
+
 def _number(text: str | None, default: int, most: int) -> int:
     m = re.match(r"\s*([+-]?\d{1,9})", text or "")
     return min(most, int(m[1])) if m else default
