@@ -781,7 +781,7 @@ def answer(spark: SparkSession, d: str) -> DataFrame:
     """A question's records and pages seen in passing, with what two turns used before."""
     from datetime import date
 
-    return retrieval.answer(_index(spark, d), ["where is the apache license", "license version"], date(2024, 3, 1), turns=[[3, 5], [7]], asked_before=["an earlier question"], trail=_plain_pages(spark, d))
+    return retrieval.answer(_index(spark, d), ["where is the apache license example", "license version"], date(2024, 3, 1), turns=[[3, 5], [7]], asked_before=["an earlier question"], trail=_plain_pages(spark, d))
 
 
 @query()

@@ -125,6 +125,13 @@ class Index:
         ids = search.by_prefix(self.post, known, unknown)
         return search.ranked(ids.join(self.lengths, "id"), "prefix", F.col("created_at").desc(), F.col("id").desc(), n=n).select("id", F.lit(4).alias("tier"), "rank")
 
+    def rare_terms(self, q: str) -> list[str]:
+        """The rarest term of each of a query's phrases that few records hold."""
+        phrases = search.query_phrases(q, cut=self.cutter.phrases if self.cutter else None)
+        df = self.df(list(dict.fromkeys(t for p in phrases for t in p)))
+        first = [min(p, key=lambda t: (df.get(t, 0), t)) for p in phrases]
+        return list(dict.fromkeys(t for t in first if 0 < df.get(t, 0) <= search.RARE_SHARE * self.total))
+
     def select(self, q: str, today: date, keep: int = KEEP) -> DataFrame:
         """A question's range is read off it first; the rest is searched inside the range, and
         where that finds nothing the range itself is the answer."""
@@ -228,7 +235,8 @@ def near_related(index: Index, q: str, today: date, nodes: DataFrame | None = No
 
 def answer(index: Index, questions: Sequence[str], today: date, planner: Callable[[str], Sequence[str]] | None = None, turns: Sequence[Sequence[int]] = (), asked_before: Sequence[str] = (), trail: DataFrame | None = None, keep: int = KEEP, reserved: int = 3) -> DataFrame:
     """place, kind, ref: the records (by id) and pages seen in passing (by address) that a question
-    gets.  Lanes of the question and of what a planner adds are taken in turn, then blended
+    gets.  Lanes of the question and of what a planner adds are taken in turn and set in tiers (records
+    that several rare terms meet, on the topic, the rest, mere repeats of the question), then blended
     with the question's shape and words over all records; records that only repeat an earlier
     question go, and ``reserved`` places are the best pages'."""
     main = questions[0]
@@ -238,7 +246,12 @@ def answer(index: Index, questions: Sequence[str], today: date, planner: Callabl
         pool = pool.where(hygiene.not_echo(pool, asked_before))
     terms = search.query_terms(main)
     order = (F.col("round"), F.col("leg"), F.col("id"))
-    legs = search.ranked(lanes.select("id", "round", F.col("leg").alias("_leg")).withColumnRenamed("_leg", "leg").join(pool.select("id"), "id", "left_semi"), "found", *order, n=keep)
+    found = lanes.select("id", "round", "leg").join(pool.select("id"), "id", "left_semi")
+    found = search.ranked(found, "found", *order, n=keep).select("id", "rank")
+    rare = index.rare_terms(main)
+    both = search.rare_cohits(index.post, index.lengths, rare, 4 * keep).where("n_terms >= 2") if len(rare) >= 2 else None
+    tiered = search.rerank(found, pool, terms, [main], both)  # ``keep`` rows
+    legs = search.ranked(tiered, "found", F.col("tier"), F.col("rank"), F.col("id"), n=keep)
     if terms:
         legs = legs.unionByName(search.ranked(search.scan_words(pool, terms), "scan", F.col("score").desc(), F.col("id"), n=keep))
     if shape := search.shape_of(main):
