@@ -84,3 +84,24 @@ def test_composed_and_decomposed_are_one(spark):
         assert r["n"] == (None if r["t"] is None else unicodedata.normalize("NFC", r["t"]))
     same = {r["k"]: r["i"] for r in rows}
     assert same[0] == same[1] and same[2] == same[3] and same[0] != same[5]
+
+
+def test_windows_and_reading_texts(spark):
+    long = "word " * 40 + "harbour bell rings at low water " + "tail " * 40
+    got = value(spark, text.window_around(F.col("c"), ("bell", "rings"), 60), c=long)
+    assert got.startswith("…") and "bell" in got and got[1:5] == "word" and len(got) == 61
+    assert value(spark, text.window_around(F.col("c"), ("bell",), 60), c="short bell") == "short bell"
+    assert value(spark, text.window_around(F.col("c"), ("none",), 10), c="no such word here") == "no such wo"
+    assert value(spark, text.window_around(F.col("c"), (), 10), c="no such word here") == "no such wo"
+    assert value(spark, text.window_around(F.col("c"), ("x",), 30), c="a" * 100 + "x" + "b" * 50) == "…" + "a" * 10 + "x" + "b" * 19
+    assert value(spark, text.reading_text(F.lit(" T "), F.col("c"), F.lit("sum")), c=" a  b ") == "T。a b"
+    assert value(spark, text.reading_text(F.lit(""), F.col("c"), F.lit("sum mary")), c=" ") == "sum mary"
+    assert value(spark, text.reading_text(F.lit("T"), F.col("c")), c=None) == "T"
+
+
+def test_lists_of_chats(spark):
+    from tidelog.operators import media
+
+    rows = [(1, 5, 9), (2, 7, 7), (3, 6, 9), (4, 6, None), (None, 9, 9), (5, 5, 9)]
+    chats = spark.createDataFrame(rows, "id long, created_at long, updated_at long")
+    assert [r["id"] for r in media.chats_listed(chats, 4).collect()] == [3, 5, 1, 2]

@@ -91,15 +91,29 @@ def snippet(c: Column, needle: Column | str, around: int = 90) -> Column:
     return F.substring(t, F.greatest(at - around, F.lit(1)), F.lit(2 * around))
 
 
-def window_around(c: Column, needles: Sequence[str], width: int) -> Column:
-    """``width`` characters from a third before the earliest needle on, moved to just after a
-    space if one stands within 24 characters."""
+def window_around(c: Column, needles: Sequence[str], width: int, back: int = 24) -> Column:
+    """The ``width`` characters around the earliest needle: a third of them stand before it, from just behind a
+    space if there is one within ``back`` characters.  Short texts stay; without a needle, or with
+    one near the beginning, it is the head."""
     t = squeeze(c)
     low = F.lower(t)
-    at = F.coalesce(F.array_min(F.filter(F.array(*[F.instr(low, n.lower()) for n in needles]), lambda i: i > 0)), F.lit(1))
-    start = F.greatest(at - width // 3, F.lit(1))
-    space = F.instr(F.substring(t, start, F.lit(24)), " ")
-    return F.substring(t, F.when((start > 1) & (space > 0), start + space).otherwise(start), F.lit(width))
+    at = F.array_min(F.filter(F.array(*[F.instr(low, n.lower()) for n in needles]), lambda i: i > 0)) if needles else F.lit(None).cast("int")
+    first = at - width // 3  # from 1; at least the ``width / 2`` before the needle are more than a third
+    near = F.substring(t, F.greatest(first - back, F.lit(1)), F.least(first, F.lit(back + 1)))
+    space = F.instr(F.reverse(near), " ")
+    start = F.when(space > 0, first - space + 2).otherwise(first)
+    around = F.concat(F.lit("…"), F.substring(t, start, F.lit(width)))
+    return F.when(F.length(t) <= width, t).when(at.isNull() | (at - 1 < width / 2), F.substring(t, 1, width)).otherwise(around)
+
+
+def reading_text(title: Column, body: Column, summary: Column | None = None) -> Column:
+    """What a record is cut into pieces from: title and body, else a summary in the body's place; ``body``
+    is best a text without furniture (``hygiene.stripped``)."""
+    head = F.trim(text_of(title))
+    inner = squeeze(body)
+    if summary is not None:
+        inner = F.when(inner == "", squeeze(summary)).otherwise(inner)
+    return F.concat_ws("。", F.nullif(head, F.lit("")), F.nullif(inner, F.lit("")))
 
 
 def chunks(c: Column, chars: int = CHUNK_CHARS, stride: int = CHUNK_STRIDE, most: int | None = None, least: int = CHUNK_LEAST) -> Column:

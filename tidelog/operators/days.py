@@ -34,6 +34,18 @@ def breakdown(e: DataFrame, dimensions: tuple[str, ...] = ("type", "src", "app",
     return out if slots is None else out.unionByName(slots.select(F.col("day").alias("date_key"), F.lit("minutes").alias("dimension"), F.lit("").alias("value"), F.col("minutes").cast("long").alias("n")))
 
 
+def listed(e: DataFrame, slots: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """date_key, n, kinds (type -> n), pinned, minutes that the recorder ran (null: unknown), status: ok where records
+    were kept, idle where the recorder ran and kept none; the newest ``most`` days."""
+    by_kind = e.groupBy("date_key", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("pinned", F.lit(False))).alias("pinned"), F.count_if(~F.col("status").eqNullSafe("error")).alias("kept"))
+    day = by_kind.groupBy("date_key").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("kinds"), F.sum("pinned").alias("pinned"), F.sum("kept").alias("kept"))
+    ran = slots.select(F.col("day").alias("date_key"), F.col("minutes").cast("long").alias("minutes")) if slots is not None else e.select("date_key", F.lit(None).cast("long").alias("minutes")).limit(0)
+    both = day.join(ran, "date_key", "full").fillna(0, ["n", "pinned", "kept"])
+    status = F.when(F.col("kept") > 0, "ok").when(F.col("minutes") > 0, "idle").otherwise("off")
+    out = both.select("date_key", "n", F.coalesce("kinds", F.create_map().cast("map<string,bigint>")).alias("kinds"), "pinned", "minutes", status.alias("status")).orderBy(F.col("date_key").desc())
+    return out.limit(most) if most else out
+
+
 def top_titles(e: DataFrame, most: int = 3) -> DataFrame:
     """Per day and app the first few distinct titles, in order of time."""
     seen = e.where(text_of(F.col("title")) != "").groupBy("date_key", "app", "title").agg(F.min(F.struct("created_at", "id")).alias("at"))

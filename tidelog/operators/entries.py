@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify
-from ..functions.text import first_line, says_something, text_of
+from ..functions.text import first_line, letters, text_of
+from ..functions.titles import is_placeholder
 from ..session import table
 
 SCHEMA = T.StructType([
@@ -54,8 +55,12 @@ def classified(e: DataFrame) -> DataFrame:
 
 
 def junk(e: DataFrame) -> F.Column:
-    """Nothing to read: no id, or under eight letters in title and text."""
-    return F.col("id").isNull() | ~says_something(F.col("title"), F.col("text"))
+    """No material: no id, a picture of the program itself (column ``self`` where there is one), or under eight
+    letters in the text as well as in a title that is more than a kind with a time."""
+    says = lambda c: letters(c) >= 8
+    own = F.coalesce(F.col("self"), F.lit(False)) if "self" in e.columns else F.lit(False)
+    head = F.when(is_placeholder(F.col("title")), "").otherwise(text_of(F.col("title")))
+    return F.col("id").isNull() | own | ~(says(F.col("text")) | says(head))
 
 
 def first_of_identical(e: DataFrame) -> DataFrame:

@@ -123,3 +123,10 @@ def recent_median(runs: DataFrame, key: str, at: str, ms: str, last: int = 5, le
     r = runs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc()))).where(F.col("_r") <= last)
     lists = r.groupBy(key).agg(F.sort_array(F.collect_list(ms)).alias("_m")).where(F.size("_m") >= least)
     return lists.select(key, F.get("_m", F.floor(F.size("_m") / 2).cast("int")).alias("median")).withColumn("slow", F.col("median") > limit_ms)
+
+
+def chats_listed(chats: DataFrame, most: int = 200) -> DataFrame:
+    """The newest conversations: by the last change (or the beginning, where nothing changed), then the beginning,
+    then the id, so that no tie is left open."""
+    at = F.coalesce("updated_at", "created_at")
+    return chats.where("id IS NOT NULL").orderBy(at.desc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(most)

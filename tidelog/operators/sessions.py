@@ -122,8 +122,9 @@ def merge_turns(rows: DataFrame, key: str, order: str, who: str, text: str, most
     return out.select(key, "merged", "part", who, "n", F.array_join(F.transform("_t", lambda x: F.coalesce(x[text], F.lit(""))), "\n").alias("text"))
 
 
-def speaker_shares(rows: DataFrame, key: str) -> DataFrame:
-    secs = rows.groupBy(key, "speaker").agg(F.round(F.sum(F.col("end") - F.col("start")), 3).alias("secs"))
+def speaker_shares(rows: DataFrame, key: str, least: float = 1.0) -> DataFrame:
+    """key, speaker, secs, rank: who spoke how long, numbered by it; under ``least`` seconds nobody counts."""
+    secs = rows.groupBy(key, "speaker").agg(F.round(F.sum(F.col("end") - F.col("start")), 3).alias("secs")).where(F.col("secs") >= least)
     return secs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("secs").desc(), "speaker")))
 
 

@@ -139,6 +139,39 @@ def uptime_slots(spark: SparkSession, d: str) -> DataFrame:
     return days.uptime_slots(table(spark, d, "events"))
 
 
+@query(E + r""", d AS (SELECT date_key, count(*) AS n, count(*) FILTER (pinned) AS pinned, count(*) FILTER (status IS DISTINCT FROM 'error') AS kept FROM e GROUP BY 1),
+k AS (SELECT date_key, string_agg(concat(type, '=', n), ',' ORDER BY type) AS kinds FROM (SELECT date_key, type, count(*) AS n FROM e GROUP BY ALL) GROUP BY 1),
+u AS (SELECT strftime(ts, '%Y-%m-%d') AS date_key, 5 * count(DISTINCT (hour(ts) * 60 + minute(ts)) // 5) AS minutes FROM events GROUP BY 1)
+SELECT coalesce(d.date_key, u.date_key) AS date_key, coalesce(n, 0) AS n, coalesce(kinds, '') AS kinds, coalesce(pinned, 0) AS pinned, minutes, CASE WHEN kept > 0 THEN 'ok' WHEN minutes > 0 THEN 'idle' ELSE 'off' END AS status
+FROM d LEFT JOIN k USING (date_key) FULL JOIN u ON u.date_key = d.date_key""")
+def days_listed(spark: SparkSession, d: str) -> DataFrame:
+    """All days of records and of the recorder."""
+    rows = days.listed(_entries(spark, d), days.uptime_slots(table(spark, d, "events")))
+    return rows.withColumn("kinds", F.array_join(F.transform(F.map_entries("kinds"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ","))
+
+
+@query(E + "SELECT from_where AS value, count(*) AS n FROM e GROUP BY 1 ORDER BY from_where = '?', n DESC, value LIMIT 8")
+def facet_top(spark: SparkSession, d: str) -> DataFrame:
+    """The origins to show, the unknown one last."""
+    return filters.facet_values(filters.facets(_entries(spark, d), filters.Filter()), "origin").select("value", "n")
+
+
+@query(E + r"""SELECT id FROM e WHERE length(regexp_replace(coalesce(text, ''), '\P{L}', '', 'g')) < 8
+AND (trim(title) = '' OR regexp_matches(title, '^(截图|Screenshot|剪贴板图片|Clipboard image|语音|Voice|录音|Note|随手记)\s*[0-9]{1,2}:[0-9]{2}$') OR length(regexp_replace(title, '\P{L}', '', 'g')) < 8)""")
+def junk_entries(spark: SparkSession, d: str) -> DataFrame:
+    e = _entries(spark, d)
+    return e.where(entries.junk(e)).select("id")
+
+
+@query(r"""WITH s AS (SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+p AS (SELECT *, nullif(least(coalesce(nullif(strpos(lower(t), 'license'), 0), 1000000000), coalesce(nullif(strpos(lower(t), 'apache'), 0), 1000000000)), 1000000000) AS hit FROM s),
+f AS (SELECT *, hit - 53 AS first, strpos(reverse(substring(t, greatest(hit - 53 - 24, 1), least(hit - 53, 25))), ' ') AS space FROM p)
+SELECT id, CASE WHEN length(t) <= 160 THEN t WHEN hit IS NULL OR hit - 1 < 80 THEN substring(t, 1, 160) ELSE concat('…', substring(t, CASE WHEN space > 0 THEN first - space + 2 ELSE first END, 160)) END AS excerpt FROM f""")
+def hit_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's stretch around the first of a question's words."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.window_around(F.col("text"), ("license", "apache"), 160).alias("excerpt"))
+
+
 @query(E + "SELECT id FROM e QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(concat_ws(chr(10), title, coalesce(text, '')), '[ \\t\\n\\r\\f\\x0B]+', '', 'g')) ORDER BY created_at, id) = 1")
 def first_of_identical(spark: SparkSession, d: str) -> DataFrame:
     return entries.first_of_identical(_entries(spark, d)).select("id")
@@ -308,7 +341,7 @@ def speaker_overlap(spark: SparkSession, d: str) -> DataFrame:
     return sessions.overlap_speakers(slots, seg, "key", "slot", bin_s=600.0).withColumn("secs", F.round("secs", 2))
 
 
-@query(_SEG + "SELECT key, speaker, round(sum(stop - start), 3) AS secs, row_number() OVER (PARTITION BY key ORDER BY round(sum(stop - start), 3) DESC, speaker) AS rank FROM seg GROUP BY key, speaker")
+@query(_SEG + "SELECT key, speaker, round(sum(stop - start), 3) AS secs, row_number() OVER (PARTITION BY key ORDER BY round(sum(stop - start), 3) DESC, speaker) AS rank FROM seg GROUP BY key, speaker HAVING round(sum(stop - start), 3) >= 1")
 def speaker_shares(spark: SparkSession, d: str) -> DataFrame:
     return sessions.speaker_shares(_segments(spark, d), "key")
 
@@ -554,7 +587,7 @@ def in_doc_dupes(spark: SparkSession, d: str) -> DataFrame:
     return hygiene.without_repeats(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "line_no", "key")
 
 
-@query(rf"""WITH fur AS (SELECT line AS key FROM {_LINES} WHERE length(line) BETWEEN 2 AND 90 AND NOT regexp_matches(line, '^[\d\p{{P}}\s]+$') GROUP BY line HAVING count(*) >= 3),
+_STRIPPED = rf"""WITH fur AS (SELECT line AS key FROM {_LINES} WHERE length(line) BETWEEN 2 AND 90 AND NOT regexp_matches(line, '^[\d\p{{P}}\s]+$') GROUP BY line HAVING count(*) >= 3),
 l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS no, len(string_split(coalesce(text, ''), chr(10))) AS n_lines FROM documents),
 k AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key, trim(line) AS t FROM l),
 s AS (SELECT *, t = '' AS blank, length(t) <= 44 AND len(regexp_split_to_array(t, '\s+')) < 5 AND NOT regexp_matches(t, '[.!?;]$') AND NOT (regexp_matches(t, '[，,、]') AND length(t) > 18) AS m FROM k),
@@ -563,13 +596,25 @@ g AS (SELECT *, n_lines >= 20 AND (blank OR m) AND sum((NOT blank AND m)::INT) O
 r AS (SELECT id, key, count(*) AS n, min(no) AS line_at, arg_min(line, no) AS line, min(no) FILTER (NOT menu) AS free_at, arg_min(line, no) FILTER (NOT menu) AS free FROM g WHERE key <> '' AND key NOT IN (SELECT key FROM fur) GROUP BY id, key HAVING count(*) < 4 OR length(key) > 90),
 v AS (SELECT id, string_agg(trim(line), chr(10) ORDER BY line_at) AS soft, string_agg(trim(free), chr(10) ORDER BY free_at) FILTER (free_at IS NOT NULL) AS whole FROM r GROUP BY id),
 w AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS raw, coalesce(soft, '') AS soft, coalesce(whole, '') AS whole FROM documents LEFT JOIN v ON v.id = doc_id),
-x AS (SELECT *, CASE WHEN length(whole) >= 0.35 * length(raw) THEN 'full' WHEN length(soft) >= 0.35 * length(raw) THEN 'soft' ELSE 'raw' END AS view FROM w)
-SELECT id, view, sha256(CASE view WHEN 'full' THEN whole WHEN 'soft' THEN soft ELSE raw END) AS sha256 FROM x""")
+x AS (SELECT *, CASE WHEN length(whole) >= 0.35 * length(raw) THEN 'full' WHEN length(soft) >= 0.35 * length(raw) THEN 'soft' ELSE 'raw' END AS view FROM w)"""
+
+
+@query(_STRIPPED + " SELECT id, view, sha256(CASE view WHEN 'full' THEN whole WHEN 'soft' THEN soft ELSE raw END) AS sha256 FROM x")
 def stripped_views(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return hygiene.stripped(e, hygiene.furniture(e)).select("id", "view", F.sha2("text", 256).alias("sha256"))
 
 
+@query(_STRIPPED + r""", y AS (SELECT id, trim(regexp_replace(CASE view WHEN 'full' THEN whole WHEN 'soft' THEN soft ELSE raw END, '\s+', ' ', 'g')) AS body FROM x),
+h AS (SELECT doc_id AS id, trim(substring(trim(split_part(coalesce(text, ''), chr(10), 1)), 1, 80)) AS head FROM documents)
+SELECT id, sha256(concat_ws('。', nullif(head, ''), nullif(body, ''))) AS sha256 FROM y JOIN h USING (id)""")
+def reading_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What each record's pieces are cut from: its title, and its text without furniture."""
+    e = _entries(spark, d).select("id", "title", "text")
+    view = hygiene.stripped(e, hygiene.furniture(e))
+    return view.join(e.select("id", "title"), "id").select("id", F.sha2(text.reading_text(F.col("title"), F.col("text")), 256).alias("sha256"))
+
+
 @query("SELECT md5(coalesce(text, '')) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dupes(spark: SparkSession, d: str) -> DataFrame:
     return hygiene.exact_groups(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), F.md5(text.text_of(F.col("text"))))
