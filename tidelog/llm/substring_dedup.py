@@ -1,8 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every indexed reference block.
+"""Substring dedup by relative Lempel-Ziv factors over windows, the corpus being its own reference.
 
-The corpus is its own reference.  A block is a run of consecutive ``window``-word windows
-with the same anchor, the least hash among the windows' ``gram``-word runs; equal windows
-have equal anchors, so all places that can match a block meet under its anchor.
+What differs from the textbook parse: the reference isn't one text with a suffix structure, in which a longest match
+is sought from each position (no machine holds one), but the table of all occurrences of ``window``-word
+windows, found by an 80-bit hash that isn't confirmed on words.  A window's source is its first occurrence in its batch
+or, for those, in the corpus; a factor is a greatest run of windows whose sources follow each other in one
+document.  A longer match in a source that is neither isn't sought.
+
+A block is a run of consecutive windows with the same anchor, the least hash among the windows' ``gram``-word
+runs; equal windows have equal anchors, so all places that can match a block meet under its anchor.
 
 1. Each document's anchors are dealt by hash, packed by batch; anchors that occur in one
    document only are done with.  Of an anchor that ``sure`` documents of a batch or more hold
@@ -16,9 +21,9 @@ have equal anchors, so all places that can match a block meet under its anchor.
    broadcast, are a million at most.
 3. Each block is factored greedily against the first occurrences: a factor goes on while
    the next window is found right behind the last one in the same source.
-4. A document's factors are put together.  As every window is looked up, also those that
-   lie over the border of two factors, the words that some factor covers are exactly
-   those of windows that start earlier elsewhere; they are removed.
+4. A document's factors are put together: one that goes on over the border of two blocks becomes one
+   again.  As every window is looked up, also those that lie over the border of two factors, the words
+   that some factor covers are exactly those of windows that start earlier elsewhere; they are removed.
 
 Defined results: documents are ordered by (id, nulls last), then text hash; rows that
 agree in both are one document repeated, and are treated alike.  A null or empty text, or
@@ -200,6 +205,16 @@ def _factors(w: np.ndarray, null: np.ndarray, doc: np.ndarray, text: np.ndarray,
     return order[head], (null[owner], doc[owner], text[owner], dk[owner]), out
 
 
+def _joined(f: np.ndarray) -> np.ndarray:
+    """A document's factors, sorted by start, those that go on in the same source as one."""
+    a, b = f[:-1], f[1:]
+    on = (b["start"] == a["start"] + a["n"]) & (b["from"] == a["from"] + a["n"]) & (b["id"] == a["id"]) & (b["null"] == a["null"])
+    first = np.flatnonzero(np.concatenate([[True], ~on]))
+    out = f[first].copy()
+    out["n"] = np.add.reduceat(f["n"].astype(np.int64), first)
+    return out
+
+
 def _packed(owner: tuple, factors: np.ndarray) -> tuple[list, list, list, list, list]:
     """One entry for each document among the factors' owners, which come sorted."""
     null, doc, text, dk = owner
@@ -313,7 +328,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 8, id_col: s
                         parts.append(np.frombuffer(x["factors"], dtype=_FACTOR_TYPE))
                 spans, n = [], 0
                 if parts:
-                    f = np.unique(np.concatenate(parts))
+                    f = _joined(np.unique(np.concatenate(parts)))
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(change, f["start"].astype(np.int64), 1)
                     np.add.at(change, f["start"].astype(np.int64) + f["n"] - 1 + window, -1)
