@@ -177,15 +177,17 @@ def first_of_identical(spark: SparkSession, d: str) -> DataFrame:
     return entries.first_of_identical(_entries(spark, d)).select("id")
 
 
-@query(r"""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0),
-n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0)
+@query(r"""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+n AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 250000 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')
 SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN o.status ELSE n.status END AS status, round(CASE WHEN n.k IS NULL THEN o.price ELSE n.price END, 2) AS price,
  CASE WHEN o.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'keep' WHEN o.status IS NOT DISTINCT FROM n.status AND o.price IS NOT DISTINCT FROM n.price THEN 'same' ELSE 'update' END AS op
 FROM o FULL JOIN n ON o.k = n.k""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    new = o.where("k % 2 = 0").withColumn("status", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("status")))
-    return entries.upsert(o.where("k % 3 <> 0"), new, "k", ["status", "price"]).withColumn("price", F.round("price", 2))
+    """All orders: those up to 1999 stand there, those since 1997 come in, the dear ones with a new status."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_orderdate")
+    old, new = o.where("o_orderdate < TIMESTAMP_NTZ '2000-01-01'"), o.where("o_orderdate >= TIMESTAMP_NTZ '1997-01-01'")
+    new = new.withColumn("status", F.when(F.col("price") > 250_000, "X").otherwise(F.col("status")))
+    return entries.upsert(old.drop("o_orderdate"), new.drop("o_orderdate"), "k", ["status", "price"]).withColumn("price", F.round("price", 2))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -764,7 +766,7 @@ def page_keys(spark: SparkSession, d: str) -> DataFrame:
 def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Pages by all their names: those with one address or one title are the same."""
     rows = _plain_pages(spark, d).select("id", pages.page_keys(F.col("url"), F.col("title")).alias("keys"))
-    return pages.page_nodes(rows, rows.where("id % 10 = 0"))
+    return pages.page_nodes(rows, rows)
 
 
 @query(f"""{_PAGE_TEXT}, {_PLAIN}, f AS (SELECT k.*, page.text FROM k JOIN page ON page.page_id = k.id),
