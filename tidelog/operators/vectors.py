@@ -165,9 +165,10 @@ def _links(nodes: DataFrame, dim: int, bits: int, tables: int, floor: float, hot
         return pd.DataFrame({"b": list((over.reshape(len(x), tables, bits) @ weights).astype(np.int32)), "sig": [s.tobytes() for s in np.packbits(over, axis=1)]})
 
     signed = nodes.withColumn("s", signs("v"))
-    # A row for each ``hot`` rows of the buckets at most.
-    large = signed.select(F.posexplode("s.b").alias("t", "b")).groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("t", "b", F.ceil(F.col("n") / hot).cast("int").alias("cells"))
-    placed = signed.select("node", "copies", "v", "s.sig", F.posexplode("s.b").alias("t", "b")).join(F.broadcast(large), ["t", "b"], "left")
+    # A row for each ``hot`` rows of the buckets at most; broadcast only if they are few.
+    large = saved(signed.select(F.posexplode("s.b").alias("t", "b")).groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("t", "b", F.ceil(F.col("n") / hot).cast("int").alias("cells")))
+    few = large.limit(100_001).count() <= 100_000
+    placed = signed.select("node", "copies", "v", "s.sig", F.posexplode("s.b").alias("t", "b")).join(F.broadcast(large) if few else large, ["t", "b"], "left")
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
     units = placed.select("t", "b", F.least("cell", "o").alias("c1"), F.greatest("cell", "o").alias("c2"), "cell", "node", "copies", "v", "sig")
 
