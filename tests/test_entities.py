@@ -116,3 +116,13 @@ def test_filling_goes_on(spark, tmp_path):
     assert read() == sorted(tuple(r) for r in graph.entity_rows(e).collect())
     assert graph.fill(e, path, 2) == 4  # other rules: all of them again
     assert len(read()) == graph.entity_rows(e).count()
+
+
+def test_posting_lists(spark):
+    rows = [tuple(r) for r in registry.QUERIES["entity_index"](spark, SF).select("id", "key", "rank").collect()]
+    want = {}
+    for i, key, rank in rows:
+        if rank < 3:
+            want.setdefault(key, set()).add(i)
+    got = {r["key"]: r["ids"] for r in graph.vocab_postings(registry.QUERIES["entity_index"](spark, SF), cap=2, keep=3).collect()}
+    assert got == {k: sorted(v)[:2] for k, v in want.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import ENTITY_DOCS, SHARED_MOST, STOP_WORDS
+from ..config import ENTITY_DOCS, STOP_WORDS
 from ..session import exists, saved
 
 # The formats of entities that aren't names, and words that name nothing.
@@ -225,13 +225,6 @@ def components(edges: DataFrame) -> DataFrame:
         e = saved(small.select("p.*").where(F.col("u") != F.col("v")).distinct())
 
 
-def shared_pages(of: DataFrame, most: int = SHARED_MOST) -> DataFrame:
-    """(id, other): records of one page, of pages with at most ``most`` records."""
-    sizes = of.groupBy("page").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("page")
-    small = of.join(sizes, "page", "left_semi")
-    return small.join(small.select("page", F.col("id").alias("other")), "page").where(F.col("id") != F.col("other")).select("id", "other").distinct()
-
-
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, label) after synchronous weighted-majority rounds over (a, b, weight).  A node votes
     for its own label as its heaviest edge does, so two sides never swap labels for ever; ties

@@ -190,6 +190,18 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return entries.upsert(old.drop("o_orderdate"), new.drop("o_orderdate"), "k", ["status", "price"]).withColumn("price", F.round("price", 2))
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, concat('quality ', quality) FROM labels")
+def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' languages, in their place the judged ones' quality."""
+    judged = table(spark, d, "labels").select("doc_id", F.concat_ws(" ", F.lit("quality"), F.col("quality").cast("string")).alias("lang"))
+    return entries.replace_keyed(table(spark, d, "documents").select("doc_id", "lang"), judged, "doc_id")
+
+
+@query(E + "SELECT date_key, concat_ws(chr(10), concat('records: ', count(*)), concat('failed: ', count(*) FILTER (status = 'error')), concat('from ', strftime(min(created_at), '%H:%M'), ' to ', strftime(max(created_at), '%H:%M'))) AS lines FROM e GROUP BY 1")
+def day_lines(spark: SparkSession, d: str) -> DataFrame:
+    return days.stats_lines(days.day_stats(_entries(spark, d)))
+
+
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_keys(spark: SparkSession, d: str) -> DataFrame:
     return entries.missing(table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "labels").select(F.col("doc_id").alias("id")), ["id"])
@@ -386,6 +398,11 @@ def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
     return search.all_terms(_index(spark, d).post, TERMS)
 
 
+@query(IX + f", t AS (SELECT DISTINCT unnest({TOK}) AS term FROM ix) SELECT p AS prefix, term FROM t, (SELECT unnest(['lic', 'apac', 'zzz']) AS p) WHERE starts_with(term, p)")
+def prefix_words(spark: SparkSession, d: str) -> DataFrame:
+    return search.prefix_terms(_index(spark, d).post, ["lic", "apac", "zzz", "x"])
+
+
 @query(IX + f"""SELECT id, (length(j) - length(replace(j, '|apache|license|', ''))) // length('|apache|license|') AS places FROM (SELECT id, concat('|', array_to_string({TOK}, '|'), '|') AS j FROM ix) WHERE contains(j, '|apache|license|')""")
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
     return search.phrase(_index(spark, d).post, ("apache", "license"))

@@ -173,7 +173,3 @@ def names_in_turn(names: DataFrame, order: DataFrame, per_record: int = 3) -> Da
     weight = F.round(F.col("n") / F.log2(2 + F.col("df")), 9)
     w = Window.orderBy(F.col("first").isNull(), F.col("first._turn"), F.col("first._lane"), weight.desc(), "key")
     return one.select((F.row_number().over(w) - 1).alias("place"), "key")
-
-
-def indexed_terms(index: retrieval.Index) -> DataFrame:
-    return search.term_df(index.post)
