@@ -105,3 +105,15 @@ def test_lists_of_chats(spark):
     rows = [(1, 5, 9), (2, 7, 7), (3, 6, 9), (4, 6, None), (None, 9, 9), (5, 5, 9)]
     chats = spark.createDataFrame(rows, "id long, created_at long, updated_at long")
     assert [r["id"] for r in media.chats_listed(chats, 4).collect()] == [3, 5, 1, 2]
+
+
+@pytest.mark.parametrize(("page", "found", "want"), [
+    ("https://x.com/quay/status/12/photo/1?s=20&t=ab#top", None, "https://x.com/quay/status/12"),
+    ("https://x.com/home", "https://x.com/quay/status/7/analytics", "https://x.com/quay/status/7"),
+    ("https://x.com/quay/status/12", "https://x.com/other/status/9", "https://x.com/quay/status/12"),
+    ("https://www.xiaohongshu.com/explore/6a?xsec_token=k1&utm_source=z", None, "https://www.xiaohongshu.com/explore/6a?xsec_token=k1"),
+    ("https://tide.example/a/likes?si=1", None, "https://tide.example/a/likes"), ("https://tide.example/", "mailto:x", "https://tide.example"), ("", None, ""),
+])
+def test_addresses_of_posts(spark, page, found, want):
+    made = urls.post_url(F.col("c")) if found is None else urls.post_url(F.col("c"), F.lit(found))
+    assert value(spark, made, c=page) == want

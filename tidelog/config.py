@@ -27,7 +27,19 @@ SITES = {
 }
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 BROWSERS = r"(?i)chrome|chromium|safari|firefox|edge|opera|brave|vivaldi"
-TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref|ref_src|spm|si|igshid)$"
+# Parameters that only track, what hangs off a post, and the paths of posts by site.
+TRACKING = (
+    r"^(utm_\w+|fbclid|gclid|igshid|spm|spm_id_from|vd_source|from_source|from_spmid|share_source|share_medium|share_plat|share_tag|share_session_id|"
+    r"unique_k|s|t|ref|ref_src|ref_url|refer|refer_flag|xhsshare|appuid|apptime|si|feature|pp)$"
+)
+POST_VIEW = r"/(analytics|photo/\d+|video/\d+|retweets|likes|quotes|history|hidden|comment)/?$"
+POST_PATHS = {
+    r"(^|\.)(x|twitter)\.com$": r"/status/\d+",
+    r"(^|\.)reddit\.com$": r"(?i)/comments/[a-z0-9]+",
+    r"(^|\.)xiaohongshu\.com$": r"(?i)/(explore|discovery/item)/[a-z0-9]+",
+    r"(^|\.)zhihu\.com$": r"/(question/\d+/answer/\d+|answer/\d+|p/\d+|pin/\d+)",
+    r"(^|\.)bilibili\.com$": r"/(video/[A-Za-z0-9]+|read/cv\d+|opus/\d+)",
+}
 PAGE_KEY_CHARS = 4
 # Names of programs and of their shells, which are no pages.
 SHELLS = (

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import SECOND_LEVEL, SITES, TRACKING
+from ..config import POST_PATHS, POST_VIEW, SECOND_LEVEL, SITES, TRACKING
 from .text import text_of
 
 
@@ -58,6 +59,24 @@ def canonical_url(c: Column, tracking: str = TRACKING) -> Column:
     return F.when(F.size(kept) > 0, F.concat(path, F.lit("?"), F.array_join(kept, "&"))).otherwise(path)
 
 
+def _as_post(c: Column) -> Column:
+    """The canonical address less what hangs off a post, if it is one of its site; else null."""
+    clean = canonical_url(c)
+    path, query = F.split_part(clean, F.lit("?"), F.lit(1)), F.regexp_extract(clean, r"(\?.*)$", 1)
+    whole = F.regexp_replace(path, POST_VIEW, "")
+    host = F.lower(F.regexp_extract(clean, r"(?i)^https?://([^/:?#]+)", 1))
+    is_post = reduce(lambda a, b: a | b, [host.rlike(site) & whole.rlike(post) for site, post in POST_PATHS.items()])
+    return F.when(is_post, F.concat(whole, query))
+
+
+def post_url(page: Column, found: Column | None = None) -> Column:
+    """Where a saved post lives: the page it was saved on if that is a post, else the address that was ``found``
+    in it, else the page; sub-views, fragments and tracking go, other parameters stay."""
+    if found is None:
+        return F.coalesce(_as_post(page), canonical_url(page))
+    return F.coalesce(_as_post(page), _as_post(found), F.nullif(canonical_url(found), F.lit("")), canonical_url(page))
+
+
 def media_kind(url: Column, mime: Column | None = None, size: Column | None = None) -> Column:
     """stream, segment, video, audio, image, or null; small images are none."""
     path = F.lower(F.regexp_replace(text_of(url), r"[?#].*$", ""))

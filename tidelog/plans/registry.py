@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import TRACKING
 from ..functions import classify, text, urls
 from ..operators import articles as article
 from ..operators import days, entries, filters, graph, hygiene, media, pages, search, sessions, vectors
@@ -272,6 +273,14 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", urls.html_title(F.col("html")).alias("title"), urls.html_to_text(F.col("html")).alias("text"))
 
 
+@query(rf"""WITH n AS (SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') ELSE '' END AS n FROM pages),
+q AS (SELECT page_id, regexp_replace(split_part(n, '?', 1), '/+$', '') AS path, list_filter(string_split(split_part(n, '?', 2), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '{TRACKING}')) AS kept FROM n)
+SELECT page_id, concat(path, CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) AS address FROM q""")
+def page_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's address as it is kept."""
+    return table(spark, d, "pages").select("page_id", urls.post_url(F.col("url")).alias("address"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
