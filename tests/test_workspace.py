@@ -300,7 +300,8 @@ def test_redact_counts(spark):
                 want[i, "email"] += 1
     got = {(r["doc_id"], r["kind"]): r["n"] for r in registry.QUERIES["redact_counts"](spark, SF).collect()}
     assert {k: n for k, n in got.items() if k[1] != "phone"} == {k: n for k, n in want.items() if n}
-    phones = {i: sum(t.count(p) for p in set(re.findall(r"\+\d[\d -]{8,}\d", t))) for i, t in docs.items()}
+    shape = lambda w: "".join("9" if c.isdigit() else c for c in w)
+    phones = {i: sum(shape(t[k : k + 14]) == "(999) 999-9999" for k in range(len(t) - 13)) for i, t in docs.items()}
     assert {k[0]: n for k, n in got.items() if k[1] == "phone"} == {i: n for i, n in phones.items() if n}
 
 
