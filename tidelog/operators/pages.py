@@ -19,17 +19,18 @@ from ..functions.text import squeeze, text_of, tidy_title
 from .graph import components
 
 
-def title_key(title: Column, app: Column | None = None, shells: Sequence[str] = SHELLS, least: int = PAGE_KEY_CHARS) -> Column:
-    """A window title as a page's name; empty if it is too short or just names a program."""
-    t = F.regexp_replace(squeeze(tidy_title(title)), r"(?i)^(find in page|在页面中查找)\s+", "")
+def title_key(title: Column, app: Column | None = None, shells: Sequence[str] = SHELLS, least: int = PAGE_KEY_CHARS, window: bool = True) -> Column:
+    """A window title as a page's name; empty if it is too short or just names a program.  Without ``window``
+    the title is the page's own: no counters or marks of a program are in it, so what looks like them stays."""
+    t = F.regexp_replace(squeeze(tidy_title(title)), r"(?i)^(find in page|在页面中查找)\s+", "") if window else squeeze(title)
     low = F.lower(t)
     own = low == F.lower(squeeze(app)) if app is not None else F.lit(False)
     return F.when((F.length(t) < least) | low.isin(*shells) | own, "").otherwise(t)
 
 
-def page_keys(url: Column, title: Column, app: Column | None = None) -> Column:
+def page_keys(url: Column, title: Column, app: Column | None = None, window: bool = True) -> Column:
     """The names of the page at an address under a title: none, one, or both."""
-    return F.filter(F.array(urls.norm_url(url), title_key(title, app)), lambda k: k != "")
+    return F.filter(F.array(urls.norm_url(url), title_key(title, app, window=window)), lambda k: k != "")
 
 
 def page_nodes(clips: DataFrame, owners: DataFrame) -> DataFrame:
