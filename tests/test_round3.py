@@ -22,3 +22,21 @@ def test_page_keys_of_titles_that_end_like_counters(spark, tmp_path):
     got = registry.QUERIES["page_keys"](spark, str(tmp_path)).toPandas().sort_values("id")
     assert got[["id", "url_key", "title_key"]].values.tolist() == want[["id", "url_key", "title_key"]].values.tolist()
     assert len({r["page"] for r in registry.QUERIES["page_nodes"](spark, str(tmp_path)).collect()}) == len(titles)
+
+
+@pytest.mark.parametrize(("floor", "most"), [(0.2, 7), (0.35, 16), (2.0, 5)])
+def test_leader_clusters_over_many_blocks(spark, floor, most):
+    """More leaders than a block holds (with a floor of 2 all lead, as at size) are the same as in one block."""
+    v = registry._vectors(spark, SF).where("label < 3")
+    name = lambda rows: {r["id"]: (r["key"], r["leader"]) for r in rows.collect()}
+    got, want = name(vectors.leader_clusters(v, "label", "id", floor=floor, most=most)), name(vectors.leader_clusters(v, "label", "id", floor=floor))
+    assert got == want and len(want) == v.where("v IS NOT NULL").count()
+    assert max(pd.Series([k for k, _ in want.values()]).value_counts()) > 2 * most
+    assert floor == 2.0 or len(set(want.values())) < len(want)
+
+
+def test_leader_clusters_take_the_last_of_equal_leaders(spark):
+    """Two leaders of other blocks at the same angle: the later one is joined."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 2.0])]
+    got = vectors.leader_clusters(spark.createDataFrame([(i, 0, v) for i, v in rows], "id long, k int, v array<double>"), "k", "id", floor=0.7, most=1)
+    assert {r["id"]: r["leader"] for r in got.collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 2}

@@ -194,32 +194,72 @@ def neighbourhood(edges: DataFrame, start: Sequence, hops: int = 2) -> DataFrame
 def leader_clusters(rows: DataFrame, key: str, order: str, vector: str = "v", id_col: str = "id", floor: float = CLUSTER_COSINE, most: int = 4096) -> DataFrame:
     """Single-pass leader clustering within each key, in order: a vector joins the nearest
     leader (the last one on ties) at ``floor`` or more, else leads.  Sequential by definition,
-    so rows stream by key in order and only up to ``most`` leaders are held; more is an error
-    that asks for a finer key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, leaders, names = object(), np.zeros((0, 0)), []
+    so each key's rows go in blocks of ``most``, one round a block for all keys together: a block meets the
+    leaders of every earlier block in a task of its own, and what is left is settled in order within
+    the block.  No task holds more than two blocks of vectors, however many leaders a key has; the
+    products grow with the square of the longest key, as they must where most rows lead."""
+    narrow = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(order).alias("_o")).where(F.col("v").isNotNull())
+    kinds = dict(narrow.dtypes)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("_o", "id")) - 1
+    placed = saved(narrow.select("key", "id", "v", place.alias("place")).withColumn("block", F.floor(F.col("place") / most).cast("int")))
+    last = placed.agg(F.max("block")).head()[0] or 0
+
+    def unit(vs: pd.Series) -> np.ndarray:
+        x = np.stack(vs.to_numpy()).astype(np.float64)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n > 0, n, 1.0)
+
+    def nearest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"key": [], "place": [], "score": [], "at": [], "leader": []})
+        theirs = theirs.sort_values("at", ascending=False)  # the last one is found first
+        x, names, at = unit(theirs["v"]), theirs["leader"].to_numpy(), theirs["at"].to_numpy()
+        scores, best = [], []
+        for s in range(0, len(mine), 512):
+            dots = unit(mine["v"].iloc[s : s + 512]) @ x.T
+            best.append(dots.argmax(axis=1))
+            scores.append(dots.max(axis=1))
+        k = np.concatenate(best)
+        return pd.DataFrame({"key": mine["key"].to_numpy(), "place": mine["place"].to_numpy(), "score": np.concatenate(scores), "at": at[k], "leader": names[k]})
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, x, names = object(), np.zeros((0, 0)), []
         for batch in batches:
-            out = []
-            for k, i, v in zip(batch["key"], batch["id"], batch["v"], strict=True):
-                x = np.asarray(v, dtype=np.float64)
-                x = x / (np.linalg.norm(x) or 1.0)
+            out, leads = [], []
+            for k, v, near, far in zip(batch["key"], unit(batch["v"]) if len(batch) else (), batch["score"], batch["leader"], strict=True):
                 if k != now:
-                    now, leaders, names = k, np.zeros((0, len(x))), []
-                scores = leaders @ x
+                    now, x, names = k, np.zeros((16, len(v))), []
+                i = batch["id"].iloc[len(out)]
+                scores = x[: len(names)] @ v
                 best = len(scores) - 1 - int(np.argmax(scores[::-1])) if len(scores) else -1
-                if best < 0 or scores[best] < floor:
-                    if len(names) >= most:
-                        raise ValueError(f"over {most} leaders in one key")
-                    leaders, best = np.vstack([leaders, x]), len(names)
+                if best >= 0 and scores[best] >= floor and not scores[best] < near:
+                    out.append(names[best])
+                elif near >= floor:
+                    out.append(far)
+                else:
+                    if len(names) == len(x):
+                        x = np.vstack([x, np.zeros_like(x)])
+                    x[len(names)] = v
                     names.append(i)
-                out.append((k, i, names[best]))
-            yield pd.DataFrame(out, columns=["key", "id", "leader"])
-
-    narrow = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(order).alias("_o")).where(F.col("v").isNotNull())
-    kinds = dict(narrow.dtypes)
-    dealt = narrow.repartition("key").sortWithinPartitions("key", "_o", "id").drop("_o")
-    return dealt.mapInPandas(run, f"key {kinds['key']}, id {kinds['id']}, leader {kinds['id']}")
+                    out.append(i)
+                leads.append(len(names) > len(scores))
+            yield batch[["key", "id", "v", "place"]].assign(leader=pd.Series(out, index=batch.index, dtype=batch["id"].dtype), leads=leads)
+
+    done: list[DataFrame] = []
+    for b in range(last + 1):
+        mine = placed.where(F.col("block") == b).select("key", "id", "v", "place")
+        if done:
+            led = reduce(DataFrame.unionByName, done).where("leads").select("key", "of", F.col("place").alias("at"), "leader", "v")
+            units = mine.join(led.select(F.col("key").alias("_k"), F.col("of").alias("of")).distinct(), F.col("key") == F.col("_k"))
+            met = units.select("key", "of", "place", "v").groupBy("key", "of").cogroup(led.groupBy("key", "of")).applyInPandas(lambda a, z: nearest(a, z), f"key {kinds['key']}, place int, score double, at int, leader {kinds['id']}")
+            best = met.groupBy("key", "place").agg(F.max(F.struct("score", "at", "leader")).alias("_b")).select("key", "place", "_b.score", "_b.leader")
+            mine = mine.join(best, ["key", "place"], "left")
+        else:
+            mine = mine.withColumns({"score": F.lit(None).cast("double"), "leader": F.lit(None).cast(kinds["id"])})
+        dealt = mine.repartition("key").sortWithinPartitions("key", "place")
+        settled = dealt.mapInPandas(settle, f"key {kinds['key']}, id {kinds['id']}, v {kinds['v']}, place int, leader {kinds['id']}, leads boolean")
+        done.append(saved(settled.withColumn("of", F.lit(b))))
+    return reduce(DataFrame.unionByName, done).select("key", "id", "leader")
 
 
 def name_clusters(members: DataFrame, rows: DataFrame, least: int = 3, share: float = 0.3, words: int = 3) -> DataFrame:
