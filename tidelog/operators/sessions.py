@@ -100,11 +100,20 @@ def pages_of_day(rows: DataFrame, url: str, at: str, text: str, title: str) -> D
 def overlap_speakers(chunks: DataFrame, segments: DataFrame, key: str, chunk: str, least: float = 0.2, bin_s: float = 60.0) -> DataFrame:
     """For each chunk (key, chunk, start, end) the speaker of ``segments`` (key, speaker, start,
     end) with the most seconds in common, at least ``least``; ties go to the lesser name."""
-    bins = lambda: F.explode(F.sequence(F.floor(F.col("start") / bin_s), F.floor(F.col("end") / bin_s)))
-    c = chunks.withColumn("_bin", bins()).select(key, chunk, "_bin", "start", "end")
-    s = segments.withColumn("_bin", bins()).select(key, "_bin", "speaker", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    known = lambda rows: rows.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    first = F.floor(F.col("start") / bin_s)
+    final = F.greatest(first, F.ceil(F.col("end") / bin_s) - 1)
+    # Bins of chunks are numbered within the key, and a segment's first and last bin fall between two numbers:
+    # a long segment costs two rows and those of the bins that it meets, not one for every bin it spans.
+    c = known(chunks).select(key, F.explode(F.sequence(first, final)).alias("_bin"), F.lit(1).alias("_kind"), F.struct(chunk, "start", "end").alias("_c"))
+    g = F.struct("speaker", F.col("start").alias("_s"), F.col("end").alias("_e")).alias("_g")
+    s = known(segments).select(key, g, F.inline(F.array(F.struct(first.alias("_bin"), F.lit(0).alias("_kind")), F.struct(final.alias("_bin"), F.lit(2).alias("_kind")))))
+    w = Window.partitionBy(key).orderBy("_bin", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = c.unionByName(s, allowMissingColumns=True).withColumn("_no", F.sum(F.when(F.col("_kind") == 1, 1).otherwise(0)).over(w))
+    spans = marks.where("_kind <> 1").groupBy(key, "_g").agg(F.min("_no").alias("_lo"), F.max("_no").alias("_hi"), F.count_if(F.col("_kind") == 0).alias("_n")).where("_hi > _lo")
+    near = spans.select(key, "_g.*", "_n", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_no")).join(marks.where("_kind = 1").select(key, "_no", "_bin", "_c.*"), [key, "_no"])
     lo, hi = F.greatest("start", "_s", F.col("_bin") * bin_s), F.least("end", "_e", (F.col("_bin") + 1) * bin_s)  # each bin counts its own part
-    met = c.join(s, [key, "_bin"]).withColumn("_o", hi - lo).where("_o > 0")
+    met = near.withColumn("_o", (hi - lo) * F.col("_n")).where("_o > 0")
     total = met.groupBy(key, chunk, "speaker").agg(F.round(F.sum("_o"), 6).alias("secs")).where(F.col("secs") >= least)
     best = total.groupBy(key, chunk).agg(F.min(F.struct((-F.col("secs")).alias("minus"), "speaker")).alias("b"))
     return best.select(key, chunk, F.col("b.speaker").alias("speaker"), (-F.col("b.minus")).alias("secs"))
