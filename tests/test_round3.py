@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import search, sessions, vectors
+from tidelog.operators import hygiene, search, sessions, vectors
 from tidelog.plans import registry
+from tidelog.session import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +77,13 @@ def test_long_records_are_grouped_in_time(spark):
     began = time.monotonic()
     assert search.postings(rows).agg(F.count("*"), F.sum("n")).first()[:] == (200_000, 200_000)
     assert time.monotonic() - began < 30
+
+
+def test_much_furniture(spark):
+    """More furniture than goes to tasks: the same views, and whole lines don't travel."""
+    e = table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("id"), "text")
+    fur = hygiene.furniture(e)
+    few, much = ({tuple(r) for r in hygiene.stripped(e, fur, in_tasks=n).collect()} for n in (20_000, 10))
+    assert few == much and fur.count() > 10
+    plan = hygiene.stripped(e, fur, in_tasks=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

@@ -95,16 +95,18 @@ def stripped(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str
     lines go from the views, and texts are trimmed.
 
     All is done in the record's own row.  Furniture goes to the tasks as a set if it is at most ``in_tasks``
-    lines (a size that is looked at first); more of it meets the lines in a join."""
+    lines (a size that is looked at first).  More of it meets numbers of the records' lines in a join, and
+    each record gets its own of them; lines never travel."""
     known: list[str] = []
+    own = F.lit(None).cast("array<string>")
     if furniture_lines is not None:
         known = [r["line"] for r in furniture_lines.select("line").distinct().limit(in_tasks + 1).collect()]
         if len(known) > in_tasks:
-            return _stripped_by_lines(e, furniture_lines, id_col, run, kept, repeat, most_chars, least_lines)
-    cut = e.select(F.col(id_col).alias("id"), _raw(F.col("text")).alias("_raw"), F.explode(F.array(F.split(text_of(F.col("text")), "\n"))).alias("_l"))
-    rows = cut.select("id", "_raw", "_l", F.explode(F.array(_menu_marks("_l", run))).alias("_m"))
+            e, known, own = _with_own_furniture(e, furniture_lines, id_col), [], F.col("_own")
+    cut = e.select(F.col(id_col).alias("id"), _raw(F.col("text")).alias("_raw"), own.alias("_own"), F.explode(F.array(F.split(text_of(F.col("text")), "\n"))).alias("_l"))
+    rows = cut.select("id", "_raw", "_own", "_l", F.explode(F.array(_menu_marks("_l", run))).alias("_m"))
     line = F.transform("_l", lambda x, i: F.struct(line_key(x).alias("key"), i.alias("no"), F.trim(x).alias("t"), ((F.get("_m", i) == "M") & (F.size("_l") >= least_lines)).alias("menu")))
-    lines = F.filter(line, lambda x: (x["key"] != "") & ~x["key"].isin(*known)) if known else F.filter(line, lambda x: x["key"] != "")
+    lines = F.filter(line, lambda x: (x["key"] != "") & ~x["key"].isin(*known)) if known else F.filter(line, lambda x: (x["key"] != "") & ~F.coalesce(F.array_contains("_own", x["key"]), F.lit(False)))
     rows = rows.select("id", "_raw", F.explode(F.array(F.sort_array(lines))).alias("_s"))
     rows = rows.select("id", "_raw", "_s", F.explode(F.array(_starts("_s"))).alias("_b"))
     groups = F.transform("_b", lambda b, k: F.slice("_s", b + 1, _size(k, b)))
@@ -116,21 +118,13 @@ def stripped(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str
     return rows.select("id", "_raw", soft.alias("_soft"), free.alias("_full")).select("id", *_chosen(kept))
 
 
-def _stripped_by_lines(e: DataFrame, furniture_lines: DataFrame | None = None, id_col: str = "id", run: int = MENU_RUN, kept: float = KEPT_SHARE, repeat: int = LINE_REPEAT, most_chars: int = LINE_MOST, least_lines: int = MENU_LINES) -> DataFrame:
-    """``stripped`` where the furniture is too much to go to every task: lines travel, one row each."""
-    lines = without_menus(doc_lines(e, id_col), run).where("key <> ''")
-    if furniture_lines is not None:
-        lines = lines.join(furniture_lines.select(F.col("line").alias("key")).distinct(), "key", "left_anti")
-    menu = F.col("menu") & (F.col("n_lines") >= least_lines)
-    # One row for each different line: how often it stands there, and where first, with and
-    # without menus; a line that is repeated very often is summed before the shuffle.
-    each = lines.groupBy("id", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "line")).alias("_first"), F.min(F.when(~menu, F.struct("line_no", "line"))).alias("_free"),
-    ).where((F.col("n") < repeat) | (F.length("key") > most_chars))
-    joined = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda x: F.trim(x["line"])), "\n")
-    views = each.groupBy("id").agg(joined(F.collect_list("_first")).alias("_soft"), joined(F.collect_list("_free")).alias("_full"))
-    raw = e.select(F.col(id_col).alias("id"), _raw(F.col("text")).alias("_raw")).join(views, "id", "left")
-    return raw.select("id", *_chosen(kept))
+def _with_own_furniture(e: DataFrame, furniture_lines: DataFrame, id_col: str) -> DataFrame:
+    """``e`` with _own: the lines of ``furniture_lines`` that stand in each record (null: none).  A record's lines
+    travel as numbers; what meets brings the furniture's own text, so equal numbers of other lines do no harm."""
+    lines = furniture_lines.select("line").distinct().select(F.xxhash64("line").alias("_h"), "line")
+    numbers = F.array_distinct(F.transform(F.split(text_of(F.col("text")), "\n"), lambda x: F.xxhash64(line_key(x))))
+    met = e.select(id_col, F.explode(numbers).alias("_h")).join(lines, "_h")
+    return e.join(met.groupBy(id_col).agg(F.collect_set("line").alias("_own")), id_col, "left")
 
 
 @dataclass(frozen=True)
