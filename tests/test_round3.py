@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import hygiene, search, sessions, vectors
+from tidelog.operators import graph, hygiene, search, sessions, vectors
 from tidelog.plans import registry
 from tidelog.session import table
 
@@ -87,3 +87,11 @@ def test_much_furniture(spark):
     assert few == much and fur.count() > 10
     plan = hygiene.stripped(e, fur, in_tasks=10)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_texts_are_searched_once_for_entities(spark):
+    """What entity rows are read from, twice or more, is a saved table and not the texts."""
+    e = spark.createDataFrame([(1, "Kew walk", "https://a.org", "Kew is at AB1 2CD on 2024-01-05, 5 km"), (2, "Kew", None, "AB1 2CD again, 5 km")], "id long, title string, url string, text string")
+    rows = graph.entity_rows(e)
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["key"] for r in graph.entity_index(rows).collect()} >= {"ab1 2cd", "5 km"}

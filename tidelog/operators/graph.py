@@ -84,7 +84,10 @@ def entity_rows(e: DataFrame, text: str = "text", han: Callable[[Column], Column
     words = saved(dictionary(e, text) if words is None else words)
     few = words.limit(in_tasks + 1).count() <= in_tasks
     told = words.select(F.col("word").alias("key"), "titled", "place")
-    return _gated(e.select("id", F.inline(candidates(e, text, han))), F.broadcast(told) if few else told)
+    # Texts are dealt by the id, as a file may have few pieces, and searched once, however often the rows are read.
+    dealt = e.repartition("id")
+    found = saved(dealt.select("id", F.inline(candidates(dealt, text, han))))
+    return _gated(found, F.broadcast(told) if few else told)
 
 
 def _gated(rows: DataFrame, told: DataFrame) -> DataFrame:
