@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,53 +170,63 @@ def aliases(terms: DataFrame, long: int = 8, short: int = 4) -> DataFrame:
     return cut.join(terms.select(F.col("key").alias("part")), "part").select("whole", "part").distinct()
 
 
+def _least_of(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """(u, v): each node of the edges (a, b) with the least one it hangs together with, where that is another."""
+    codes, nodes = pd.factorize(np.concatenate([a, b]), sort=True)  # codes are in the nodes' order
+    x, y = np.split(codes, 2)
+    up = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, further := up[up]):
+            up = further
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    moved = np.flatnonzero(up != np.arange(len(nodes)))
+    return pd.DataFrame({"u": nodes[moved], "v": nodes[up[moved]]})
+
+
 def contracted(edges: DataFrame, chunk: int = 200_000) -> DataFrame:
     """``edges`` (u, v) as stars: of every ``chunk`` edges that lie together, each node with the least
     one it hangs together with.  A narrow pass that leaves components as they are and paths short."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        up: dict = {}
+        held: list[pd.DataFrame] = []
         n = 0
-
-        def find(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        def stars() -> pd.DataFrame:
-            return pd.DataFrame([(x, r) for x in up if (r := find(x)) != x], columns=["u", "v"])
-
         for batch in batches:
-            for a, b in zip(batch["u"], batch["v"], strict=True):
-                a, b = find(a), find(b)
-                up[max(a, b)] = min(a, b)
+            held.append(batch)
             n += len(batch)
             if n >= chunk:
-                yield stars()
-                up, n = {}, 0
-        yield stars()
+                yield _least_of(*(np.concatenate([h[c].to_numpy() for h in held]) for c in ("u", "v")))
+                held, n = [], 0
+        if n:
+            yield _least_of(*(np.concatenate([h[c].to_numpy() for h in held]) for c in ("u", "v")))
 
     kind = edges.schema["u"].dataType.simpleString()
     return edges.select("u", "v").mapInPandas(run, f"u {kind}, v {kind}")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, heavy: int = 100_000) -> DataFrame:
     """``edges`` (a, b) of any ordered type -> (node, root): the least node of each component, for
     every node with an edge to another one.  Loops and nulls are ignored.
 
-    Edges that lie together are contracted first, then large and small stars follow in turn; each
-    half step is one aggregate and one join, so neither a node with very many edges nor a large
-    component is ever gathered in one task.  The number of rounds grows with the logarithm of
+    Edges that lie together are contracted first, once as they come and once as a hash of the edge deals
+    them, as neighbours in a file may have little in common; then large and small stars follow in turn.  Each
+    half step is one aggregate and one join.  Nodes with more than ``heavy`` edges are at most one for so many
+    edges, so these are broadcast and their edges stay where they lie; thus neither a node with very many edges
+    nor a large component is ever gathered in one task.  The number of rounds grows with the logarithm of
     the longest path; each is written to the shared folder."""
 
     def star(rows: DataFrame, key: str, other: str) -> DataFrame:
         """``rows`` with m: the least of ``key`` and all its ``other``."""
-        least = rows.groupBy(key).agg(F.min(other).alias("m")).select(F.col(key).alias("_k"), F.least(key, "m").alias("m"))
-        return rows.join(least, rows[key] == least["_k"]).drop("_k")
-
-    e = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    e = saved(contracted(e).distinct())
+        least = saved(rows.groupBy(key).agg(F.min(other).alias("m"), F.count(F.lit(1)).alias("_n")).select(F.col(key).alias("_k"), F.least(key, "m").alias("m"), "_n"))
+        hubs, rest = least.where(F.col("_n") > heavy).drop("_n"), least.where(F.col("_n") <= heavy).drop("_n")
+        same = F.col(key) == F.col("_k")
+        lying = rows.join(F.broadcast(hubs), same)
+        dealt = rows.join(F.broadcast(hubs.select("_k")), same, "left_anti").join(rest, same)
+        return lying.unionByName(dealt).drop("_k")
+
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = saved(contracted(contracted(e).repartition("u", "v")).distinct())
     while True:
         # Stars already, if each node hangs on one root and no root hangs on another.
         heads = e.select(F.col("v").alias("u"), F.lit(1).alias("head")).distinct().unionByName(e.select("u", F.lit(0).alias("head")))
@@ -223,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         if bad.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        large = star(both, "x", "y").where((F.col("y") > F.col("x")) & (F.col("y") != F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(star(both, "x", "y").where((F.col("y") > F.col("x")) & (F.col("y") != F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
         small = star(large, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
         e = saved(small.select("p.*").where(F.col("u") != F.col("v")).distinct())
 
